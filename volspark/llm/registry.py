@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from volspark.llm import chat, exact_dedup, mixing, packing, substring_dedup
+from volspark.llm import chat, exact_dedup, mixing, ngram_join, packing, substring_dedup
 from volspark.llm.common import documents
 
 
@@ -25,6 +25,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(documents(spark, sf_dir)).drop("repeats", "kept_text")
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(documents(spark, sf_dir))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), **_tokenizer())
 
@@ -39,8 +43,8 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_exact_dedup, op5_substring_dedup, op8_best_fit_packing, op9_mixing, op10_chat_format)}
+    return {f.__name__: f for f in (op4_exact_dedup, op5_substring_dedup, op6_ngram_jaccard, op8_best_fit_packing, op9_mixing, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.ORACLE, "op5_substring_dedup": substring_dedup.ORACLE, "op9_mixing": mixing.ORACLE, "op10_chat_format": chat.ORACLE}
+    return {"op4_exact_dedup": exact_dedup.ORACLE, "op5_substring_dedup": substring_dedup.ORACLE, "op6_ngram_jaccard": ngram_join.ORACLE, "op9_mixing": mixing.ORACLE, "op10_chat_format": chat.ORACLE}
