@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from volspark.llm import chat, exact_dedup, mixing, ngram_join, packing, substring_dedup
+from volspark.llm import chat, exact_dedup, language, mixing, ngram_join, packing, quality, substring_dedup, toxicity
 from volspark.llm.common import documents
 
 
@@ -17,6 +17,22 @@ def _tokenizer() -> dict:
     return {"json_path": public.path("byte_bpe_50k.json"), "ranks_path": public.path("byte_bpe_50k.tiktoken"), "pattern": public.PATTERN}
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), _labels(spark, sf_dir)).drop("spans")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
@@ -43,7 +59,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_exact_dedup, op5_substring_dedup, op6_ngram_jaccard, op8_best_fit_packing, op9_mixing, op10_chat_format)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_toxicity, op4_exact_dedup, op5_substring_dedup, op6_ngram_jaccard, op8_best_fit_packing, op9_mixing, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
