@@ -162,13 +162,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def only_ids(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows of df whose key is in ids (one column named ``key``, distinct, cheap to count).
+def without_ids(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of df whose doc_id isn't in ids (distinct, cheap to count); a null doc_id stays.
 
     The ids are broadcast only if they are counted to be BROADCAST_IDS at most.
     """
-    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if small else ids, key, "left_semi")
+    return df.join(by_size(ids), "doc_id", "left_anti")
+
+
+def by_size(table: DataFrame) -> DataFrame:
+    """The narrow table, to be broadcast if it is counted to have BROADCAST_IDS rows at most."""
+    small = table.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return F.broadcast(table) if small else table
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

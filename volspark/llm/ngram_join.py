@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from volspark.llm.common import BROADCAST_IDS, byte_texts, cut, ngram_hashes, slices, word_hashes
+from volspark.llm.common import by_size, byte_texts, cut, ngram_hashes, slices, word_hashes
 from volspark.llm.components import components
 
 WORDS = 5
@@ -223,12 +223,6 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _OVERLAP.types, strict=True)], schema=_OVERLAP)
 
 
-def _by_id(docs: DataFrame, table: DataFrame) -> DataFrame:
-    """docs with the table's columns; the table is broadcast only if it is counted to be small."""
-    small = table.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(table) if small else table, "doc_id")
-
-
 class _Join:
     def __init__(self, docs: DataFrame, words: int, percent: int, fragments: int) -> None:
         self.docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -248,7 +242,7 @@ class _Join:
         size = self.docs.select(F.sum(F.octet_length("text")).alias("s")).first()["s"] or 0
         fragments = min(size // FRAGMENT_BYTES + 1, 1 << 14)
         order = self.docs.sparkSession.sparkContext.broadcast(self.order())
-        rows = _by_id(self.docs, self.first.filter("doc_id IS NOT NULL").select("doc_id", "node"))
+        rows = self.docs.join(by_size(self.first.filter("doc_id IS NOT NULL").select("doc_id", "node")), "doc_id")
         words, percent = self.words, self.percent
 
         def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +259,7 @@ class _Join:
         centers = salted.select("a", "salt").distinct().select(F.col("a").alias("node"), F.struct(F.col("a").alias("center"), "salt", F.lit(0).alias("role")).alias("r"))
         routes = others.unionByName(centers).groupBy("node").agg(F.collect_list("r").alias("routes"))
         routes = cut(routes.join(self.first.select("node", "doc_id"), "node").select("doc_id", "node", "routes"))
-        rows = _by_id(self.docs, routes).select("doc_id", "text", "node", "routes")
+        rows = self.docs.join(by_size(routes), "doc_id").select("doc_id", "text", "node", "routes")
         sent = rows.mapInArrow(partial(_segments, words=self.words, fragments=self.fragments), "center long, salt long, fragment long, role long, node long, n long, segment binary")
         key = ("center", "salt", "fragment")
         counted = sent.repartition(*key).sortWithinPartitions(*key, "role", "node").mapInArrow(_overlaps, "a long, b long, na long, nb long, common long")

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from volspark.llm import chat, exact_dedup, language, mixing, ngram_join, packing, quality, substring_dedup, toxicity
+from volspark.llm import chat, exact_dedup, fingerprint, language, mixing, ngram_join, packing, quality, substring_dedup, toxicity
 from volspark.llm.common import documents
 
 
-def _tokenizer() -> dict:
+def tokenizer() -> dict:
     """Paths of the public tokenizer's files; they are parameters of the operator."""
     import public_tokenizers as public
 
@@ -45,8 +45,12 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(documents(spark, sf_dir))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(documents(spark, sf_dir))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(documents(spark, sf_dir), **_tokenizer())
+    return packing.pack_documents(documents(spark, sf_dir), **tokenizer())
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +63,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_toxicity, op4_exact_dedup, op5_substring_dedup, op6_ngram_jaccard, op8_best_fit_packing, op9_mixing, op10_chat_format)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_toxicity, op4_exact_dedup, op5_substring_dedup, op6_ngram_jaccard, op7_fingerprints, op8_best_fit_packing, op9_mixing, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
