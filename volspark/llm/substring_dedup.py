@@ -138,6 +138,8 @@ _REPLY = pa.schema([("block", pa.int64()), ("blob", pa.binary())])
 
 
 def _reply(blocks: np.ndarray, values: np.ndarray) -> pa.Table:
+    if not len(blocks):
+        return _REPLY.empty_table()
     order = np.argsort(blocks, kind="stable")
     blocks, values = blocks[order], values[order]
     found, start = np.unique(blocks, return_index=True)
