@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 import tempfile
@@ -162,6 +163,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that are no longer in use, as it does at any collection of the driver's garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def without_ids(df: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of df whose doc_id isn't in ids (distinct, cheap to count); a null doc_id stays.
 

@@ -32,10 +32,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from volspark.llm.common import by_size, byte_texts, cut, ngram_hashes, slices, word_hashes
+from volspark.llm.common import by_size, byte_texts, cut, ngram_hashes, release, slices, word_hashes
 from volspark.llm.components import components
 
 WORDS = 5
@@ -48,10 +49,12 @@ FRAGMENTS = 4
 FRAGMENT_BYTES = 24 << 20
 #: Times that an n-gram is in about 8 MB of texts before it counts as frequent there, and frequent n-grams that are ordered (it changes costs, not results).
 SEEN, FREQUENT = 3, 200_000
-#: Partners of a centre in one task.
+#: Partners of a centre in one cell.
 PARTNERS = 512
-#: Rounds of stars before the remaining pairs are verified.
-ROUNDS = 2
+#: Sets of a chunk when all remaining pairs are verified.
+CHUNK = 64
+#: Rounds of stars at most before the remaining pairs are verified; they end once fewer pairs than one in YIELD are links.
+ROUNDS, YIELD = 7, 100
 
 Sets = list[np.ndarray]
 
@@ -113,7 +116,7 @@ class Order:
         return s[np.argsort(level, kind="stable")[:n]]
 
 
-_SENT = pa.schema([("fragment", pa.int64()), ("tokens", pa.binary()), ("owners", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary())])
+_SENT = pa.schema([("fragment", pa.int64()), ("tokens", pa.binary()), ("owners", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary()), ("places", pa.binary())])
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], order: Order, words: int, percent: int, fragments: int) -> Iterator[pa.RecordBatch]:
@@ -130,72 +133,70 @@ def _prefixes(batches: Iterator[pa.RecordBatch], order: Order, words: int, perce
         prefixes = [order.prefix(s, percent) if len(s) and k == node else s[:0] for s, k, node in zip(sets, nodes.tolist(), batch.column(2).to_pylist(), strict=True)]
         tokens = np.concatenate([np.zeros(0, np.uint64), *prefixes])
         owner = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(p) for p in prefixes])
+        # A place beyond 16 bits counts as the last one of them, which only weakens the filter by places.
+        place = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(p)) for p in prefixes]]).clip(max=65535).astype(np.uint16)
         fragment = (tokens >> np.uint64(48)) % np.uint64(fragments)
         key = (fragment << np.uint64(48)) | (tokens & np.uint64((1 << 48) - 1))
         at = np.argsort(key, kind="stable")
-        key, owner = key[at], owner[at]
+        key, owner, place = key[at], owner[at], place[at]
         new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
         several = ~new | np.concatenate((~new[1:], [False])) if len(key) else new
         rows = []
         if several.any():
             o = owner[several]
-            rows.append((-1 - int(key[several][0] % np.uint64(fragments)), key[several].tobytes(), b"", nodes[o].tobytes(), sizes[o].tobytes()))
-        key, owner = key[new], owner[new]
+            rows.append((-1 - int(key[several][0] % np.uint64(fragments)), key[several].tobytes(), b"", nodes[o].tobytes(), sizes[o].tobytes(), place[several].tobytes()))
+        key, owner, place = key[new], owner[new], place[new]
         edges = np.searchsorted(key, np.arange(fragments + 1, dtype=np.uint64) << np.uint64(48))
         for f, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
             if hi > lo:
-                used, place = np.unique(owner[lo:hi], return_inverse=True)
+                used, index = np.unique(owner[lo:hi], return_inverse=True)
                 low = np.ascontiguousarray(key[lo:hi].view(np.uint8).reshape(-1, 8)[:, :6])
-                rows.append((f, low.tobytes(), place.astype(np.uint16).tobytes(), nodes[used].tobytes(), sizes[used].tobytes()))
+                rows.append((f, low.tobytes(), index.astype(np.uint16).tobytes(), nodes[used].tobytes(), sizes[used].tobytes(), place[lo:hi].tobytes()))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _SENT.types, strict=True)], schema=_SENT)
 
 
-_SHARED = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
+_SHARED = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("place", pa.int64())])
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """Owners of the n-grams of a fragment that have several."""
-    tokens, nodes, sizes = [], [], []
+    """Owners of the n-grams of a fragment that have several, with the n-gram's place in the owner's order."""
+    parts: list[tuple[np.ndarray, ...]] = []
     fragment = table.column("fragment")[0].as_py()
-    for t, o, d, s in zip(*(table.column(c).to_pylist() for c in ("tokens", "owners", "nodes", "sizes")), strict=True):
-        d, s = np.frombuffer(d, np.int64), np.frombuffer(s, np.int64)
+    for t, o, d, s, p in zip(*(table.column(c).to_pylist() for c in ("tokens", "owners", "nodes", "sizes", "places")), strict=True):
+        d, s, p = np.frombuffer(d, np.int64), np.frombuffer(s, np.int64), np.frombuffer(p, np.uint16).astype(np.int64)
         if fragment >= 0:
-            place = np.frombuffer(o, np.uint16)
-            wide = np.zeros((len(place), 8), np.uint8)
+            owner = np.frombuffer(o, np.uint16)
+            wide = np.zeros((len(owner), 8), np.uint8)
             wide[:, :6] = np.frombuffer(t, np.uint8).reshape(-1, 6)
-            t, d, s = wide.view(np.int64).ravel() | (fragment << 48), d[place], s[place]
+            parts.append((wide.view(np.int64).ravel() | (fragment << 48), d[owner], s[owner], p))
         else:
-            t = np.frombuffer(t, np.int64)
-        tokens.append(t)
-        nodes.append(d)
-        sizes.append(s)
-    t, d, s = np.concatenate(tokens), np.concatenate(nodes), np.concatenate(sizes)
+            parts.append((np.frombuffer(t, np.int64), d, s, p))
+    columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
     if fragment >= 0:
-        at = np.argsort(t, kind="stable")
-        t, d, s = t[at], d[at], s[at]
+        at = np.argsort(columns[0], kind="stable")
+        t = columns[0][at]
         same = t[1:] == t[:-1]
         found = np.zeros(len(t), bool)
         found[1:] |= same
         found[:-1] |= same
-        t, d, s = t[found], d[found], s[found]
-    return pa.Table.from_arrays([pa.array(x) for x in (t, d, s)], schema=_SHARED)
+        columns = [x[at][found] for x in columns]
+    return pa.Table.from_arrays([pa.array(x) for x in columns], schema=_SHARED)
 
 
-_SEGMENT = pa.schema([("center", pa.int64()), ("salt", pa.int64()), ("fragment", pa.int64()), ("role", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("segment", pa.binary())])
+_SEGMENT = pa.schema([("cell", pa.int64()), ("fragment", pa.int64()), ("role", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("segment", pa.binary())])
 
 
 def _segments(batches: Iterator[pa.RecordBatch], words: int, fragments: int) -> Iterator[pa.RecordBatch]:
-    """Each set's fragments of the order, once for each centre it is compared with."""
+    """Each set's fragments of the order, once for each cell of pairs that it is in; b is the set's size."""
     bounds = (np.arange(1, fragments, dtype=np.uint64) * np.uint64((1 << 64) // fragments)).astype(np.uint64)
     for batch in slices(batches, "text", 2 << 20):
         rows = []
         sets = shingle_sets(byte_texts(batch.column(1)), words)
-        for s, node, routes in zip(sets, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            if set_key(s) != node:
-                continue
-            parts = [p.tobytes() for p in np.split(s, np.searchsorted(s, bounds))]
-            rows += [(r["center"], r["salt"], f, r["role"], node, len(s), p) for r in routes for f, p in enumerate(parts) if p]
+        for s, node, cells in zip(sets, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            if set_key(s) == node:
+                parts = [p.tobytes() for p in np.split(s, np.searchsorted(s, bounds))]
+                rows += [(c, f, 0, node, len(s), p) for c in cells for f, p in enumerate(parts) if p]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _SEGMENT.types, strict=True)], schema=_SEGMENT)
 
@@ -204,21 +205,20 @@ _OVERLAP = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()),
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Common n-grams of centre and partner in a fragment; rows come sorted, the centre first."""
-    group = partner = center = None
+    """Common n-grams of each pair of a cell in a fragment; rows come sorted, the sets of a cell before its pairs."""
+    group, sets = None, {}
     for batch in batches:
         rows = []
-        for c, salt, f, role, node, n, raw in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-            if group != (c, salt, f):
-                group, partner, center = (c, salt, f), None, None
+        for cell, fragment, role, a, b, raw in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            if group != (cell, fragment):
+                group, sets = (cell, fragment), {}
             if role == 0:
-                center = (n, np.frombuffer(raw, np.uint64))
-            elif center is not None and node != partner:
-                partner = node
-                s = np.frombuffer(raw, np.uint64)
-                at = np.searchsorted(center[1], s)
-                at[at == len(center[1])] = 0
-                rows.append((c, node, center[0], n, int((center[1][at] == s).sum())))
+                sets[a] = (b, np.frombuffer(raw, np.uint64))
+            elif a in sets and b in sets:
+                (na, x), (nb, y) = sets[a], sets[b]
+                at = np.searchsorted(x, y)
+                at[at == len(x)] = 0
+                rows.append((a, b, na, nb, int((x[at] == y).sum())))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _OVERLAP.types, strict=True)], schema=_OVERLAP)
 
@@ -248,23 +248,26 @@ class _Join:
         def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return _prefixes(batches, order.value, words, percent, fragments)
 
-        sent = rows.select("doc_id", "text", "node").mapInArrow(prefixes, "fragment long, tokens binary, owners binary, nodes binary, sizes binary")
-        return cut(sent.groupBy("fragment").applyInArrow(_shared, "token long, node long, n long"))
+        sent = rows.select("doc_id", "text", "node").mapInArrow(prefixes, "fragment long, tokens binary, owners binary, nodes binary, sizes binary, places binary")
+        return cut(sent.groupBy("fragment").applyInArrow(_shared, "token long, node long, n long, place long"))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """Links among pairs (a, b), with a as centre."""
-        degree = pairs.groupBy("a").agg(F.count("*").alias("degree"))
-        salted = pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.floor(F.col("degree") / PARTNERS) + 1).alias("salt"))
-        others = salted.select(F.col("b").alias("node"), F.struct(F.col("a").alias("center"), "salt", F.lit(1).alias("role")).alias("r"))
-        centers = salted.select("a", "salt").distinct().select(F.col("a").alias("node"), F.struct(F.col("a").alias("center"), "salt", F.lit(0).alias("role")).alias("r"))
-        routes = others.unionByName(centers).groupBy("node").agg(F.collect_list("r").alias("routes"))
-        routes = cut(routes.join(self.first.select("node", "doc_id"), "node").select("doc_id", "node", "routes"))
-        rows = self.docs.join(by_size(routes), "doc_id").select("doc_id", "text", "node", "routes")
-        sent = rows.mapInArrow(partial(_segments, words=self.words, fragments=self.fragments), "center long, salt long, fragment long, role long, node long, n long, segment binary")
-        key = ("center", "salt", "fragment")
-        counted = sent.repartition(*key).sortWithinPartitions(*key, "role", "node").mapInArrow(_overlaps, "a long, b long, na long, nb long, common long")
+        """Links among pairs (a, b, cell). Every set goes once to each cell that it has pairs in."""
+        members = pairs.select(F.col("a").alias("node"), "cell").unionByName(pairs.select(F.col("b").alias("node"), "cell"))
+        cells = members.distinct().groupBy("node").agg(F.collect_list("cell").alias("cells"))
+        cells = cut(cells.join(self.first.select("node", "doc_id"), "node").select("doc_id", "node", "cells"))
+        rows = self.docs.join(by_size(cells), "doc_id").select("doc_id", "text", "node", "cells")
+        schema = "cell long, fragment long, role long, a long, b long, segment binary"
+        sets = rows.mapInArrow(partial(_segments, words=self.words, fragments=self.fragments), schema)
+        each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(self.fragments - 1).cast("long")))
+        asked = pairs.select("cell", each.alias("fragment"), F.lit(1).cast("long").alias("role"), "a", "b", F.lit(None).cast("binary").alias("segment"))
+        key = ("cell", "fragment")
+        counted = sets.unionByName(asked).repartition(*key).sortWithinPartitions(*key, "role").mapInArrow(_overlaps, "a long, b long, na long, nb long, common long")
         summed = counted.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
-        return summed.filter(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * self.percent).select("a", "b")
+        return summed.filter(self._enough(F.col("common"))).select("a", "b")
+
+    def _enough(self, common: Column) -> Column:
+        return common * (100 + self.percent) >= (F.col("na") + F.col("nb")) * self.percent
 
     def labels(self, links: DataFrame) -> DataFrame:
         """(node, label): the smallest doc_id that links reach from a class; only of classes with links."""
@@ -275,27 +278,28 @@ class _Join:
 
     def run(self) -> DataFrame:
         shared = self.shared()
-        labelled, links, mixed = None, None, shared.withColumn("label", F.col("node"))
-        tried = None
+        labelled, links, tried, mixed = None, None, None, shared.withColumn("label", F.col("node"))
+        stars = True
         for k in range(ROUNDS + 1):
-            pairs = self._stars(mixed, k) if k < ROUNDS else self._rest(mixed)
-            if tried is not None:
-                pairs = pairs.join(tried, ["a", "b"], "left_anti")
-            pairs = cut(pairs)
-            if k < ROUNDS and pairs.isEmpty():
-                continue
-            if pairs.isEmpty():
+            stars = stars and k < ROUNDS
+            pairs = cut(self._stars(mixed, k, tried) if stars else self._rest(mixed, tried))
+            asked = pairs.count()
+            if asked:
+                tested = pairs.select("a", "b")
+                tried = tested if tried is None else tried.unionByName(tested)
+                new = cut(self.verified(self._star_cells(pairs) if stars else self._cells(pairs)))
+                links = new if links is None else links.unionByName(new)
+                labelled = cut(self.labels(links))
+            if not stars:
                 break
-            tried = pairs if tried is None else tried.unionByName(pairs)
-            new = cut(self.verified(pairs))
-            links = new if links is None else links.unionByName(new)
-            labelled = cut(self.labels(links))
-            mixed = self._mixed(shared, labelled)
+            if asked:
+                stars = new.count() * YIELD >= asked
+                mixed = self._mixed(shared, labelled)
+                release(self.docs.sparkSession)
+            else:
+                stars = False
         own = self.first.select("node", "doc_id", "rows")
-        if labelled is not None:
-            own = own.join(labelled, "node", "left")
-        else:
-            own = own.withColumn("label", F.lit(None).cast("long"))
+        own = own.join(labelled, "node", "left") if labelled is not None else own.withColumn("label", F.lit(None).cast("long"))
         own = own.filter("rows > 1 OR label IS NOT NULL").select("node", F.coalesce("label", "doc_id").alias("component"))
         dealt = self.salted.select("node", "salt").join(own, "node")
         out = self.members.join(dealt, ["node", "salt"], "left")
@@ -303,29 +307,66 @@ class _Join:
 
     def _mixed(self, shared: DataFrame, labelled: DataFrame) -> DataFrame:
         """Owners, with labels, of n-grams whose owners have several labels."""
-        rows = shared.join(self.first.select("node", "doc_id"), "node").join(labelled, "node", "left").select("token", "node", "n", F.coalesce("label", "doc_id").alias("label"))
+        rows = shared.join(self.first.select("node", "doc_id"), "node").join(labelled, "node", "left").select("token", "node", "n", "place", F.coalesce("label", "doc_id").alias("label"))
         several = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
         return cut(rows.join(several, "token", "left_semi"))
 
-    def _close(self, low: str, high: str):
-        return (F.least(low, high) * 100 >= F.greatest(low, high) * self.percent)
-
-    def _stars(self, rows: DataFrame, k: int) -> DataFrame:
-        """One pair for each owner at most: the centre it shares most of its n-grams' lists with."""
-        center = F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("h") if k else F.col("n").alias("h"), "node", "n", "label"))
-        centers = rows.groupBy("token").agg(center.alias("c")).select("token", F.col("c.node").alias("a"), F.col("c.n").alias("na"), F.col("c.label").alias("la"))
-        pairs = rows.join(centers, "token").filter("node <> a AND label <> la").filter(self._close("n", "na"))
-        counted = pairs.groupBy(F.col("node").alias("b"), "a").agg(F.count("*").alias("times"))
-        best = counted.groupBy("b").agg(F.max(F.struct("times", "a")).alias("m"))
+    def _stars(self, rows: DataFrame, k: int, tried: DataFrame | None) -> DataFrame:
+        """New pairs of each owner with the centres that it shares most prefix n-grams with.
+
+        Other rounds have other centres. Sets that are still apart from those
+        they share n-grams with are tried with twice as many in each round.
+        """
+        few = 1 << min(k, 3)
+        center = lambda seed: F.min(F.struct(F.xxhash64(F.lit(seed), "token", "node").alias("h") if seed else F.col("n").alias("h"), "node", "n", "place", "label"))
+        centers = rows.groupBy("token").agg(F.array(*[center(8 * k + i) for i in range(few)]).alias("cs")).select("token", F.explode("cs").alias("c"))
+        centers = centers.select("token", F.col("c.node").alias("a"), F.col("c.n").alias("na"), F.col("c.place").alias("pa"), F.col("c.label").alias("la"))
+        owners = rows.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("label").alias("lb"))
+        near = owners.join(centers, "token").filter("a <> b AND la <> lb")
+        near = near.filter(self._enough(F.col("na") - F.col("pa")) & self._enough(F.col("nb") - F.col("pb")))
+        counted = near.groupBy("a", "b").agg(F.count("*").alias("times"))
+        if tried is not None:
+            both = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            counted = counted.join(both, ["a", "b"], "left_anti")
+        best = counted.withColumn("r", F.row_number().over(W.partitionBy("b").orderBy(F.desc("times"), "a"))).filter(F.col("r") <= (1 << k))
         # A pair that both its sets have chosen is there once.
-        either = best.select("b", F.col("m.a").alias("a")).groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.min("a").alias("a"))
-        return either.select("a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b"))
-
-    def _rest(self, rows: DataFrame) -> DataFrame:
-        """All remaining pairs: owners of one n-gram with different labels and sizes that allow a link."""
-        x = rows.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-        y = rows.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-        return x.join(y, "token").filter("la < lb").filter(self._close("na", "nb")).select("a", "b").distinct()
+        either = best.select("a", "b")
+        return either.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.min("a").alias("c")).select(F.col("x").alias("a"), F.col("y").alias("b"), "c")
+
+    def _star_cells(self, pairs: DataFrame) -> DataFrame:
+        """A cell is a centre c with PARTNERS of its partners or so."""
+        degree = pairs.groupBy("c").agg(F.count("*").alias("degree"))
+        other = F.when(F.col("a") == F.col("c"), F.col("b")).otherwise(F.col("a"))
+        chunk = F.pmod(F.xxhash64(other), F.floor(F.col("degree") / PARTNERS) + 1)
+        return pairs.join(degree, "c").select("a", "b", F.xxhash64("c", chunk).alias("cell"))
+
+    def _rest(self, rows: DataFrame, tried: DataFrame | None) -> DataFrame:
+        """All remaining pairs: owners of one n-gram with different labels that can be similar.
+
+        A similar pair shares so many prefix n-grams that all others that they
+        share can stand behind the prefix of one of them. So of the s n-grams
+        that are left of a set's prefix, put in the order of their owners' number,
+        the first one that the pair shares has enough n-grams from it on.
+        """
+        owners = rows.groupBy("token").agg(F.count("*").alias("owners"))
+        own = W.partitionBy("node")
+        ranked = rows.join(owners, "token").select("token", "node", "n", "label", (F.count("*").over(own) - F.row_number().over(own.orderBy("owners", "token")) + 1).alias("left"))
+        x = ranked.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("left").alias("sa"))
+        y = ranked.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("left").alias("sb"))
+        behind = F.ceil(F.greatest("na", "nb") * self.percent / 100) - 1
+        possible = self._enough(F.least("na", "nb")) & self._enough(F.least("sa", "sb") + behind)
+        found = x.join(y, "token").filter(F.expr("a < b AND la <> lb") & possible).select("a", "b").distinct()
+        return found if tried is None else found.join(tried, ["a", "b"], "left_anti")
+
+    def _cells(self, pairs: DataFrame) -> DataFrame:
+        """Sets that pairs connect are dealt over chunks of CHUNK; a cell is two chunks with the pairs between them."""
+        cluster = components(pairs, "a", "b")
+        sizes = cluster.groupBy("label").agg((F.count("*") + 1).alias("size"))
+        dealt = pairs.join(cluster.select(F.col("node").alias("a"), "label"), "a", "left").withColumn("cluster", F.coalesce("label", "a")).drop("label")
+        dealt = dealt.join(sizes.withColumnRenamed("label", "cluster"), "cluster", "left")
+        chunk = lambda c: F.pmod(F.xxhash64(c), F.floor(F.coalesce("size", F.lit(2)) / CHUNK) + 1)
+        x, y = chunk("a"), chunk("b")
+        return dealt.select("a", "b", F.xxhash64("cluster", F.least(x, y), F.greatest(x, y)).alias("cell"))
 
 
 def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, fragments: int = FRAGMENTS) -> DataFrame:
