@@ -7,7 +7,7 @@ two versions are subtracted cell by cell, which leaves the digests that only
 one version has, and peeling takes them out: a cell that holds one digest
 alone, as its check tells, gives it away, and it is then taken from its other
 cells. Where peeling gets stuck, both versions are sketched again with more
-cells, dealt over groups of cells by the digest, until it ends.
+cells and other hashes, until it ends.
 
 The fingerprint is the smallest of these sketches as a string. The likeness of
 two versions is the share of their digests that both have.
@@ -24,14 +24,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from volspark.llm.common import cut
+from volspark.llm.common import cut, release
 
-#: Cells of each of the three tables of the fingerprint, and of a group of a larger sketch.
-BASE_CELLS, CELLS = 4, 6
-#: Digests that a group of a larger sketch is meant for.
-LOAD = 6
-ROUNDS = 10
-#: Larger sketches that are tried, each with twice the groups; what is left after that is compared digest by digest.
+#: Cells of each of the three tables of a fingerprint.
+BASE_CELLS = 4
+#: Cells of each table of the first larger sketch, for each digest of the two versions together.
+SHARE = 1.2
+#: Passes over the three tables before peeling counts as stuck.
+PASSES = 2
+#: Larger sketches that are tried, each with twice the cells; what is left after that is compared digest by digest.
 LEVELS = 6
 
 _LAST = (1 << 63) - 1
@@ -41,71 +42,65 @@ def digests(text: Column) -> Column:
     """Distinct hashes of the paragraphs, array<long>; shorter texts are cut into shorter parts."""
     n = F.char_length(text)
     cut_at = lambda width: F.regexp_extract_all(text, F.lit(r"([^\n]{1,%d})" % width))
-    parts = F.when(n <= 128, cut_at(8)).when(n <= 1024, cut_at(32)).otherwise(cut_at(256))
+    parts = F.when(n <= 128, cut_at(8)).when(n <= 1024, cut_at(64)).otherwise(cut_at(256))
     return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
 
 
-def _entries(keys: str, sign: int, cells: int) -> Column:
-    """For each digest and each of the three tables: (cell, sign, digest)."""
-    def one(k: Column) -> Column:
-        return F.array(*[F.struct((F.pmod(F.xxhash64(k, F.lit(j)), F.lit(cells)) + j * cells).cast("int").alias("cell"), F.lit(sign).alias("c"), k.alias("k")) for j in range(3)])
-
-    return F.flatten(F.transform(keys, one))
+def _place(k: Column, table: int, cells: Column, level: int) -> Column:
+    """The digest's cell in one of the three tables."""
+    return (F.pmod(F.xxhash64(k, F.lit(3 * level + table)), cells) + cells * table).cast("int")
 
 
 def _check(k: Column) -> Column:
     return F.xxhash64(k, F.lit("check"))
 
 
-def _peel(cells: Column, size: int) -> Column:
-    """struct(left, found): cells that peeling leaves, and the number of digests taken out."""
-    start = F.struct(F.filter(cells, _filled).alias("left"), F.lit(0).alias("found"))
+def _entries(keys: Column, of: int, sign: int, cells: Column, level: int) -> Column:
+    """For each digest and each of its cells (of, cell, c, k), and one entry of cell -1, which counts what is taken out."""
+    one = lambda k: F.array(*[F.struct(F.lit(of).alias("of"), _place(k, j, cells, level).alias("cell"), F.lit(sign).alias("c"), k.alias("k")) for j in range(3)])
+    counter = F.array(F.struct(F.lit(of).alias("of"), F.lit(-1).alias("cell"), F.lit(0).alias("c"), F.lit(0).cast("long").alias("k")))
+    return F.concat(F.flatten(F.transform(keys, one)), counter)
+
 
-    def step(state: Column, _: Column) -> Column:
-        pure = F.filter(state["left"], lambda s: (F.abs(s["c"]) == 1) & (s["x"] == _check(s["k"])))
-        out = F.array_distinct(F.transform(pure, lambda s: F.struct(s["c"].alias("c"), s["k"].alias("k"))))
+SKETCH = ("id", "h", "of", "m", "cell")
 
-        def taken(s: Column) -> Column:
-            table = F.floor(s["cell"] / size).cast("int")
-            hits = F.filter(out, lambda q: F.pmod(F.xxhash64(q["k"], table), F.lit(size)) + table * size == s["cell"])
-            zero = F.struct(s["c"].alias("c"), s["k"].alias("k"), s["x"].alias("x"))
-            left = F.aggregate(hits, zero, lambda a, q: F.struct((a["c"] - q["c"]).alias("c"), a["k"].bitwiseXOR(q["k"]).alias("k"), a["x"].bitwiseXOR(_check(q["k"])).alias("x")))
-            return F.struct(s["cell"].alias("cell"), left["c"].alias("c"), left["k"].alias("k"), left["x"].alias("x"))
 
-        moved = F.when(F.size(out) > 0, F.filter(F.transform(state["left"], taken), _filled)).otherwise(state["left"])
-        return F.struct(moved.alias("left"), (state["found"] + F.size(out)).alias("found"))
+def _sums(rows: DataFrame) -> DataFrame:
+    """Cells (c, k, x) of entries (id, h, of, m, cell, c, k)."""
+    check = F.when(F.col("cell") >= 0, _check(F.col("k"))).otherwise(F.lit(0).cast("long"))
+    return rows.groupBy(*SKETCH).agg(F.sum("c").cast("int").alias("c"), F.bit_xor("k").alias("k"), F.bit_xor(check).alias("x"))
 
-    return F.aggregate(F.array(*[F.lit(i) for i in range(ROUNDS)]), start, step)
 
+def _merged(rows: DataFrame) -> DataFrame:
+    """Cells of parts of cells, without empty ones."""
+    sums = rows.groupBy(*SKETCH).agg(F.sum("c").cast("int").alias("c"), F.bit_xor("k").alias("k"), F.bit_xor("x").alias("x"))
+    return sums.filter("cell < 0 OR c <> 0 OR k <> 0 OR x <> 0")
 
-def _filled(s: Column) -> Column:
-    return (s["c"] != 0) | (s["k"] != 0) | (s["x"] != 0)
 
+def _peel(cells: DataFrame, level: int) -> DataFrame:
+    """(id, h, of, d): the number of digests taken out; null if cells are left.
 
-def _cells(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Sums of exploded entries ``e`` by cell, gathered as an array for each of ``keys``."""
-    flat = rows.select(*keys, F.col("e.cell").alias("cell"), F.col("e.c").alias("c"), F.col("e.k").alias("k"))
-    sums = flat.groupBy(*keys, "cell").agg(F.sum("c").cast("int").alias("c"), F.bit_xor("k").alias("k"), F.bit_xor(_check(F.col("k"))).alias("x"))
-    return sums.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("cell", "c", "k", "x"))).alias("cells"))
+    One step takes out the digests that stand alone in a cell of one of the
+    tables, each of which has a digest once, from the other two tables. A step
+    is an explode and a sum by cell, both within the task of the row.
+    """
+    m, k, c = F.col("m"), F.col("k"), F.col("c")
+    zero = F.lit(0).cast("long")
+    for step in range(3 * PASSES):
+        j = step % 3
+        pure = (F.col("cell") >= m * j) & (F.col("cell") < m * (j + 1)) & (F.abs(c) == 1) & (F.col("x") == _check(k))
+        part = lambda cell, c, k, x: F.struct(cell.alias("cell"), c.alias("c"), k.alias("k"), x.alias("x"))
+        out = [part(_place(k, t, m, level), -c, k, F.col("x")) for t in range(3) if t != j]
+        parts = F.when(pure, F.array(part(F.lit(-1), F.lit(1), zero, zero), *out)).otherwise(F.array(part(F.col("cell"), c, k, F.col("x"))))
+        cells = _merged(cells.select("id", "h", "of", "m", F.explode(parts).alias("e")).select("id", "h", "of", "m", "e.*"))
+    left = F.max(F.when(F.col("cell") >= 0, 1).otherwise(0))
+    return cells.groupBy("id", "h", "of").agg(F.when(left == 0, F.sum(F.when(F.col("cell") < 0, F.col("c")))).cast("int").alias("d"))
 
 
 def _text_of(cells: Column) -> Column:
     return F.array_join(F.transform(cells, lambda s: F.concat_ws(":", s["cell"].cast("string"), s["c"].cast("string"), F.lower(F.hex(s["k"])), F.lower(F.hex(F.shiftrightunsigned(s["x"], 32))))), " ")
 
 
-def _subtract(a: Column, b: Column) -> Column:
-    """Cells of a less those of b; cells that one doesn't list are empty."""
-    def at(cells: Column, i: Column) -> Column:
-        found = F.get(F.filter(cells, lambda s: s["cell"] == i), F.lit(0))
-        return F.coalesce(found, F.struct(i.alias("cell"), F.lit(0).alias("c"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("x")))
-
-    def less(i: Column) -> Column:
-        x, y = at(a, i), at(b, i)
-        return F.struct(i.alias("cell"), (x["c"] - y["c"]).alias("c"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["x"].bitwiseXOR(y["x"]).alias("x"))
-
-    return F.transform(F.array(*[F.lit(i) for i in range(3 * BASE_CELLS)]), less)
-
-
 def following(keys: DataFrame) -> DataFrame:
     """(id, h, next_id, next_h): the following row in ascending order, the first one after the last.
 
@@ -138,63 +133,65 @@ class _Fingerprints:
     def _once(self, df: DataFrame) -> DataFrame:
         return df if self.single else df.dropDuplicates(["id", "h"])
 
-    def versions(self, of: DataFrame | None = None) -> DataFrame:
+    def versions(self) -> DataFrame:
         """(id, h, doc_id, copies, n, edited_sha256, a, ae, an): digests of the text, the edited text and the next text."""
-        chosen = self.next if of is None else self.next.join(of, ["id", "h"], "left_semi")
         quarter = F.floor(F.col("n") / 4).cast("int")
         texts = self.rows.select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), "text")
-        heads = chosen.join(texts, ["next_id", "next_h"]).select("id", "h", "n", "copies", F.left("text", quarter).alias("head"), digests(F.col("text")).alias("an"))
+        heads = self.next.join(texts, ["next_id", "next_h"]).select("id", "h", "n", "copies", F.left("text", quarter).alias("head"), digests(F.col("text")).alias("an"))
         both = self._once(self._once(heads).join(self.rows, ["id", "h"]))
         edited = F.concat(F.left("text", F.col("n") - quarter), "head")
         both = both.withColumn("edited", edited)
         return both.select("id", "h", "doc_id", "copies", F.col("n").cast("long").alias("n"), F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("ae"), "an")
 
-    def base(self) -> DataFrame:
-        """All columns, with the differences that the smallest sketches tell; null where peeling got stuck."""
-        versions = self.versions()
-        kept = ["id", "h", "doc_id", "copies", "n", "edited_sha256", "na", "ne", "nn"]
-        sized = versions.withColumns({"na": F.size("a"), "ne": F.size("ae"), "nn": F.size("an")})
-        # An entry of no cell keeps the row of a text without digests.
-        none = F.array(F.struct(F.lit(-1).alias("cell"), F.lit(0).alias("c"), F.lit(0).cast("long").alias("k")))
-        which = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.concat(_entries(c, 1, BASE_CELLS), none).alias("es")) for i, c in enumerate(("a", "ae", "an"))])).alias("v")
-        exploded = sized.select(*kept, which).select(*kept, F.col("v.i").alias("i"), F.explode("v.es").alias("e"))
-        flat = exploded.select("id", "h", "i", "e.*", *kept[2:])
-        sums = flat.groupBy("id", "h", "i", "cell").agg(F.sum("c").cast("int").alias("c"), F.bit_xor("k").alias("k"), F.bit_xor(_check(F.col("k"))).alias("x"), *[F.first(c).alias(c) for c in kept[2:]])
-        sketches = sums.groupBy("id", "h").agg(*[F.first(c).alias(c) for c in kept[2:]], *[F.array_sort(F.collect_list(F.when((F.col("cell") >= 0) & (F.col("i") == i), F.struct("cell", "c", "k", "x")))).alias(f"s{i}") for i in range(3)])
-        peeled = sketches.withColumns({f"p{i}": _peel(_subtract(F.col("s0"), F.col(f"s{i}")), BASE_CELLS) for i in (1, 2)})
-        found = lambda p: F.when(F.size(F.col(p)["left"]) == 0, F.col(p)["found"])
-        return peeled.select(*kept, _text_of(F.col("s0")).alias("fingerprint"), _text_of(F.col("s1")).alias("edited_fingerprint"), found("p1").alias("d1"), found("p2").alias("d2"))
-
-    def larger(self, failed: DataFrame, level: int) -> DataFrame:
-        """(id, h, i, d) for failed (id, h, i): differences by sketches of more cells; null where peeling got stuck again."""
-        versions = self.versions(failed.select("id", "h").distinct())
-        pair = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("a").alias("a"), F.col(c).alias("b")) for i, c in ((1, "ae"), (2, "an"))])).alias("v")
-        rows = versions.select("id", "h", pair).select("id", "h", "v.*").join(failed.select("id", "h", "i"), ["id", "h", "i"], "left_semi")
+    def base(self, versions: DataFrame) -> DataFrame:
+        """Versions with both fingerprints and the differences d1, d2 that they tell; null where peeling got stuck.
+
+        Versions are dealt by (id, h), so all sums stay in the same tasks.
+        """
+        m = F.lit(BASE_CELLS)
+        entries = F.concat(*[_entries(F.col(c), i, 1, m, 0) for i, c in enumerate(("a", "ae", "an"))])
+        sums = _sums(versions.select("id", "h", m.alias("m"), F.explode(entries).alias("e")).select("id", "h", "m", "e.*"))
+        texts = sums.groupBy("id", "h").agg(*[F.array_sort(F.collect_list(F.when((F.col("of") == i) & (F.col("cell") >= 0), F.struct("cell", "c", "k", "x")))).alias(f"s{i}") for i in range(2)])
+        # The cells of the text less those of the edited text (1) and of the next text (2).
+        sign = F.when(F.col("of") == 0, F.array(F.struct(F.lit(1).alias("of"), F.lit(1).alias("s")), F.struct(F.lit(2).alias("of"), F.lit(1).alias("s")))).otherwise(F.array(F.struct(F.col("of").alias("of"), F.lit(-1).alias("s"))))
+        less = sums.select("id", "h", "m", "cell", "c", "k", "x", F.explode(sign).alias("v")).select("id", "h", "v.of", "m", "cell", (F.col("c") * F.col("v.s")).alias("c"), "k", "x")
+        found = _peel(_merged(less), 0).groupBy("id", "h").agg(*[F.max(F.when(F.col("of") == i, F.col("d"))).alias(f"d{i}") for i in (1, 2)])
+        kept = ["id", "h", "doc_id", "copies", "n", "edited_sha256"]
+        sizes = [F.size(c).alias(n) for c, n in (("a", "na"), ("ae", "ne"), ("an", "nn"))]
+        rows = versions.select(*kept, *sizes).join(texts, ["id", "h"]).join(found, ["id", "h"])
+        return rows.select(*kept, "na", "ne", "nn", _text_of(F.col("s0")).alias("fingerprint"), _text_of(F.col("s1")).alias("edited_fingerprint"), "d1", "d2")
+
+    def larger(self, versions: DataFrame, failed: DataFrame, level: int) -> DataFrame:
+        """(id, h, of, d) for failed (id, h, of): differences by sketches of more cells; null where peeling got stuck again."""
+        which = failed.groupBy("id", "h").agg(F.collect_set("of").alias("which"))
+        pair = F.explode(F.array(*[F.struct(F.lit(i).alias("of"), F.col("a").alias("a"), F.col(c).alias("b")) for i, c in ((1, "ae"), (2, "an"))])).alias("v")
+        rows = versions.join(which, ["id", "h"]).select("id", "h", "which", pair).filter(F.array_contains("which", F.col("v.of"))).select("id", "h", "v.*")
         if level > LEVELS:
-            return rows.select("id", "h", "i", (F.size(F.array_except("a", "b")) + F.size(F.array_except("b", "a"))).alias("d"))
-        groups = F.pow(F.lit(2.0), F.ceil(F.log2((F.size("a") + F.size("b") + 1) / LOAD)) + (level - 1)).cast("int")
-        rows = rows.withColumn("groups", F.greatest(groups, F.lit(1)))
-        none = F.array(F.struct(F.lit(-1).alias("cell"), F.lit(0).alias("c"), F.lit(0).cast("long").alias("k")))
-        exploded = rows.select("id", "h", "i", "groups", F.explode(F.concat(_entries("a", 1, CELLS), _entries("b", -1, CELLS), none)).alias("e"))
-        exploded = exploded.withColumn("g", F.pmod(F.xxhash64(F.col("e.k"), F.lit("group")), F.col("groups")))
-        cells = _cells(exploded, ["id", "h", "i", "g"]).withColumn("p", _peel(F.filter("cells", lambda s: s["cell"] >= 0), CELLS))
-        ok = F.min(F.size(F.col("p.left")) == 0)
-        return cells.groupBy("id", "h", "i").agg(F.when(ok, F.sum("p.found")).cast("int").alias("d"))
+            return rows.select("id", "h", "of", (F.size(F.array_except("a", "b")) + F.size(F.array_except("b", "a"))).alias("d"))
+        m = (F.ceil((F.size("a") + F.size("b")) * SHARE * 2 ** (level - 1)) + 3).cast("int")
+        rows = rows.withColumn("m", m)
+        entries = F.concat(_entries(F.col("a"), 0, 1, F.col("m"), level), _entries(F.col("b"), 0, -1, F.col("m"), level))
+        flat = rows.select("id", "h", "of", "m", F.explode(entries).alias("e")).select("id", "h", "of", "m", "e.cell", "e.c", "e.k")
+        return _peel(_sums(flat).filter("cell < 0 OR c <> 0 OR k <> 0 OR x <> 0"), level)
 
     def run(self) -> DataFrame:
-        base = cut(self.base())
-        done, failed = None, base.select("id", "h", F.explode(F.array(F.struct(F.lit(1).alias("i"), F.col("d1").alias("d")), F.struct(F.lit(2).alias("i"), F.col("d2").alias("d")))).alias("v")).select("id", "h", "v.*").filter("d IS NULL")
+        versions = cut(self.versions()).repartition("id", "h")
+        release(versions.sparkSession)
+        base = cut(self.base(versions))
+        release(versions.sparkSession)
+        both = F.explode(F.array(*[F.struct(F.lit(i).alias("of"), F.col(f"d{i}").alias("d")) for i in (1, 2)])).alias("v")
+        done, failed = None, base.select("id", "h", both).select("id", "h", "v.*").filter("d IS NULL")
         for level in range(1, LEVELS + 2):
             if failed.isEmpty():
                 break
-            tried = cut(self.larger(failed, level))
+            tried = cut(self.larger(versions, failed, level))
             solved = tried.filter("d IS NOT NULL")
             done = solved if done is None else done.unionByName(solved)
             failed = tried.filter("d IS NULL")
         out = base
         if done is not None:
-            both = done.groupBy("id", "h").agg(F.max(F.when(F.col("i") == 1, F.col("d"))).alias("r1"), F.max(F.when(F.col("i") == 2, F.col("d"))).alias("r2"))
-            out = base.join(both, ["id", "h"], "left").withColumns({"d1": F.coalesce("d1", "r1"), "d2": F.coalesce("d2", "r2")})
+            wide = done.groupBy("id", "h").agg(*[F.max(F.when(F.col("of") == i, F.col("d"))).alias(f"r{i}") for i in (1, 2)])
+            out = base.join(wide, ["id", "h"], "left").withColumns({f"d{i}": F.coalesce(f"d{i}", f"r{i}") for i in (1, 2)})
         if not self.single:
             out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
         return out.select(
