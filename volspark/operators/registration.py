@@ -125,7 +125,11 @@ def shoot(image: np.ndarray, momentum: np.ndarray, p: LDMMParams) -> tuple[np.nd
 
 
 def shooting_register(moving: np.ndarray, fixed: np.ndarray, p: LDMMParams) -> tuple[np.ndarray, list[tuple[float, float, float]]]:
-    """(momentum, [(total, image, vector energy)]): gradient steps on the initial momentum."""
+    """(momentum, [(total, image, vector energy)]): gradient steps on the initial momentum.
+
+    A positive momentum brightens the image here, so the step follows what the
+    end image lacks, splatted back to the start.
+    """
     alpha, log, step = np.zeros(moving.shape), [], p.step
     for _ in range(p.iterations):
         end, back, forth, vec = shoot(moving, alpha, p)
@@ -133,7 +137,7 @@ def shooting_register(moving: np.ndarray, fixed: np.ndarray, p: LDMMParams) -> t
         log.append((image + vec, image, vec))
         if p.auto_reduce and len(log) > 1 and log[-1][0] > log[-2][0]:
             step /= 2
-        pulled = warp(end - fixed, forth)
+        pulled = splat(fixed - end, back)
         alpha = (1 - step) * alpha + (step / p.sigma**2) * pulled
     return alpha, log
 
@@ -156,7 +160,7 @@ def relax_register(moving: np.ndarray, fixed: np.ndarray, p: LDMMParams) -> tupl
             moved = x + vs[t]
             back = warp_field(back - x, moved) + moved
             target, det = warp(fixed, back), jacobian(back)
-            step = _k(-det * (deformed[t] - target) * grad(deformed[t]), p.operator)
+            step = _k(det * (deformed[t] - target) * grad(deformed[t]), p.operator)
             eps = p.step
             if p.adaptive:
                 top = float(np.sqrt((step**2).sum(0)).max())
