@@ -47,7 +47,7 @@ def test_registration_lowers_energy(spark, method, params):
 def test_affine_finds_shift():
     a, b = ball(5.0, 3.0), ball(6.0, 3.0)
     m, t, log = registration.affine_register(a, b)
-    assert log[-1] < 0.1 * log[0]
+    assert log[-1] < 0.2 * log[0] and t[0] < -0.5
     assert np.allclose(registration.nearest_rotation(2 * np.eye(3)), np.eye(3))
 
 

@@ -79,6 +79,10 @@ def _k(field: np.ndarray, p: OperatorParams) -> np.ndarray:
     return apply_operator(field, field.shape[:0:-1], alpha=p.alpha, beta=p.beta, gamma=p.gamma, power=p.power, inverse=True, incompressible=p.incompressible)
 
 
+def _l(field: np.ndarray, p: OperatorParams) -> np.ndarray:
+    return apply_operator(field, field.shape[:0:-1], alpha=p.alpha, beta=p.beta, gamma=p.gamma, power=p.power)
+
+
 def greedy_step(moving: np.ndarray, fixed: np.ndarray, h: np.ndarray, delta: float | None, p: GreedyParams) -> tuple[np.ndarray, float, float]:
     """(h, delta, energy): b = -(I0(h) - I1) grad I0(h), v = K b, h(x + delta v).
 
@@ -166,7 +170,7 @@ def relax_register(moving: np.ndarray, fixed: np.ndarray, p: LDMMParams) -> tupl
                 top = float(np.sqrt((step**2).sum(0)).max())
                 eps = min(p.step, p.max_pert * p.sigma**2 / (2 * top)) if top > 0 else p.step
             new.append((1 - 2 * eps) * vs[t] + (2 * eps / p.sigma**2) * step)
-            vec += float((vs[t] ** 2).sum()) / p.time_steps
+            vec += float((_l(vs[t], p.operator) * vs[t]).sum()) / p.time_steps
         vs = new[::-1]
         log.append((image + vec, image, vec))
     return vs, log

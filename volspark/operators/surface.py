@@ -145,10 +145,10 @@ def nearest_distance(points: DataFrame, reference: DataFrame, keys: Sequence[str
         return points.join(F.broadcast(all_)).select(*keys, F.sqrt(near).alias("dist"))
     left, done = cut(points.select(*keys, *XYZ)), None
     while True:
-        at = {a: F.floor(F.col(a) / cell) for a in XYZ}
+        at = {a: F.floor(F.col(a) / F.lit(cell)) for a in XYZ}  # noqa: B023
         ref = reference.select(*[at[a].alias(f"_{a}") for a in XYZ], F.struct(*XYZ).alias("_q"))
         step = F.sequence(F.lit(-1), F.lit(1))
-        near = left.select(*keys, *XYZ, *[F.explode(F.transform(step, lambda d, a=a: at[a] + d)).alias(f"_{a}") if a == "x" else at[a].alias(f"_b{a}") for a in XYZ])
+        near = left.select(*keys, *XYZ, F.explode(F.transform(step, lambda d: at["x"] + d)).alias("_x"), at["y"].alias("_by"), at["z"].alias("_bz"))
         near = near.withColumn("_y", F.explode(F.transform(step, lambda d: F.col("_by") + d))).withColumn("_z", F.explode(F.transform(step, lambda d: F.col("_bz") + d)))
         found = near.join(ref, ["_x", "_y", "_z"]).groupBy(*keys).agg(F.min(F.sqrt(square(F.struct(*XYZ), F.col("_q")))).alias("dist")).filter(F.col("dist") <= cell)
         found = cut(found)
