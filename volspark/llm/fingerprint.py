@@ -125,8 +125,9 @@ class _Fingerprints:
     def __init__(self, docs: DataFrame) -> None:
         text = F.coalesce(F.col("text").cast("string"), F.lit(""))
         doc_id = F.col("doc_id").cast("long")
-        self.rows = docs.select(F.coalesce(doc_id, F.lit(_LAST)).alias("id"), F.xxhash64(text).alias("h"), doc_id.alias("doc_id"), text.alias("text"))
-        keys = self.rows.groupBy("id", "h").agg(F.count("*").alias("copies"), F.first(F.char_length("text")).alias("n"))
+        rows = docs.select(F.coalesce(doc_id, F.lit(_LAST)).alias("id"), F.xxhash64(text).alias("h"), doc_id.alias("doc_id"), text.alias("text"))
+        keys = rows.groupBy("id", "h").agg(F.count("*").alias("copies"), F.first(F.char_length("text")).alias("n"), F.max("doc_id").alias("doc_id"))
+        self.rows = rows.select("id", "h", "text")
         self.next = cut(following(keys))
         self.single = (self.next.agg(F.max("copies")).first()[0] or 1) == 1
 
@@ -134,10 +135,13 @@ class _Fingerprints:
         return df if self.single else df.dropDuplicates(["id", "h"])
 
     def versions(self) -> DataFrame:
-        """(id, h, doc_id, copies, n, edited_sha256, a, ae, an): digests of the text, the edited text and the next text."""
+        """(id, h, doc_id, copies, n, edited_sha256, a, ae, an): digests of the text, the edited text and the next text.
+
+        Both joins read the texts with the same columns by the same keys, so one shuffle of the texts serves both.
+        """
         quarter = F.floor(F.col("n") / 4).cast("int")
         texts = self.rows.select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), "text")
-        heads = self.next.join(texts, ["next_id", "next_h"]).select("id", "h", "n", "copies", F.left("text", quarter).alias("head"), digests(F.col("text")).alias("an"))
+        heads = self.next.join(texts, ["next_id", "next_h"]).select("id", "h", "doc_id", "n", "copies", F.left("text", quarter).alias("head"), digests(F.col("text")).alias("an"))
         both = self._once(self._once(heads).join(self.rows, ["id", "h"]))
         edited = F.concat(F.left("text", F.col("n") - quarter), "head")
         both = both.withColumn("edited", edited)
