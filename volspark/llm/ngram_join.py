@@ -280,6 +280,7 @@ class _Join:
         shared = self.shared()
         labelled, links, tried, mixed = None, None, None, shared.withColumn("label", F.col("node"))
         stars = True
+        release(self.docs.sparkSession)
         for k in range(ROUNDS + 1):
             stars = stars and k < ROUNDS
             pairs = cut(self._stars(mixed, k, tried) if stars else self._rest(mixed, tried))
@@ -288,6 +289,7 @@ class _Join:
                 tested = pairs.select("a", "b")
                 tried = tested if tried is None else tried.unionByName(tested)
                 new = cut(self.verified(self._star_cells(pairs) if stars else self._cells(pairs)))
+                release(self.docs.sparkSession)
                 links = new if links is None else links.unionByName(new)
                 labelled = cut(self.labels(links))
             if not stars:
@@ -343,19 +345,23 @@ class _Join:
     def _rest(self, rows: DataFrame, tried: DataFrame | None) -> DataFrame:
         """All remaining pairs: owners of one n-gram with different labels that can be similar.
 
-        A similar pair shares so many prefix n-grams that all others that they
-        share can stand behind the prefix of one of them. So of the s n-grams
-        that are left of a set's prefix, put in the order of their owners' number,
-        the first one that the pair shares has enough n-grams from it on.
+        N-grams with the same owners are taken together, as a pair shares all or
+        none of them. A similar pair shares so many prefix n-grams that all others
+        that they share can stand behind the prefix of one of them. So of the s
+        n-grams that are left of a set's prefix, put in the order of their owners'
+        number, the first ones that the pair shares have enough n-grams from them on.
         """
-        owners = rows.groupBy("token").agg(F.count("*").alias("owners"))
-        own = W.partitionBy("node")
-        ranked = rows.join(owners, "token").select("token", "node", "n", "label", (F.count("*").over(own) - F.row_number().over(own.orderBy("owners", "token")) + 1).alias("left"))
-        x = ranked.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("left").alias("sa"))
-        y = ranked.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("left").alias("sb"))
+        ids = [F.xxhash64(F.lit(i), "node") for i in range(2)]
+        owners = rows.groupBy("token").agg(F.count("*").alias("owners"), *[F.bit_xor(h).alias(f"h{i}") for i, h in enumerate(ids)])
+        owners = owners.select("token", "owners", F.xxhash64("owners", "h0", "h1").alias("owned"))
+        alike = rows.join(owners, "token").groupBy("owned", "node").agg(F.count("*").alias("w"), F.first("owners").alias("owners"), F.first("n").alias("n"), F.first("label").alias("label"))
+        onward = W.partitionBy("node").orderBy("owners", "owned").rowsBetween(W.currentRow, W.unboundedFollowing)
+        ranked = alike.withColumn("left", F.sum("w").over(onward))
+        x = ranked.select("owned", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("left").alias("sa"))
+        y = ranked.select("owned", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("left").alias("sb"))
         behind = F.ceil(F.greatest("na", "nb") * self.percent / 100) - 1
         possible = self._enough(F.least("na", "nb")) & self._enough(F.least("sa", "sb") + behind)
-        found = x.join(y, "token").filter(F.expr("a < b AND la <> lb") & possible).select("a", "b").distinct()
+        found = x.join(y, "owned").filter(F.expr("a < b AND la <> lb") & possible).select("a", "b").distinct()
         return found if tried is None else found.join(tried, ["a", "b"], "left_anti")
 
     def _cells(self, pairs: DataFrame) -> DataFrame:
