@@ -8,7 +8,7 @@ the candidate sets of each n-gram.
 
 Candidate pairs are verified by overlaps: the order is cut into fragments, each
 pair's common n-grams are counted in each fragment on its own, and the counts
-are summed per pair. All links aren't needed for components, so the pairs come
+are summed per pair where its cell, a bounded number of sets, is held. All links aren't needed for components, so the pairs come
 in rounds: first each document with the most frequent of its n-grams' centres
 (a star, never all pairs of a group), and after the components of these links
 are known, only pairs between different components that share a prefix n-gram
@@ -49,8 +49,10 @@ FRAGMENTS = 4
 FRAGMENT_BYTES = 24 << 20
 #: Times that an n-gram is in about 8 MB of texts before it counts as frequent there, and frequent n-grams that are ordered (it changes costs, not results).
 SEEN, FREQUENT = 3, 200_000
+#: Stands for a fragment in the rows of a cell's pairs, which come before its sets.
+PAIRS = -1
 #: Partners of a centre in one cell.
-PARTNERS = 512
+PARTNERS = 128
 #: Sets of a chunk when all remaining pairs are verified.
 CHUNK = 64
 #: Rounds of stars at most before the remaining pairs are verified; they end once fewer pairs than one in YIELD are links.
@@ -184,7 +186,7 @@ def _shared(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(x) for x in columns], schema=_SHARED)
 
 
-_SEGMENT = pa.schema([("cell", pa.int64()), ("fragment", pa.int64()), ("role", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("segment", pa.binary())])
+_SEGMENT = pa.schema([("cell", pa.int64()), ("fragment", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("segment", pa.binary())])
 
 
 def _segments(batches: Iterator[pa.RecordBatch], words: int, fragments: int) -> Iterator[pa.RecordBatch]:
@@ -196,7 +198,7 @@ def _segments(batches: Iterator[pa.RecordBatch], words: int, fragments: int) ->
         for s, node, cells in zip(sets, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             if set_key(s) == node:
                 parts = [p.tobytes() for p in np.split(s, np.searchsorted(s, bounds))]
-                rows += [(c, f, 0, node, len(s), p) for c in cells for f, p in enumerate(parts) if p]
+                rows += [(c, f, node, len(s), p) for c in cells for f, p in enumerate(parts) if p]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _SEGMENT.types, strict=True)], schema=_SEGMENT)
 
@@ -205,23 +207,48 @@ _OVERLAP = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()),
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Common n-grams of each pair of a cell in a fragment; rows come sorted, the sets of a cell before its pairs."""
-    group, sets = None, {}
-    for batch in batches:
-        rows = []
-        for cell, fragment, role, a, b, raw in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-            if group != (cell, fragment):
-                group, sets = (cell, fragment), {}
-            if role == 0:
-                sets[a] = (b, np.frombuffer(raw, np.uint64))
-            elif a in sets and b in sets:
-                (na, x), (nb, y) = sets[a], sets[b]
-                at = np.searchsorted(x, y)
-                at[at == len(x)] = 0
-                rows.append((a, b, na, nb, int((x[at] == y).sum())))
+    """Common n-grams of each pair of a cell, counted fragment by fragment and summed.
+
+    Rows come sorted: the pairs of a cell, then its sets' parts of one fragment
+    after the other, so no more than one fragment of a cell is held.
+    """
+    at, pairs, sizes, parts, sums = None, {}, {}, {}, {}
+
+    def count() -> None:
+        for a, b in pairs:
+            if a in parts and b in parts:
+                x, y = parts[a], parts[b]
+                found = np.searchsorted(x, y)
+                found[found == len(x)] = 0
+                sums[a, b] = sums.get((a, b), 0) + int((x[found] == y).sum())
+        parts.clear()
+
+    def summed() -> list[tuple[int, ...]]:
+        rows = [(a, b, sizes[a], sizes[b], n) for (a, b), n in sums.items()]
+        for x in (pairs, sizes, sums):
+            x.clear()
+        return rows
+
+    def batch_of(rows: list[tuple[int, ...]]) -> Iterator[pa.RecordBatch]:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _OVERLAP.types, strict=True)], schema=_OVERLAP)
 
+    for batch in batches:
+        rows = []
+        for cell, fragment, a, b, raw in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            if at != (cell, fragment):
+                count()
+                if at and at[0] != cell:
+                    rows += summed()
+                at = (cell, fragment)
+            if fragment == PAIRS:
+                pairs[a, b] = None
+            else:
+                sizes[a], parts[a] = b, np.frombuffer(raw, np.uint64)
+        yield from batch_of(rows)
+    count()
+    yield from batch_of(summed())
+
 
 class _Join:
     def __init__(self, docs: DataFrame, words: int, percent: int, fragments: int) -> None:
@@ -252,18 +279,15 @@ class _Join:
         return cut(sent.groupBy("fragment").applyInArrow(_shared, "token long, node long, n long, place long"))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """Links among pairs (a, b, cell). Every set goes once to each cell that it has pairs in."""
+        """Links among pairs (a, b, cell), each in one cell. Every set goes once to each cell that it has pairs in."""
         members = pairs.select(F.col("a").alias("node"), "cell").unionByName(pairs.select(F.col("b").alias("node"), "cell"))
         cells = members.distinct().groupBy("node").agg(F.collect_list("cell").alias("cells"))
         cells = cut(cells.join(self.first.select("node", "doc_id"), "node").select("doc_id", "node", "cells"))
         rows = self.docs.join(by_size(cells), "doc_id").select("doc_id", "text", "node", "cells")
-        schema = "cell long, fragment long, role long, a long, b long, segment binary"
-        sets = rows.mapInArrow(partial(_segments, words=self.words, fragments=self.fragments), schema)
-        each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(self.fragments - 1).cast("long")))
-        asked = pairs.select("cell", each.alias("fragment"), F.lit(1).cast("long").alias("role"), "a", "b", F.lit(None).cast("binary").alias("segment"))
-        key = ("cell", "fragment")
-        counted = sets.unionByName(asked).repartition(*key).sortWithinPartitions(*key, "role").mapInArrow(_overlaps, "a long, b long, na long, nb long, common long")
-        summed = counted.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
+        sets = rows.mapInArrow(partial(_segments, words=self.words, fragments=self.fragments), "cell long, fragment long, a long, b long, segment binary")
+        asked = pairs.select("cell", F.lit(PAIRS).cast("long").alias("fragment"), "a", "b", F.lit(None).cast("binary").alias("segment"))
+        dealt = sets.unionByName(asked).repartition("cell").sortWithinPartitions("cell", "fragment")
+        summed = dealt.mapInArrow(_overlaps, "a long, b long, na long, nb long, common long")
         return summed.filter(self._enough(F.col("common"))).select("a", "b")
 
     def _enough(self, common: Column) -> Column:
