@@ -188,10 +188,6 @@ class _Fingerprints:
         for level in range(1, LEVELS + 2):
             if failed.isEmpty():
                 break
-            if level > 1:
-                # Few versions are left after a larger sketch; the next ones read these only.
-                versions = cut(versions.join(failed.select("id", "h").distinct(), ["id", "h"], "left_semi")).repartition("id", "h")
-            release(base.sparkSession)
             tried = cut(self.larger(versions, failed, level))
             solved = tried.filter("d IS NOT NULL")
             done = solved if done is None else done.unionByName(solved)
