@@ -262,6 +262,15 @@ def test_toxicity_held_out_english(labelled):
     assert got[got.toxic == 1].predicted.mean() > 0.8 and got[got.toxic == 0].predicted.mean() < 0.03
 
 
+def test_toxicity_held_out_by_language(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    got = toxicity.toxicity(docs, labels).drop("spans").join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").toPandas()
+    recall = got[got.toxic == 1].groupby("lang").predicted.mean()
+    assert set(recall.index) == {"de", "en", "es", "fr"} and recall.min() > 0.75
+    assert got[got.toxic == 0].groupby("lang").predicted.mean().max() < 0.03
+
+
 def test_classifiers_on_awkward_and_empty_tables(spark, awkward):
     docs = frame(spark, [*awkward, (None, "text without id", "s0")])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

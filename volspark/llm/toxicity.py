@@ -1,9 +1,12 @@
 """Toxic spans and document scores by a linear-chain conditional random field.
 
 Labels are of documents, so tokens are labelled first: features of tokens (the
-word and its beginnings) that stand in labelled documents far more often than
-in the others make up a lexicon, and a token of a labelled document with such a
-feature is a labelled token; all tokens of other documents are labelled as
+word and its beginnings, in letters) that stand in labelled documents far more
+often than in the others make up a lexicon. So do features that stand REPEATS
+times or more in one document far more often if it is labelled: word parts that
+are common everywhere and mark a document only by repetition. These are features
+of a token only in documents that repeat them. A token of a labelled document
+with a feature of the lexicon is a labelled token; all tokens of other documents are labelled as
 clean. The field has two states, a weight for each feature of the lexicon, a
 bias and transitions, fitted by Adam to the regularised log-likelihood of
 segments of tokens. Forward and backward messages give each token's marginal.
@@ -46,8 +49,12 @@ WIDTH = 24
 #: A feature must be in LEAST labelled documents, RATIO times as often there as in others, and in so many
 #: that labels dealt at random would all fall on them with a probability below CHANCE.
 LEAST, RATIO, CHANCE = 3, 15.0, 1e-5
-#: Bytes of the beginnings that are features beside the word.
-BEGINNINGS = (4, 5, 6)
+#: Letters of the beginnings that are features beside the word.
+BEGINNINGS = (4, 5, 6, 7)
+#: Tokens of a document that must have a feature for it to count as repeated there.
+REPEATS = 3
+#: Marks a feature of the lexicon that holds only where it is repeated.
+REPEATED = b"*"
 STEPS, RATE, PENALTY = 200, 0.1, 1e-3
 THRESHOLD = 0.7
 
@@ -60,20 +67,29 @@ def tokens(text: bytes) -> list[bytes]:
 
 
 def features(word: bytes) -> list[bytes]:
-    return [b"=" + word, *[b"%d" % k + word[:k] for k in BEGINNINGS if len(word) > k]]
+    if word.isascii():
+        return [b"=" + word, *[b"%d" % k + word[:k] for k in BEGINNINGS if len(word) > k]]
+    letters = word.decode("utf-8", "replace")
+    return [b"=" + word, *[b"%d" % k + letters[:k].encode() for k in BEGINNINGS if len(letters) > k]]
 
 
-_COUNT = pa.schema([("feature", pa.binary()), ("toxic", pa.int64()), ("clean", pa.int64())])
+_COUNT = pa.schema([("feature", pa.binary()), ("toxic", pa.int64()), ("clean", pa.int64()), ("toxic_repeated", pa.int64()), ("clean_repeated", pa.int64())])
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Labelled and other documents that each feature is in."""
+    """Labelled and other documents that each feature is in, and those that repeat it."""
     for batch in slices(batches, "text"):
         found: tuple[Counter, Counter] = Counter(), Counter()
+        repeated: tuple[Counter, Counter] = Counter(), Counter()
         for text, y in zip(byte_texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-            found[y].update({f for w in set(tokens(text)) for f in features(w)})
+            times: Counter = Counter()
+            for w, n in Counter(tokens(text)).items():
+                for f in features(w):
+                    times[f] += n
+            found[y].update(times.keys())
+            repeated[y].update([f for f, n in times.items() if n >= REPEATS])
         # A feature only in clean documents can't get into the lexicon by this batch, but its counts are needed.
-        rows = [(f, found[1][f], found[0][f]) for f in found[1].keys() | found[0].keys()]
+        rows = [(f, found[1][f], found[0][f], repeated[1][f], repeated[0][f]) for f in found[1].keys() | found[0].keys()]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _COUNT.types, strict=True)], schema=_COUNT) if rows else pa.RecordBatch.from_pylist([], schema=_COUNT)
 
 
@@ -86,24 +102,33 @@ class Field:
         self.bias = 0.0
         self.transitions = np.zeros((2, 2))
         self.ready = False
-        self._cache: dict[bytes, float | None] = {}
+        self._cache: dict[bytes, tuple[list[int], list[int]]] = {}
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_cache": {}, "_powers": None}
 
     def known(self, word: bytes) -> list[int]:
-        return [i for f in features(word) if (i := self.index.get(f)) is not None]
+        """Features of the lexicon that the token has wherever it stands."""
+        return self._lookup(word)[0]
 
-    def emission(self, word: bytes) -> float | None:
-        """Log-odds of state 1 by the token alone; None without a feature of the lexicon."""
+    def _lookup(self, word: bytes) -> tuple[list[int], list[int]]:
+        """Features that the token always has, and those it has where they are repeated."""
         try:
             return self._cache[word]
         except KeyError:
             if len(self._cache) > 500_000:
                 self._cache.clear()
-            found = self.known(word)
-            e = self._cache[word] = float(self.bias + self.weights[found].sum()) if found else None
-            return e
+            all_features = features(word)
+            always = [i for f in all_features if (i := self.index.get(f)) is not None]
+            found = self._cache[word] = always, [i for f in all_features if (i := self.index.get(REPEATED + f)) is not None]
+            return found
+
+    def found(self, words: list[bytes]) -> list[tuple[int, list[int]]]:
+        """(token, features) of the tokens of a document that have a feature of the lexicon."""
+        some = [(t, always, repeated) for t, (always, repeated) in enumerate(map(self._lookup, words)) if always or repeated]
+        times = Counter(i for _, _, repeated in some for i in repeated)
+        held = [(t, always + [i for i in repeated if times[i] >= REPEATS]) for t, always, repeated in some]
+        return [(t, fs) for t, fs in held if fs]
 
     def _transfer(self) -> tuple[list, tuple]:
         """Powers, scaled, of the matrix that passes a token without features; the last one is their limit."""
@@ -161,7 +186,7 @@ class Field:
     def tag(self, text: bytes) -> tuple[float, list[tuple[int, float]]]:
         """(score, [(token, marginal)]) of the tokens with a feature."""
         words = tokens(text)
-        found = [(i, e) for i, e in enumerate(map(self.emission, words)) if e is not None]
+        found = [(i, float(self.bias + self.weights[fs].sum())) for i, fs in self.found(words)]
         if not found or not self.ready:
             return 0.0, []
         p = self.marginals([i for i, _ in found], [e for _, e in found], len(words))
@@ -239,8 +264,9 @@ def _segments(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.Re
         rows = []
         for text, y in zip(byte_texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
             words, plain = tokens(text), False
+            known = dict(field.found(words))
             for at in range(0, len(words), WIDTH):
-                found = [field.known(w) for w in words[at : at + WIDTH]]
+                found = [known.get(t, []) for t in range(at, min(at + WIDTH, len(words)))]
                 some = any(found)
                 if some or not plain:
                     rows.append({"features": found, "states": [int(bool(y and f)) for f in found]})
@@ -263,7 +289,11 @@ def learn(docs: DataFrame, labels: DataFrame, label: str) -> Field:
     size = dict(rows.groupBy("y").count().collect())
     if not size.get(0) or not size.get(1):
         return Field([])
-    found = rows.mapInArrow(_counts, "feature binary, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = ["toxic", "clean", "toxic_repeated", "clean_repeated"]
+    found = rows.mapInArrow(_counts, "feature binary, " + ", ".join(f"{c} long" for c in counted)).groupBy("feature").agg(*[F.sum(c).alias(c) for c in counted])
+    once = F.struct("feature", "toxic", "clean")
+    repeated = F.struct(F.concat(F.lit(REPEATED), "feature").alias("feature"), F.col("toxic_repeated").alias("toxic"), F.col("clean_repeated").alias("clean"))
+    found = found.select(F.inline(F.array(once, repeated)))
     ratio = (F.col("toxic") + 0.0) / size[1] / ((F.col("clean") + 0.5) / size[0])
     least = max(LEAST, math.ceil(math.log(CHANCE) / math.log(size[1] / (size[0] + size[1]))))
     lexicon = found.filter((F.col("toxic") >= least) & (ratio >= RATIO)).orderBy(F.desc("toxic"), "clean", "feature").limit(LEXICON)
