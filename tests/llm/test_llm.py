@@ -271,6 +271,20 @@ def test_toxicity_held_out_by_language(spark):
     assert got[got.toxic == 0].groupby("lang").predicted.mean().max() < 0.03
 
 
+def test_toxicity_learns_from_the_whole_table(spark, monkeypatch):
+    """Toxic words that stand late in a table with more segments than the fit takes, and a long document before them."""
+    monkeypatch.setattr(toxicity, "SEGMENTS", 60)
+    rng = random.Random(5)
+    text = lambda bad: " ".join([*(f"w{rng.randrange(300)}" for _ in range(60)), bad, "end"])
+    rows = [(0, " ".join(f"w{rng.randrange(300)} rudeword" for _ in range(4000)))]
+    rows += [(i, text(("rudeword" if i < 200 else "vilephrase") if i % 2 else "plain")) for i in range(1, 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).sortWithinPartitions("doc_id")
+    labels = spark.createDataFrame([(i, int(i % 2 == 1 or i == 0)) for i, _ in rows], "doc_id long, toxic int")
+    field = toxicity.learn(docs, labels, "toxic")
+    assert all(field.weights[i] > 0 for i in field.index.values())
+    assert field.tag(text("vilephrase").encode())[0] > 0.7 and field.tag(text("rudeword").encode())[0] > 0.7
+
+
 def test_classifiers_on_awkward_and_empty_tables(spark, awkward):
     docs = frame(spark, [*awkward, (None, "text without id", "s0")])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -19,7 +19,10 @@ chain, and whole texts cost little more than cutting them into words.
 
 Bounds: at most TRAIN_ROWS labelled documents, chosen by a hash of doc_id, are
 counted; the lexicon has LEXICON features at most; SEGMENTS segments at most
-are collected for the fit.
+are collected for the fit. Which ones is decided by hashes, not by place in the
+table: a document gives DOCUMENT_SEGMENTS with a feature and those that its
+other features need, every feature of the lexicon gets its share of half of
+SEGMENTS, and the rest is a sample of all segments.
 
 Defined cases: null and empty texts have score 0 and no span; without labels of
 both values every score is 0; several labels of a doc_id count as toxic if one
@@ -30,6 +33,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
@@ -37,13 +41,16 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from volspark.llm.common import byte_texts, fold, slices
+from volspark.llm.common import byte_texts, cut, fold, slices
 
 TRAIN_ROWS = 20_000
 LEXICON = 5_000
 SEGMENTS = 20_000
+#: Segments with a feature that a document gives, beside those for features that are in none of these.
+DOCUMENT_SEGMENTS = 32
 #: Tokens of a segment.
 WIDTH = 24
 #: A feature must be in LEAST labelled documents, RATIO times as often there as in others, and in so many
@@ -255,25 +262,42 @@ def chain_marginals(e: np.ndarray, transitions: np.ndarray, mask: np.ndarray) ->
     return p, pairs
 
 
-_SEGMENT = pa.schema([("features", pa.list_(pa.list_(pa.int64()))), ("states", pa.list_(pa.int64()))])
+_SEGMENT = pa.schema([("doc_id", pa.int64()), ("segment", pa.int64()), ("features", pa.list_(pa.list_(pa.int64()))), ("states", pa.list_(pa.int64()))])
 
 
 def _segments(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.RecordBatch]:
-    """Segments with a known feature, and one other segment of each document."""
+    """Segments with a known feature, within the document's share, and one other segment of each document."""
     for batch in slices(batches, "text"):
         rows = []
-        for text, y in zip(byte_texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-            words, plain = tokens(text), False
+        for doc_id, text, y in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            words = tokens(text)
             known = dict(field.found(words))
-            for at in range(0, len(words), WIDTH):
-                found = [known.get(t, []) for t in range(at, min(at + WIDTH, len(words)))]
-                some = any(found)
-                if some or not plain:
-                    rows.append({"features": found, "states": [int(bool(y and f)) for f in found]})
-                plain |= not some
+            some = sorted({t // WIDTH for t in known}, key=lambda k: zlib.crc32(b"%d %d" % (doc_id, k)))
+            plain = next((k for k in range(-(-len(words) // WIDTH)) if k not in set(some)), None) if len(some) * WIDTH < len(words) else None
+            seen: set[int] = set()
+            for n, k in enumerate([*some, *([] if plain is None else [plain])]):
+                found = [known.get(t, []) for t in range(k * WIDTH, min((k + 1) * WIDTH, len(words)))]
+                new = {f for fs in found for f in fs} - seen
+                if n < DOCUMENT_SEGMENTS or new or k == plain:
+                    seen |= new
+                    rows.append({"doc_id": doc_id, "segment": k, "features": found, "states": [int(bool(y and f)) for f in found]})
         yield pa.RecordBatch.from_pylist(rows, schema=_SEGMENT)
 
 
+def _chosen(segments: DataFrame, features: int) -> DataFrame:
+    """SEGMENTS at most: first each feature's share by hash, then others by hash."""
+    segments = cut(segments.withColumn("h", F.xxhash64("doc_id", "segment", "features")))
+    if segments.count() <= SEGMENTS:
+        return segments
+    share = max(1, SEGMENTS // 2 // features)
+    by_feature = segments.select("h", F.explode(F.array_distinct(F.flatten("features"))).alias("f"))
+    first = by_feature.withColumn("n", F.row_number().over(W.partitionBy("f").orderBy("h"))).filter(F.col("n") <= share)
+    # At most SEGMENTS / 2 hashes, or one for each feature of the lexicon.
+    first = first.select("h").distinct().withColumn("first", F.lit(True))
+    chosen = segments.select("h").distinct().join(F.broadcast(first), "h", "left").orderBy(F.col("first").isNull(), "h").limit(SEGMENTS)
+    return segments.join(F.broadcast(chosen.select("h")), "h", "left_semi").dropDuplicates(["h"])
+
+
 def learn(docs: DataFrame, labels: DataFrame, label: str) -> Field:
     """Learn from the rows of docs (doc_id, text) that labels has a value for."""
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.when(F.col(label) > 0, 1).otherwise(0)).alias("y"))
@@ -285,12 +309,12 @@ def learn(docs: DataFrame, labels: DataFrame, label: str) -> Field:
     share = F.when(F.col("y") == 1, min(1.0, TRAIN_ROWS / 2 / counts[1])).otherwise(min(1.0, TRAIN_ROWS / 2 / counts[0]))
     chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(space)) < share * space)
     # Its size is bounded by TRAIN_ROWS.
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("text", "y")
+    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
     size = dict(rows.groupBy("y").count().collect())
     if not size.get(0) or not size.get(1):
         return Field([])
     counted = ["toxic", "clean", "toxic_repeated", "clean_repeated"]
-    found = rows.mapInArrow(_counts, "feature binary, " + ", ".join(f"{c} long" for c in counted)).groupBy("feature").agg(*[F.sum(c).alias(c) for c in counted])
+    found = rows.select("text", "y").mapInArrow(_counts, "feature binary, " + ", ".join(f"{c} long" for c in counted)).groupBy("feature").agg(*[F.sum(c).alias(c) for c in counted])
     once = F.struct("feature", "toxic", "clean")
     repeated = F.struct(F.concat(F.lit(REPEATED), "feature").alias("feature"), F.col("toxic_repeated").alias("toxic"), F.col("clean_repeated").alias("clean"))
     found = found.select(F.inline(F.array(once, repeated)))
@@ -300,8 +324,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str) -> Field:
     field = Field([bytes(r["feature"]) for r in lexicon.collect()])
     if not field.index:
         return field
-    segments = rows.mapInArrow(partial(_segments, field=field), "features array<array<long>>, states array<long>").limit(SEGMENTS)
-    field.fit([(r["features"], r["states"]) for r in segments.collect()])
+    segments = rows.mapInArrow(partial(_segments, field=field), "doc_id long, segment long, features array<array<long>>, states array<long>")
+    field.fit([(r["features"], r["states"]) for r in _chosen(segments, len(field.index)).collect()])
     return field
 
 
