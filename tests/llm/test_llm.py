@@ -181,6 +181,19 @@ def test_bin_completion_is_optimal_when_small(seed):
     assert sum(n for _, n in plan) == brute_bins(items, 50)
 
 
+def test_bin_completion_backtracks_over_many_pieces():
+    rng, counts = random.Random(6), {}
+    for _ in range(8):
+        a = rng.randrange(50, 100)
+        b = rng.randrange(50, min(100, 160 - a))
+        for s in (a, b, 200 - a - b):
+            counts[s] = counts.get(s, 0) + 60
+    plan = packing.solve(counts, 200)
+    placed = [s for f, n in plan for s in f * n]
+    assert {s: placed.count(s) for s in counts} == counts and all(sum(f) <= 200 for f, _ in plan)
+    assert sum(n for _, n in plan) == 480
+
+
 def test_special_strings_are_encoded_alike():
     paths = registry.tokenizer()
     both = packing.encoder(*paths.values()), packing.encoder(paths["json_path"], None, None)

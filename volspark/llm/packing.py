@@ -6,8 +6,9 @@ tokens. Packing needs only how many pieces each length has, a table of at most
 another around the largest remaining length: it enumerates undominated
 fillings, fullest first, prunes those whose waste can't beat the incumbent, and
 applies the chosen filling as often as the counts allow, so the work doesn't
-grow with the rows. Small instances backtrack over the fillings; the best-fit
-decreasing solution is the incumbent and the waste bound prunes. Each piece
+grow with the rows. If that doesn't meet the waste bound, it backtracks over
+(filling, times) at every size; the best solution so far is the incumbent and
+the waste bound prunes. Each piece
 then finds its place by its rank among the pieces of its length.
 
 Defined cases: null text counts as empty and gives one piece of the end token;
@@ -19,6 +20,8 @@ from __future__ import annotations
 
 import base64
 import binascii
+import logging
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -145,68 +148,140 @@ def _bins(plan: list) -> int:
 
 
 def waste_bound(counts: Counter, capacity: int) -> int:
-    """Bins needed at least: by total, and by pieces that can't share a bin."""
-    total = sum(s * c for s, c in counts.items())
-    return max(-(-total // capacity), sum(c for s, c in counts.items() if 2 * s > capacity))
+    """Bins needed at least: for each k, pieces over capacity - k are alone, and those from k up share what others over half leave."""
+    sizes = np.array(sorted(counts), dtype=np.int64)
+    if not len(sizes):
+        return 0
+    numbers = np.array([counts[int(s)] for s in sizes], dtype=np.int64)
+    n, total = np.concatenate(([0], np.cumsum(numbers))), np.concatenate(([0], np.cumsum(numbers * sizes)))
+    half = int(np.searchsorted(sizes, capacity // 2, side="right"))
+    k = np.concatenate(([0], sizes[:half]))
+    low, high = np.searchsorted(sizes, k), np.searchsorted(sizes, capacity - k, side="right")
+    room = (n[high] - n[half]) * capacity - (total[high] - total[half])
+    need = np.maximum(0, -(-(total[half] - total[low] - room) // capacity))
+    return int((n[-1] - n[half] + need).max())
 
 
 def solve(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
     """Fillings and how often each is used, so that every piece is placed once.
 
-    Optimal if it meets the waste bound or if backtracking ends within ``nodes``;
-    otherwise the best of the solutions seen.
+    Optimal if it meets the waste bound or if backtracking ends within ``nodes``
+    and FILLINGS; otherwise the best of the solutions seen, with a warning that
+    names its bins and the bound.
     """
     counts = Counter({int(s): int(c) for s, c in counts.items() if c > 0})
     bound = waste_bound(counts, capacity)
     first_fit = lambda c, room: next(iter(fillings(c, room)))[1]
     full = lambda c, room: min(fillings(c, room), key=lambda x: x[0])[1]
     best = min((_descend(counts, capacity, f) for f in (full, first_fit)), key=_bins)
-    if _bins(best) > bound and sum(counts.values()) <= 400:
-        best = _backtrack(counts, capacity, best, bound, nodes)
+    if _bins(best) > bound:
+        best, whole = _backtrack(counts, capacity, best, bound, nodes)
+        if not whole:
+            logging.getLogger(__name__).warning("packing: %d bins, at least %d are needed; the search was stopped", _bins(best), bound)
     return best
 
 
-def _completions(counts: Counter, room: int, most: int) -> list[tuple[int, ...]]:
-    """All maximal fillings of the room, least waste first, without those that swapping in one larger piece dominates."""
+def _completions(counts: Counter, room: int, waste: int) -> tuple[list[tuple[int, ...]], bool]:
+    """Maximal fillings of the room with at most that waste, least waste first, without those that swapping in one larger piece dominates; False if FILLINGS cut the list."""
     sizes = sorted((s for s, c in counts.items() if c > 0 and s <= room), reverse=True)
+    negative = [-s for s in sizes]
+    rest = [0]
+    for s in reversed(sizes):
+        rest.append(rest[-1] + s * counts[s])
+    rest.reverse()
+
+    def dominated(taken: tuple[int, ...], left: int) -> bool:
+        used = Counter(taken)
+        spare = lambda s: used[s] < counts[s]
+        if next((s <= left for s in reversed(sizes) if spare(s)), False):
+            return True
+        for t in used:
+            larger = next((s for s in sizes[bisect_left(negative, -t) - 1 :: -1] if spare(s)), None) if t != sizes[0] else None
+            if larger is not None and larger <= t + left:
+                return True
+        return False
+
     found: list[tuple[int, tuple[int, ...]]] = []
     stack: list[tuple[int, int, tuple[int, ...]]] = [(0, room, ())]
-    while stack and len(found) < most:
+    looked = 0
+    while stack and looked < FILLINGS:
         at, left, taken = stack.pop()
-        k = at
-        while k < len(sizes) and (sizes[k] > left or taken.count(sizes[k]) >= counts[sizes[k]]):
+        looked += 1
+        k = max(at, bisect_left(negative, -left))
+        while k < len(sizes) and taken.count(sizes[k]) >= counts[sizes[k]]:
             k += 1
         if k == len(sizes):
-            spare = [s for s in sizes if taken.count(s) < counts[s]]
-            if not any(t < s <= t + left for t in taken for s in spare) and not any(s <= left for s in spare):
+            if left <= waste and not dominated(taken, left):
                 found.append((left, taken))
             continue
-        stack.append((k + 1, left, taken))
+        if left - rest[k + 1] <= waste:
+            stack.append((k + 1, left, taken))
         stack.append((k, left - sizes[k], (*taken, sizes[k])))
-    return [t for _, t in sorted(found)]
-
-
-def _backtrack(counts: Counter, capacity: int, best: list, bound: int, nodes: int) -> list:
-    """Depth-first over the completions of the largest piece's bin, pruned by the waste allowed."""
-    state = {"best": best, "nodes": 0}
-
-    def go(counts: Counter, done: list) -> None:
-        if state["nodes"] > nodes or _bins(state["best"]) <= bound:
-            return
-        if not counts:
-            if len(done) < _bins(state["best"]):
-                state["best"] = [(b, 1) for b in done]
-            return
-        if len(done) + waste_bound(counts, capacity) >= _bins(state["best"]):
-            return
-        state["nodes"] += 1
-        big = max(counts)
-        rest = counts - Counter([big])
-        for filling in _completions(rest, capacity - big, 200) or [()]:
-            go(rest - Counter(filling), [*done, (big, *filling)])
+    return [t for _, t in sorted(found, key=lambda x: x[0])], not stack
+
+
+def _backtrack(counts: Counter, capacity: int, best: list, bound: int, nodes: int) -> tuple[list, bool]:
+    """Search for the bound, then by halves for numbers of bins between it and the best; False if a search was cut."""
+    low, target, whole = bound, bound, True
+    while low < _bins(best):
+        found, ended = _search(counts, capacity, target, nodes if target == bound else nodes // 4)
+        if found:
+            best = found
+        else:
+            low, whole = target + 1, whole and ended
+        target = (low + _bins(best) - 1) // 2
+    return best, whole or _bins(best) == bound
 
-    go(counts, [])
-    return state["best"]
+
+def _search(counts: Counter, capacity: int, most: int, nodes: int) -> tuple[list | None, bool]:
+    """Depth-first over (filling, times) for the largest length left, for a solution of ``most`` bins; False if it was cut.
+
+    The waste that so many bins allow prunes. Every filling is tried as often as
+    it goes and then every smaller number of times, so the steps reach all
+    solutions; their number depends on the lengths, not on the pieces.
+    """
+    whole, looked, tried = True, 0, 0
+    total = sum(s * c for s, c in counts.items())
+
+    def steps(counts: Counter, bins: int) -> Iterator[tuple[tuple[int, ...], int]]:
+        nonlocal whole
+        big = max(counts)
+        used = bins * capacity - (total - sum(s * c for s, c in counts.items()))
+        found, ended = _completions(counts - Counter([big]), capacity - big, most * capacity - total - used)
+        whole &= ended
+        fits = [((big, *f), min(counts[s] // c for s, c in Counter((big, *f)).items())) for f in found]
+        yield from fits
+        for filling, n in fits:
+            for times in range(n - 1, 0, -1):
+                yield filling, times
+
+    stack: list[tuple[Counter, int, Iterator]] = [(counts, 0, steps(counts, 0))]
+    done: list[tuple[tuple[int, ...], int]] = []
+    while stack:
+        if looked > nodes or tried > 10 * nodes:
+            return None, False
+        counts, bins, options = stack[-1]
+        step = next(options, None)
+        if step is None:
+            stack.pop()
+            if done:
+                done.pop()
+            continue
+        tried += 1
+        filling, times = step
+        left = Counter(counts)
+        for s, c in Counter(filling).items():
+            left[s] -= c * times
+            if not left[s]:
+                del left[s]
+        if bins + times + waste_bound(left, capacity) > most:
+            continue
+        if not left:
+            return [*done, step], True
+        looked += 1
+        done.append(step)
+        stack.append((left, bins + times, steps(left, bins + times)))
+    return None, whole
 
 
 def places(plan: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int, int]]:
