@@ -263,6 +263,15 @@ def test_quality_held_out_accuracy(labelled):
     assert (got.predicted == got.quality).mean() > 0.95
 
 
+def test_quality_statistics_cover_all_words():
+    at = lambda text: dict(zip(quality.NAMES, quality.statistics(text.encode()), strict=True))
+    for n in (500, 5000):
+        assert at("cell cell| " * n)["word_ends"] == at("cell| cell " * n)["word_ends"] == 0.5
+    passage = "a b c d e f g h i "
+    assert at(passage + "j k l m n o p q r s")["block_repeats"] == 0
+    assert at(passage * 2)["block_repeats"] == 6 / 15 and at(passage + "x " + passage)["block_repeats"] == 6 / 16
+
+
 def test_language_held_out_accuracy(labelled):
     docs, _ = labelled
     got = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").toPandas()

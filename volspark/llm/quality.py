@@ -58,13 +58,14 @@ def statistics(text: bytes) -> list[float]:
     words, lines = text.split(), [x for x in text.split(b"\n") if x]
     w, k = max(1, len(words)), max(1, len(lines))
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    ended = sum(x[-1] in _ODD for x in words[:: max(1, w // 1000)]) / len(words[:: max(1, w // 1000)]) if words else 0.0
-    blocks = [b" ".join(words[i : i + 4]) for i in range(0, len(words) - 3, 2)]
+    ended = sum(x[-1] in _ODD for x in words) / w
+    # A tuple for each start holds references to the words only.
+    blocks = max(0, len(words) - 3)
     return [
         float(np.log1p(n)), float(np.log1p(len(words))), float(np.log1p(lengths.mean() if len(words) else 0)),
         share(_UPPER), share(_DIGIT), share(_ODD), share(_STOP), float(np.log1p(1000 * k / n)), 1 - len(set(lines)) / k,
         1 - len(set(words)) / w, float((lengths > 15).sum() / w), float((lengths < 3).sum() / w), text.count(b"!") / n, text.count(b"|") / n,
-        share(_SPACE), share(bytes(range(128, 256))), ended, 1 - len(set(blocks)) / max(1, len(blocks)),
+        share(_SPACE), share(bytes(range(128, 256))), ended, (blocks - len(set(zip(words, words[1:], words[2:], words[3:], strict=False)))) / max(1, blocks),
         sum(map(eq, words, words[1:])) / w,
     ]
 
