@@ -18,32 +18,59 @@ from volspark.llm.common import by_size, cut, documents, ensure_checkpoint_dir,
 from volspark.llm.registry import tokenizer
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """Documents with the key of the row as doc_id, and their own id as _doc_id.
+
+    The key is the doc_id where only one row has it. Rows with a null or repeated
+    doc_id get a hash of all columns above 2 ** 62, so they come after the others
+    and only rows that are the same in all columns share a key.
+    """
+    own = F.xxhash64(*docs.columns).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    repeated = cut(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    docs = docs.withColumn("_own", F.col("doc_id").isNull())
+    if not repeated.isEmpty():
+        again = by_size(repeated.withColumn("_again", F.lit(True)))
+        docs = docs.join(again, "doc_id", "left").withColumn("_own", F.col("_own") | F.col("_again").isNotNull()).drop("_again")
+    return docs.withColumn("_key", F.when(F.col("_own"), own).otherwise(F.col("doc_id"))).withColumnRenamed("doc_id", "_doc_id").withColumnRenamed("_key", "doc_id").drop("_own")
+
+
+def unkeyed(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, with their own ids."""
+    return rows.select(*[F.col("_doc_id").alias("doc_id") if c == "doc_id" else F.col(c) for c in docs.columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator doesn't predict to be toxic."""
-    scored = toxicity.toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return without_ids(docs, cut(scored.filter("predicted = 1").select("doc_id").distinct()))
+    rows = keyed(docs)
+    scored = toxicity.toxicity(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), label_id="_doc_id")
+    return unkeyed(without_ids(rows, cut(scored.filter("predicted = 1").select("doc_id").distinct())), docs)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one that stays; of rows that repeat doc_id and text, one."""
-    decided = exact_dedup.exact_dedup(docs).groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("rows"))
+    """Of equal texts the one that stays; of rows that are the same in all columns, one."""
+    rows = keyed(docs)
+    decided = exact_dedup.exact_dedup(rows).groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("rows"))
     decided = cut(decided.filter("NOT kept OR rows > 1"))
-    kept = without_ids(docs, decided.filter("NOT kept").select("doc_id"))
-    return kept.dropDuplicates(["doc_id", "text"]) if not decided.filter("rows > 1").isEmpty() else kept
+    kept = without_ids(rows, decided.filter("NOT kept").select("doc_id"))
+    return unkeyed(kept.dropDuplicates(["doc_id"]) if not decided.filter("rows > 1").isEmpty() else kept, docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component of the n-gram join."""
-    joined = ngram_join.ngram_join(docs)
-    return without_ids(docs, cut(joined.filter("component_id <> doc_id").select("doc_id").distinct()))
+    """The document with the smallest key of each component of the n-gram join."""
+    rows = keyed(docs)
+    joined = ngram_join.ngram_join(rows)
+    return unkeyed(without_ids(rows, cut(joined.filter("component_id <> doc_id").select("doc_id").distinct())), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
-    mixed = mixing.mix(docs).filter("taken > 0")
-    times = cut(mixed.groupBy("doc_id").agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("_mix_times")))
-    taken = docs.join(by_size(times), "doc_id").withColumn("_mix_time", F.explode(F.sequence(F.lit(1), "_mix_times")))
-    return taken.select(*docs.columns)
+    """Every row as often as the mix takes it; rows that are the same in all columns share what it takes."""
+    rows = keyed(docs)
+    times = mixing.mix(rows).groupBy("doc_id").agg(F.sum(F.when(F.col("taken") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0)).alias("_mix_times"), F.count("*").alias("_rows"))
+    times = cut(times.filter("_mix_times > 0"))
+    if not times.filter("_rows > 1").isEmpty():
+        rows = rows.dropDuplicates(["doc_id"])
+    taken = rows.join(by_size(times), "doc_id").withColumn("_mix_time", F.explode(F.sequence(F.lit(1).cast("long"), "_mix_times")))
+    return unkeyed(taken, docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,3 +28,30 @@ def test_stages(spark, tmp_path):
     assert (pieces.groupby("sequence_id").length.cumsum() - pieces.length == pieces.offset).all()
     assert pieces[pieces.start == 0].shape[0] == len(frames[4])
     assert pipeline.run(spark, SF).count() == len(pieces)
+
+
+def test_rows_with_null_and_repeated_ids(spark, tmp_path):
+    """Every stage decides by row: null ids, and ids that stand for several texts."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(i, text(k), "en", "s", 100) for k, i in enumerate([None, None, None, 7, 7, 8])]
+    rows += [(None, text(9), "en", "s", 100), (None, text(9), "en", "s", 100), (7, text(0) + " tail", "en", "s", 100)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    frame = spark.createDataFrame(rows, schema)
+    exact = pipeline.drop_copies(spark, frame, SF)
+    assert exact.columns == frame.columns and sorted(r.text for r in exact.collect()) == sorted({t for _, t, *_ in rows})
+    near = sorted(r.text for r in pipeline.drop_near_copies(spark, exact, SF).collect())
+    assert len(near) == 7 and sum(t.startswith(text(0)) for t in near) == 1
+    mixed = pipeline.mix_sources(spark, frame, SF)
+    assert mixed.filter("doc_id IS NULL").count() > 0
+    taken = {r.text: r["count"] for r in mixed.groupBy("text").count().collect()}
+    assert abs(sum(len(words(t)) * n for t, n in taken.items()) - 1.5 * sum(len(words(t)) for _, t, *_ in rows)) <= 31
+
+
+def test_toxic_rows_go_by_row(spark, tmp_path):
+    bad = lambda i: f"a{i} rudeword b{i} c{i}"
+    rows = [(i, bad(i) if i % 2 else f"a{i} b{i} c{i}", "en", "s", 20) for i in range(120)]
+    rows += [(None, bad(500), "en", "s", 20), (None, "clean text here", "en", "s", 20), (0, bad(501), "en", "s", 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(i, i % 2) for i in range(1, 120)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {(r.doc_id, r.text) for r in pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()}
+    assert kept == {(i, t) for i, t, *_ in rows if "rudeword" not in t}

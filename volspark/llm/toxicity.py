@@ -361,11 +361,11 @@ def _scores(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(found, _OUT.types[2])], schema=_OUT)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held: int = 1, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, held_out, score, predicted, spans) for each row of docs; held-out rows are not learned from."""
+def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held: int = 1, threshold: float = THRESHOLD, label_id: str = "doc_id") -> DataFrame:
+    """(doc_id, held_out, score, predicted, spans) for each row of docs; held-out rows are not learned from. ``label_id`` names the column that labels go by."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     held_out = fold(F.col("doc_id"), folds) == held
     train = labels.select(F.col("doc_id").cast("long"), label).filter(~held_out)
-    field = learn(rows, train, label)
+    field = learn(docs.select(F.col(label_id).cast("long").alias("doc_id"), F.col("text").cast("string")), train, label)
     scored = rows.mapInArrow(partial(_scores, field=field), "doc_id long, score double, spans array<struct<start:long,end:long,p:double>>")
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "spans")
