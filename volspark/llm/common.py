@@ -6,6 +6,7 @@ import gc
 import hashlib
 import re
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 WHITE = b"\x09\x0a\x0b\x0c\x0d\x20"
 #: Word bytes hashed at once; a single word of this length or more is hashed on its own.
 CHUNK = 1 << 18
-#: Ids a broadcast filter may hold (8 bytes each); beyond it the filter is a shuffle join.
-BROADCAST_IDS = 1_000_000
+#: Bytes of values that a broadcast table may hold, counted before; beyond it the join is by shuffle.
+BROADCAST_BYTES = 16_000_000
 
 _M64 = (1 << 64) - 1
 _BASE = 0xD6E8FEB86659FD93
@@ -134,11 +135,11 @@ def byte_texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that each part has about ``most`` bytes of text at most."""
+def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 8 << 20, rows: int = 1 << 15) -> Iterator[pa.RecordBatch]:
+    """Cut record batches so that each part has about ``most`` bytes of text and ``rows`` rows at most."""
     for batch in batches:
         n, size = batch.num_rows, batch.column(batch.schema.get_field_index(column)).nbytes
-        step = n if size <= most else max(1, n * most // size)
+        step = min(rows, n if size <= most else max(1, n * most // size))
         for at in range(0, n, max(1, step)):
             yield batch.slice(at, step)
 
@@ -148,19 +149,35 @@ def fold(doc_id: Column, k: int) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % F.lit(k), F.lit(-1))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names; a temporary one only where none is set."""
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where Spark runs in one process and none is set."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="volspark-checkpoint-"))
+    jsc = sc._jsc.sc()
+    if not jsc.getCheckpointDir().isDefined():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="volspark-checkpoint-"))
+    return jsc.getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint a narrow table in the shared folder, so that later reads don't repeat its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write a table to the shared folder and read it back, so that later reads don't repeat its lineage."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete the files of tables that cut() has written and nothing reads any more."""
+    for table in tables:
+        if (path := getattr(table, "_written_at", None)) is not None:
+            spark = table.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -170,17 +187,21 @@ def release(spark: SparkSession) -> None:
 
 
 def without_ids(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of df whose doc_id isn't in ids (distinct, cheap to count); a null doc_id stays.
-
-    The ids are broadcast only if they are counted to be BROADCAST_IDS at most.
-    """
+    """Rows of df whose doc_id isn't in ids (distinct, cheap to count); a null doc_id stays."""
     return df.join(by_size(ids), "doc_id", "left_anti")
 
 
-def by_size(table: DataFrame) -> DataFrame:
-    """The narrow table, to be broadcast if it is counted to have BROADCAST_IDS rows at most."""
-    small = table.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return F.broadcast(table) if small else table
+def by_size(table: DataFrame, width: int | None = None) -> DataFrame:
+    """The table, to be broadcast if it is counted to have BROADCAST_BYTES at most.
+
+    A row counts 8 bytes for each column, or ``width`` bytes where a column has
+    a length of its own, which the caller knows.
+    """
+    wide = [f.name for f in table.schema.fields if f.dataType.typeName() in ("string", "binary", "array", "map", "struct")]
+    if wide and width is None:
+        raise ValueError(f"the width of {wide} must be given")
+    most = BROADCAST_BYTES // (width or 8 * len(table.columns))
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from volspark.llm.common import cut
+from volspark.llm.common import cut, drop
 
 
 #: Links (16 bytes each) that one task may hold; the links are counted before.
@@ -61,10 +61,10 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     if edges.limit(FEW_LINKS + 1).count() <= FEW_LINKS:
         return edges.coalesce(1).mapInArrow(_union_find, "node long, label long")
     known = None
-    for _ in range(64):
-        edges = cut(_small_star(_large_star(edges)))
+    while True:
+        before, edges = edges, cut(_small_star(_large_star(edges)))
+        drop(before)
         now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v"))).first())
         if now == known:
-            break
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
         known = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
