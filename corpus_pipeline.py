@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from volspark.llm import exact_dedup, mixing, ngram_join, packing, toxicity
-from volspark.llm.common import by_size, cut, documents, ensure_checkpoint_dir, without_ids
+from volspark.llm.common import by_size, cut, documents, shared_folder, without_ids
 from volspark.llm.registry import tokenizer
 
 
@@ -92,8 +92,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages; what a stage keeps is written to the shared folder and read by the next."""
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs, last = documents(spark, sf_dir), None
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(path := f"{folder}/{k}")
