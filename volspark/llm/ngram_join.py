@@ -17,8 +17,8 @@ components of these links are known, only groups whose owners are in several
 components are left, and pairs between different components. In the last round
 they are all compared, in blocks of a bounded number of owners, and those that
 can be similar are counted. A pair can't be if the n-grams behind the shared one
-are too few in either order, or if the parities of n-grams in 512 cells differ
-more often than the sets may differ. No link between different components is lost.
+are too few in either order, or if the parities of n-grams in cells (512, then
+more for larger sets) differ more often than the sets may differ. No link between different components is lost.
 
 N-grams are 64-bit hashes. Owners meet by fewer bits of them, which can only add
 candidates; a pair is a link only if its overlap counts enough equal hashes.
@@ -54,7 +54,7 @@ FRAGMENTS = 4
 TASK_BYTES, LOW_BITS = 24 << 20, 40
 #: Times that an n-gram is in about 8 MB of texts before it counts as frequent there, and frequent n-grams that are ordered (it changes costs, not results).
 SEEN, FREQUENT = 3, 200_000
-#: Cells of the parities of a set.
+#: Cells of the parities of a set that go with its groups. Larger sets also have as many as a power of two over twice their n-grams.
 PARITIES = 512
 #: Partners of a set in one cell.
 PARTNERS = 128
@@ -81,13 +81,20 @@ def set_key(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def parities(s: np.ndarray) -> np.ndarray:
-    """For each of PARITIES cells, whether an odd number of the set's n-grams falls into it."""
-    odd = np.bincount((s % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def parities(s: np.ndarray, cells: int) -> np.ndarray:
+    """For each of the cells, a power of two, whether an odd number of the set's n-grams falls into it."""
+    odd = np.bincount((s % np.uint64(cells)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8))
 
 
-_DIGEST = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("parity", pa.list_(pa.int64())), ("seen", pa.binary()), ("times", pa.binary())])
+def folded(odd: np.ndarray, cells: int) -> np.ndarray:
+    """The parities in fewer cells."""
+    while len(odd) * 8 > cells:
+        odd = odd[: len(odd) // 2] ^ odd[len(odd) // 2 :]
+    return odd
+
+
+_DIGEST = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("parity", pa.list_(pa.int64())), ("wide", pa.binary()), ("seen", pa.binary()), ("times", pa.binary())])
 
 
 def _digests(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -97,9 +104,12 @@ def _digests(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Recor
         keys = [set_key(s) for s in sets]
         v, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *dict(zip(keys, sets, strict=True)).values()]), return_counts=True)
         often, rows = n >= SEEN, len(sets)
-        parity = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * (PARITIES // 64)), pa.array(np.concatenate([np.zeros(0, np.int64), *map(parities, sets)])))
+        wide = [parities(s, max(PARITIES, 1 << (2 * len(s) - 1).bit_length())) if len(s) else np.zeros(PARITIES // 8, np.uint8) for s in sets]
+        small = np.concatenate([np.zeros(0, np.uint8), *[folded(x, PARITIES) for x in wide]]).view(np.int64)
+        parity = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * (PARITIES // 64)), pa.array(small))
+        wide = pa.array([x.tobytes() if len(x) > PARITIES // 8 else None for x in wide], pa.binary())
         none = pa.nulls(rows, pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64(), size=rows), pa.array(keys, pa.binary()), parity, none, none], schema=_DIGEST)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64(), size=rows), pa.array(keys, pa.binary()), parity, wide, none, none], schema=_DIGEST)
         yield pa.RecordBatch.from_pylist([{"seen": v[often].tobytes(), "times": n[often].astype(np.int32).tobytes()}], schema=_DIGEST)
 
 
@@ -207,6 +217,23 @@ def _shared(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(x) for x in columns], schema=_SHARED)
 
 
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64())])
+
+
+def _alike(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sets can be similar by their parities in many cells."""
+    for batch in batches:
+        keep = []
+        for na, nb, x, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
+            if x is None or y is None:
+                keep.append(True)
+                continue
+            cells = 8 * min(len(x), len(y))
+            differ = np.bitwise_count(folded(np.frombuffer(x, np.uint8), cells) ^ folded(np.frombuffer(y, np.uint8), cells)).sum()
+            keep.append(int(differ) * (100 + percent) <= (na + nb) * (100 - percent))
+        yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in range(4)], schema=_PAIR)
+
+
 _SEGMENT = pa.schema([("node", pa.int64()), ("fragment", pa.int32()), ("segment", pa.binary())])
 
 
@@ -267,7 +294,7 @@ class _Join:
     def __init__(self, docs: DataFrame, words: int, percent: int, fragments: int) -> None:
         self.docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
         self.words, self.percent, self.fragments = words, percent, fragments
-        found = self.docs.mapInArrow(partial(_digests, words=words), "doc_id long, n long, key binary, parity array<long>, seen binary, times binary")
+        found = self.docs.mapInArrow(partial(_digests, words=words), "doc_id long, n long, key binary, parity array<long>, wide binary, seen binary, times binary")
         self.digests = cut(found)
         self.members = self.digests.filter("key IS NOT NULL").select("doc_id", "n", "key", "parity", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
         self.salted = self.members.filter("n > 0").groupBy("key", "salt").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.count("*").alias("rows"))
@@ -315,12 +342,19 @@ class _Join:
         return (F.col("x.label") != F.col("y.label")) & self._enough(behind, na, nb) & (differ * (100 + self.percent) <= (na + nb) * (100 - self.percent))
 
     def _pairs(self, joined: DataFrame, tried: DataFrame | None) -> DataFrame:
-        """Distinct pairs (a, b, na, nb) of joined rows x and y, without those tried."""
+        """Distinct pairs (a, b, na, nb) of joined rows x and y that can be similar, without those tried."""
         least = lambda c: F.when(F.col("x.node") < F.col("y.node"), F.col(f"x.{c}")).otherwise(F.col(f"y.{c}"))
         most = lambda c: F.when(F.col("x.node") < F.col("y.node"), F.col(f"y.{c}")).otherwise(F.col(f"x.{c}"))
         found = joined.select(least("node").alias("a"), most("node").alias("b"), least("n").alias("na"), most("n").alias("nb"))
-        found = found.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"))
-        return found if tried is None else found.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        found = found.groupBy("a", "b").agg(F.first("na").cast("long").alias("na"), F.first("nb").cast("long").alias("nb"))
+        found = cut(found if tried is None else found.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+        nodes = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
+        ids = self.classes.select("doc_id", "key", "node").join(nodes, "node", "left_semi")
+        wide = self.digests.filter("wide IS NOT NULL").select("doc_id", "key", "wide").join(by_size(ids, 32), ["doc_id", "key"]).select("node", "wide").dropDuplicates(["node"])
+        rows = found.join(wide.withColumnsRenamed({"node": "a", "wide": "x"}), "a", "left").join(wide.withColumnsRenamed({"node": "b", "wide": "y"}), "b", "left")
+        out = cut(rows.select("a", "b", "na", "nb", "x", "y").mapInArrow(partial(_alike, percent=self.percent), "a long, b long, na long, nb long"))
+        drop(found)
+        return out
 
     def _stars(self, rows: DataFrame, few: int, tried: DataFrame | None) -> DataFrame:
         """Pairs of the owners of each group with its centres, which are those with the least hashes."""
@@ -392,7 +426,7 @@ class _Join:
         labelled, links, tried = None, None, None
         for few in (*STARS, None):
             mixed = cut(self._mixed(groups, labelled))
-            pairs = cut(self._rest(mixed, tried) if few is None else self._stars(mixed, few, tried))
+            pairs = self._rest(mixed, tried) if few is None else self._stars(mixed, few, tried)
             drop(mixed)
             if not pairs.isEmpty():
                 tried = pairs if tried is None else tried.unionByName(pairs)
