@@ -15,7 +15,9 @@ two versions is the share of their digests that both have.
 Defined cases: null text counts as empty; two texts without a digest have
 likeness 1; a single document is its own next one; rows that repeat a doc_id
 stand in the order of a hash of the text, and rows that repeat the text as well
-get the same results; a null doc_id comes last; an empty table gives no rows.
+get the same results; a null doc_id comes last; an empty table gives no rows;
+columns other than doc_id and text are not read. A very long text has as many
+digests as its paragraphs and parts.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from volspark.llm.common import cut, release
+from volspark.llm.common import cut, drop, release
 
 #: Cells of each of the three tables of a fingerprint.
 BASE_CELLS = 4
@@ -32,10 +34,8 @@ BASE_CELLS = 4
 SHARE = 1.2
 #: Passes over the three tables before peeling counts as stuck.
 PASSES = 2
-#: Larger sketches that are tried, each with twice the cells; what is left after that is compared digest by digest.
-LEVELS = 6
-
-_LAST = (1 << 63) - 1
+#: Columns that tell a version apart: whether doc_id is null (those come last), doc_id and a hash of the text.
+KEY = ("none", "id", "h")
 
 
 def digests(text: Column) -> Column:
@@ -56,19 +56,20 @@ def _check(k: Column) -> Column:
 
 
 def _entries(keys: Column, of: int, sign: int, cells: Column, level: int) -> Column:
-    """For each digest and each of its cells (of, cell, c, k), and one entry of cell -1, which counts what is taken out."""
+    """(of, cell, c, k) for each digest and each of its cells, and an entry of cell -1, so that no sketch is without rows."""
     one = lambda k: F.array(*[F.struct(F.lit(of).alias("of"), _place(k, j, cells, level).alias("cell"), F.lit(sign).alias("c"), k.alias("k")) for j in range(3)])
-    counter = F.array(F.struct(F.lit(of).alias("of"), F.lit(-1).alias("cell"), F.lit(0).alias("c"), F.lit(0).cast("long").alias("k")))
-    return F.concat(F.flatten(F.transform(keys, one)), counter)
+    start = F.array(F.struct(F.lit(of).alias("of"), F.lit(-1).alias("cell"), F.lit(0).alias("c"), F.lit(0).cast("long").alias("k")))
+    return F.concat(F.flatten(F.transform(keys, one)), start)
 
 
-SKETCH = ("id", "h", "of", "m", "cell")
+#: ``t`` is a digest that was taken out, in cell -1, or 0.
+SKETCH = (*KEY, "of", "m", "cell", "t")
 
 
 def _sums(rows: DataFrame) -> DataFrame:
-    """Cells (c, k, x) of entries (id, h, of, m, cell, c, k)."""
+    """Cells (c, k, x) of entries (none, id, h, of, m, cell, c, k)."""
     check = F.when(F.col("cell") >= 0, _check(F.col("k"))).otherwise(F.lit(0).cast("long"))
-    return rows.groupBy(*SKETCH).agg(F.sum("c").cast("int").alias("c"), F.bit_xor("k").alias("k"), F.bit_xor(check).alias("x"))
+    return rows.withColumn("t", F.lit(0).cast("long")).groupBy(*SKETCH).agg(F.sum("c").cast("int").alias("c"), F.bit_xor("k").alias("k"), F.bit_xor(check).alias("x"))
 
 
 def _merged(rows: DataFrame) -> DataFrame:
@@ -78,7 +79,7 @@ def _merged(rows: DataFrame) -> DataFrame:
 
 
 def _peel(cells: DataFrame, level: int) -> DataFrame:
-    """(id, h, of, d): the number of digests taken out; null if cells are left.
+    """(none, id, h, of, here, there): the digests that only the first or only the second version has; null if cells are left.
 
     One step takes out the digests that stand alone in a cell of one of the
     tables, each of which has a digest once, from the other two tables. A step
@@ -89,12 +90,13 @@ def _peel(cells: DataFrame, level: int) -> DataFrame:
     for step in range(3 * PASSES):
         j = step % 3
         pure = (F.col("cell") >= m * j) & (F.col("cell") < m * (j + 1)) & (F.abs(c) == 1) & (F.col("x") == _check(k))
-        part = lambda cell, c, k, x: F.struct(cell.alias("cell"), c.alias("c"), k.alias("k"), x.alias("x"))
-        out = [part(_place(k, t, m, level), -c, k, F.col("x")) for t in range(3) if t != j]
-        parts = F.when(pure, F.array(part(F.lit(-1), F.lit(1), zero, zero), *out)).otherwise(F.array(part(F.col("cell"), c, k, F.col("x"))))
-        cells = _merged(cells.select("id", "h", "of", "m", F.explode(parts).alias("e")).select("id", "h", "of", "m", "e.*"))
+        part = lambda cell, t, c, k, x: F.struct(cell.alias("cell"), t.alias("t"), c.alias("c"), k.alias("k"), x.alias("x"))
+        out = [part(_place(k, t, m, level), zero, -c, k, F.col("x")) for t in range(3) if t != j]
+        parts = F.when(pure, F.array(part(F.lit(-1), k, c, zero, zero), *out)).otherwise(F.array(part(F.col("cell"), F.col("t"), c, k, F.col("x"))))
+        cells = _merged(cells.select(*KEY, "of", "m", F.explode(parts).alias("e")).select(*KEY, "of", "m", "e.*"))
     left = F.max(F.when(F.col("cell") >= 0, 1).otherwise(0))
-    return cells.groupBy("id", "h", "of").agg(F.when(left == 0, F.sum(F.when(F.col("cell") < 0, F.col("c")))).cast("int").alias("d"))
+    taken = lambda sign: F.when(left == 0, F.collect_list(F.when((F.col("cell") < 0) & (c == sign), F.col("t"))))
+    return cells.groupBy(*KEY, "of").agg(taken(1).alias("here"), taken(-1).alias("there"))
 
 
 def _text_of(cells: Column) -> Column:
@@ -102,18 +104,18 @@ def _text_of(cells: Column) -> Column:
 
 
 def following(keys: DataFrame) -> DataFrame:
-    """(id, h, next_id, next_h): the following row in ascending order, the first one after the last.
+    """Adds (next_none, next_id, next_h): the following row in ascending order, the first one after the last.
 
     The rows are range partitioned; each partition orders its own, and its last
     row gets the first of the next partition from a table of one row a partition.
     """
-    dealt = cut(keys.repartitionByRange("id", "h").withColumn("part", F.spark_partition_id()))
-    first = dealt.groupBy("part").agg(F.min(F.struct("id", "h")).alias("first"))
+    dealt = cut(keys.repartitionByRange(*KEY).withColumn("part", F.spark_partition_id()))
+    first = dealt.groupBy("part").agg(F.min(F.struct(*KEY)).alias("first"))
     start = F.min("first").over(W.partitionBy(F.lit(1)))
     first = first.select("part", F.coalesce(F.lead("first").over(W.orderBy("part")), start).alias("after"))
-    own = F.lead(F.struct("id", "h")).over(W.partitionBy("part").orderBy("id", "h"))
+    own = F.lead(F.struct(*KEY)).over(W.partitionBy("part").orderBy(*KEY))
     rows = dealt.withColumn("own", own).join(first, "part").withColumn("next", F.coalesce("own", "after"))
-    return rows.select(*keys.columns, F.col("next.id").alias("next_id"), F.col("next.h").alias("next_h"))
+    return rows.select(*keys.columns, *[F.col(f"next.{c}").alias(f"next_{c}") for c in KEY])
 
 
 def _likeness(a: Column, b: Column, differ: Column) -> Column:
@@ -125,85 +127,91 @@ class _Fingerprints:
     def __init__(self, docs: DataFrame) -> None:
         text = F.coalesce(F.col("text").cast("string"), F.lit(""))
         doc_id = F.col("doc_id").cast("long")
-        rows = docs.select(F.coalesce(doc_id, F.lit(_LAST)).alias("id"), F.xxhash64(text).alias("h"), doc_id.alias("doc_id"), text.alias("text"))
-        keys = rows.groupBy("id", "h").agg(F.count("*").alias("copies"), F.first(F.char_length("text")).alias("n"), F.max("doc_id").alias("doc_id"))
-        self.rows = rows.select("id", "h", "text")
+        rows = docs.select(doc_id.isNull().alias("none"), F.coalesce(doc_id, F.lit(0).cast("long")).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+        keys = rows.groupBy(*KEY).agg(F.count("*").alias("copies"), F.first(F.char_length("text")).alias("n"))
+        self.rows = rows
         self.next = cut(following(keys))
         self.single = (self.next.agg(F.max("copies")).first()[0] or 1) == 1
 
     def _once(self, df: DataFrame) -> DataFrame:
-        return df if self.single else df.dropDuplicates(["id", "h"])
+        return df if self.single else df.dropDuplicates(list(KEY))
 
     def versions(self) -> DataFrame:
-        """(id, h, doc_id, copies, n, edited_sha256, a, ae, an): digests of the text, the edited text and the next text.
+        """(none, id, h, copies, n, edited_sha256, a, ae, an): digests of the text, the edited text and the next text.
 
-        Both joins read the texts with the same columns by the same keys, so one shuffle of the texts serves both.
+        The texts are shuffled once, for both joins; what goes on from a text to
+        the one before it are its digests and as much of its head as that needs.
         """
         quarter = F.floor(F.col("n") / 4).cast("int")
-        texts = self.rows.select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), "text")
-        heads = self.next.join(texts, ["next_id", "next_h"]).select("id", "h", "doc_id", "n", "copies", F.left("text", quarter).alias("head"), digests(F.col("text")).alias("an"))
-        both = self._once(self._once(heads).join(self.rows, ["id", "h"]))
+        texts = self.rows.withColumnsRenamed({c: f"next_{c}" for c in KEY})
+        heads = self.next.join(texts, [f"next_{c}" for c in KEY]).select(*KEY, "n", "copies", F.left("text", quarter).alias("head"), digests(F.col("text")).alias("an"))
+        both = self._once(self._once(heads).join(self.rows, list(KEY)))
         edited = F.concat(F.left("text", F.col("n") - quarter), "head")
         both = both.withColumn("edited", edited)
-        return both.select("id", "h", "doc_id", "copies", F.col("n").cast("long").alias("n"), F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("ae"), "an")
+        return both.select(*KEY, "copies", F.col("n").cast("long").alias("n"), F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("ae"), "an")
 
     def base(self, versions: DataFrame) -> DataFrame:
-        """Versions with both fingerprints and the differences d1, d2 that they tell; null where peeling got stuck.
+        """Versions with both fingerprints and the differing digests that they tell; null where peeling got stuck.
 
-        Versions are dealt by (id, h), so all sums stay in the same tasks.
+        Versions are dealt by their key, so all sums stay in the same tasks.
         """
         m = F.lit(BASE_CELLS)
         entries = F.concat(*[_entries(F.col(c), i, 1, m, 0) for i, c in enumerate(("a", "ae", "an"))])
-        sums = _sums(versions.select("id", "h", m.alias("m"), F.explode(entries).alias("e")).select("id", "h", "m", "e.*"))
-        texts = sums.groupBy("id", "h").agg(*[F.array_sort(F.collect_list(F.when((F.col("of") == i) & (F.col("cell") >= 0), F.struct("cell", "c", "k", "x")))).alias(f"s{i}") for i in range(2)])
+        sums = _sums(versions.select(*KEY, m.alias("m"), F.explode(entries).alias("e")).select(*KEY, "m", "e.*"))
+        texts = sums.groupBy(*KEY).agg(*[F.array_sort(F.collect_list(F.when((F.col("of") == i) & (F.col("cell") >= 0), F.struct("cell", "c", "k", "x")))).alias(f"s{i}") for i in range(2)])
         # The cells of the text less those of the edited text (1) and of the next text (2).
         sign = F.when(F.col("of") == 0, F.array(F.struct(F.lit(1).alias("of"), F.lit(1).alias("s")), F.struct(F.lit(2).alias("of"), F.lit(1).alias("s")))).otherwise(F.array(F.struct(F.col("of").alias("of"), F.lit(-1).alias("s"))))
-        less = sums.select("id", "h", "m", "cell", "c", "k", "x", F.explode(sign).alias("v")).select("id", "h", "v.of", "m", "cell", (F.col("c") * F.col("v.s")).alias("c"), "k", "x")
-        found = _peel(_merged(less), 0).groupBy("id", "h").agg(*[F.max(F.when(F.col("of") == i, F.col("d"))).alias(f"d{i}") for i in (1, 2)])
-        kept = ["id", "h", "doc_id", "copies", "n", "edited_sha256"]
+        less = sums.select(*KEY, "m", "cell", "t", "c", "k", "x", F.explode(sign).alias("v")).select(*KEY, "v.of", "m", "cell", "t", (F.col("c") * F.col("v.s")).alias("c"), "k", "x")
+        found = _peel(_merged(less), 0).groupBy(*KEY).agg(*[F.max(F.when(F.col("of") == i, F.col(d))).alias(f"{d}{i}") for i in (1, 2) for d in ("here", "there")])
+        kept = [*KEY, "copies", "n", "edited_sha256"]
         sizes = [F.size(c).alias(n) for c, n in (("a", "na"), ("ae", "ne"), ("an", "nn"))]
-        rows = versions.select(*kept, *sizes).join(texts, ["id", "h"]).join(found, ["id", "h"])
-        return rows.select(*kept, "na", "ne", "nn", _text_of(F.col("s0")).alias("fingerprint"), _text_of(F.col("s1")).alias("edited_fingerprint"), "d1", "d2")
+        rows = versions.select(*kept, *sizes).join(texts, list(KEY)).join(found, list(KEY))
+        return rows.select(*kept, "na", "ne", "nn", _text_of(F.col("s0")).alias("fingerprint"), _text_of(F.col("s1")).alias("edited_fingerprint"), "here1", "there1", "here2", "there2")
 
     def larger(self, versions: DataFrame, failed: DataFrame, level: int) -> DataFrame:
-        """(id, h, of, d) for failed (id, h, of): differences by sketches of more cells; null where peeling got stuck again."""
-        which = failed.groupBy("id", "h").agg(F.collect_set("of").alias("which"))
+        """(none, id, h, of, here, there) for failed (none, id, h, of), by sketches of more cells; null where peeling got stuck again."""
+        which = failed.groupBy(*KEY).agg(F.collect_set("of").alias("which"))
         pair = F.explode(F.array(*[F.struct(F.lit(i).alias("of"), F.col("a").alias("a"), F.col(c).alias("b")) for i, c in ((1, "ae"), (2, "an"))])).alias("v")
-        rows = versions.join(which, ["id", "h"]).select("id", "h", "which", pair).filter(F.array_contains("which", F.col("v.of"))).select("id", "h", "v.*")
-        if level > LEVELS:
-            return rows.select("id", "h", "of", (F.size(F.array_except("a", "b")) + F.size(F.array_except("b", "a"))).alias("d"))
+        rows = versions.join(which, list(KEY)).select(*KEY, "which", pair).filter(F.array_contains("which", F.col("v.of"))).select(*KEY, "v.*")
         m = (F.ceil((F.size("a") + F.size("b")) * SHARE * 2 ** (level - 1)) + 3).cast("int")
         rows = rows.withColumn("m", m)
         entries = F.concat(_entries(F.col("a"), 0, 1, F.col("m"), level), _entries(F.col("b"), 0, -1, F.col("m"), level))
-        flat = rows.select("id", "h", "of", "m", F.explode(entries).alias("e")).select("id", "h", "of", "m", "e.cell", "e.c", "e.k")
+        flat = rows.select(*KEY, "of", "m", F.explode(entries).alias("e")).select(*KEY, "of", "m", "e.cell", "e.c", "e.k")
         return _peel(_sums(flat).filter("cell < 0 OR c <> 0 OR k <> 0 OR x <> 0"), level)
 
-    def run(self) -> DataFrame:
-        versions = cut(self.versions()).repartition("id", "h")
-        release(versions.sparkSession)
+    def run(self, keep_digests: bool) -> DataFrame:
+        written = cut(self.versions())
+        release(written.sparkSession)
+        versions = written.repartition(*KEY)
         base = cut(self.base(versions))
-        release(versions.sparkSession)
-        both = F.explode(F.array(*[F.struct(F.lit(i).alias("of"), F.col(f"d{i}").alias("d")) for i in (1, 2)])).alias("v")
-        done, failed = None, base.select("id", "h", both).select("id", "h", "v.*").filter("d IS NULL")
-        for level in range(1, LEVELS + 2):
-            if failed.isEmpty():
-                break
+        release(written.sparkSession)
+        both = F.explode(F.array(*[F.struct(F.lit(i).alias("of"), F.col(f"here{i}").alias("here")) for i in (1, 2)])).alias("v")
+        done, failed, level = None, base.select(*KEY, both).select(*KEY, "v.*").filter("here IS NULL"), 1
+        while not failed.isEmpty():
             tried = cut(self.larger(versions, failed, level))
-            solved = tried.filter("d IS NOT NULL")
+            solved = tried.filter("here IS NOT NULL")
             done = solved if done is None else done.unionByName(solved)
-            failed = tried.filter("d IS NULL")
+            failed, level = tried.filter("here IS NULL"), level + 1
+        drop(written)
         out = base
+        found = [f"{d}{i}" for i in (1, 2) for d in ("here", "there")]
         if done is not None:
-            wide = done.groupBy("id", "h").agg(*[F.max(F.when(F.col("of") == i, F.col("d"))).alias(f"r{i}") for i in (1, 2)])
-            out = base.join(wide, ["id", "h"], "left").withColumns({f"d{i}": F.coalesce(f"d{i}", f"r{i}") for i in (1, 2)})
+            wide = done.groupBy(*KEY).agg(*[F.max(F.when(F.col("of") == i, F.col(d))).alias(f"_{d}{i}") for i in (1, 2) for d in ("here", "there")])
+            out = base.join(wide, list(KEY), "left").withColumns({c: F.coalesce(c, f"_{c}") for c in found})
         if not self.single:
             out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+        differ = [F.size(f"here{i}") + F.size(f"there{i}") for i in (1, 2)]
         return out.select(
-            "doc_id", F.col("n").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint",
-            _likeness(F.col("na"), F.col("ne"), F.col("d1")).alias("near_edited"), _likeness(F.col("na"), F.col("nn"), F.col("d2")).alias("near_next"),
+            F.when(~F.col("none"), F.col("id")).alias("doc_id"), F.col("n").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint",
+            _likeness(F.col("na"), F.col("ne"), differ[0]).alias("near_edited"), _likeness(F.col("na"), F.col("nn"), differ[1]).alias("near_next"),
+            *([F.col(c).alias(name) for c, name in zip(found, ("only_before_edit", "only_edited", "only_here", "only_next"), strict=True)] if keep_digests else []),
         )
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for each row of docs."""
-    return _Fingerprints(docs).run()
+def fingerprints(docs: DataFrame, keep_digests: bool = False) -> DataFrame:
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for each row of docs.
+
+    With ``keep_digests``, also the recovered digests, array<long>: those that only
+    the text or only the edited text has, and only the text or only the next one.
+    """
+    return _Fingerprints(docs).run(keep_digests)
