@@ -14,8 +14,9 @@ text that looks escaped differs as well and gets escaped.
 
 Defined cases: null role and null text count as empty; turns stand in the order
 of turn (null first), then role and text, and repeated rows are turns of their
-own; a null conv_id is a conversation of its own; an empty table gives no rows.
-One conversation is one value of the output, so its turns meet in one task.
+own; a null conv_id is a conversation of its own; an empty table gives no rows;
+columns other than conv_id, turn, role and text are not read. One conversation
+is one value of the output, so its turns meet in one task, however long they are.
 """
 
 from __future__ import annotations
@@ -55,8 +56,8 @@ def render(turns: Column, escaped: bool) -> Column:
     return F.array_join(F.transform(turns, lambda t: F.concat(F.lit(START), role(t["role"]), F.lit("\n"), text(t["text"]), F.lit(END + "\n"))), "")
 
 
-def parse(formatted: Column) -> Column:
-    """The turns of a formatted string, array of struct(role, text); null if it isn't in the grammar.
+def raw_turns(formatted: Column) -> Column:
+    """The turns of a formatted string as they stand there, array of struct(role, text); null if it isn't in the grammar.
 
     The body of a turn ends at the first END, and only a line feed may follow
     up to the next START.
@@ -68,15 +69,38 @@ def parse(formatted: Column) -> Column:
         cut = F.split(piece, r"<\|im_end\|>", 2)
         head = F.split(F.get(cut, F.lit(0)), "\n", 2)
         good = (F.size(cut) == 2) & (F.get(cut, F.lit(1)) == "\n") & (F.size(head) == 2)
-        return F.when(good, F.struct(_unescape_role(F.get(head, F.lit(0))).alias("role"), _unescape(F.get(head, F.lit(1))).alias("text")))
+        return F.when(good, F.struct(F.get(head, F.lit(0)).alias("role"), F.get(head, F.lit(1)).alias("text")))
 
     turns = F.transform(pieces, turn)
     good = (F.get(parts, F.lit(0)) == "") & ~F.exists(turns, lambda t: t.isNull())
     return F.when(good, turns)
 
 
+def parse(formatted: Column) -> Column:
+    """The turns of a formatted string, unescaped; null if it isn't in the grammar."""
+    return F.transform(raw_turns(formatted), lambda t: F.struct(_unescape_role(t["role"]).alias("role"), _unescape(t["text"]).alias("text")))
+
+
+def loss_mask(raw: Column, role: str = ASSISTANT) -> Column:
+    """The parts [start, end) of the formatted string, in code points, that are under the loss mask, from its raw turns."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("mask"))
+
+    def step(acc: Column, t: Column) -> Column:
+        start = acc["at"] + len(START) + 1 + F.char_length(t["role"])
+        end = start + F.char_length(t["text"])
+        mask = F.when(_unescape_role(t["role"]) == role, F.concat(acc["mask"], F.array(F.struct(start.alias("start"), end.alias("end"))))).otherwise(acc["mask"])
+        return F.struct((end + len(END) + 1).alias("at"), mask.alias("mask"))
+
+    return F.aggregate(raw, zero, step)["mask"]
+
+
+def loss_text(formatted: Column, mask: Column) -> Column:
+    """What is under the mask, unescaped, with nothing between."""
+    return F.array_join(F.transform(mask, lambda m: _unescape(F.substr(formatted, m["start"] + 1, m["end"] - m["start"]))), "")
+
+
 def format_conversations(conversations: DataFrame) -> DataFrame:
-    """(conv_id, formatted, escaped, exact, turns): turns are those read back; exact says that they equal the source."""
+    """(conv_id, formatted, escaped, exact, turns, mask): turns are those read back, mask is over formatted; exact says that the turns equal the source."""
     rows = conversations.select(
         F.col("conv_id").cast("long"),
         F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).alias("t"),
@@ -86,31 +110,13 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     plain = source.withColumn("plain", render(F.col("source"), escaped=False))
     plain = plain.withColumn("escaped", ~parse(F.col("plain")).eqNullSafe(F.col("source")))
     final = plain.withColumn("formatted", F.when(F.col("escaped"), render(F.col("source"), escaped=True)).otherwise(F.col("plain")))
-    read = final.withColumn("turns", parse(F.col("formatted")))
-    return read.select("conv_id", "formatted", "escaped", F.col("turns").eqNullSafe(F.col("source")).alias("exact"), "turns")
-
-
-def loss_text(turns: Column, role: str = ASSISTANT) -> Column:
-    """All text under the loss mask: the assistant's texts in order."""
-    return F.array_join(F.transform(F.filter(turns, lambda t: t["role"] == role), lambda t: t["text"]), "")
-
-
-def loss_spans(turns: Column, role: str = ASSISTANT) -> Column:
-    """Starts and ends, in code points of the formatted string of unescaped turns, of the loss mask."""
-    width = lambda t: F.lit(len(START) + len(END) + 2) + F.char_length(t["role"]) + F.char_length(t["text"])
-    start = lambda t, at: at + len(START) + 1 + F.char_length(t["role"])
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-
-    def step(acc: Column, t: Column) -> Column:
-        span = F.struct(start(t, acc["at"]).alias("start"), (start(t, acc["at"]) + F.char_length(t["text"])).alias("end"))
-        return F.struct((acc["at"] + width(t)).alias("at"), F.when(t["role"] == role, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
-
-    return F.aggregate(turns, zero, step)["spans"]
+    read = final.withColumn("turns", parse(F.col("formatted"))).withColumn("mask", loss_mask(raw_turns(F.col("formatted"))))
+    return read.select("conv_id", "formatted", "escaped", F.col("turns").eqNullSafe(F.col("source")).alias("exact"), "turns", "mask")
 
 
 def digests(formatted: DataFrame) -> DataFrame:
     """The columns of the contract, from what was read back."""
-    turns, loss = F.col("turns"), loss_text(F.col("turns"))
+    turns, loss = F.col("turns"), loss_text(F.col("formatted"), F.col("mask"))
     whole = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return formatted.select(
         "conv_id",
