@@ -6,20 +6,20 @@ each dictionary, and the language with the smallest total wins. Where the best
 and the second best differ by less than ``margin`` of the best, the result is
 marked as rejected.
 
-Bounds: at most SAMPLE_ROWS whole texts a language, chosen by a hash of doc_id,
-are collected, and DICTIONARY_BYTES of them kept; texts over SAMPLE_CHARS
-characters are not sampled unless a language has no shorter ones.
+Bounds: at most SAMPLE_ROWS texts a language, chosen by a hash of doc_id, make
+its dictionary of DICTIONARY_BYTES, each with an equal share from its middle;
+only these shares are collected. Predictions read whole texts.
 
 Defined cases: null text, or one without a letter, is ``und`` with score 0;
 texts are compared in lower case without ASCII digits and punctuation; equal
 totals go to the language first in code point order; null languages are not
 learned; without a learned language every text is ``und``; an empty table gives
-no rows. Rows that repeat a doc_id are predicted one by one.
+no rows. Rows that repeat a doc_id, or have none, are predicted one by one;
+columns other than doc_id, text and lang are not read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import partial
 
@@ -28,10 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from volspark.llm.common import cut, fold, slices
+from volspark.llm.common import by_size, cut, fold, slices
 
 SAMPLE_ROWS = 200
-SAMPLE_CHARS = 20_000
 DICTIONARY_BYTES = 64 << 10
 CHUNK = 4 << 10
 #: Compression that finds matches of three bytes, as words share short pieces; the tables hold a dictionary and a chunk.
@@ -41,7 +40,6 @@ MARGIN = 0.01
 TEMPERATURE = 4.0
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
 _DROP = bytes(c for c in range(128) if not chr(c).isalpha() and c != 32)
 _TO_SPACE = bytes.maketrans(b"\t\n\x0b\x0c\r|", b"      ")
 
@@ -75,7 +73,7 @@ class Languages:
 
     def predict(self, text: str | None, margin: float) -> tuple[str, float, float, bool]:
         """(language, score, margin, rejected)."""
-        if not text or not self.names or not _LETTER.search(text):
+        if not text or not self.names or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, 0.0, True
         sizes = self.sizes(normal(text))
         order = np.argsort(sizes, kind="stable")
@@ -87,12 +85,14 @@ class Languages:
 
 def learn(docs: DataFrame) -> Languages:
     """Dictionaries from (doc_id, text, lang), for each language that isn't null."""
-    rows = docs.filter(F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("h"), (F.length("text") <= SAMPLE_CHARS).alias("short"))
-    counts = cut(rows.groupBy("lang").agg(F.count("*").alias("n"), F.count_if("short").alias("k")))
-    limit = F.greatest(F.lit(2.0) * SAMPLE_ROWS * (1 << 30) / F.when(F.col("k") > 0, F.col("k")).otherwise(F.col("n")), F.lit(0.0))
-    chosen = rows.join(F.broadcast(counts), "lang").filter((F.col("short") | (F.col("k") == 0)) & (F.col("h") < limit))
-    picked = chosen.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "text"))), 1, SAMPLE_ROWS)["text"].alias("texts"))
-    found = {r["lang"]: b" ".join(normal(x) for x in r["texts"])[:DICTIONARY_BYTES] for r in picked.collect()}
+    length = F.char_length("text")
+    rows = docs.filter(F.col("lang").isNotNull() & (length > 0)).select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("h"))
+    counts = cut(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    share = F.ceil(F.lit(DICTIONARY_BYTES) / F.least("n", F.lit(SAMPLE_ROWS))).cast("int")
+    chosen = rows.join(by_size(counts, 64), "lang").filter(F.col("h") < 2.0 * SAMPLE_ROWS * (1 << 30) / F.col("n"))
+    middle = F.substr("text", F.greatest(F.lit(1), ((length - share) / 2).cast("int") + 1), share)
+    picked = chosen.select("lang", "h", middle.alias("part")).groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "part"))), 1, SAMPLE_ROWS)["part"].alias("parts"))
+    found = {r["lang"]: b" ".join(normal(x) for x in r["parts"])[:DICTIONARY_BYTES] for r in picked.collect()}
     return Languages({k: v for k, v in found.items() if len(v) >= 8})
 
 
