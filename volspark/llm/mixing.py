@@ -19,7 +19,7 @@ queued one by one, in an order that doesn't matter for the totals.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -34,10 +34,16 @@ FAN = 1024
 FINE = 10_000
 
 
+def place() -> Column:
+    """A hash that shuffles the rows, of doc_id, or of the text where that is null."""
+    text = F.md5(F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8"))
+    return F.md5(F.encode(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), text))), "UTF-8"))
+
+
 def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): words of each text."""
+    """(doc_id, source, size, h): words of each text, and the place of the row."""
     n = F.size(F.filter(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), n.cast("long").alias("size"))
+    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), n.cast("long").alias("size"), place().alias("h"))
 
 
 def targets(sized: DataFrame) -> DataFrame:
@@ -72,9 +78,8 @@ def queue(docs: DataFrame) -> DataFrame:
     n = sized.count()
     sources = targets(sized)
     bits = bucket_bits(n)
-    h = F.md5(F.encode(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "UTF-8"))
     bucket = F.shiftright(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), max(0, 32 - min(bits, 32)))
-    rows = sized.select("doc_id", "size", _skey(), h.alias("h")).withColumn("bucket", bucket if bits else F.lit(0).cast("long"))
+    rows = sized.select("doc_id", "size", _skey(), "h").withColumn("bucket", bucket if bits else F.lit(0).cast("long"))
     before = prefix_sums(rows.groupBy("skey", "bucket").agg(F.sum("size").alias("words")), ["skey"], "bucket", "words", "before")
     inside = F.sum("size").over(W.partitionBy("skey", "bucket").orderBy("h", "doc_id").rowsBetween(W.unboundedPreceding, 0))
     rows = rows.join(before, ["skey", "bucket"]).withColumn("sent", F.col("before") + inside)
@@ -93,7 +98,8 @@ def last_taken(queued: DataFrame, budget: float) -> tuple | None:
     if top["m"] is None or top["s"] <= budget:
         return None
     lo, hi, spent = 0.0, top["m"], 0
-    for _ in range(12):
+    # Each round narrows the range, until few rows are left or all have one finish time, which a source has once in an epoch.
+    while True:
         at = F.least(F.floor((F.col("finish") - F.lit(lo)) / F.lit((hi - lo) / FAN)), F.lit(FAN - 1))
         inside = live.filter(F.col("finish").between(lo, hi))
         counts = sorted(inside.groupBy(at.alias("b")).agg(F.sum("size").alias("s"), F.count("*").alias("n"), F.min("finish").alias("lo"), F.max("finish").alias("hi")).collect())
@@ -143,15 +149,15 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
     queued = cut(queue(docs))
     budget = queued.select("skey", "target").distinct().agg(F.sum("target").alias("t")).first()["t"] or 0.0
     taken = queued.filter(_inside(last_taken(queued, round(budget, 6))) & (F.col("size") > 0) & F.col("finish").isNotNull())
-    rows = taken.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.collect_list("finish"))).alias("_finish"))
-    out = docs.join(rows, "doc_id").withColumn("mix_finish", F.explode("_finish")).drop("_finish")
+    rows = taken.groupBy("h").agg(F.array_sort(F.array_distinct(F.collect_list("finish"))).alias("_finish"))
+    out = docs.withColumn("_h", place()).join(rows.withColumnRenamed("h", "_h"), "_h").withColumn("mix_finish", F.explode("_finish")).drop("_finish", "_h")
     return out.repartitionByRange("mix_finish").sortWithinPartitions("mix_finish", "doc_id")
 
 
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'text:' || md5(coalesce(text, '')))) AS h
   FROM documents),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,

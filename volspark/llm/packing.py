@@ -13,7 +13,7 @@ then finds its place by its rank among the pieces of its length.
 
 Defined cases: null text counts as empty and gives one piece of the end token;
 empty tables give no rows; rows that repeat a doc_id (null too) are packed one
-by one. Ranks among equal lengths follow a hash of (doc_id, piece).
+by one. Ranks among equal lengths follow a hash of (doc_id, piece, ids).
 """
 
 from __future__ import annotations
@@ -305,7 +305,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     rows = places(solve(histogram, capacity))
     plan = spark.createDataFrame(rows or [(0, 0, 0, 0, 1, 0)], "length long, first long, ranks long, sequence long, each long, base long")
     bits = bucket_bits(sum(histogram.values()))
-    h = F.xxhash64("doc_id", "piece", "start")
+    h = F.xxhash64("doc_id", "piece", "start", "ids_crc32")
     keyed = parts.withColumn("_h", h).withColumn("_bucket", F.shiftrightunsigned("_h", 64 - bits) if bits else F.lit(0).cast("long"))
     sums = prefix_sums(keyed.groupBy("length", "_bucket").agg(F.count("*").alias("_n")), ["length"], "_bucket", "_n", "_before")
     rank = F.row_number().over(W.partitionBy("length", "_bucket").orderBy("_h", "doc_id", "piece")) - 1 + F.col("_before")

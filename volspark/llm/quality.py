@@ -151,7 +151,7 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 def fit(stats: DataFrame, labels: DataFrame, label: str, train_rows: int = TRAIN_ROWS) -> Model:
     """Learn from the rows of stats (doc_id, x) that labels has a value for."""
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.avg(F.col(label).cast("double")).alias("y"))
-    rows = stats.dropDuplicates(["doc_id"]).join(known, "doc_id").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)))
+    rows = stats.groupBy("doc_id").agg(F.min("x").alias("x")).join(known, "doc_id").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)))
     rows = cut(rows)
     sums = [F.avg(F.col("x")[i]) for i in range(len(NAMES))] + [F.stddev_pop(F.col("x")[i]) for i in range(len(NAMES))]
     n, low, high, *moments = rows.agg(F.count("*"), F.min("y"), F.max("y"), *sums).first()
