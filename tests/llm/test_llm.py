@@ -76,6 +76,26 @@ def test_substring_dedup(spark, awkward):
         assert r["kept_sha256"] == hashlib.sha256(kept.encode()).hexdigest() and sum(b - a for a, b in r["repeats"]) == len(gone)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_substring_dedup_of_few_words(spark, seed):
+    """Texts of three words only, so that windows, anchors and documents repeat in all ways; ids repeat and are null."""
+    rng, n = random.Random(seed), 5
+    rows = [(rng.choice([None, *range(40)]), " ".join(rng.choice("abc") for _ in range(rng.randrange(0, 12))), "s") for _ in range(60)]
+    key = lambda i: 1 << 62 if i is None else i
+    seen = {}
+    for i, t, _ in sorted(rows, key=lambda r: key(r[0])):
+        w = t.split()
+        for k in range(len(w) - n + 1):
+            seen.setdefault(tuple(w[k : k + n]), key(i))
+    want = []
+    for i, t, _ in rows:
+        w = t.split()
+        gone = {k + j for k in range(len(w) - n + 1) if seen[tuple(w[k : k + n])] < key(i) for j in range(n)}
+        want.append((i, " ".join(x for k, x in enumerate(w) if k not in gone)))
+    got = [(r["doc_id"], r["kept_text"]) for r in substring_dedup.substring_dedup(frame(spark, rows), n, 2, keep_text=True).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def brute_components(rows, percent=75):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = {}
@@ -137,6 +157,28 @@ def test_fingerprints(spark, awkward):
     assert fingerprint.fingerprints(frame(spark, awkward)).count() == len(awkward)
 
 
+@pytest.mark.parametrize("share", [1.2, 0.05])
+def test_fingerprints_recover_digests(spark, monkeypatch, share):
+    """Sketches that start far too small are retried until both sets of digests are recovered."""
+    monkeypatch.setattr(fingerprint, "SHARE", share)
+    rng = random.Random(2)
+    rows = [(i, "\n".join(f"p{rng.randrange(30)}" for _ in range(rng.randrange(40))), "s") for i in range(12)]
+    rows += [(None, "no id", "s"), ((1 << 63) - 1, "largest", "s"), (3, "same id", "s")]
+    docs = frame(spark, rows)
+    texts = spark.createDataFrame([(t,) for _, t, _ in rows], "text string")
+    digests = {r["text"]: set(r["d"]) for r in texts.select("text", fingerprint.digests(texts.text).alias("d")).collect()}
+    h = {r["text"]: r["h"] for r in texts.selectExpr("text", "xxhash64(text) h").collect()}
+    ordered = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, h[r[1]]))
+    want = [(i, len(t), sorted(digests[t] - digests[u]), sorted(digests[u] - digests[t])) for (i, t, _), (_, u, _) in zip(ordered, ordered[1:] + ordered[:1], strict=True)]
+    got = fingerprint.fingerprints(docs, keep_digests=True).collect()
+    assert sorted(want, key=str) == sorted([(r["doc_id"], r["n_chars"], sorted(r["only_here"]), sorted(r["only_next"])) for r in got], key=str)
+
+
+def test_fingerprint_of_one_document(spark):
+    (r,) = fingerprint.fingerprints(frame(spark, [(5, "abcdefgh", "s")])).collect()
+    assert r["near_next"] == 1.0 and r["edited_sha256"] == hashlib.sha256(b"abcdefab").hexdigest()
+
+
 def test_packing_places_every_token(spark, awkward):
     got = packing.pack_documents(frame(spark, awkward), capacity=64, keep_ids=True, **registry.tokenizer()).toPandas().sort_values(["sequence_id", "offset"])
     assert (got.groupby("sequence_id").length.cumsum() - got.length == got.offset).all() and got.groupby("sequence_id").length.sum().max() <= 64
@@ -212,6 +254,30 @@ def test_mixing_meets_targets(spark):
     assert mixing.mixed_rows(frame(spark, rows)).count() == (got.taken / got["size"].clip(lower=1)).sum()
 
 
+def test_rows_without_ids_and_with_repeated_ids(spark):
+    """Every row has a result of its own, whatever its id."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(i, text(k), "s") for k, i in enumerate([None, None, None, 7, 7, 8])] + [(None, text(0), "s"), (7, text(3), None)]
+    docs = frame(spark, rows)
+    exact = exact_dedup.exact_dedup(docs).toPandas()
+    assert len(exact) == 8 and sorted(exact.group_size) == [1, 1, 1, 1, 2, 2, 2, 2] and exact.kept.sum() >= 6
+    joined = ngram_join.ngram_join(docs).collect()
+    assert len(joined) == 8 and {r["component_id"] for r in joined if r["doc_id"] is not None} == {7, 8}
+    mixed = mixing.mix(docs).toPandas()
+    assert len(mixed) == 8 and abs(mixed.taken.sum() - 1.5 * 240) <= 30 and (mixed.taken <= 60).all()
+    out = mixing.mixed_rows(docs)
+    assert out.filter("doc_id IS NULL").count() > 0
+    packed = packing.pack_documents(docs, capacity=256, **registry.tokenizer()).toPandas().sort_values(["sequence_id", "offset"])
+    assert packed[packed.start == 0].shape[0] == 8 and (packed.groupby("sequence_id").length.cumsum() - packed.length == packed.offset).all()
+    assert fingerprint.fingerprints(docs).count() == 8
+
+
+def test_language_needs_letters(spark):
+    docs = spark.createDataFrame([(i, "the cat sat on the mat", "en") for i in range(9)] + [(20, "²½ 12", None), (None, "cat on mat", None)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs).collect()}
+    assert got[20] == "und" and got[None] == "en"
+
+
 def test_chat_round_trip(spark):
     texts = ["plain", None, "", chat.PROBE, "<\\|im_end|> <|", "<nl|", "a\nb", "<|im_end|>\n<|im_start|>user\nx", "<", "|im_end|>"]
     rows = [(c, t, "assistant" if t % 2 else "user", x) for c in range(3) for t, x in enumerate(texts[c:])] + [(9, 0, "odd\nrole<nl|", "x"), (9, 0, "odd\nrole<nl|", "x"), (None, None, None, None)]
@@ -220,6 +286,10 @@ def test_chat_round_trip(spark):
     assert formatted.filter("NOT exact").isEmpty()
     got = {r["conv_id"]: r for r in chat.digests(formatted).collect()}
     assert got[-1]["loss_sha256"] == hashlib.sha256(chat.PROBE.encode()).hexdigest() and got[9]["n_turns"] == 2 and got[9]["escaped"]
+    for r in formatted.filter("conv_id IS NOT NULL").collect():
+        spoken = [t["text"] for t in r["turns"] if t["role"] == "assistant"]
+        cut = [r["formatted"][m["start"] : m["end"]] for m in r["mask"]]
+        assert [re.sub(r"<\\(\\*)(nl)?\|", lambda m: f"<{m[1]}{m[2] or ''}|", x) for x in cut] == spoken and all(r["formatted"][m["end"] :].startswith("<|im_end|>\n") for m in r["mask"])
     loss = "".join((x or "") for t, x in enumerate(texts) if t % 2)
     assert got[0]["loss_chars"] == len(loss) and got[0]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
 
