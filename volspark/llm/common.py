@@ -8,6 +8,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ WHITE = b"\x09\x0a\x0b\x0c\x0d\x20"
 CHUNK = 1 << 18
 #: Bytes of values that a broadcast table may hold, counted before; beyond it the join is by shuffle.
 BROADCAST_BYTES = 16_000_000
+#: Bytes of a batch that goes to Python.
+ARROW_BYTES = 8 << 20
 
 _M64 = (1 << 64) - 1
 _BASE = 0xD6E8FEB86659FD93
@@ -161,11 +164,24 @@ def shared_folder(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get()
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs started inside send ARROW_BYTES at once to Python, which bounds the memory of tasks on long texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(ARROW_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back, so that later reads don't repeat its lineage."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out

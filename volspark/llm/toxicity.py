@@ -123,7 +123,7 @@ class Field:
         try:
             return self._cache[word]
         except KeyError:
-            if len(self._cache) > 500_000:
+            if len(self._cache) > 100_000:
                 self._cache.clear()
             all_features = features(word)
             always = [i for f in all_features if (i := self.index.get(f)) is not None]
