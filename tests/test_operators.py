@@ -3,8 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from volspark.config import GreedyParams, LDMMParams
-from volspark.operators import fields, pca, registration, spectral, surface
-from volspark.operators.grid import AXES, voxels
+from volspark.operators import fields, interp, kernels, pca, preprocess, registration, spectral, surface
+from volspark.operators.grid import AXES
 from volspark.sources import text_files, volume_files
 from volspark.streaming.running_mean import running_mean
 
@@ -12,7 +12,7 @@ SIZE = (4, 5, 3)
 
 
 def ball(centre, radius, n=12):
-    x = registration.identity((n, n, n))
+    x = kernels.identity((n, n, n))
     return 1 / (1 + np.exp(np.sqrt(((x - centre) ** 2).sum(0)) - radius))
 
 
@@ -48,31 +48,34 @@ def test_affine_finds_shift():
     a, b = ball(5.0, 3.0), ball(6.0, 3.0)
     m, t, log = registration.affine_register(a, b)
     assert log[-1] < 0.2 * log[0] and t[0] < -0.5
+    for mode in ("rigid", "translation"):
+        m, t, log = registration.affine_register(a, b, mode)
+        assert log[-1] < 0.2 * log[0] and np.allclose(m @ m.T, np.eye(3))
     assert np.allclose(registration.nearest_rotation(2 * np.eye(3)), np.eye(3))
 
 
 def test_atlas_mean_sharpens(spark):
     rows = [(0, i, 1.0, ball(c, 3.0, 8).ravel().tolist()) for i, c in enumerate((3.0, 3.5, 4.0))]
     images = spark.createDataFrame(rows, "cohort int, image_id long, w double, data array<double>")
-    energy = [registration.greedy_atlas(images, (8, 8, 8), GreedyParams(iterations=k))[1].agg(F.sum("energy")).first()[0] for k in (1, 5)]
+    energy = [registration.build_atlas(images, (8, 8, 8), GreedyParams(iterations=k))[1].agg(F.sum("energy")).first()[0] for k in (1, 5)]
     assert energy[1] < energy[0]
 
 
 def test_power_components_match_svd(spark):
     x = np.random.default_rng(4).normal(size=(6, 8)) * np.linspace(1, 4, 8)
-    v = voxels(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "image_id long, data array<double>"), (2, 2, 2))
-    (value, _), = pca.power_components(v, 1, 25)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "image_id long, data array<double>")
+    (value, _), = pca.power_components(v, (2, 2, 2), 1, 25)
     s = np.linalg.svd(x - x.mean(0), compute_uv=False)
     assert value == pytest.approx(s[0] ** 2 / 6, rel=1e-3)
 
 
 def test_group_exponential_of_constant_shift(spark):
-    rows = [(0, x, y, z, 0.5, 0.0, 0.0) for x in range(4) for y in range(4) for z in range(4)]
-    u = spark.createDataFrame(rows, "image_id long, x int, y int, z int, ux double, uy double, uz double")
-    h = fields.group_exponential(u, (4, 4, 4), 2).filter("x < 2").toPandas()
-    assert np.allclose(h["hx"], h["x"] + 0.5)
-    back = fields.invert(u, (4, 4, 4)).filter("x > 1").toPandas()
-    assert np.allclose(back["hx"], back["x"] - 0.5)
+    u = spark.createDataFrame([(0, [0.5] * 64, [0.0] * 64, [0.0] * 64)], "image_id long, ux array<double>, uy array<double>, uz array<double>")
+    x = kernels.identity((4, 4, 4))[0]
+    h = np.array(fields.group_exponential(u, (4, 4, 4), 2).first()["hx"]).reshape(4, 4, 4)
+    assert np.allclose(h[..., :2], x[..., :2] + 0.5)
+    back = np.array(fields.invert(u, (4, 4, 4)).first()["hx"]).reshape(4, 4, 4)
+    assert np.allclose(back[..., 2:], x[..., 2:] - 0.5)
 
 
 def test_meshes(spark):

@@ -16,6 +16,18 @@ class OperatorParams:
     incompressible: bool = False
 
 
+@dataclass(frozen=True)
+class Level:
+    """A level of a pyramid: images with every ``factor``-th voxel, and so many iterations there (those of the method if None)."""
+
+    factor: int = 1
+    iterations: int | None = None
+
+
+#: The finest level alone.
+FULL = (Level(),)
+
+
 @dataclass(frozen=True)
 class GreedyParams:
     iterations: int = 50
@@ -25,6 +37,8 @@ class GreedyParams:
 
 @dataclass(frozen=True)
 class LDMMParams:
+    """``reparameterise`` is a number of iterations after which velocities get constant speed; 0 for never."""
+
     iterations: int = 50
     time_steps: int = 5
     sigma: float = 5.0
@@ -32,12 +46,20 @@ class LDMMParams:
     adaptive: bool = True
     max_pert: float = 0.1
     auto_reduce: bool = False
+    reparameterise: int = 0
     operator: OperatorParams = field(default_factory=OperatorParams)
 
 
 @dataclass(frozen=True)
 class AtlasParams:
-    iterations: int = 50
+    """How the images of a cohort are averaged.
+
+    ``median`` weighs by the inverse distance to the last mean, ``trimmed_size``
+    takes so many closest images only (0 for all), ``voxel_median`` takes the
+    lower median of each voxel. ``jacobian_scale`` holds where deformations go
+    from the mean to the images.
+    """
+
     median: bool = False
     trimmed_size: int = 0
     voxel_median: bool = False

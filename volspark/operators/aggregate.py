@@ -45,6 +45,14 @@ def weighted_mean(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return rows.groupBy(*keys, *AXES).agg(F.sum(F.col("w") * F.col("v")).alias("mean_v"))
 
 
+def weighted_stats(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Mean, variance and deviation at each voxel by weights that add up to any sum: sum(w (v - m)^2) / sum(w)."""
+    w, v = F.col("w"), F.col("v")
+    total, mean = F.sum(w), F.sum(w * v) / F.sum(w)
+    variance = F.greatest(F.sum(w * v * v) / total - mean * mean, F.lit(0.0))
+    return rows.groupBy(*keys, *AXES).agg(mean.alias("mean_v"), variance.alias("var_v"), F.sqrt(variance).alias("std_v"))
+
+
 def jacobian_mean(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """sum(w j v) / sum(w j): tasks send their partial sums, as threads and nodes would."""
     wj = F.col("w") * F.col("j")

@@ -1,7 +1,8 @@
 """Volumes as one row an image (dense) and as one row a voxel (long), x fastest.
 
-Dense rows are dealt by image_id before they are exploded, so every window and
-aggregation that has image_id among its keys runs without another shuffle.
+Exploding shuffles nothing. Where windows or sums with image_id among their keys
+follow, dense rows can be dealt by image_id first, so that these run without
+shuffling voxels.
 """
 
 from __future__ import annotations
@@ -17,11 +18,20 @@ AXES = ("x", "y", "z")
 Size = tuple[int, int, int]
 
 
-def voxels(volumes: DataFrame, size: Size, data: str = "data", *keep: str) -> DataFrame:
+def unpacked(images: DataFrame, size: Size, names: Sequence[str], *keep: str, dealt: bool = False) -> DataFrame:
+    """(image_id, *keep, x, y, z, *names) from arrays, x fastest; NaN values are left out with their voxel."""
+    sx, sy, _ = size
+    i = F.col("i")
+    rows = (images.repartition("image_id") if dealt else images).select("image_id", *keep, F.posexplode(F.arrays_zip(*names)).alias("i", "v"))
+    at = [(i % sx).alias("x"), (F.floor(i / sx) % sy).cast("int").alias("y"), F.floor(i / (sx * sy)).cast("int").alias("z")]
+    return rows.select("image_id", *keep, *at, *[F.col(f"v.{n}").cast("double").alias(n) for n in names]).filter(~F.isnan(names[0]) | F.col(names[0]).isNull())
+
+
+def voxels(volumes: DataFrame, size: Size, data: str = "data", *keep: str, dealt: bool = False) -> DataFrame:
     """(image_id, *keep, x, y, z, v) from (image_id, data array)."""
     sx, sy, _ = size
     i = F.col("i")
-    rows = volumes.repartition("image_id").select("image_id", *keep, F.posexplode(data).alias("i", "v"))
+    rows = (volumes.repartition("image_id") if dealt else volumes).select("image_id", *keep, F.posexplode(data).alias("i", "v"))
     return rows.select("image_id", *keep, (i % sx).alias("x"), F.floor(i / sx).cast("int").alias("y0"), F.col("v").cast("double").alias("v")).select(
         "image_id", *keep, "x", (F.col("y0") % sy).alias("y"), F.floor(F.col("y0") / sy).cast("int").alias("z"), "v"
     )
@@ -57,10 +67,3 @@ def interior(size: Size) -> Column:
 def world(origin: Sequence[float], spacing: Sequence[float]) -> list[Column]:
     """World coordinates of a voxel: index * spacing + origin."""
     return [F.col(a) * float(s) + float(o) for a, o, s in zip(AXES, origin, spacing, strict=True)]
-
-
-def empty_grid(spark, size: Size) -> DataFrame:
-    """(x, y, z) of all voxels of a grid."""
-    sx, sy, sz = size
-    i = F.col("id")
-    return spark.range(sx * sy * sz).select((i % sx).cast("int").alias("x"), (F.floor(i / sx) % sy).cast("int").alias("y"), F.floor(i / (sx * sy)).cast("int").alias("z"))

@@ -1,107 +1,131 @@
-"""Gathering (warps) and scattering (splats) between grids.
+"""Gathering (warps) and scattering (splats) between grids, one row an image.
 
-A gather explodes the eight corners of each place, joins them to the voxels and
-sums up; a corner without a voxel counts as the background. Both sides share
-image_id, so the join and the sum are spread over all images and voxels.
+Images carry their volumes and their fields of places as arrays (x fastest); a
+warp looks the corners of each place up by index in the task of the row. Nothing
+is shuffled by voxel. Places outside, and null arrays, are treated as kernels say.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from volspark.operators.grid import AXES, Size
+from volspark.operators import kernels
+from volspark.operators.grid import Size
 
 PLACE = ("px", "py", "pz")
 
 
-def _corners(place: Sequence[str] = PLACE) -> Column:
-    """Array of (cx, cy, cz, w): the corners around a place with their trilinear weights."""
-    low = [F.floor(p) for p in place]
-    part = [F.col(p) - c for p, c in zip(place, low, strict=True)]
-    out = []
-    for k in range(8):
-        bits = [(k >> j) & 1 for j in range(3)]
-        w = [f if b else 1 - f for b, f in zip(bits, part, strict=True)]
-        out.append(F.struct(*[(c + b).cast("int").alias(f"c{a}") for a, b, c in zip(AXES, bits, low, strict=True)], (w[0] * w[1] * w[2]).alias("w")))
-    return F.array(*out)
+def _volumes(stacks: kernels.Stacks, names: Sequence[str], size: Size) -> np.ndarray:
+    """(B, C, z, y, x) of the named arrays."""
+    return np.stack([stacks[n].reshape(-1, *size[::-1]) for n in names], 1)
 
 
-def _wrapped(c: Column, n: int) -> Column:
-    return F.pmod(c, F.lit(n))
 
+def warp(images: DataFrame, size: Size, places: Sequence[str] = PLACE, values: Sequence[str] = ("data",), method: str = "linear", strategy: str = "value", background: float = 0.0, keep: Sequence[str] = ("image_id",)) -> DataFrame:
+    """The arrays ``values`` of each image at its places; method is linear, cubic or nearest."""
 
-def gather(places: DataFrame, voxels: DataFrame, size: Size, values: Sequence[str] = ("v",), strategy: str = "value", background: Sequence[float] = (0.0,), keys: Sequence[str] = ("image_id", *AXES)) -> DataFrame:
-    """Trilinear values at (px, py, pz) of the image with the same image_id.
+    def f(s: kernels.Stacks) -> kernels.Stacks:
+        v, p = _volumes(s, values, size), np.stack([s[n] for n in places], 1)
+        if method == "linear":
+            out = kernels.sample(v, p, strategy, background)
+        else:
+            out = (kernels.cubic if method == "cubic" else kernels.nearest)(v, p, background)
+        return {n: out[:, i] for i, n in enumerate(values)}
 
-    strategy says what a corner outside of the grid counts as: "value" the
-    background of each value, "clamp" the nearest voxel, "wrap" the periodic
-    one, "id" the corner's own coordinates (for fields of places).
-    """
-    corner = places.select(*keys, F.explode(_corners()).alias("c")).select(*keys, "c.*")
-    at = {a: F.col(f"c{a}") for a in AXES}
-    if strategy == "clamp":
-        at = {a: F.least(F.greatest(c, F.lit(0)), F.lit(n - 1)) for (a, c), n in zip(at.items(), size, strict=True)}
-    elif strategy == "wrap":
-        at = {a: _wrapped(c, n) for (a, c), n in zip(at.items(), size, strict=True)}
-    corner = corner.withColumns({f"_{a}": c for a, c in at.items()})
-    source = voxels.select(F.col("image_id").alias("_image"), *[F.col(a).alias(f"_s{a}") for a in AXES], *[F.col(v).alias(f"_v{i}") for i, v in enumerate(values)])
-    same = [F.col("image_id") == F.col("_image")] + [F.col(f"_{a}") == F.col(f"_s{a}") for a in AXES]
-    joined = corner.join(source, same, "left")
-    missing = [F.col(f"c{a}").cast("double") for a in AXES] if strategy == "id" else [F.lit(float(b)) for b in (background if len(background) == len(values) else list(background) * len(values))]
-    sums = [F.sum(F.col("w") * F.coalesce(F.col(f"_v{i}"), missing[i])).alias(v) for i, v in enumerate(values)]
-    return joined.groupBy(*keys).agg(*sums)
-
-
-def nearest(places: DataFrame, voxels: DataFrame, background: float = 0.0, keys: Sequence[str] = ("image_id", *AXES)) -> DataFrame:
-    """The voxel at the truncation of (p + 1/2), so places below -1/2 round towards 0; outside, the background."""
-    at = places.select(*keys, *[(F.col(p) + 0.5).cast("int").alias(f"_{a}") for p, a in zip(PLACE, AXES, strict=True)])
-    source = voxels.select(F.col("image_id").alias("_image"), *[F.col(a).alias(f"_s{a}") for a in AXES], "v")
-    same = [F.col("image_id") == F.col("_image")] + [F.col(f"_{a}") == F.col(f"_s{a}") for a in AXES]
-    return at.join(source, same, "left").select(*keys, F.coalesce("v", F.lit(background)).alias("v"))
-
-
-def cubic_weights(t: Column) -> list[Column]:
-    """Catmull-Rom weights of the four samples around a place, t in [0, 1) from the second."""
-    return [(-t + 2 * t * t - t * t * t) / 2, (2 - 5 * t * t + 3 * t * t * t) / 2, (t + 4 * t * t - 3 * t * t * t) / 2, (-t * t + t * t * t) / 2]
-
-
-def cubic(places: DataFrame, voxels: DataFrame, background: float = 0.0, keys: Sequence[str] = ("image_id", *AXES)) -> DataFrame:
-    """64-tap cubic interpolation, one axis after the other in the weights."""
-    low = [F.floor(p).cast("int") for p in PLACE]
-    taps = [F.array(*[F.struct((c + j - 1).alias("i"), w.alias("w")) for j, w in enumerate(cubic_weights(F.col(p) - c))]) for p, c in zip(PLACE, low, strict=True)]
-    rows = places.select(*keys, *[t.alias(f"_t{a}") for t, a in zip(taps, AXES, strict=True)])
-    for a in AXES:
-        rows = rows.withColumn(f"_u{a}", F.explode(f"_t{a}")).drop(f"_t{a}")
-    source = voxels.select(F.col("image_id").alias("_image"), *[F.col(a).alias(f"_s{a}") for a in AXES], "v")
-    same = [F.col("image_id") == F.col("_image")] + [F.col(f"_u{a}.i") == F.col(f"_s{a}") for a in AXES]
-    w = F.col("_ux.w") * F.col("_uy.w") * F.col("_uz.w")
-    return rows.join(source, same, "left").groupBy(*keys).agg(F.sum(w * F.coalesce("v", F.lit(background))).alias("v"))
-
-
-def splat(sources: DataFrame, size: Size, normalize: bool = False, wrap: bool = False, background: float = 0.0, value: str = "v") -> DataFrame:
-    """(image_id, x, y, z, v): each value at (px, py, pz) is dealt over the corners; voxels that get nothing are not listed.
+    return kernels.map_images(images, f, [*values, *[p for p in places if p not in values]], values, keep)
+
+
+def warp_masked(images: DataFrame, size: Size, places: Sequence[str] = PLACE, background: float = 0.0) -> DataFrame:
+    """``data`` at the places where ``mask`` is over 0, and as it is elsewhere."""
+
+    def f(s: kernels.Stacks) -> kernels.Stacks:
+        moved = kernels.sample(_volumes(s, ["data"], size), np.stack([s[n] for n in places], 1), "value", background)[:, 0]
+        return {"data": np.where(s["mask"] > 0, moved, s["data"])}
+
+    return kernels.map_images(images, f, ["data", "mask", *places], ["data"])
+
+
+def splat(images: DataFrame, size: Size, places: Sequence[str] = PLACE, normalize: bool = False, wrap: bool = False, background: float = 0.0) -> DataFrame:
+    """(image_id, data): each value of ``data`` dealt over the corners of its place; NaN where nothing came.
 
     With ``normalize``, sums are divided by the sum of weights, or the background where that is 0.
     """
-    corner = sources.select("image_id", value, F.explode(_corners()).alias("c")).select("image_id", value, "c.*")
-    for a, n in zip(AXES, size, strict=True):
-        corner = corner.withColumn(f"c{a}", _wrapped(F.col(f"c{a}"), n)) if wrap else corner.filter(F.col(f"c{a}").between(0, n - 1))
-    sums = corner.groupBy("image_id", *[F.col(f"c{a}").alias(a) for a in AXES]).agg(F.sum(F.col("w") * F.col(value)).alias("v"), F.sum("w").alias("w"))
-    if normalize:
-        sums = sums.withColumn("v", F.when(F.col("w") > 0, F.col("v") / F.col("w")).otherwise(background))
-    return sums
-
-
-def resample_places(grid: DataFrame, origin: Sequence[float], spacing: Sequence[float], new_origin: Sequence[float], new_spacing: Sequence[float], centred: bool = False) -> DataFrame:
-    """Places in the old index space of the voxels of a new grid; ``centred`` aligns voxel centres rather than corners."""
-    out = {}
-    for a, p, o, s, no, ns in zip(AXES, PLACE, origin, spacing, new_origin, new_spacing, strict=True):
-        shift = (ns - s) / 2 if centred else 0.0
-        out[p] = (F.col(a) * float(ns) + float(no) + shift - float(o)) / float(s)
-    return grid.withColumns(out)
+
+    def f(s: kernels.Stacks) -> kernels.Stacks:
+        sums, mass = kernels.scatter(s["data"], np.stack([s[n] for n in places], 1), size, wrap)
+        if normalize:
+            sums = np.where(mass > 0, sums / np.where(mass > 0, mass, 1), np.where(np.isnan(mass), np.nan, background))
+        return {"data": sums}
+
+    return kernels.map_images(images, f, ["data", *places], ["data"])
+
+
+def resample(images: DataFrame, size: Size, new_size: Size, spacing: Sequence[float] = (1, 1, 1), new_spacing: Sequence[float] = (1, 1, 1), origin: Sequence[float] = (0, 0, 0), new_origin: Sequence[float] = (0, 0, 0), centred: bool = False, background: float = 0.0) -> DataFrame:
+    """``data`` in another grid of world coordinates; ``centred`` aligns voxel centres rather than corners."""
+    s, ns, o, no = (np.array(x, dtype=np.float64)[:, None, None, None] for x in (spacing, new_spacing, origin, new_origin))
+    places = (kernels.identity(new_size) * ns + no + ((ns - s) / 2 if centred else 0.0) - o) / s
+
+    def f(stacks: kernels.Stacks) -> kernels.Stacks:
+        v = _volumes(stacks, ["data"], size)
+        return {"data": kernels.sample(v, np.broadcast_to(places, (len(v), *places.shape)), "value", background)[:, 0]}
+
+    return kernels.map_images(images, f, ["data"], ["data"])
+
+
+def isotropic(images: DataFrame, size: Size, spacing: Sequence[float], axes: str = "xyz") -> tuple[DataFrame, Size, tuple[float, ...]]:
+    """``data`` with the smallest spacing along the axes (all, or "z" for slices only), its size and its spacing."""
+    least = min(spacing) if axes == "xyz" else min(spacing[i] for i in range(3) if "xyz"[i] not in axes)
+    new = tuple(float(least) if a in axes else float(s) for a, s in zip("xyz", spacing, strict=True))
+    new_size = tuple(max(1, int(np.floor((n - 1) * s / t + 1e-9)) + 1) for n, s, t in zip(size, spacing, new, strict=True))
+    return resample(images, size, new_size, spacing, new), new_size, new
+
+
+def affine(images: DataFrame, size: Size, matrix: Sequence[float], shift: Sequence[float], spacing: Sequence[float] = (1, 1, 1), origin: Sequence[float] = (0, 0, 0), background: float = 0.0) -> DataFrame:
+    """``data`` at the affine places, which are in world coordinates where spacing and origin are given."""
+    s, o = np.array(spacing, dtype=np.float64), np.array(origin, dtype=np.float64)
+    x = kernels.identity(size).reshape(3, -1) * s[:, None] + o[:, None]
+    places = ((np.array(matrix, dtype=np.float64).reshape(3, 3) @ x + np.array(shift, dtype=np.float64)[:, None] - o[:, None]) / s[:, None]).reshape(3, *size[::-1])
+
+    def f(stacks: kernels.Stacks) -> kernels.Stacks:
+        v = _volumes(stacks, ["data"], size)
+        return {"data": kernels.sample(v, np.broadcast_to(places, (len(v), *places.shape)), "value", background)[:, 0]}
+
+    return kernels.map_images(images, f, ["data"], ["data"])
+
+
+def translate(images: DataFrame, size: Size, shift: Sequence[float], spacing: Sequence[float] = (1, 1, 1), background: float = 0.0) -> DataFrame:
+    """``data`` moved by a shift in world coordinates."""
+    return affine(images, size, (1, 0, 0, 0, 1, 0, 0, 0, 1), [-float(t) for t in shift], spacing, (0, 0, 0), background)
+
+
+def at_points(images: DataFrame, points: DataFrame, size: Size, spacing: Sequence[float] = (1, 1, 1), origin: Sequence[float] = (0, 0, 0), background: float = 0.0) -> DataFrame:
+    """(image_id, *columns of points, v): trilinear values at world points (image_id, x, y, z).
+
+    The corners are joined to the voxels that they need only, for a few points in many images.
+    """
+    at = [(F.col(a) - float(o)) / float(s) for a, s, o in zip("xyz", spacing, origin, strict=True)]
+    sx, sy, sz = size
+    low = [F.floor(c) for c in at]
+    value = F.lit(0.0)
+    for bits in ((i, j, k) for k in (0, 1) for j in (0, 1) for i in (0, 1)):
+        w = F.lit(1.0)
+        for c, lo, b in zip(at, low, bits, strict=True):
+            w = w * ((c - lo) if b else (1 - (c - lo)))
+        i, j, k = (lo + b for lo, b in zip(low, bits, strict=True))
+        inside = i.between(0, sx - 1) & j.between(0, sy - 1) & k.between(0, sz - 1)
+        value = value + w * F.when(inside, F.get("data", (i + sx * (j + sy * k)).cast("int"))).otherwise(float(background))
+    return points.join(images.select("image_id", "data"), "image_id").withColumn("v", value).drop("data")
+
+
+def sinc_upsample(images: DataFrame, size: Size, factor: int) -> DataFrame:
+    """``data`` on a finer grid by Fourier zero padding."""
+    from volspark.operators.spectral import sinc_upsample as up
+
+    return kernels.map_images(images, lambda s: {"data": np.stack([up(v.reshape(size[::-1]), factor) for v in s["data"]])}, ["data"], ["data"])
 
 
 def refine_z(rows: DataFrame, size: Size, ratio: int) -> DataFrame:

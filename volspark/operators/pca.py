@@ -2,54 +2,112 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from volspark.operators.grid import AXES
+from volspark.operators.grid import AXES, Size
 from volspark.plans.state import cut
 
+#: Images of a block of a Gram matrix.
+BLOCK = 32
 
-def centred(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    mean = rows.groupBy(*keys, *AXES).agg(F.avg("v").alias("_m"))
-    return rows.join(mean, [*keys, *AXES]).withColumn("v", F.col("v") - F.col("_m")).drop("_m")
+
+def _arrays(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+_GRAM = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("dot", pa.float64())])
+
+
+def _block_products(table: pa.Table) -> pa.Table:
+    """Products of the images of two blocks, a <= b; the blocks may be the same one."""
+    ids = table.column("image_id").to_numpy()
+    data = _arrays(table.column("data").combine_chunks())
+    left, right = np.flatnonzero(table.column("own").to_numpy() == table.column("lo").to_numpy()), np.flatnonzero(table.column("own").to_numpy() == table.column("hi").to_numpy())
+    dots = data[left] @ data[right].T
+    i, j = (x.ravel() for x in np.meshgrid(left, right, indexing="ij"))
+    same = table.column("lo")[0].as_py() == table.column("hi")[0].as_py()
+    keep = (ids[i] <= ids[j]) if same else np.ones(len(i), bool)
+    a, b = np.minimum(ids[i], ids[j])[keep], np.maximum(ids[i], ids[j])[keep]
+    return pa.Table.from_arrays([pa.array(a), pa.array(b), pa.array(dots.ravel()[keep])], schema=_GRAM)
 
 
 def gram_matrix(dense: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, a, b, dot) of the images of a cohort, a <= b; one join row a pair of images, none a voxel."""
-    left = dense.select(*keys, F.col("image_id").alias("a"), F.col("data").alias("da"))
-    right = dense.select(*keys, F.col("image_id").alias("b"), F.col("data").alias("db"))
-    product = F.aggregate(F.zip_with("da", "db", lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x)
-    return left.join(right, list(keys)).filter("a <= b").select(*keys, "a", "b", product.alias("dot"))
+    """(keys, a, b, dot) of the images of a cohort, a <= b.
+
+    Images are dealt over blocks of about BLOCK; a pair of blocks is one matrix
+    product in one task, so a large cohort is spread over many tasks.
+    """
+    sizes = dense.groupBy(*keys).agg((F.floor(F.count("*") / BLOCK) + 1).cast("int").alias("_blocks"))
+    dealt = dense.select(*keys, "image_id", F.col("data").cast("array<double>").alias("data")).join(sizes, list(keys)).withColumn("own", F.pmod(F.xxhash64("image_id"), "_blocks").cast("int"))
+    each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    cells = each.select(F.struct(*keys).alias("k"), F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "image_id", "data")
+
+    def products(key: tuple, table: pa.Table) -> pa.Table:
+        found = _block_products(table)
+        return found.append_column("k", pa.array([key[0].as_py()] * found.num_rows, key[0].type))
+
+    schema = f"a long, b long, dot double, k {cells.schema['k'].dataType.simpleString()}"
+    return cells.groupBy("k", "lo", "hi").applyInArrow(products, schema).select("k.*", "a", "b", "dot")
+
+
+_PART = pa.schema([("part", pa.list_(pa.float64()))])
+
+
+def _partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum over the images of a task of each image times a number, or its product with a vector (column 1)."""
+    total = None
+    for batch in batches:
+        if batch.num_rows:
+            data, v = _arrays(batch.column(0)), _arrays(batch.column(1))
+            weights = v[:, 0] if v.shape[1] == 1 else (data * v).sum(1)
+            part = weights @ data
+            total = part if total is None else total + part
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], _PART.types[0])], schema=_PART)
+
+
+def _summed(rows: DataFrame, factor: float) -> DataFrame:
+    """(one, c): one row with the sum over the tasks, times the factor; a task sends one image."""
+    parts = rows.mapInArrow(_partial_sums, "part array<double>").select(F.posexplode("part").alias("i", "v"))
+    sums = parts.groupBy("i").agg((F.sum("v") * factor).alias("v"))
+    return cut(sums.agg(F.array_sort(F.collect_list(F.struct("i", "v")))["v"].alias("c")).select(F.lit(0).alias("one"), "c"))
+
+
+def start_vector(k: int, size: Size) -> list[float]:
+    """Fixed numbers in [-1/2, 1/2) for the voxels, x fastest."""
+    sx, sy, sz = size
+    return [((x * 7 + y * 13 + z * 29 + k * 17 + 3) * 7919 % 1009) / 1009 - 0.5 for z in range(sz) for y in range(sy) for x in range(sx)]
 
 
-def power_components(rows: DataFrame, count: int, iterations: int = 30, seed: int = 17) -> list[tuple[float, DataFrame]]:
-    """(eigenvalue of X X' / n, (x, y, z, v) unit component) by power iteration with deflation.
+def power_components(images: DataFrame, size: Size, count: int, iterations: int = 30) -> list[tuple[float, DataFrame]]:
+    """(eigenvalue of X X' / n, one row with the unit component ``c``) by power iteration with deflation.
 
-    One iteration is two aggregations: projections of the images on the
-    component, and their weighted sum; the component has one row a voxel.
+    Images stay whole rows. An iteration is one pass: every task projects its
+    images on the component, which is one image and is sent to all tasks, and
+    sends one image, their weighted sum.
     """
-    rows = cut(centred(rows))
-    n = rows.select("image_id").distinct().count()
+    rows = images.select(F.lit(0).alias("one"), F.col("data").cast("array<double>").alias("data"))
+    n = rows.count()
+    less = lambda r, v, f: r.join(F.broadcast(v), "one").select("one", F.zip_with("data", "c", f).alias("data"))
+    rows = cut(less(rows, _summed(rows.select("data", F.array(F.lit(1.0)).alias("c")), 1 / max(n, 1)), lambda x, m: x - m))
     out: list[tuple[float, DataFrame]] = []
     for k in range(count):
-        v = rows.select(*AXES).distinct().withColumn("v", F.rand(seed + k) - 0.5)
-        v = cut(v)
+        v = images.sparkSession.createDataFrame([(0, start_vector(k, size))], "one int, c array<double>")
         value = 0.0
         for _ in range(iterations):
-            p = rows.join(v.withColumnRenamed("v", "c"), list(AXES)).groupBy("image_id").agg(F.sum(F.col("v") * F.col("c")).alias("p"))
-            w = rows.join(p, "image_id").groupBy(*AXES).agg((F.sum(F.col("v") * F.col("p")) / n).alias("v"))
-            w = cut(w)
-            value = float(np.sqrt(w.agg(F.sum(F.col("v") * F.col("v"))).first()[0] or 0.0))
+            w = _summed(rows.join(F.broadcast(v), "one").select("data", "c"), 1 / max(n, 1))
+            value = float(np.sqrt(w.select(F.aggregate("c", F.lit(0.0), lambda s, x: s + x * x)).first()[0] or 0.0))
             if value == 0:
                 break
-            v = w.withColumn("v", F.col("v") / value)
-        v = cut(v)
+            v = w.withColumn("c", F.transform("c", lambda x: x / value))
         out.append((value, v))
-        p = rows.join(v.withColumnRenamed("v", "c"), list(AXES)).groupBy("image_id").agg(F.sum(F.col("v") * F.col("c")).alias("p"))
-        rows = cut(rows.join(p, "image_id").join(v.withColumnRenamed("v", "c"), list(AXES)).withColumn("v", F.col("v") - F.col("p") * F.col("c")).select("image_id", *AXES, "v"))
+        p = rows.join(F.broadcast(v), "one").withColumn("p", F.aggregate(F.zip_with("data", "c", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x))
+        rows = cut(p.select("one", F.zip_with("data", F.transform("c", lambda x: x * F.col("p")), lambda x, y: x - y).alias("data")))
     return out
 
 

@@ -69,10 +69,6 @@ def combine(a: DataFrame, b: DataFrame, op: Callable[[Column, Column], Column])
     return a.join(right, "image_id").select("image_id", F.zip_with("data", "other", op).alias("data"))
 
 
-def identity_field(spacing: Sequence[float] = (1.0, 1.0, 1.0)) -> list[Column]:
-    return [F.col(a) * float(s) for a, s in zip(AXES, spacing, strict=True)]
-
-
 def velocity_to_h(components: Sequence[str] = ("vx", "vy", "vz"), delta: float = 1.0, spacing: Sequence[float] = (1.0, 1.0, 1.0)) -> list[Column]:
     """h(x) = x + v * delta / spacing."""
     return [F.col(a) + F.col(c) * delta / float(s) for a, c, s in zip(AXES, components, spacing, strict=True)]
@@ -102,5 +98,21 @@ def affine(matrix: Sequence[float], shift: Sequence[float], at: Sequence[Column]
     return [sum((at[j] * float(matrix[3 * i + j]) for j in range(1, 3)), at[0] * float(matrix[3 * i])) + float(shift[i]) for i in range(3)]
 
 
+def inverse_affine(matrix: Sequence[float], shift: Sequence[float]) -> tuple[list[float], list[float]]:
+    """Matrix and shift of the inverse map."""
+    import numpy as np
+
+    m = np.linalg.inv(np.array(matrix, dtype=np.float64).reshape(3, 3))
+    return m.ravel().tolist(), (-m @ np.array(shift, dtype=np.float64)).tolist()
+
+
+def chained_affine(first: tuple[Sequence[float], Sequence[float]], then: tuple[Sequence[float], Sequence[float]]) -> tuple[list[float], list[float]]:
+    """Matrix and shift of one map after another."""
+    import numpy as np
+
+    a, b = (np.array(t[0], dtype=np.float64).reshape(3, 3) for t in (first, then))
+    return (b @ a).ravel().tolist(), (b @ np.array(first[1], dtype=np.float64) + np.array(then[1], dtype=np.float64)).tolist()
+
+
 def interpolate(a: Column, b: Column, t: float) -> Column:
     return a * (1 - t) + b * t

@@ -1,283 +1,425 @@
 """Registration of volumes and construction of atlases.
 
-One pair of volumes, or one image of an atlas with its deformation, is one task
-row: whole volumes as arrays in Arrow batches and numpy inside. Atlas loops
-aggregate the deformed images to the mean by voxel and send it back to the
-images; lineage is cut each iteration.
+A pair of volumes, or an image of an atlas with its deformation, is one row;
+tasks work on stacks of rows. Atlas loops send the partial sums of the deformed
+images to the mean, and the mean back to the images of its cohort; lineage is
+cut each iteration. Levels of a pyramid go from coarse to fine, and each starts
+from the deformation that the one before it found.
+
+Velocities are in voxels a time step: each of the T steps of a path moves by v_t.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import partial
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from volspark.config import AtlasParams, GreedyParams, LDMMParams, OperatorParams
+from volspark.config import FULL, AtlasParams, GreedyParams, LDMMParams, Level, OperatorParams
+from volspark.operators import kernels
 from volspark.operators.grid import Size
+from volspark.operators.kernels import gradient, jacobian, sample, splat, warp
 from volspark.operators.spectral import apply_operator
 from volspark.plans.state import cut
 
+#: Bytes of the means of all cohorts that are sent to every task; beyond it they are joined by shuffle.
+BROADCAST_BYTES = 64 << 20
+
 
-def identity(shape: tuple[int, ...]) -> np.ndarray:
-    """(3, sz, sy, sx): x, y and z of each voxel."""
-    z, y, x = np.meshgrid(*[np.arange(n, dtype=np.float64) for n in shape], indexing="ij")
-    return np.stack([x, y, z])
+def _x(v: np.ndarray) -> np.ndarray:
+    """The identity (1, 3, z, y, x) for a stack of images."""
+    return kernels.identity(v.shape[:0:-1])[None]
 
 
-def warp(v: np.ndarray, h: np.ndarray, background: float | None = 0.0) -> np.ndarray:
-    """v at the places h (x, y, z); outside corners count as background, or as the nearest voxel with None."""
-    out = np.zeros(h.shape[1:])
-    low = np.floor(h).astype(np.int64)
-    part = h - low
-    n = v.shape[::-1]
-    for k in range(8):
-        bits = [(k >> j) & 1 for j in range(3)]
-        w = np.prod([part[j] if b else 1 - part[j] for j, b in enumerate(bits)], axis=0)
-        at = [low[j] + b for j, b in enumerate(bits)]
-        inside = np.all([(a >= 0) & (a < m) for a, m in zip(at, n, strict=True)], axis=0)
-        near = [np.clip(a, 0, m - 1) for a, m in zip(at, n, strict=True)]
-        value = v[near[2], near[1], near[0]]
-        out += w * (value if background is None else np.where(inside, value, background))
-    return out
+def _k(field: np.ndarray, p: OperatorParams) -> np.ndarray:
+    return apply_operator(field, field.shape[:1:-1], alpha=p.alpha, beta=p.beta, gamma=p.gamma, power=p.power, inverse=True, incompressible=p.incompressible)
 
 
-def warp_field(u: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Displacements at places, zero outside."""
-    return np.stack([warp(c, h) for c in u])
+def _l(field: np.ndarray, p: OperatorParams) -> np.ndarray:
+    return apply_operator(field, field.shape[:1:-1], alpha=p.alpha, beta=p.beta, gamma=p.gamma, power=p.power)
 
 
-def splat(v: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Each value dealt over the corners of its place; what falls outside is lost."""
-    out = np.zeros(v.shape)
-    low = np.floor(h).astype(np.int64)
-    part = h - low
-    n = v.shape[::-1]
-    for k in range(8):
-        bits = [(k >> j) & 1 for j in range(3)]
-        w = np.prod([part[j] if b else 1 - part[j] for j, b in enumerate(bits)], axis=0)
-        at = [low[j] + b for j, b in enumerate(bits)]
-        keep = np.all([(a >= 0) & (a < m) for a, m in zip(at, n, strict=True)], axis=0)
-        np.add.at(out, tuple(a[keep] for a in at[::-1]), (w * v)[keep])
-    return out
+def _sum(v: np.ndarray) -> np.ndarray:
+    """Sums over all but the first axis."""
+    return v.reshape(len(v), -1).sum(1)
 
 
-def grad(v: np.ndarray) -> np.ndarray:
-    """Central differences, one-sided at the border, as (d/dx, d/dy, d/dz)."""
-    return np.stack([np.gradient(v, axis=2), np.gradient(v, axis=1), np.gradient(v, axis=0)])
+def _most(field: np.ndarray) -> np.ndarray:
+    """Length of the longest vector of each field."""
+    return np.sqrt((field**2).sum(1)).reshape(len(field), -1).max(1)
 
 
-def jacobian(h: np.ndarray) -> np.ndarray:
-    m = np.stack([grad(c) for c in h])
-    return np.linalg.det(np.moveaxis(m, (0, 1), (-2, -1)))
+def _each(a: np.ndarray) -> np.ndarray:
+    """A number for each image, in the shape of a stack of fields."""
+    return a[:, None, None, None, None]
 
 
-def _k(field: np.ndarray, p: OperatorParams) -> np.ndarray:
-    return apply_operator(field, field.shape[:0:-1], alpha=p.alpha, beta=p.beta, gamma=p.gamma, power=p.power, inverse=True, incompressible=p.incompressible)
+def _then(h: np.ndarray, moved: np.ndarray) -> np.ndarray:
+    """h at the places ``moved``; beyond the grid h is a shift by nothing."""
+    return sample(h - kernels.identity(h.shape[:1:-1]), moved) + moved
 
 
-def _l(field: np.ndarray, p: OperatorParams) -> np.ndarray:
-    return apply_operator(field, field.shape[:0:-1], alpha=p.alpha, beta=p.beta, gamma=p.gamma, power=p.power)
+# Pyramids.
+
+
+def level_size(size: Size, factor: int) -> Size:
+    return tuple(max(n // factor, 1) for n in size)
+
+
+def to_level(v: np.ndarray, factor: int) -> np.ndarray:
+    """A stack of images, smoothed and decimated."""
+    if factor == 1:
+        return v
+    sigma = float(np.sqrt(factor / 2))
+    smooth = kernels.blur(v, [sigma] * 3, [2 * int(np.ceil(sigma))] * 3)
+    n = level_size(v.shape[:0:-1], factor)
+    return smooth[:, ::factor, ::factor, ::factor][:, : n[2], : n[1], : n[0]]
+
+
+def _finer(field: np.ndarray, size: Size) -> np.ndarray:
+    """A stack of displacements in a finer grid."""
+    old = field.shape[:1:-1]
+    return np.stack([kernels.resize(field[:, i], size) * ((size[i] - 1) / (old[i] - 1) if old[i] > 1 else 1.0) for i in range(3)], 1)
 
 
-def greedy_step(moving: np.ndarray, fixed: np.ndarray, h: np.ndarray, delta: float | None, p: GreedyParams) -> tuple[np.ndarray, float, float]:
+# Steps of the methods on stacks of images.
+
+
+def greedy_step(moving: np.ndarray, fixed: np.ndarray, h: np.ndarray, delta: np.ndarray, p: GreedyParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(h, delta, energy): b = -(I0(h) - I1) grad I0(h), v = K b, h(x + delta v).
 
-    The first step sets delta so that no voxel moves by more than max_pert.
+    Where delta is NaN, the step sets it so that no voxel moves by more than max_pert.
     """
     warped = warp(moving, h)
-    force = -(warped - fixed) * grad(warped)
-    v = _k(force, p.operator)
-    if delta is None:
-        top = float(np.sqrt((v**2).sum(0)).max())
-        delta = p.max_pert / top if top > 0 else 0.0
-    x = identity(moving.shape)
-    moved = x + delta * v
-    h = warp_field(h - x, moved) + moved
-    return h, delta, float(((warped - fixed) ** 2).sum())
-
-
-def greedy_register(moving: np.ndarray, fixed: np.ndarray, p: GreedyParams) -> tuple[np.ndarray, list[float]]:
-    h, delta, energies = identity(moving.shape), None, []
-    for _ in range(p.iterations):
-        h, delta, e = greedy_step(moving, fixed, h, delta, p)
-        energies.append(e)
-    return h, energies
-
-
-def shoot(image: np.ndarray, momentum: np.ndarray, p: LDMMParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    v = _k(-(warped - fixed)[:, None] * gradient(warped), p.operator)
+    top = _most(v)
+    delta = np.where(np.isnan(delta), np.where(top > 0, p.max_pert / np.where(top > 0, top, 1), 0.0), delta)
+    return _then(h, _x(moving) + _each(delta) * v), delta, _sum((warped - fixed) ** 2)
+
+
+def greedy_register(moving: np.ndarray, fixed: np.ndarray, p: GreedyParams, levels: Sequence[Level] = FULL) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """(h, [(factor, energy)]) over the levels."""
+    h, log = None, []
+    for level in levels:
+        a, b = to_level(moving, level.factor), to_level(fixed, level.factor)
+        h = np.repeat(_x(a), len(a), 0) if h is None else kernels.resize_places(h, a.shape[:0:-1])
+        delta = np.full(len(a), np.nan)
+        for _ in range(p.iterations if level.iterations is None else level.iterations):
+            h, delta, e = greedy_step(a, b, h, delta, p)
+            log.append((level.factor, e))
+    return kernels.resize_places(h, moving.shape[:0:-1]), log
+
+
+def shoot(image: np.ndarray, momentum: np.ndarray, p: LDMMParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(I_T, phi_T0, phi_0T, mean <Lv, v>) of the geodesic from an image and a scalar momentum.
 
     v_t = -K(alpha_t grad I_t); the momentum moves by splatting along phi_0t, and
     the image by pulling back along phi_t0.
     """
-    x = identity(image.shape)
-    back, forth, energy = x.copy(), x.copy(), 0.0
+    x = _x(image)
+    back, forth, energy = np.repeat(x, len(image), 0), np.repeat(x, len(image), 0), np.zeros(len(image))
     current, alpha = image, momentum
     for _ in range(p.time_steps):
-        force = -alpha * grad(current)
+        force = -alpha[:, None] * gradient(current)
         v = _k(force, p.operator)
-        energy += float((force * v).sum()) / p.time_steps
-        moved = x - v / p.time_steps
-        back = warp_field(back - x, moved) + moved
-        forth = forth + np.stack([warp(c, forth) for c in v]) / p.time_steps
+        energy += _sum(force * v) / p.time_steps
+        back = _then(back, x - v)
+        forth = forth + sample(v, forth)
         current, alpha = warp(image, back), splat(momentum, forth)
     return current, back, forth, energy
 
 
-def shooting_register(moving: np.ndarray, fixed: np.ndarray, p: LDMMParams) -> tuple[np.ndarray, list[tuple[float, float, float]]]:
-    """(momentum, [(total, image, vector energy)]): gradient steps on the initial momentum.
+def shooting_register(moving: np.ndarray, fixed: np.ndarray, p: LDMMParams, levels: Sequence[Level] = FULL) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """(momentum, [(factor, energy)]): gradient steps on the initial momentum.
 
     A positive momentum brightens the image here, so the step follows what the
     end image lacks, splatted back to the start.
     """
-    alpha, log, step = np.zeros(moving.shape), [], p.step
-    for _ in range(p.iterations):
-        end, back, forth, vec = shoot(moving, alpha, p)
-        image = float(((end - fixed) ** 2).sum()) / p.sigma**2
-        log.append((image + vec, image, vec))
-        if p.auto_reduce and len(log) > 1 and log[-1][0] > log[-2][0]:
-            step /= 2
-        pulled = splat(fixed - end, back)
-        alpha = (1 - step) * alpha + (step / p.sigma**2) * pulled
+    alpha, log = None, []
+    for level in levels:
+        a, b = to_level(moving, level.factor), to_level(fixed, level.factor)
+        alpha = np.zeros_like(a) if alpha is None else kernels.resize(alpha, a.shape[:0:-1])
+        step, last = np.full(len(a), p.step), None
+        for _ in range(p.iterations if level.iterations is None else level.iterations):
+            end, back, _, vec = shoot(a, alpha, p)
+            total = _sum((end - b) ** 2) / p.sigma**2 + vec
+            log.append((level.factor, total))
+            if p.auto_reduce and last is not None:
+                step = np.where(total > last, step / 2, step)
+            last = total
+            s = step[:, None, None, None]
+            alpha = (1 - s) * alpha + (s / p.sigma**2) * splat(b - end, back)
     return alpha, log
 
 
-def relax_register(moving: np.ndarray, fixed: np.ndarray, p: LDMMParams) -> tuple[list[np.ndarray], list[tuple[float, float, float]]]:
-    """Relaxation over velocities at all times: v <- (1 - 2 eps) v + (2 eps / sigma^2) K(|D phi| (J0 - JT) grad J0)."""
-    x = identity(moving.shape)
-    vs = [np.zeros((3, *moving.shape)) for _ in range(p.time_steps)]
-    log: list[tuple[float, float, float]] = []
-    for _ in range(p.iterations):
-        deformed, h = [moving], x.copy()
-        for v in vs:
-            moved = x - v
-            h = warp_field(h - x, moved) + moved
-            deformed.append(warp(moving, h))
-        image = float(((deformed[-1] - fixed) ** 2).sum()) / p.sigma**2
-        back, target, det, new = x.copy(), fixed, np.ones(moving.shape), []
-        vec = 0.0
-        for t in range(p.time_steps - 1, -1, -1):
-            moved = x + vs[t]
-            back = warp_field(back - x, moved) + moved
-            target, det = warp(fixed, back), jacobian(back)
-            step = _k(det * (deformed[t] - target) * grad(deformed[t]), p.operator)
-            eps = p.step
-            if p.adaptive:
-                top = float(np.sqrt((step**2).sum(0)).max())
-                eps = min(p.step, p.max_pert * p.sigma**2 / (2 * top)) if top > 0 else p.step
-            new.append((1 - 2 * eps) * vs[t] + (2 * eps / p.sigma**2) * step)
-            vec += float((_l(vs[t], p.operator) * vs[t]).sum()) / p.time_steps
-        vs = new[::-1]
-        log.append((image + vec, image, vec))
+def along(vs: np.ndarray) -> np.ndarray:
+    """phi_T0 of velocities (B, T, 3, z, y, x)."""
+    x = kernels.identity(vs.shape[:2:-1])[None]
+    h = np.repeat(x, len(vs), 0)
+    for t in range(vs.shape[1]):
+        h = _then(h, x - vs[:, t])
+    return h
+
+
+def relax_step(moving: np.ndarray, fixed: np.ndarray, vs: np.ndarray, eps: np.ndarray, p: LDMMParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(vs, eps, energy, the fixed image at time 0, the volume change there).
+
+    v <- (1 - 2 eps) v + (2 eps / sigma^2) K(|D phi| (J0 - JT) grad J0). Where eps
+    is NaN, it is set for all times from the largest step, so that no voxel moves
+    by more than max_pert, and kept.
+    """
+    x, deformed = _x(moving), [moving]
+    h = np.repeat(x, len(moving), 0)
+    for t in range(p.time_steps):
+        h = _then(h, x - vs[:, t])
+        deformed.append(warp(moving, h))
+    energy = _sum((deformed[-1] - fixed) ** 2) / p.sigma**2
+    back, steps = np.repeat(x, len(moving), 0), np.zeros_like(vs)
+    target, det = fixed, np.ones_like(fixed)
+    for t in range(p.time_steps - 1, -1, -1):
+        back = _then(back, x + vs[:, t])
+        target, det = warp(fixed, back), jacobian(back)
+        steps[:, t] = _k((det * (deformed[t] - target))[:, None] * gradient(deformed[t]), p.operator)
+        energy = energy + _sum(_l(vs[:, t], p.operator) * vs[:, t]) / p.time_steps
+    top = np.max([_most(steps[:, t]) for t in range(p.time_steps)], 0)
+    own = np.where(top > 0, p.max_pert * p.sigma**2 / (2 * np.where(top > 0, top, 1)), p.step) if p.adaptive else np.full(len(vs), p.step)
+    eps = np.where(np.isnan(eps), np.minimum(own, 0.5), eps)
+    e = _each(eps)[:, None]
+    return (1 - 2 * e) * vs + (2 * e / p.sigma**2) * steps, eps, energy, target, det
+
+
+def relax_register(moving: np.ndarray, fixed: np.ndarray, p: LDMMParams, levels: Sequence[Level] = FULL) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """(velocities (B, T, 3, z, y, x), [(factor, energy)]): relaxation over velocities at all times."""
+    vs, log = None, []
+    for level in levels:
+        a, b = to_level(moving, level.factor), to_level(fixed, level.factor)
+        size = a.shape[:0:-1]
+        vs = np.zeros((len(a), p.time_steps, 3, *size[::-1])) if vs is None else np.stack([_finer(vs[:, t], size) for t in range(p.time_steps)], 1)
+        eps, last = np.full(len(a), np.nan), None
+        for k in range(p.iterations if level.iterations is None else level.iterations):
+            if p.reparameterise and k and k % p.reparameterise == 0:
+                vs = reparameterise(vs)
+            vs, eps, e, _, _ = relax_step(a, b, vs, eps, p)
+            log.append((level.factor, e))
+            if p.auto_reduce and last is not None:
+                eps = np.where(e > last, eps / 2, eps)
+            last = e
     return vs, log
 
 
-def affine_register(moving: np.ndarray, fixed: np.ndarray, iterations: int = 10, tolerance: float = 1e-3) -> tuple[np.ndarray, np.ndarray, list[float]]:
-    """(matrix, shift, rms) by Gauss-Newton on matrix and translation; stops when the rms changes by less than tolerance."""
-    x = identity(fixed.shape).reshape(3, -1)
+def reparameterise(vs: np.ndarray) -> np.ndarray:
+    """Velocities (B, T, ...) of constant speed along the same path, linear in cumulative length; a path without length stays."""
+    steps = vs.shape[1]
+    length = np.sqrt((vs**2).reshape(*vs.shape[:2], -1).sum(2))
+    total = length.sum(1, keepdims=True)
+    at = np.concatenate((np.zeros((len(vs), 1)), np.cumsum(length, 1)), 1) / np.where(total > 0, total, 1) * steps
+    k = np.arange(steps)[None, :, None]
+    shared = np.minimum(at[:, None, 1:], k + 1) - np.maximum(at[:, None, :-1], k)
+    share = np.maximum(shared, 0) / np.maximum(at[:, None, 1:] - at[:, None, :-1], 1e-12)
+    return np.where(total.reshape(-1, *[1] * (vs.ndim - 1)) > 0, np.einsum("bkj,bj...->bk...", share, vs), vs)
+
+
+def affine_register(moving: np.ndarray, fixed: np.ndarray, mode: str = "affine", iterations: int = 10, tolerance: float = 1e-3) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """(matrix, shift, rms) of one pair by Gauss-Newton; stops when the rms changes by less than tolerance.
+
+    mode is affine, rigid (the matrix is brought to the nearest rotation after
+    each step) or translation.
+    """
+    size = fixed.shape[::-1]
+    x = kernels.identity(size).reshape(3, -1)
     m, t, log = np.eye(3), np.zeros(3), []
+    slopes = gradient(moving[None])
     for _ in range(iterations):
-        place = (m @ x + t[:, None]).reshape(3, *fixed.shape)
-        warped = warp(moving, place, None)
-        residual = (fixed - warped).ravel()
+        place = (m @ x + t[:, None]).reshape(1, 3, *fixed.shape)
+        residual = (fixed - warp(moving[None], place, None)[0]).ravel()
         log.append(float(np.sqrt((residual**2).mean())))
         if log[-1] == 0 or (len(log) > 1 and abs(log[-2] - log[-1]) < tolerance * log[-2]):
             break
-        g = np.stack([warp(c, place, None).ravel() for c in grad(moving)])
+        g = sample(slopes, place, "clamp")[0].reshape(3, -1)
+        if mode == "translation":
+            t = t + np.linalg.lstsq(g @ g.T + 1e-9 * np.eye(3), g @ residual, rcond=None)[0]
+            continue
         a = np.concatenate([(g[:, None] * x[None]).reshape(9, -1), g])
         step = np.linalg.lstsq(a @ a.T + 1e-9 * np.eye(12), a @ residual, rcond=None)[0]
-        m, t = m + step[:9].reshape(3, 3), t + step[9:]
+        moved, t = m + step[:9].reshape(3, 3), t + step[9:]
+        if mode == "rigid":
+            centre = x.mean(1)
+            turned = nearest_rotation(moved)
+            t = t + (moved - turned) @ centre
+            moved = turned
+        m = moved
     return m, t, log
 
 
 def nearest_rotation(m: np.ndarray) -> np.ndarray:
-    """U V' of the singular value decomposition."""
+    """U V' of the singular value decomposition, without a mirror."""
     u, _, vt = np.linalg.svd(m)
-    return u @ vt
-
-
-def reparameterise(vs: list[np.ndarray]) -> list[np.ndarray]:
-    """Velocities of constant speed along the same path, linear in cumulative length."""
-    length = np.array([np.sqrt((v**2).sum()) for v in vs])
-    if length.sum() == 0:
-        return vs
-    at = np.concatenate(([0.0], np.cumsum(length))) / length.sum() * len(vs)
-    out = []
-    for k in range(len(vs)):
-        share = [max(0.0, min(at[j + 1], k + 1) - max(at[j], k)) / max(at[j + 1] - at[j], 1e-12) for j in range(len(vs))]
-        out.append(sum(s * v for s, v in zip(share, vs, strict=True)))
-    return out
-
-
-def _pairs(batches: Iterator[pd.DataFrame], size: Size, method: str, params) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for r in batch.itertuples():
-            moving, fixed = (np.asarray(v, dtype=np.float64).reshape(size[::-1]) for v in (r.moving, r.fixed))
-            if method == "greedy":
-                h, log = greedy_register(moving, fixed, params)
-                out, energies = warp(moving, h), log
-            elif method == "shooting":
-                alpha, steps = shooting_register(moving, fixed, params)
-                out, energies = shoot(moving, alpha, params)[0], [e[0] for e in steps]
-            elif method == "relaxation":
-                vs, steps = relax_register(moving, fixed, params)
-                x = identity(moving.shape)
-                h = x.copy()
-                for v in vs:
-                    h = warp_field(h - x, x - v) + x - v
-                out, energies = warp(moving, h), [e[0] for e in steps]
-            else:
-                m, t, energies = affine_register(moving, fixed)
-                out = warp(moving, (m @ identity(fixed.shape).reshape(3, -1) + t[:, None]).reshape(3, *fixed.shape))
-            rows.append((r.pair_id, out.ravel(), energies))
-        yield pd.DataFrame(rows, columns=["pair_id", "data", "energy"])
+    return u @ np.diag([1, 1, np.sign(np.linalg.det(u @ vt))]) @ vt
 
 
-def register(pairs: DataFrame, size: Size, method: str, params) -> DataFrame:
-    """(pair_id, data, energy): the moving image of each pair deformed to the fixed one, and the energies of the iterations."""
-    return pairs.select("pair_id", "moving", "fixed").mapInPandas(partial(_pairs, size=size, method=method, params=params), "pair_id long, data array<double>, energy array<double>")
+# Registration of pairs.
 
 
-def _towards(batches: Iterator[pd.DataFrame], size: Size, params: GreedyParams) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for r in batch.itertuples():
-            image, mean = (np.asarray(v, dtype=np.float64).reshape(size[::-1]) for v in (r.data, r.mean))
-            h = np.asarray(r.h, dtype=np.float64).reshape(3, *size[::-1])
-            h, delta, e = greedy_step(image, mean, h, None if np.isnan(r.delta) else r.delta, params)
-            rows.append((r.cohort, r.image_id, r.w, r.data, h.ravel(), delta, warp(image, h).ravel(), e))
-        yield pd.DataFrame(rows, columns=["cohort", "image_id", "w", "data", "h", "delta", "deformed", "energy"])
+def register(pairs: DataFrame, size: Size, method: str, params, levels: Sequence[Level] = FULL) -> DataFrame:
+    """(pair_id, data, energy, scale): the moving image of each pair deformed to the fixed one, and the energy and the level of each iteration.
 
-
-def greedy_atlas(images: DataFrame, size: Size, params: GreedyParams, atlas: AtlasParams = AtlasParams()) -> tuple[DataFrame, DataFrame]:
-    """(mean, images) of each cohort after the iterations, from images (cohort, image_id, w, data).
-
-    Each iteration averages the deformed images by voxel and moves every image
-    one greedy step towards the mean of its cohort.
+    method is greedy, shooting or relaxation, or affine, rigid or translation.
     """
-    n = size[0] * size[1] * size[2]
-    start = identity(size[::-1]).ravel().tolist()
+
+    def run(s: kernels.Stacks) -> kernels.Stacks:
+        moving, fixed = (s[n].reshape(-1, *size[::-1]) for n in ("moving", "fixed"))
+        if method == "greedy":
+            h, log = greedy_register(moving, fixed, params, levels)
+            out = warp(moving, h)
+        elif method == "shooting":
+            alpha, log = shooting_register(moving, fixed, params, levels)
+            out = shoot(moving, alpha, params)[0]
+        elif method == "relaxation":
+            vs, log = relax_register(moving, fixed, params, levels)
+            out = warp(moving, along(vs))
+        else:
+            m, t, rms = affine_register(moving[0], fixed[0], method)
+            places = (m @ kernels.identity(size).reshape(3, -1) + t[:, None]).reshape(1, 3, *size[::-1])
+            out, log = warp(moving, places), [(1, np.array([e])) for e in rms]
+        return {"data": out, "energy": np.stack([e for _, e in log], 1), "scale": np.repeat([[f for f, _ in log]], len(out), 0)}
+
+    one = 1 if method in ("affine", "rigid", "translation") else None
+    found = kernels.map_images(pairs, run, ["moving", "fixed"], ["data", "energy", "scale"], ["pair_id"], one)
+    return found.withColumn("scale", F.col("scale").cast("array<int>"))
+
+
+def energy_events(registered: DataFrame, key: str = "pair_id") -> DataFrame:
+    """(key, scale, iter, total, change): the history of a registration, one row an iteration; change is null where a level starts."""
+    e, s = F.col("energy"), F.col("scale")
+    step = F.transform(
+        F.sequence(F.lit(0), F.size("energy") - 1),
+        lambda i: F.struct(F.get(s, i).alias("scale"), i.alias("iter"), F.get(e, i).alias("total"), F.when(F.get(s, i - 1) == F.get(s, i), F.get(e, i) - F.get(e, i - 1)).alias("change")),
+    )
+    return registered.filter(F.size("energy") > 0).select(key, F.explode(step).alias("e")).select(key, "e.*")
+
+
+# Atlases.
+
+
+def _start(images: DataFrame, atlas: AtlasParams) -> DataFrame:
     if atlas.scale_weights:
         from volspark.operators.aggregate import normal_weights
 
         images = normal_weights(images, "w", ["cohort"])
-    state = images.select("cohort", "image_id", "w", "data", F.array(*[F.lit(v) for v in start]).alias("h"), F.lit(float("nan")).alias("delta"), F.col("data").alias("deformed"), F.lit(0.0).alias("energy"))
-    for _ in range(params.iterations):
-        state = cut(state)
-        means = _mean(state, n)
-        joined = state.join(means, "cohort")
-        state = joined.select("cohort", "image_id", "w", "data", "h", "delta", "mean").mapInPandas(partial(_towards, size=size, params=params), "cohort int, image_id long, w double, data array<double>, h array<double>, delta double, deformed array<double>, energy double")
+    return images.select("cohort", "image_id", "w", "data")
+
+
+def _mean(state: DataFrame, atlas: AtlasParams, first: bool) -> DataFrame:
+    """(cohort, mean) of the deformed images, summed by voxel, so that the partial sums of a task are all that it sends."""
+    if atlas.voxel_median:
+        voxels = state.select("cohort", F.posexplode("deformed").alias("i", "v"))
+        sums = voxels.groupBy("cohort", "i").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY v)").alias("m"))
+    else:
+        if not first and (atlas.median or atlas.trimmed_size):
+            state = _reweighted(state, atlas)
+        voxels = state.select("cohort", "w", F.posexplode(F.arrays_zip("deformed", "jac")).alias("i", "p"))
+        w = F.col("w") * F.col("p.jac")
+        sums = voxels.groupBy("cohort", "i").agg((F.sum(w * F.col("p.deformed")) / F.sum(w)).alias("m"))
+    return sums.groupBy("cohort").agg(F.array_sort(F.collect_list(F.struct("i", "m")))["m"].alias("mean"))
+
+
+def _reweighted(state: DataFrame, atlas: AtlasParams) -> DataFrame:
+    """Weights by the distance to the last mean: its inverse, or equal ones for the closest images."""
+    if atlas.trimmed_size:
+        from volspark.operators.order import closest_weights
+
+        kept = closest_weights(state.select("cohort", "image_id", F.col("distance").alias("dist")), F.least(F.lit(atlas.trimmed_size), F.col("n")), ["cohort"])
+        state = state.drop("w").join(kept, ["cohort", "image_id"])
+    if atlas.median:
+        state = state.withColumn("w", F.col("w") / F.sqrt(F.greatest("distance", F.lit(1e-12))))
+    return state
+
+
+def build_atlas(images: DataFrame, size: Size, params: GreedyParams | LDMMParams, atlas: AtlasParams = AtlasParams(), levels: Sequence[Level] = FULL) -> tuple[DataFrame, DataFrame]:
+    """(mean, images) of each cohort from images (cohort, image_id, w, data), one step of every image in each iteration.
+
+    With GreedyParams, images move towards the mean and are averaged as moved.
+    With LDMMParams, the mean moves towards the images along velocities, and they
+    are averaged as pulled back to it, by their change of volume if the atlas
+    says so. The state of an image is ``f``, its places or velocities.
+    """
+    greedy = isinstance(params, GreedyParams)
+    times = 1 if greedy else params.time_steps
+    full = _start(images, atlas)
+    state, old = None, None
+    keep = ["cohort", "image_id", "w"]
+    for level in levels:
+        now, factor = level_size(size, level.factor), level.factor
+
+        def begin(s: kernels.Stacks, now=now, old=old, factor=factor) -> kernels.Stacks:
+            data = to_level(s["data"].reshape(-1, *size[::-1]), factor)
+            if "f" not in s:
+                f = np.repeat(_x(data), len(data), 0) if greedy else np.zeros((len(data), times, 3, *now[::-1]))
+            elif greedy:
+                f = kernels.resize_places(s["f"].reshape(-1, 3, *old[::-1]), now)
+            else:
+                v = s["f"].reshape(-1, times, 3, *old[::-1])
+                f = np.stack([_finer(v[:, t], now) for t in range(times)], 1)
+            if greedy:
+                deformed, jac = warp(data, f), np.ones_like(data)
+            else:
+                x = _x(data)
+                back = np.repeat(x, len(data), 0)
+                for t in range(times - 1, -1, -1):
+                    back = _then(back, x + f[:, t])
+                deformed, jac = warp(data, back), jacobian(back) if atlas.jacobian_scale else np.ones_like(data)
+            return {"level": data, "f": f, "step": np.full((len(data), 1), np.nan), "deformed": deformed, "jac": jac}
+
+        source = full if state is None else full.join(state.select("image_id", "f"), "image_id")
+        out = ["level", "f", "step", "deformed", "jac"]
+        state = kernels.map_images(source, begin, ["data"] if state is None else ["data", "f"], out, keep)
+        state = state.withColumns({"energy": F.lit(0.0), "distance": F.lit(0.0)})
+
+        def step(s: kernels.Stacks, now=now) -> kernels.Stacks:
+            data, mean = s["level"].reshape(-1, *now[::-1]), s["mean"].reshape(-1, *now[::-1])
+            if greedy:
+                f, delta, energy = greedy_step(data, mean, s["f"].reshape(-1, 3, *now[::-1]), s["step"][:, 0], params)
+                deformed, jac = warp(data, f), np.ones_like(data)
+            else:
+                f, delta, energy, deformed, jac = relax_step(mean, data, s["f"].reshape(-1, times, 3, *now[::-1]), s["step"][:, 0], params)
+                jac = jac if atlas.jacobian_scale else np.ones_like(jac)
+            return {"level": data, "f": f, "step": delta, "deformed": deformed, "jac": jac, "energy": energy, "distance": _sum((deformed - mean) ** 2)}
+
+        for k in range(params.iterations if level.iterations is None else level.iterations):
+            state = cut(state)
+            joined = _with_mean(state, _mean(state, atlas, k == 0), now)
+            moved = kernels.map_images(joined, step, ["level", "f", "step", "mean"], [*out, "energy", "distance"], keep)
+            state = moved.withColumns({c: F.element_at(c, 1) for c in ("energy", "distance")})
+        old = now
     state = cut(state)
-    return _mean(state, n), state
+    return _mean(state, atlas, False), state
 
 
-def _mean(state: DataFrame, n: int) -> DataFrame:
-    """(cohort, mean): weighted means, summed by voxel so that the partial sums of a task are all it sends."""
-    voxels = state.select("cohort", "w", F.posexplode("deformed").alias("i", "v"))
-    sums = voxels.groupBy("cohort", "i").agg((F.sum(F.col("w") * F.col("v"))).alias("m"))
-    return sums.groupBy("cohort").agg(F.array_sort(F.collect_list(F.struct("i", "m")))["m"].alias("mean"))
+def _with_mean(state: DataFrame, means: DataFrame, size: Size) -> DataFrame:
+    """Images with the mean of their cohort, which is sent to all tasks only if all means are small."""
+    means = cut(means)
+    small = means.count() * size[0] * size[1] * size[2] * 8 <= BROADCAST_BYTES
+    return state.join(F.broadcast(means) if small else means, "cohort")
+
+
+def affine_atlas(images: DataFrame, size: Size, mode: str = "affine", rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(mean, images) of each cohort: in each round every image is registered to the mean anew, and the moved images are averaged."""
+    atlas = AtlasParams(jacobian_scale=False)
+    ones = lambda c: F.transform(c, lambda _: F.lit(1.0))
+    state = _start(images, atlas).withColumns({"deformed": F.col("data"), "jac": ones("data"), "energy": F.lit(0.0)})
+
+    def run(s: kernels.Stacks) -> kernels.Stacks:
+        data, mean = s["data"].reshape(-1, *size[::-1]), s["mean"].reshape(-1, *size[::-1])
+        m, t, rms = affine_register(data[0], mean[0], mode)
+        places = (m @ kernels.identity(size).reshape(3, -1) + t[:, None]).reshape(1, 3, *size[::-1])
+        return {"data": data, "deformed": warp(data, places, None), "jac": np.ones_like(data), "energy": np.array([rms[-1]])}
+
+    for _ in range(rounds):
+        state = cut(state)
+        joined = _with_mean(state, _mean(state, atlas, True), size)
+        found = kernels.map_images(joined, run, ["data", "mean"], ["data", "deformed", "jac", "energy"], ["cohort", "image_id", "w"], 1)
+        state = found.withColumn("energy", F.element_at("energy", 1))
+    state = cut(state)
+    return _mean(state, atlas, True), state

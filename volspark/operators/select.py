@@ -56,22 +56,23 @@ def orient(rows: DataFrame, size: Size, order: str, flipped: str = "") -> DataFr
     return rows.withColumns(new)
 
 
-def flood_fill(rows: DataFrame, seeds: DataFrame, low: float, high: float, steps: int = 100_000) -> DataFrame:
-    """(image_id, x, y, z) that 6-connected steps within [low, high] reach from seeds.
+def flood_fill(rows: DataFrame, seeds: DataFrame, low: float, high: float) -> DataFrame:
+    """(image_id, x, y, z) that 6-connected steps within [low, high] reach from seeds, until nothing new is reached.
 
-    Only the last frontier is joined in each step; lineage is cut every step.
+    A seed counts only if its own value is within the range. Only the last
+    frontier is joined in each step; each frontier is kept once.
     """
     from volspark.plans.state import cut
 
     open_ = cut(rows.filter(F.col("v").between(low, high)).select("image_id", *AXES))
     key = ["image_id", *AXES]
     frontier = cut(open_.join(seeds.select(*key), key, "left_semi"))
-    reached = frontier
+    reached, before = frontier, None
     near = F.array(*[F.struct(*[(F.col(b) + (d if a == b else 0)).alias(b) for b in AXES]) for a in AXES for d in (-1, 1)])
-    for _ in range(steps):
+    while not frontier.isEmpty():
         moved = frontier.select("image_id", F.explode(near).alias("p")).select("image_id", "p.*").distinct()
-        frontier = cut(open_.join(moved, key, "left_semi").join(reached, key, "left_anti"))
-        if frontier.isEmpty():
-            break
-        reached = cut(reached.unionByName(frontier))
+        # A step reaches only what the last two frontiers don't hold: older ones are two steps away or more.
+        new = open_.join(moved, key, "left_semi").join(frontier, key, "left_anti")
+        before, frontier = frontier, cut(new if before is None else new.join(before, key, "left_anti"))
+        reached = reached.unionByName(frontier)
     return reached

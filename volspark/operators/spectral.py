@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import partial
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from volspark.operators import kernels
 from volspark.operators.grid import Size
 
 
@@ -27,36 +26,60 @@ def operator_matrices(size: Size, spacing: tuple[float, float, float], alpha: fl
     return out
 
 
+_SHAPES = [(1, 1, -1), (1, -1, 1), (-1, 1, 1)]
+
+
 def apply_operator(field: np.ndarray, size: Size, spacing=(1.0, 1.0, 1.0), alpha=0.01, beta=0.01, gamma=0.001, power=1.0, inverse=False, incompressible=False) -> np.ndarray:
-    """L^power or its inverse of a field (3, sz, sy, sx); optionally projected to be free of divergence."""
-    f = np.fft.fftn(field, axes=(1, 2, 3))
+    """L^power or its inverse of a field or a stack (..., 3, z, y, x); optionally projected to be free of divergence."""
+    axes = (-3, -2, -1)
+    f = np.moveaxis(np.fft.fftn(field, axes=axes), -4, -1)
     m = operator_matrices(size, spacing, alpha, beta, gamma)
     if power != 1.0:
         values, vectors = np.linalg.eigh(m)
         values = np.maximum(values, 1e-12) ** (-power if inverse else power)
-        m = np.einsum("...ij,...j,...kj->...ik", vectors, values, vectors)
-        f = np.einsum("zyxij,jzyx->izyx", m, f)
+        f = (np.einsum("...ij,...j,...kj->...ik", vectors, values, vectors) @ f[..., None])[..., 0]
     elif inverse:
-        f = np.moveaxis(np.linalg.solve(m, np.moveaxis(f, 0, -1)[..., None])[..., 0], -1, 0)
+        f = np.linalg.solve(m, f[..., None])[..., 0]
     else:
-        f = np.einsum("zyxij,jzyx->izyx", m, f)
+        f = (m @ f[..., None])[..., 0]
     if incompressible:
-        s = np.stack(np.broadcast_arrays(*[(np.sin(2 * np.pi * np.arange(n) / n) / sp).reshape(k) for n, sp, k in zip(size, spacing, [(1, 1, -1), (1, -1, 1), (-1, 1, 1)], strict=True)]))
-        sq = (s**2).sum(0)
-        f = f - np.where(sq > 1e-12, (f * s).sum(0) / np.where(sq > 1e-12, sq, 1), 0) * s
-    return np.fft.ifftn(f, axes=(1, 2, 3)).real
-
-
-def _per_field(batches: Iterator[pd.DataFrame], size: Size, options: dict) -> Iterator[pd.DataFrame]:
-    shape = (3, *size[::-1])
-    for batch in batches:
-        out = [apply_operator(np.stack([np.asarray(r.ux), np.asarray(r.uy), np.asarray(r.uz)]).reshape(shape), size, **options).reshape(3, -1) for r in batch.itertuples()]
-        yield pd.DataFrame({"image_id": batch["image_id"], "ux": [o[0] for o in out], "uy": [o[1] for o in out], "uz": [o[2] for o in out]})
+        s = np.stack(np.broadcast_arrays(*[(np.sin(2 * np.pi * np.arange(n) / n) / sp).reshape(k) for n, sp, k in zip(size, spacing, _SHAPES, strict=True)]), -1)
+        sq = (s**2).sum(-1, keepdims=True)
+        f = f - np.where(sq > 1e-12, (f * s).sum(-1, keepdims=True) / np.where(sq > 1e-12, sq, 1), 0) * s
+    return np.fft.ifftn(np.moveaxis(f, -1, -4), axes=axes).real
 
 
 def kernel(fields: DataFrame, size: Size, **options) -> DataFrame:
     """Apply L (or K = L^-1 with inverse=True) to dense fields (image_id, ux, uy, uz arrays)."""
-    return fields.select("image_id", "ux", "uy", "uz").mapInPandas(partial(_per_field, size=size, options=options), "image_id long, ux array<double>, uy array<double>, uz array<double>")
+    names = ("ux", "uy", "uz")
+
+    def run(s: kernels.Stacks) -> kernels.Stacks:
+        out = apply_operator(np.stack([s[n].reshape(-1, *size[::-1]) for n in names], 1), size, **options)
+        return {n: out[:, i] for i, n in enumerate(names)}
+
+    return kernels.map_images(fields, run, names, names)
+
+
+def gaussian_response(size: Size, sigmas: Sequence[float], weights: Sequence[float], spacing: Sequence[float] = (1, 1, 1)) -> np.ndarray:
+    """(z, y, x): the Fourier transform of a weighted sum of periodic Gaussians, with weights normalised to 1."""
+    w = [2 * np.pi * np.fft.fftfreq(n) / s for n, s in zip(size, spacing, strict=True)]
+    square = sum((a.reshape(k) ** 2 for a, k in zip(w, _SHAPES, strict=True)), np.zeros(size[::-1]))
+    return sum((p / sum(weights) * np.exp(-square * s * s / 2) for s, p in zip(sigmas, weights, strict=True)), np.zeros(size[::-1]))
+
+
+def convolve(images: DataFrame, size: Size, response: np.ndarray, values: Sequence[str] = ("data",)) -> DataFrame:
+    """The arrays ``values`` convolved by a kernel that is given by its Fourier transform, one transform there and one back."""
+
+    def run(s: kernels.Stacks) -> kernels.Stacks:
+        axes = (1, 2, 3)
+        return {n: np.fft.ifftn(np.fft.fftn(s[n].reshape(-1, *size[::-1]), axes=axes) * response, axes=axes).real for n in values}
+
+    return kernels.map_images(images, run, values, values)
+
+
+def multi_gaussian(fields: DataFrame, size: Size, sigmas: Sequence[float], weights: Sequence[float], spacing: Sequence[float] = (1, 1, 1)) -> DataFrame:
+    """A field smoothed by a weighted sum of Gaussians, component by component."""
+    return convolve(fields, size, gaussian_response(size, sigmas, weights, spacing), ("ux", "uy", "uz"))
 
 
 def sinc_upsample(volume: np.ndarray, factor: int) -> np.ndarray:
@@ -79,11 +102,13 @@ def recursive_gaussian(values: np.ndarray, sigma: float, axis: int) -> np.ndarra
     return np.moveaxis(x, 0, axis)
 
 
-def _per_volume(batches: Iterator[pd.DataFrame], size: Size, f) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield pd.DataFrame({"image_id": batch["image_id"], "data": [f(np.asarray(d).reshape(size[::-1])).ravel() for d in batch["data"]]})
+def recursive_blur(images: DataFrame, size: Size, sigma: Sequence[float]) -> DataFrame:
+    """``data`` after recursive filters along x, y and z."""
 
+    def run(s: kernels.Stacks) -> kernels.Stacks:
+        v = s["data"].reshape(-1, *size[::-1])
+        for axis, width in enumerate(sigma):
+            v = recursive_gaussian(v, width, 3 - axis) if width > 0 else v
+        return {"data": v}
 
-def map_volumes(volumes: DataFrame, size: Size, f) -> DataFrame:
-    """A numpy function over each dense volume (sz, sy, sx)."""
-    return volumes.select("image_id", "data").mapInPandas(partial(_per_volume, size=size, f=f), "image_id long, data array<double>")
+    return kernels.map_images(images, run, ["data"], ["data"])

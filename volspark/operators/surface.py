@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 XYZ = ("x", "y", "z")
 #: Points that a broadcast reference set may have; beyond it nearest points are found by cells.
@@ -127,23 +131,45 @@ def perimeter(points: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     return points.withColumn("_d", F.sqrt(squares)).groupBy(*keys).agg(F.coalesce(F.sum("_d"), F.lit(0.0)).alias("perimeter"), F.count("*").alias("points"))
 
 
+_FAR = 1 << 18
+
+
+def _nearest(batches: Iterator[pa.RecordBatch], reference: np.ndarray, keys: int) -> Iterator[pa.RecordBatch]:
+    """Distances of the points (last three columns) to the nearest of the reference, some at a time."""
+    step = max(1, _FAR // max(1, len(reference)))
+    for batch in batches:
+        p = np.stack([batch.column(keys + i).to_numpy(zero_copy_only=False) for i in range(3)], 1).astype(np.float64)
+        near = [((p[i : i + step, None] - reference[None]) ** 2).sum(2).min(1) for i in range(0, len(p), step)]
+        dist = np.sqrt(np.concatenate([np.zeros(0), *near]))
+        yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(keys)], pa.array(dist)], [*batch.schema.names[:keys], "dist"])
+
+
 def nearest_distance(points: DataFrame, reference: DataFrame, keys: Sequence[str], cell: float = 1.0) -> DataFrame:
-    """(keys, dist): distance of each point to the nearest point of the reference.
+    """(keys, dist): distance of each point to the nearest point of the reference; null where a coordinate or the reference is missing.
 
-    A reference of at most BROADCAST_POINTS points goes to every task as one
-    array. A larger one is found by cells: the 27 cells around a point hold all
-    points within the cell's width, so a distance up to it is final, and the
-    rest is tried again with cells of twice the width.
+    A reference of at most BROADCAST_POINTS points, which is counted before, goes
+    to every task. A larger one is found by cells: the 27 cells around a point
+    hold all points within the cell's width, so a distance up to it is final, and
+    the rest is tried again with cells of twice the width, until none is left.
     """
     from volspark.plans.state import cut
 
     square = lambda p, q: sum(((p[a] - q[a]) * (p[a] - q[a]) for a in XYZ[1:]), (p["x"] - q["x"]) * (p["x"] - q["x"]))
-    if reference.limit(BROADCAST_POINTS + 1).count() <= BROADCAST_POINTS:
-        all_ = reference.agg(F.collect_list(F.struct(*XYZ)).alias("_all"))
-        here = F.struct(*XYZ)
-        near = F.array_min(F.transform("_all", lambda q: square(here, q)))
-        return points.join(F.broadcast(all_)).select(*keys, F.sqrt(near).alias("dist"))
-    left, done = cut(points.select(*keys, *XYZ)), None
+    reference = reference.select(*[F.col(a).cast("double").alias(a) for a in XYZ]).dropna()
+    points = points.select(*keys, *[F.col(a).cast("double").alias(a) for a in XYZ])
+    lost = F.lit(False)
+    for a in XYZ:
+        lost = lost | F.col(a).isNull() | F.isnan(a)
+    none = points.filter(lost).select(*keys, F.lit(None).cast("double").alias("dist"))
+    points = points.filter(~lost)
+    few = reference.limit(BROADCAST_POINTS + 1).toPandas()
+    if len(few) == 0:
+        return none.unionByName(points.select(*keys, F.lit(None).cast("double").alias("dist")))
+    if len(few) <= BROADCAST_POINTS:
+        schema = StructType([*[points.schema[k] for k in keys], StructField("dist", DoubleType())])
+        spread = points.repartition(4 * points.sparkSession.sparkContext.defaultParallelism)
+        return spread.mapInArrow(partial(_nearest, reference=few.to_numpy(np.float64), keys=len(keys)), schema).unionByName(none)
+    left, done = cut(points), none
     while True:
         at = {a: F.floor(F.col(a) / F.lit(cell)) for a in XYZ}  # noqa: B023
         ref = reference.select(*[at[a].alias(f"_{a}") for a in XYZ], F.struct(*XYZ).alias("_q"))
@@ -152,13 +178,41 @@ def nearest_distance(points: DataFrame, reference: DataFrame, keys: Sequence[str
         near = near.withColumn("_y", F.explode(F.transform(step, lambda d: F.col("_by") + d))).withColumn("_z", F.explode(F.transform(step, lambda d: F.col("_bz") + d)))
         found = near.join(ref, ["_x", "_y", "_z"]).groupBy(*keys).agg(F.min(F.sqrt(square(F.struct(*XYZ), F.col("_q")))).alias("dist")).filter(F.col("dist") <= cell)
         found = cut(found)
-        done = found if done is None else done.unionByName(found)
+        done = done.unionByName(found)
         left = cut(left.join(found.select(*keys), list(keys), "left_anti"))
         if left.isEmpty():
             return done
         cell *= 2
 
 
+def cleaned(vertices: DataFrame, facets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vertices of a surface without repeated places (the smallest vid stays) and those that no facet uses; facets without repeated corners."""
+    same = vertices.groupBy("surface_id", *XYZ).agg(F.min("vid").alias("keep"))
+    moved = vertices.join(same, ["surface_id", *XYZ]).select("surface_id", "vid", "keep")
+    corner = facets.select("surface_id", "fid", F.posexplode("vids").alias("at", "vid")).join(moved, ["surface_id", "vid"])
+    whole = corner.groupBy("surface_id", "fid").agg(F.array_sort(F.collect_list(F.struct("at", "keep")))["keep"].alias("vids"))
+    whole = whole.withColumn("vids", F.array_distinct("vids")).filter(F.size("vids") >= 3)
+    used = whole.select("surface_id", F.explode("vids").alias("vid")).distinct()
+    return vertices.join(used, ["surface_id", "vid"], "left_semi"), whole
+
+
+def to_index(points: DataFrame, origin: Sequence[float], spacing: Sequence[float]) -> DataFrame:
+    """World coordinates to those of an image's voxels."""
+    return points.withColumns({a: (F.col(a) - float(o)) / float(s) for a, o, s in zip(XYZ, origin, spacing, strict=True)})
+
+
+def to_world(points: DataFrame, origin: Sequence[float], spacing: Sequence[float]) -> DataFrame:
+    """Coordinates of an image's voxels to the world."""
+    return points.withColumns({a: F.col(a) * float(s) + float(o) for a, o, s in zip(XYZ, origin, spacing, strict=True)})
+
+
+def aligned_centroids(moving: DataFrame, fixed: DataFrame, key: str = "surface_id") -> DataFrame:
+    """The points of each moving surface shifted so that their mean is that of the fixed points with the same key."""
+    mean = lambda df, p: df.groupBy(key).agg(*[F.avg(a).alias(p + a) for a in XYZ])
+    both = moving.join(mean(moving, "_m"), key).join(mean(fixed, "_f"), key)
+    return both.withColumns({a: F.col(a) + F.col("_f" + a) - F.col("_m" + a) for a in XYZ}).drop(*[p + a for p in ("_m", "_f") for a in XYZ])
+
+
 def hausdorff(points: DataFrame, reference: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Maximum and mean of the nearest distances from the points to the reference."""
     return nearest_distance(points, reference, keys).agg(F.max("dist").alias("hausdorff"), F.avg("dist").alias("mean_dist"))

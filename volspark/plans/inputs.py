@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volspark.operators.grid import voxels
+from volspark.operators.grid import unpacked, voxels
 
 SIZE = (4, 4, 4)
 FLAT = (32, 32, 1)
@@ -26,9 +26,9 @@ def volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("image_id"), F.col("label").alias("cohort"), F.col("embedding").cast("array<double>").alias("data"))
 
 
-def vox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(image_id, cohort, x, y, z, v)."""
-    return voxels(volumes(spark, sf_dir), SIZE, "data", "cohort")
+def vox(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """(image_id, cohort, x, y, z, v); ``dealt`` by image_id for windows and sums of images."""
+    return voxels(volumes(spark, sf_dir), SIZE, "data", "cohort", dealt=dealt)
 
 
 def weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,13 +48,16 @@ def dense_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fields(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
     """(image_id, x, y, z, ux, uy, uz)."""
-    sx, sy, _ = SIZE
-    d = dense_fields(spark, sf_dir).repartition("image_id")
-    rows = d.select("image_id", F.posexplode(F.arrays_zip("ux", "uy", "uz")).alias("i", "u"))
-    i = F.col("i")
-    return rows.select("image_id", (i % sx).alias("x"), (F.floor(i / sx) % sy).cast("int").alias("y"), F.floor(i / (sx * sy)).cast("int").alias("z"), "u.ux", "u.uy", "u.uz")
+    return unpacked(dense_fields(spark, sf_dir), SIZE, ("ux", "uy", "uz"), dealt=dealt)
+
+
+def placed(spark: SparkSession, sf_dir: str, sign: float = 1.0, spacing: tuple[float, float, float] = (1, 1, 1)) -> DataFrame:
+    """(image_id, ux, uy, uz, px, py, pz, data): fields with their places and the volumes of the same image, one row an image."""
+    from volspark.operators.fields import with_places
+
+    return with_places(dense_fields(spark, sf_dir), SIZE, sign, spacing).join(volumes(spark, sf_dir).select("image_id", "data"), "image_id")
 
 
 def flat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,14 +12,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volspark.config import GreedyParams, LDMMParams
+from volspark.config import FULL, AtlasParams, GreedyParams, LDMMParams, Level, PreprocessParams
 from volspark.functions import strings
-from volspark.operators import aggregate, fields, interp, metadata, order, pca, pointwise, registration, select, spectral, stencil, surface
+from volspark.operators import aggregate, fields, interp, metadata, order, pca, pointwise, preprocess, registration, select, shapes, spectral, stencil, surface
 from volspark.operators.fields import H, U
-from volspark.operators.grid import AXES, dense, voxels
+from volspark.operators.grid import AXES, dense, unpacked, voxels
 from volspark.operators.interp import PLACE
 from volspark.plans import inputs as src
 from volspark.plans.inputs import FLAT, SIZE, table, with_ctes
+from volspark.sources import catalogue
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -98,14 +99,14 @@ def voxel_scan(spark, d):
 
 @query("image_id:i n:i checksum:d", with_ctes("vox") + " SELECT image_id, count(*) AS n, sum(v * (x + 4 * y + 16 * z + 1)) AS checksum FROM vox GROUP BY image_id")
 def dense_round_trip(spark, d):
-    data = dense(src.vox(spark, d), SIZE)
+    data = dense(src.vox(spark, d, dealt=True), SIZE)
     total = F.aggregate(F.transform("data", lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v)
     return data.select("image_id", F.size("data").alias("n"), total.alias("checksum"))
 
 
 @query(VOXEL + " v:d", with_ctes("vox") + " SELECT image_id, x, y, z, CASE WHEN hi = lo THEN 0 ELSE (v - lo) / (hi - lo) END AS v FROM (SELECT *, min(v) OVER (PARTITION BY image_id) AS lo, max(v) OVER (PARTITION BY image_id) AS hi FROM vox)")
 def intensity_window(spark, d):
-    return pointwise.rescale_images(src.vox(spark, d))
+    return pointwise.rescale_images(src.vox(spark, d, dealt=True))
 
 
 @query(VOXEL + " v:d", with_ctes("vox") + " SELECT image_id, x, y, z, CASE WHEN v < -0.1 THEN 0 WHEN v > 0.1 THEN 255 ELSE 255 * (v + 0.1) / 0.2 END AS v FROM vox")
@@ -120,7 +121,7 @@ def threshold(spark, d):
 
 @query(VOXEL + " v:d", with_ctes("vox") + " SELECT image_id, x, y, z, CASE WHEN min(v) OVER (PARTITION BY image_id) < 0 THEN v + 1024 ELSE v END AS v FROM vox")
 def unsigned_shift(spark, d):
-    return pointwise.unsigned_shift(src.vox(spark, d))
+    return pointwise.unsigned_shift(src.vox(spark, d, dealt=True))
 
 
 @query(VOXEL + " filled:d scaled:d added:d clipped:d mixed:d kind:i", with_ctes("vox") + " SELECT image_id, x, y, z, 7.5 AS filled, v * 2.5 AS scaled, v + 0.125 AS added, abs(v) AS clipped, v * 0.75 + 0.25 AS mixed, CAST(trunc(v * 100) AS INTEGER) AS kind FROM vox")
@@ -207,12 +208,12 @@ def flood_fill(spark, d):
 
 @query("image_id:i min_v:d max_v:d sum_v:d mean_v:d sum_sq:d max_abs:d sum_abs:d n:i", with_ctes("vox") + " SELECT image_id, min(v) AS min_v, max(v) AS max_v, sum(v) AS sum_v, avg(v) AS mean_v, sum(v * v) AS sum_sq, max(abs(v)) AS max_abs, sum(abs(v)) AS sum_abs, count(*) AS n FROM vox GROUP BY image_id")
 def image_stats(spark, d):
-    return aggregate.image_stats(src.vox(spark, d))
+    return aggregate.image_stats(src.vox(spark, d, dealt=True))
 
 
 @query("image_id:i norm_sq:d", with_ctes("vox") + " SELECT image_id, 1.5 * sum(v * v) AS norm_sq FROM vox GROUP BY image_id")
 def l2_norm(spark, d):
-    return src.vox(spark, d).groupBy("image_id").agg(aggregate.l2_norm_sq(1.5, F.col("v")).alias("norm_sq"))
+    return src.vox(spark, d, dealt=True).groupBy("image_id").agg(aggregate.l2_norm_sq(1.5, F.col("v")).alias("norm_sq"))
 
 
 @query("image_id:i dot:d ssd:d mse:d", with_ctes("vox") + " SELECT a.image_id, sum(a.v * b.v) AS dot, sum((a.v - b.v) ** 2) AS ssd, avg((a.v - b.v) ** 2) AS mse FROM vox a JOIN vox b ON b.image_id = a.image_id + 1 AND (a.x, a.y, a.z) = (b.x, b.y, b.z) GROUP BY a.image_id")
@@ -226,7 +227,7 @@ def l2_dot_ssd(spark, d):
 
 @query("image_id:i cx:d cy:d cz:d", with_ctes("vox") + " SELECT image_id, sum(x * abs(v)) / sum(abs(v)) AS cx, sum(y * abs(v)) / sum(abs(v)) AS cy, sum(z * abs(v)) / sum(abs(v)) AS cz FROM vox GROUP BY image_id")
 def centroid(spark, d):
-    return aggregate.centroid(src.vox(spark, d).withColumn("v", F.abs("v")))
+    return aggregate.centroid(src.vox(spark, d, dealt=True).withColumn("v", F.abs("v")))
 
 
 @query(COHORT + " mean_v:d sum_v:d var_v:d n:i", with_ctes("vox") + " SELECT cohort, x, y, z, avg(v) AS mean_v, sum(v) AS sum_v, var_samp(v) AS var_v, count(*) AS n FROM vox GROUP BY ALL")
@@ -239,6 +240,11 @@ def voxel_weighted_mean(spark, d):
     return aggregate.weighted_mean(src.weighted(spark, d), ["cohort"])
 
 
+@query(COHORT + " mean_v:d var_v:d std_v:d", with_ctes("wvox", "m AS (SELECT cohort, x, y, z, sum(w * v) / sum(w) AS m FROM wvox GROUP BY ALL), q AS (SELECT cohort, x, y, z, any_value(m) AS mean_v, sum(w * (v - m) ** 2) / sum(w) AS var_v FROM wvox JOIN m USING (cohort, x, y, z) GROUP BY ALL)") + " SELECT *, sqrt(var_v) AS std_v FROM q")
+def weighted_variance(spark, d):
+    return aggregate.weighted_stats(src.weighted(spark, d), ["cohort"])
+
+
 @query(COHORT + " mean_v:d", with_ctes("wvox") + " SELECT cohort, x, y, z, sum(w * (1 + abs(v)) * v) / sum(w * (1 + abs(v))) AS mean_v FROM wvox GROUP BY ALL")
 def jacobian_scaled_mean(spark, d):
     return aggregate.jacobian_mean(src.weighted(spark, d).withColumn("j", 1 + F.abs("v")), ["cohort"])
@@ -309,12 +315,12 @@ def sorted_voxels(spark, d):
 
 @query(VOXEL + " gx:d gy:d gz:d", with_ctes("vox") + f" SELECT image_id, x, y, z, {_d('v', 'x')} AS gx, {_d('v', 'y')} AS gy, {_d('v', 'z')} AS gz FROM vox")
 def gradient(spark, d):
-    return stencil.gradient(src.vox(spark, d), SIZE)
+    return stencil.gradient(src.vox(spark, d, dealt=True), SIZE)
 
 
 @query(VOXEL + " gx:d gy:d gz:d", with_ctes("vox") + f" SELECT image_id, x, y, z, {_d('v', 'x', True)} AS gx, {_d('v', 'y', True)} AS gy, {_d('v', 'z', True)} AS gz FROM vox")
 def gradient_wrap(spark, d):
-    return stencil.gradient(src.vox(spark, d), SIZE, wrap=True)
+    return stencil.gradient(src.vox(spark, d, dealt=True), SIZE, wrap=True)
 
 
 _SIX = " + ".join(f"lag(v) OVER (PARTITION BY {LINE[a]}) + lead(v) OVER (PARTITION BY {LINE[a]})" for a in "xyz")
@@ -322,7 +328,7 @@ _SIX = " + ".join(f"lag(v) OVER (PARTITION BY {LINE[a]}) + lead(v) OVER (PARTITI
 
 @query(VOXEL + " lap:d", with_ctes("vox") + f" SELECT image_id, x, y, z, CASE WHEN x IN (1, 2) AND y IN (1, 2) AND z IN (1, 2) THEN {_SIX} - 6 * v ELSE 0 END AS lap FROM vox")
 def laplacian(spark, d):
-    return stencil.laplacian(src.vox(spark, d), SIZE)
+    return stencil.laplacian(src.vox(spark, d, dealt=True), SIZE)
 
 
 def _separable(name: str, sql: Callable[[str], str], f) -> None:
@@ -332,7 +338,7 @@ def _separable(name: str, sql: Callable[[str], str], f) -> None:
         last = f"s{a}"
 
     def plan(spark, d):
-        return f(src.vox(spark, d))
+        return f(src.vox(spark, d, dealt=True))
 
     plan.__name__ = name
     query(VOXEL + " v:d", with_ctes("vox", ", ".join(steps)) + " SELECT * FROM sz")(plan)
@@ -354,12 +360,12 @@ _separable("gaussian_blur", _gauss, lambda v: stencil.gaussian_blur(v, SIZE, (1,
 
 @query(VOXEL + " v:d", with_ctes("vox", "sx AS (SELECT image_id, x, y, z, " + _gauss("x") + " AS v FROM vox), sy AS (SELECT image_id, x, y, z, " + _gauss("y") + " AS v FROM sx), sz AS (SELECT image_id, x, y, z, " + _gauss("z") + " AS v FROM sy)") + " SELECT image_id, x // 2 AS x, y // 2 AS y, z // 2 AS z, v FROM sz WHERE x % 2 = 0 AND y % 2 = 0 AND z % 2 = 0")
 def gaussian_downsample(spark, d):
-    return select.downsample(stencil.gaussian_blur(src.vox(spark, d), SIZE, (1, 1, 1), (2, 2, 2)), SIZE, (2, 2, 2))
+    return select.downsample(stencil.gaussian_blur(src.vox(spark, d, dealt=True), SIZE, (1, 1, 1), (2, 2, 2)), SIZE, (2, 2, 2))
 
 
 @query(VOXEL + " div:d", with_ctes("fld") + f" SELECT image_id, x, y, z, {_d('ux', 'x')} + {_d('uy', 'y')} + {_d('uz', 'z')} AS div FROM fld")
 def divergence(spark, d):
-    return stencil.divergence(src.fields(spark, d), SIZE, U)
+    return stencil.divergence(src.fields(spark, d, dealt=True), SIZE, U)
 
 
 _J = ", ".join(f"{_d('h' + c, a)} AS j{c}{a}" for c in "xyz" for a in "xyz")
@@ -367,12 +373,12 @@ _J = ", ".join(f"{_d('h' + c, a)} AS j{c}{a}" for c in "xyz" for a in "xyz")
 
 @query(VOXEL + " jac:d", with_ctes("fld", f"h AS (SELECT image_id, x, y, z, x + ux AS hx, y + uy AS hy, z + uz AS hz FROM fld), j AS (SELECT image_id, x, y, z, {_J} FROM h)") + " SELECT image_id, x, y, z, jxx * (jyy * jzz - jyz * jzy) - jxy * (jyx * jzz - jyz * jzx) + jxz * (jyx * jzy - jyy * jzx) AS jac FROM j")
 def jacobian_det(spark, d):
-    return stencil.jacobian_det(fields.to_h(src.fields(spark, d)), SIZE, H)
+    return stencil.jacobian_det(fields.to_h(src.fields(spark, d, dealt=True)), SIZE, H)
 
 
 @query(VOXEL + " hxx:d hxy:d hxz:d hyy:d hyz:d hzz:d", with_ctes("vox", f"g AS (SELECT image_id, x, y, z, {_d('v', 'x')} AS gx, {_d('v', 'y')} AS gy, {_d('v', 'z')} AS gz FROM vox)") + " SELECT image_id, x, y, z, " + ", ".join(f"{_d('g' + a, b)} AS h{a}{b}" for a in "xyz" for b in "xyz" if a <= b) + " FROM g")
 def hessian(spark, d):
-    return stencil.hessian(src.vox(spark, d), SIZE)
+    return stencil.hessian(src.vox(spark, d, dealt=True), SIZE)
 
 
 _SCAN = "OVER (PARTITION BY image_id ORDER BY z, y, x ROWS UNBOUNDED PRECEDING)"
@@ -380,12 +386,12 @@ _SCAN = "OVER (PARTITION BY image_id ORDER BY z, y, x ROWS UNBOUNDED PRECEDING)"
 
 @query(VOXEL + " scan_sum:d scan_before:d scan_min:d scan_max:d", with_ctes("vox") + f" SELECT image_id, x, y, z, sum(v) {_SCAN} AS scan_sum, sum(v) {_SCAN} - v AS scan_before, min(v) {_SCAN} AS scan_min, max(v) {_SCAN} AS scan_max FROM vox")
 def prefix_scan(spark, d):
-    return stencil.prefix_scan(src.vox(spark, d), ["image_id"], ["z", "y", "x"])
+    return stencil.prefix_scan(src.vox(spark, d, dealt=True), ["image_id"], ["z", "y", "x"])
 
 
 @query(VOXEL + " seg:i seg_sum:d seg_count:i", with_ctes("vox", f"s AS (SELECT *, sum(CASE WHEN v > 0.1 THEN 1 ELSE 0 END) {_SCAN} AS seg FROM vox)") + " SELECT image_id, x, y, z, seg, sum(v) OVER (PARTITION BY image_id, seg ORDER BY z, y, x ROWS UNBOUNDED PRECEDING) AS seg_sum, count(*) OVER (PARTITION BY image_id, seg) AS seg_count FROM s")
 def segmented_scan(spark, d):
-    return stencil.segmented_scan(src.vox(spark, d), ["image_id"], ["z", "y", "x"], F.col("v") > 0.1)
+    return stencil.segmented_scan(src.vox(spark, d, dealt=True), ["image_id"], ["z", "y", "x"], F.col("v") > 0.1)
 
 
 # Interpolation, warps, splats.
@@ -404,7 +410,7 @@ _PH = "SELECT image_id, x, y, z, x + ux AS px, y + uy AS py, z + uz AS pz FROM f
 
 def _warp(name: str, strategy: str, at: str = "{0}") -> None:
     def plan(spark, d):
-        return interp.gather(fields.places_of_u(src.fields(spark, d)), src.vox(spark, d), SIZE, strategy=strategy)
+        return voxels(interp.warp(src.placed(spark, d), SIZE, strategy=strategy), SIZE)
 
     plan.__name__ = name
     query(VOXEL + " v:d", with_ctes("fld corner") + ", " + _gathered(_PH, at))(plan)
@@ -417,19 +423,17 @@ _warp("warp_periodic", "wrap", "(({0} % 4) + 4) % 4")
 
 @query(VOXEL + " v:d", with_ctes("fld corner") + ", " + _gathered("SELECT image_id, x, y, z, x + ux / 2 AS px, y + uy / 1.5 AS py, z + uz AS pz FROM fld"))
 def apply_u(spark, d):
-    return interp.gather(fields.places_of_u(src.fields(spark, d), 1.0, (2.0, 1.5, 1.0)), src.vox(spark, d), SIZE)
+    return voxels(interp.warp(src.placed(spark, d, 1.0, (2.0, 1.5, 1.0)), SIZE), SIZE)
 
 
 @query(VOXEL + " v:d", with_ctes("fld corner", "g AS (WITH " + _gathered(_PH) + ")") + " SELECT g.image_id, g.x, g.y, g.z, CASE WHEN s.v > 0 THEN g.v ELSE s.v END AS v FROM g JOIN vox s USING (image_id, x, y, z)")
 def warp_masked(spark, d):
-    rows = src.vox(spark, d).select("image_id", *AXES, F.col("v").alias("own"))
-    warped = interp.gather(fields.places_of_u(src.fields(spark, d)), src.vox(spark, d), SIZE)
-    return warped.join(rows, ["image_id", *AXES]).withColumn("v", F.when(F.col("own") > 0, F.col("v")).otherwise(F.col("own")))
+    return voxels(interp.warp_masked(src.placed(spark, d).withColumn("mask", F.col("data")), SIZE), SIZE)
 
 
 @query(VOXEL + " v:d", with_ctes("fld") + " SELECT f.image_id, f.x, f.y, f.z, coalesce(s.v, 0) AS v FROM fld f LEFT JOIN vox s ON s.image_id = f.image_id AND s.x = trunc(f.x + ux + 0.5) AND s.y = trunc(f.y + uy + 0.5) AND s.z = trunc(f.z + uz + 0.5)")
 def warp_nearest(spark, d):
-    return interp.nearest(fields.places_of_u(src.fields(spark, d)), src.vox(spark, d))
+    return voxels(interp.warp(src.placed(spark, d), SIZE, method="nearest"), SIZE)
 
 
 _CUBIC = ["(-t + 2 * t * t - t * t * t) / 2", "(2 - 5 * t * t + 3 * t * t * t) / 2", "(t + 4 * t * t - 3 * t * t * t) / 2", "(-t * t + t * t * t) / 2"]
@@ -438,14 +442,12 @@ _CW = {a: "CASE k{0} WHEN 0 THEN {1} WHEN 1 THEN {2} WHEN 2 THEN {3} ELSE {4} EN
 
 @query(VOXEL + " v:d", with_ctes("fld", "k AS (SELECT kx, ky, kz FROM (SELECT unnest([0, 1, 2, 3]) AS kx), (SELECT unnest([0, 1, 2, 3]) AS ky), (SELECT unnest([0, 1, 2, 3]) AS kz)), pl AS (" + _PH + ")") + f" SELECT pl.image_id, pl.x, pl.y, pl.z, sum(coalesce(s.v, 0) * ({_CW['x']}) * ({_CW['y']}) * ({_CW['z']})) AS v FROM pl CROSS JOIN k LEFT JOIN vox s ON s.image_id = pl.image_id AND s.x = floor(px) + kx - 1 AND s.y = floor(py) + ky - 1 AND s.z = floor(pz) + kz - 1 GROUP BY ALL")
 def warp_cubic(spark, d):
-    return interp.cubic(fields.places_of_u(src.fields(spark, d)), src.vox(spark, d))
+    return voxels(interp.warp(src.placed(spark, d), SIZE, method="cubic"), SIZE)
 
 
 @query(VOXEL + " v:d", with_ctes("vox corner", "g AS (SELECT unnest(range(27)) AS i), im AS (SELECT DISTINCT image_id FROM vox)") + ", " + _gathered("SELECT image_id, i % 3 AS x, (i // 3) % 3 AS y, i // 9 AS z, (i % 3) * 1.5 + 0.25 AS px, ((i // 3) % 3) * 1.5 + 0.25 AS py, (i // 9) * 1.5 + 0.25 AS pz FROM g, im"))
 def trilinear_resample(spark, d):
-    grid = src.volumes(spark, d).select("image_id").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(26))))
-    grid = grid.select("image_id", (F.col("i") % 3).alias("x"), (F.floor(F.col("i") / 3) % 3).cast("int").alias("y"), F.floor(F.col("i") / 9).cast("int").alias("z"))
-    return interp.gather(interp.resample_places(grid, (0, 0, 0), (1, 1, 1), (0, 0, 0), (1.5, 1.5, 1.5), centred=True), src.vox(spark, d), SIZE)
+    return voxels(interp.resample(src.volumes(spark, d), SIZE, (3, 3, 3), new_spacing=(1.5, 1.5, 1.5), centred=True), (3, 3, 3))
 
 
 _AF = ", ".join(f"{MATRIX[3 * i]} * x + {MATRIX[3 * i + 1]} * y + {MATRIX[3 * i + 2]} * z + {SHIFT[i]} AS p{a}" for i, a in enumerate("xyz"))
@@ -453,13 +455,12 @@ _AF = ", ".join(f"{MATRIX[3 * i]} * x + {MATRIX[3 * i + 1]} * y + {MATRIX[3 * i
 
 @query(VOXEL + " v:d", with_ctes("vox corner") + ", " + _gathered(f"SELECT image_id, x, y, z, {_AF} FROM vox"))
 def affine_apply(spark, d):
-    v = src.vox(spark, d)
-    return interp.gather(v.withColumns(dict(zip(PLACE, pointwise.affine(MATRIX, SHIFT), strict=True))), v, SIZE)
+    return voxels(interp.affine(src.volumes(spark, d), SIZE, MATRIX, SHIFT), SIZE)
 
 
 @query(VOXEL + " v:d", with_ctes("vox", "u AS (SELECT *, lead(v) OVER (PARTITION BY image_id, x, y ORDER BY z) AS a FROM vox)") + " SELECT image_id, x, y, z * 3 + k AS z, v * (1 - k / 3.0::DOUBLE) + coalesce(a, v) * (k / 3.0::DOUBLE) AS v FROM u, (SELECT unnest([0, 1, 2]) AS k) WHERE k = 0 OR z < 3")
 def refine_z(spark, d):
-    return interp.refine_z(src.vox(spark, d), SIZE, 3)
+    return interp.refine_z(src.vox(spark, d, dealt=True), SIZE, 3)
 
 
 _SPLAT = "pl AS (SELECT f.image_id, f.x + ux AS px, f.y + uy AS py, f.z + uz AS pz, s.v FROM fld f JOIN vox s USING (image_id, x, y, z)), cr AS (SELECT image_id, CAST(floor(px) AS BIGINT) + dx AS x, CAST(floor(py) AS BIGINT) + dy AS y, CAST(floor(pz) AS BIGINT) + dz AS z, v, " + _W + " AS w FROM pl, corner)"
@@ -467,8 +468,7 @@ _SPLAT = "pl AS (SELECT f.image_id, f.x + ux AS px, f.y + uy AS py, f.z + uz AS
 
 def _splat(name: str, value: str, normalize: bool, wrap: bool) -> None:
     def plan(spark, d):
-        rows = fields.places_of_u(src.fields(spark, d)).join(src.vox(spark, d), ["image_id", *AXES])
-        return interp.splat(rows, SIZE, normalize, wrap)
+        return unpacked(interp.splat(src.placed(spark, d), SIZE, normalize=normalize, wrap=wrap), SIZE, ["data"]).withColumnRenamed("data", "v")
 
     plan.__name__ = name
     if wrap:
@@ -483,12 +483,66 @@ _splat("splat_normalized", "CASE WHEN sum(w) > 0 THEN sum(w * v) / sum(w) ELSE 0
 _splat("splat_periodic", "sum(w * v)", False, True)
 
 
+# World coordinates and preparation.
+
+
+@query(VOXEL + " v:d", with_ctes("vox corner") + ", " + _gathered("SELECT image_id, x, y, z, x - 0.25 AS px, y - 0.5 AS py, z + 0.75 AS pz FROM vox"))
+def translate_image(spark, d):
+    return voxels(interp.translate(src.volumes(spark, d), SIZE, (0.5, 0.5, -0.75), (2.0, 1.0, 1.0)), SIZE)
+
+
+@query(VOXEL + " v:d", with_ctes("vox corner", "g AS (SELECT unnest(range(112)) AS i), im AS (SELECT DISTINCT image_id FROM vox)") + ", " + _gathered("SELECT image_id, i % 4 AS x, (i // 4) % 4 AS y, i // 16 AS z, i % 4 AS px, (i // 4) % 4 AS py, (i // 16) / 2.0::DOUBLE AS pz FROM g, im"))
+def isotropic_slices(spark, d):
+    out, size, _ = interp.isotropic(src.volumes(spark, d), SIZE, (1.0, 1.0, 2.0), "z")
+    return voxels(out, size)
+
+
+_WORLD = "SELECT image_id, 0 AS x, 0 AS y, 0 AS z, ((image_id % 7) / 2.0::DOUBLE - 1.0) / 2.0 AS px, (image_id % 5) * 0.75::DOUBLE - 0.5 AS py, (image_id % 3) + 0.25::DOUBLE AS pz FROM (SELECT DISTINCT image_id FROM vox)"
+
+
+@query("image_id:i v:d", with_ctes("vox corner", "pq AS (WITH " + _gathered(_WORLD) + ")") + " SELECT image_id, v FROM pq")
+def world_point_values(spark, d):
+    volumes = src.volumes(spark, d)
+    i = F.col("image_id")
+    points = volumes.select("image_id", ((i % 7) / 2).alias("x"), ((i % 5) * 0.75).alias("y"), (i % 3 + 1.25).alias("z"))
+    return interp.at_points(volumes, points, SIZE, (2.0, 1.0, 1.0), (1.0, 0.5, 1.0))
+
+
+_PREPARED = ["win AS (SELECT image_id, x, y, z, CASE WHEN hi = lo THEN 0 ELSE (v - lo) / (hi - lo) END * " + " * ".join(_T.format(e) for a in "xyz" for e in (a, f"(3 - {a})")) + " AS v FROM (SELECT *, min(v) OVER (PARTITION BY image_id) AS lo, max(v) OVER (PARTITION BY image_id) AS hi FROM vox))"]
+_PREPARED += [f"{new} AS (SELECT image_id, x, y, z, {_gauss(a)} AS v FROM {old})" for a, old, new in (("x", "win", "bx"), ("y", "bx", "by_"), ("z", "by_", "bz"))]
+
+
+@query(VOXEL + " v:d", with_ctes("vox", ", ".join(_PREPARED)) + " SELECT * FROM bz")
+def preprocess_images(spark, d):
+    return voxels(preprocess.preprocess(src.volumes(spark, d), SIZE, PreprocessParams(tukey_width=2, blur_sigma=1.0)), SIZE)
+
+
+@query("c_custkey:i w:d", "SELECT c_custkey, abs(c_acctbal) / (SELECT sum(abs(c_acctbal)) FROM customer) AS w FROM customer WHERE c_custkey BETWEEN 10 AND 59")
+def image_set(spark, d):
+    images = table(spark, d, "customer").select("c_custkey", F.abs("c_acctbal").alias("w"))
+    return catalogue.part(images, 10, 50, weight="w", ordinal="c_custkey")
+
+
+@query("x:i y:i z:i eye:d line:d dx:d", "WITH g AS (SELECT i % 8 AS x, (i // 8) % 8 AS y, i // 64 AS z FROM (SELECT unnest(range(512)) AS i)), r AS (SELECT *, sqrt((x - 4) ** 2 + (y - 4) ** 2 + (z - 4) ** 2) AS r FROM g) SELECT x, y, z, CASE WHEN r / 4 < 0.2 THEN 1 WHEN r / 4 < 0.6 THEN 0.5 WHEN r / 4 < 0.8 THEN 1 ELSE 0 END AS eye, CASE WHEN x % 4 = 0 OR y % 4 = 0 OR z % 4 = 0 THEN 1 ELSE 0 END AS line, CASE WHEN r > 0 THEN (x - 4) * 1.5 / sqrt(48.0) ELSE 0 END AS dx FROM r")
+def toy_images(spark, d):
+    size = (8, 8, 8)
+    return shapes.grid(spark, size).withColumns({"eye": shapes.bullseye(size, (0.8, 0.6, 0.2)), "line": shapes.lines(4), "dx": shapes.dilation(size, 1.5)[0]})
+
+
+@query("id:i hit:d", "SELECT p_partkey AS id, CASE WHEN p_size / 60.0::DOUBLE + (p_partkey % 13) / 26.0::DOUBLE <= 1 THEN 2.0 END AS hit FROM part")
+def ray_hits(spark, d):
+    at = [(F.col("p_size") / 60).alias("x"), ((F.col("p_partkey") % 13) / 26).alias("y")]
+    v = lambda *c: [F.lit(float(x)) for x in c]
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), *at)
+    return rows.withColumn("hit", shapes.ray_hit([F.col("x"), F.col("y"), F.lit(-4.0)], v(0, 0, 2), [v(0, 0, 0), v(1, 0, 0), v(0, 1, 0)]))
+
+
 # Field algebra.
 
 
 @query("image_id:i is_h:b", with_ctes("fld") + " SELECT image_id, sum((ux - x) ** 2 + (uy - y) ** 2 + (uz - z) ** 2) < sum(ux ** 2 + uy ** 2 + uz ** 2) AS is_h FROM fld GROUP BY image_id UNION ALL SELECT -1 - image_id, sum(ux ** 2 + uy ** 2 + uz ** 2) < sum((x + ux) ** 2 + (y + uy) ** 2 + (z + uz) ** 2) FROM fld GROUP BY image_id")
 def is_h_field(spark, d):
-    u = src.fields(spark, d)
+    u = src.fields(spark, d, dealt=True)
     h = fields.to_h(u).select((-1 - F.col("image_id")).alias("image_id"), *AXES, *[F.col(a).alias(b) for a, b in zip(H, U, strict=True)])
     return fields.is_h_field(u).unionByName(fields.is_h_field(h))
 
@@ -504,7 +558,7 @@ def field_conversions(spark, d):
 
 @query("image_id:i min_n:d max_n:d sum_x:d", with_ctes("fld") + " SELECT image_id, min(sqrt(ux * ux + uy * uy + uz * uz)) AS min_n, max(sqrt(ux * ux + uy * uy + uz * uz)) AS max_n, sum(ux) AS sum_x FROM fld GROUP BY image_id")
 def field_norms(spark, d):
-    return src.fields(spark, d).withColumn("n", pointwise.norm(U)).groupBy("image_id").agg(F.min("n").alias("min_n"), F.max("n").alias("max_n"), F.sum("ux").alias("sum_x"))
+    return src.fields(spark, d, dealt=True).withColumn("n", pointwise.norm(U)).groupBy("image_id").agg(F.min("n").alias("min_n"), F.max("n").alias("max_n"), F.sum("ux").alias("sum_x"))
 
 
 @query(VOXEL + " hx:d hy:d hz:d", with_ctes("fld") + " SELECT image_id, x, y, z, x - ux AS hx, y - uy AS hy, z - uz AS hz FROM fld")
@@ -513,14 +567,36 @@ def zeroth_order_inverse(spark, d):
     return h.select("image_id", *AXES, *[c.alias(n) for c, n in zip(pointwise.zeroth_order_inverse(), H, strict=True)])
 
 
+def _with_h(spark, d) -> DataFrame:
+    """(image_id, ux, uy, uz, hx, hy, hz) arrays."""
+    return fields.with_places(src.dense_fields(spark, d), SIZE).withColumnsRenamed(dict(zip(PLACE, H, strict=True)))
+
+
+def _shrunk(spark, d) -> DataFrame:
+    """Displacements of at most 0.27 voxels, which can be inverted."""
+    return src.dense_fields(spark, d).withColumns({c: F.transform(c, lambda u: u * 0.3) for c in U})
+
+
 _FGATHER = ", ".join(f"sum(w * coalesce(f.u{a}, 0)) AS u{a}" for a in "xyz")
 _FC = f"pl AS ({_PH}), cr AS (SELECT image_id, x, y, z, px, py, pz, CAST(floor(px) AS BIGINT) + dx AS cx, CAST(floor(py) AS BIGINT) + dy AS cy, CAST(floor(pz) AS BIGINT) + dz AS cz, {_W} AS w FROM pl, corner)"
 
 
 @query(VOXEL + " hx:d hy:d hz:d", with_ctes("fld corner", _FC + f", g AS (SELECT cr.image_id, cr.x, cr.y, cr.z, px, py, pz, {_FGATHER} FROM cr LEFT JOIN fld f ON f.image_id = cr.image_id AND f.x = cx AND f.y = cy AND f.z = cz GROUP BY ALL)") + " SELECT image_id, x, y, z, px + 0.5 * ux AS hx, py + 0.5 * uy AS hy, pz + 0.5 * uz AS hz FROM g")
 def compose_vh(spark, d):
-    u = src.fields(spark, d)
-    return fields.compose_vh(u, fields.to_h(u), SIZE, 0.5)
+    return unpacked(fields.compose_vh(_with_h(spark, d), SIZE, 0.5), SIZE, H)
+
+
+def _step_h(old: str, new: str, value: str, at: str, missing: str, of: str) -> str:
+    """SQL of one gather of a field at the places of ``old``: new places from the sums s{a} of weighted corners."""
+    c = {a: at.format(f"(CAST(floor(o.h{a}) AS BIGINT) + d{a})") for a in "xyz"}
+    w = " * ".join(f"CASE d{a} WHEN 1 THEN o.h{a} - floor(o.h{a}) ELSE 1 - (o.h{a} - floor(o.h{a})) END" for a in "xyz")
+    corners = f"SELECT o.image_id, o.x, o.y, o.z, {', '.join(f'{c[a]} AS c{a}' for a in 'xyz')}, {w} AS w FROM {old} o, corner"
+    sums = ", ".join(f"sum(w * {missing.format(a)}) AS s{a}" for a in "xyz")
+    return f"{new} AS MATERIALIZED (SELECT image_id, x, y, z, {', '.join(value.format(a) + f' AS h{a}' for a in 'xyz')} FROM (SELECT k.image_id, k.x, k.y, k.z, {sums} FROM ({corners}) k LEFT JOIN {of} f ON f.image_id = k.image_id AND (f.x, f.y, f.z) = (k.cx, k.cy, k.cz) GROUP BY ALL))"
+
+
+_EXP = ["h0 AS MATERIALIZED (SELECT image_id, x, y, z, " + ", ".join(f"{a} + u{a} / 8 AS h{a}" for a in "xyz") + " FROM fld)", *[_step_h(f"h{i}", f"h{i + 1}", "s{0}", "{0}", "coalesce(f.h{0}, c{0})", f"h{i}") for i in range(3)]]
+_INV = ["sf AS (SELECT image_id, x, y, z, 0.3 * ux AS ux, 0.3 * uy AS uy, 0.3 * uz AS uz FROM fld)", "h0 AS (SELECT image_id, x, y, z, " + ", ".join(f"CAST({a} AS DOUBLE) AS h{a}" for a in "xyz") + " FROM fld)", *[_step_h(f"h{i}", f"h{i + 1}", "{0} - s{0}", "least(greatest({0}, 0), 3)", "f.u{0}", "sf") for i in range(4)]]
 
 
 _HGATHER = ", ".join(f"sum(w * coalesce(f.{a} + f.u{a}, c{a})) AS h{a}" for a in "xyz")
@@ -528,37 +604,62 @@ _HGATHER = ", ".join(f"sum(w * coalesce(f.{a} + f.u{a}, c{a})) AS h{a}" for a in
 
 @query(VOXEL + " hx:d hy:d hz:d", with_ctes("fld corner", _FC) + f" SELECT cr.image_id, cr.x, cr.y, cr.z, {_HGATHER} FROM cr LEFT JOIN fld f ON f.image_id = cr.image_id AND f.x = cx AND f.y = cy AND f.z = cz GROUP BY ALL")
 def compose_fields(spark, d):
-    h = fields.to_h(src.fields(spark, d))
-    return fields.compose(h, h, SIZE)
+    return unpacked(fields.compose(_with_h(spark, d), SIZE, H, H), SIZE, H)
 
 
 @query(VOXEL + " hx:d hy:d hz:d", with_ctes("fld corner", _FC.replace(_PH, "SELECT image_id, x, y, z, x - ux AS px, y - uy AS py, z - uz AS pz FROM fld")) + f" SELECT cr.image_id, cr.x, cr.y, cr.z, {_HGATHER} FROM cr LEFT JOIN fld f ON f.image_id = cr.image_id AND f.x = cx AND f.y = cy AND f.z = cz GROUP BY ALL")
 def compose_hv_inverse(spark, d):
-    u = src.fields(spark, d)
-    return fields.compose_hv(fields.to_h(u), u, SIZE, -1.0)
+    return unpacked(fields.compose_hv(_with_h(spark, d), SIZE, -1.0), SIZE, H)
+
+
+@query(VOXEL + " hx:d hy:d hz:d", with_ctes("fld corner", _FC.replace(_PH, "SELECT image_id, x, y, z, x + 0.5 AS px, y AS py, z - 0.25 AS pz FROM fld")) + f", g AS (SELECT cr.image_id, cr.x, cr.y, cr.z, {_HGATHER} FROM cr LEFT JOIN fld f ON f.image_id = cr.image_id AND f.x = cx AND f.y = cy AND f.z = cz GROUP BY ALL) SELECT image_id, x, y, z, hx + 1 AS hx, hy - 2 AS hy, hz AS hz FROM g")
+def compose_translation(spark, d):
+    return unpacked(fields.translated(_with_h(spark, d), SIZE, (0.5, 0, -0.25), (1, -2, 0)), SIZE, H)
+
+
+@query(VOXEL + " hx:d hy:d hz:d", with_ctes("fld corner", ", ".join([*_INV[:4], _step_h("h2", "out_h", "s{0}", "{0}", "coalesce(f.{0} + f.u{0}, c{0})", "sf")])) + " SELECT * FROM out_h")
+def compose_hv_inverse_iterative(spark, d):
+    rows = fields.with_places(_shrunk(spark, d), SIZE).withColumnsRenamed(dict(zip(PLACE, H, strict=True)))
+    return unpacked(fields.compose_hv_inverse_iterative(rows, SIZE, 2), SIZE, H)
 
 
 @query("image_id:i min_e:d max_e:d mean_e:d std_e:d", with_ctes("fld corner", _FC + f", g AS (SELECT cr.image_id, cr.x, cr.y, cr.z, {', '.join(f'sum(w * coalesce(f.{a} - f.u{a}, c{a})) AS h{a}' for a in 'xyz')} FROM cr LEFT JOIN fld f ON f.image_id = cr.image_id AND f.x = cx AND f.y = cy AND f.z = cz GROUP BY ALL), e AS (SELECT image_id, sqrt((hx - x) ** 2 + (hy - y) ** 2 + (hz - z) ** 2) AS e FROM g WHERE x IN (1, 2) AND y IN (1, 2) AND z IN (1, 2))") + " SELECT image_id, min(e) AS min_e, max(e) AS max_e, avg(e) AS mean_e, stddev_samp(e) AS std_e FROM e GROUP BY image_id")
 def inverse_consistency(spark, d):
-    h = fields.to_h(src.fields(spark, d))
-    inverse = h.select("image_id", *AXES, *[c.alias(n) for c, n in zip(pointwise.zeroth_order_inverse(), H, strict=True)])
-    return fields.inverse_consistency(h, inverse, SIZE, 1)
+    inverse = fields.with_places(src.dense_fields(spark, d), SIZE, -1.0).select("image_id", *[F.col(p).alias(g) for p, g in zip(PLACE, fields.G, strict=True)])
+    return fields.inverse_consistency(_with_h(spark, d).join(inverse, "image_id"), SIZE, 1)
 
 
-@query(VOXEL + " hx:d hy:d hz:d")
+@query(VOXEL + " hx:d hy:d hz:d", with_ctes("fld corner", ", ".join(_EXP)) + " SELECT * FROM h3")
 def group_exponential(spark, d):
-    return fields.group_exponential(src.fields(spark, d), SIZE, 3)
+    return unpacked(fields.group_exponential(src.dense_fields(spark, d), SIZE, 3), SIZE, H)
 
 
-@query(VOXEL + " hx:d hy:d hz:d")
+@query(VOXEL + " hx:d hy:d hz:d", with_ctes("fld corner", ", ".join(_INV)) + " SELECT * FROM h4")
 def iterative_inverse(spark, d):
-    return fields.invert(src.fields(spark, d).withColumns({c: F.col(c) * 0.3 for c in U}), SIZE, 4)
+    return unpacked(fields.invert(_shrunk(spark, d), SIZE, 4), SIZE, H)
 
 
 # Kernels, linear algebra, registration.
 
 
-@query("image_id:i ux:d", None)
+_TURN = "(x * kx + y * ky + z * kz) * pi() / 2"
+_FQ = f"""fq AS (SELECT i % 4 AS kx, (i // 4) % 4 AS ky, i // 16 AS kz FROM (SELECT unnest(range(64)) AS i)),
+    ft AS MATERIALIZED (SELECT image_id, kx, ky, kz, {', '.join(f'sum(u{a} * cos({_TURN})) AS r{a}, -sum(u{a} * sin({_TURN})) AS i{a}' for a in 'xyz')} FROM fld, fq GROUP BY ALL)"""
+#: The matrix of the operator at a frequency, with alpha = beta = 0.01 and gamma = 0.001, and its inverse by cofactors.
+_LM = f"""lm AS (SELECT kx, ky, kz, {', '.join(f'2 * cos(k{a} * pi() / 2) - 2 AS c{a}, sin(k{a} * pi() / 2) AS d{a}' for a in 'xyz')} FROM fq),
+    lb AS (SELECT kx, ky, kz, 0.001 - 0.01 * (cx + cy + cz) - 0.01 * cx AS a, 0.01 * dx * dy AS b, 0.01 * dx * dz AS c, 0.001 - 0.01 * (cx + cy + cz) - 0.01 * cy AS e, 0.01 * dy * dz AS f, 0.001 - 0.01 * (cx + cy + cz) - 0.01 * cz AS i FROM lm),
+    li AS (SELECT kx, ky, kz, e * i - f * f AS xx, c * f - b * i AS xy, b * f - c * e AS xz, a * i - c * c AS yy, b * c - a * f AS yz, a * e - b * b AS zz, a * (e * i - f * f) - b * (b * i - c * f) + c * (b * f - c * e) AS det FROM lb)"""
+
+
+def _solved(part: str) -> str:
+    rows = {"x": ("xx", "xy", "xz"), "y": ("xy", "yy", "yz"), "z": ("xz", "yz", "zz")}
+    return ", ".join(f"({m[0]} * {part}x + {m[1]} * {part}y + {m[2]} * {part}z) / det AS {part}{a}" for a, m in rows.items())
+
+
+_KF = f"{_FQ}, {_LM}, sk AS MATERIALIZED (SELECT image_id, kx, ky, kz, {_solved('r')}, {_solved('i')} FROM ft JOIN li USING (kx, ky, kz)), vx AS (SELECT DISTINCT x, y, z FROM vox), kf AS (SELECT image_id, x, y, z, sum(rx * cos({_TURN}) - ix * sin({_TURN})) / 64 AS ux FROM sk, vx GROUP BY ALL)"
+
+
+@query("image_id:i ux:d", with_ctes("fld", _KF) + " SELECT image_id, sum(abs(ux)) AS ux FROM kf GROUP BY image_id")
 def diffoper_k(spark, d):
     out = spectral.kernel(src.dense_fields(spark, d), SIZE, inverse=True)
     return out.select("image_id", F.aggregate("ux", F.lit(0.0), lambda s, v: s + F.abs(v)).alias("ux"))
@@ -569,15 +670,29 @@ def gram_matrix(spark, d):
     return pca.gram_matrix(src.volumes(spark, d), ["cohort"])
 
 
-@query("k:i value:d", None)
+def _power_sql(count: int, iterations: int) -> str:
+    """Power iteration on centred voxels, one step after the other, with deflation."""
+    out = ["n AS (SELECT count(*) AS n FROM embeddings)", "r0 AS MATERIALIZED (SELECT image_id, x, y, z, v - avg(v) OVER (PARTITION BY x, y, z) AS v FROM vox)"]
+    for k in range(count):
+        out.append(f"v{k}_0 AS MATERIALIZED (SELECT DISTINCT x, y, z, ((x * 7 + y * 13 + z * 29 + {k} * 17 + 3) * 7919 % 1009) / 1009.0::DOUBLE - 0.5 AS c FROM vox)")
+        for t in range(iterations):
+            out.append(f"p{k}_{t} AS MATERIALIZED (SELECT image_id, sum(v * c) AS p FROM r{k} JOIN v{k}_{t} USING (x, y, z) GROUP BY image_id)")
+            out.append(f"w{k}_{t} AS MATERIALIZED (SELECT x, y, z, sum(v * p) / (SELECT n FROM n) AS c FROM r{k} JOIN p{k}_{t} USING (image_id) GROUP BY x, y, z)")
+            out.append(f"v{k}_{t + 1} AS MATERIALIZED (SELECT x, y, z, c / (SELECT sqrt(sum(c * c)) FROM w{k}_{t}) AS c FROM w{k}_{t})")
+        out.append(f"q{k} AS MATERIALIZED (SELECT image_id, sum(v * c) AS p FROM r{k} JOIN v{k}_{iterations} USING (x, y, z) GROUP BY image_id)")
+        out.append(f"r{k + 1} AS MATERIALIZED (SELECT image_id, x, y, z, v - p * c AS v FROM r{k} JOIN q{k} USING (image_id) JOIN v{k}_{iterations} USING (x, y, z))")
+    return with_ctes("vox", ", ".join(out)) + " " + " UNION ALL ".join(f"SELECT {k} AS k, sqrt(sum(c * c)) AS value FROM w{k}_{iterations - 1}" for k in range(count))
+
+
+@query("k:i value:d", _power_sql(2, 8))
 def pca_power(spark, d):
-    found = pca.power_components(src.vox(spark, d), 2, 8)
+    found = pca.power_components(src.volumes(spark, d), SIZE, 2, 8)
     return spark.createDataFrame([(k, value) for k, (value, _) in enumerate(found)], "k int, value double")
 
 
 @query("image_id:i i:i j:i s:d", with_ctes("vox", f"g AS (SELECT image_id, v AS residual, [{_d('v', 'x')}, {_d('v', 'y')}, {_d('v', 'z')}] AS g, [x, y, z] AS p FROM vox), t AS (SELECT image_id, residual, [g[k // 3 + 1] * p[k % 3 + 1] for k in range(9)] AS t FROM g), ij AS (SELECT i, j FROM (SELECT unnest(range(9)) AS i), (SELECT unnest(range(10)) AS j) WHERE j >= i)") + " SELECT image_id, i, j, sum(t[i + 1] * CASE WHEN j = 9 THEN residual ELSE t[j + 1] END) AS s FROM t, ij GROUP BY ALL")
 def affine_normal_equations(spark, d):
-    return pca.normal_equations_affine(stencil.gradient(src.vox(spark, d), SIZE).withColumn("residual", F.col("v")))
+    return pca.normal_equations_affine(stencil.gradient(src.vox(spark, d, dealt=True), SIZE).withColumn("residual", F.col("v")))
 
 
 def _pairs(spark, d):
@@ -591,9 +706,9 @@ def _spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, key)
 
 
-def _registration(name: str, method: str, params) -> None:
+def _registration(name: str, method: str, params, levels=FULL) -> None:
     def plan(spark, d):
-        out = registration.register(_spread(_pairs(spark, d), "pair_id"), SIZE, method, params)
+        out = registration.register(_spread(_pairs(spark, d), "pair_id"), SIZE, method, params, levels)
         return out.select("pair_id", F.element_at("energy", 1).alias("first_e"), F.element_at("energy", -1).alias("last_e"), F.size("energy").alias("n"))
 
     plan.__name__ = name
@@ -604,12 +719,38 @@ _registration("greedy_warp", "greedy", GreedyParams(iterations=10))
 _registration("ldmm_shoot", "shooting", LDMMParams(iterations=5))
 _registration("ldmm_relax", "relaxation", LDMMParams(iterations=5))
 _registration("affine_register", "affine", None)
+_registration("rigid_register", "rigid", None)
+_registration("translation_register", "translation", None)
+_registration("greedy_multiscale", "greedy", GreedyParams(iterations=5), (Level(2, 10), Level(1)))
+_registration("ldmm_relax_multiscale", "relaxation", LDMMParams(iterations=3, reparameterise=2), (Level(2, 3), Level(1)))
+
+
+@query("pair_id:i scale:i iter:i total:d change:d")
+def energy_history(spark, d):
+    out = registration.register(_spread(_pairs(spark, d), "pair_id"), SIZE, "greedy", GreedyParams(iterations=2), (Level(2), Level(1)))
+    return registration.energy_events(out)
+
+
+def _atlas(name: str, params, atlas: AtlasParams = AtlasParams(), levels=FULL) -> None:
+    def plan(spark, d):
+        images = src.volumes(spark, d).withColumn("w", F.lit(1.0))
+        _, state = registration.build_atlas(images, SIZE, params, atlas, levels)
+        return state.groupBy("cohort").agg(F.count("*").alias("n"), F.sum("energy").alias("energy"))
+
+    plan.__name__ = name
+    query("cohort:i n:i energy:d")(plan)
+
+
+_atlas("greedy_atlas", GreedyParams(iterations=3))
+_atlas("greedy_atlas_trimmed", GreedyParams(iterations=3), AtlasParams(trimmed_size=20, median=True))
+_atlas("ldmm_atlas", LDMMParams(iterations=2), levels=(Level(2, 2), Level(1)))
+_atlas("ldmm_atlas_voxel_median", LDMMParams(iterations=2), AtlasParams(voxel_median=True))
 
 
 @query("cohort:i n:i energy:d")
-def greedy_atlas(spark, d):
+def affine_atlas(spark, d):
     images = src.volumes(spark, d).withColumn("w", F.lit(1.0))
-    _, state = registration.greedy_atlas(images, SIZE, GreedyParams(iterations=3))
+    _, state = registration.affine_atlas(images, SIZE, "rigid", 2)
     return state.groupBy("cohort").agg(F.count("*").alias("n"), F.sum("energy").alias("energy"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,18 +57,21 @@ def format_affine(matrix, shift) -> str:
     return "\n".join(["matrix", *rows, " ".join(f"{s:g}" for s in shift) + " 1"]) + "\n"
 
 
+_MESH = "surface_id string, points array<array<double>>, facets array<array<int>>"
+
+
+def _meshes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        found = [parse_off(t) if n.endswith(".off") else parse_byu(t) for n, t in zip(batch["surface_id"], batch["value"], strict=True)]
+        yield pd.DataFrame({"surface_id": batch["surface_id"], "points": [[list(p) for p in m[0]] for m in found], "facets": [m[1] for m in found]})
+
+
 def read_meshes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(vertices, facets) of all .byu and .off files under a path; surface_id is the path."""
     files = spark.read.text(path, wholetext=True).withColumn("surface_id", F.input_file_name())
-
-    @F.udf("struct<points:array<array<double>>,facets:array<array<int>>>")
-    def parse(name: str, text: str):
-        points, facets = parse_off(text) if name.endswith(".off") else parse_byu(text)
-        return [list(p) for p in points], facets
-
-    rows = files.select("surface_id", parse("surface_id", "value").alias("m"))
-    vertices = rows.select("surface_id", F.posexplode("m.points").alias("vid", "p")).select("surface_id", "vid", *[F.col("p")[i].alias(a) for i, a in enumerate("xyz")])
-    return vertices, rows.select("surface_id", F.posexplode("m.facets").alias("fid", "vids"))
+    rows = files.select("surface_id", "value").mapInPandas(_meshes, _MESH)
+    vertices = rows.select("surface_id", F.posexplode("points").alias("vid", "p")).select("surface_id", "vid", *[F.col("p")[i].alias(a) for i, a in enumerate("xyz")])
+    return vertices, rows.select("surface_id", F.posexplode("facets").alias("fid", "vids"))
 
 
 def read_slice_index(spark: SparkSession, path: str) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -138,15 +139,72 @@ def encode_pgm(values: np.ndarray, low: float, high: float) -> bytes:
     return f"P5\n{values.shape[1]} {values.shape[0]}\n255\n".encode() + scaled.astype(np.uint8).tobytes()
 
 
-def write_volumes(volumes: DataFrame, folder: str, size, spacing=(1, 1, 1), origin=(0, 0, 0)) -> None:
-    """One .mha file for each row (image_id, data) in a folder that all executors share."""
+def _save(folder: str, name: str, content: bytes) -> None:
+    """Write a file as a whole, in any store that Arrow's file systems reach."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(folder)
+    store.create_dir(path, recursive=True)
+    temporary = f"{path}/.{name}.{uuid.uuid4().hex}"
+    with store.open_output_stream(temporary) as f:
+        f.write(content)
+    store.move(temporary, f"{path}/{name}")
+
+
+def write_volumes(volumes: DataFrame, folder: str, size, spacing=(1, 1, 1), origin=(0, 0, 0), form: str = "mha") -> None:
+    """A file for each row (image_id, data) in a folder (path or address) that all executors reach: .mha, or .vol for a dump."""
 
     def save(rows) -> None:
-        os.makedirs(folder, exist_ok=True)
         for r in rows:
-            temporary = f"{folder}/.{r.image_id}.{os.getpid()}"
-            with open(temporary, "wb") as f:
-                f.write(encode_meta(r.data, size, spacing, origin))
-            os.replace(temporary, f"{folder}/{r.image_id}.mha")
+            content = encode_meta(r.data, size, spacing, origin) if form == "mha" else encode_dump(r.data, size)
+            _save(folder, f"{r.image_id}.{form}", content)
 
     volumes.select("image_id", "data").foreachPartition(save)
+
+
+def write_fields(fields: DataFrame, folder: str, size, spacing=(1, 1, 1), origin=(0, 0, 0), names=("hx", "hy", "hz"), split: bool = False) -> None:
+    """A vector file for each row (image_id and three arrays), or with ``split`` a file for each component, named by its axis."""
+
+    def save(rows) -> None:
+        for r in rows:
+            parts = [np.asarray(r[n]) for n in names]
+            if split:
+                for a, p in zip("xyz", parts, strict=True):
+                    _save(folder, f"{r.image_id}_{a}.mha", encode_meta(p, size, spacing, origin))
+            else:
+                _save(folder, f"{r.image_id}.mha", encode_meta(np.stack(parts, 1).ravel(), size, spacing, origin, channels=3))
+
+    fields.select("image_id", *names).foreachPartition(save)
+
+
+def read_fields(spark: SparkSession, path: str, names=("hx", "hy", "hz")) -> DataFrame:
+    """(path, size, spacing, origin, three arrays) of the vector files under a path."""
+    rows = read_volumes(spark, path).filter("channels = 3")
+    pick = lambda k: F.transform(F.sequence(F.lit(0), F.expr("CAST(size(data) / 3 AS INT)") - 1), lambda i: F.get("data", 3 * i + k))
+    return rows.select("path", "size", "spacing", "origin", *[pick(k).alias(n) for k, n in enumerate(names)])
+
+
+def slices_of(volumes: DataFrame, size, axis: str, index: int) -> DataFrame:
+    """(image_id, columns, data): the slice of each volume at an index of an axis, its rows one after the other."""
+    sx, sy, sz = size
+    at = lambda x, y, z: F.get("data", (x + sx * (y + sy * z)).cast("int"))
+    wide, high = {"x": (sy, sz), "y": (sx, sz), "z": (sx, sy)}[axis]
+    fixed = F.lit(index)
+
+    def value(i):
+        u, v = i % wide, F.floor(i / wide)
+        return {"x": lambda: at(fixed, u, v), "y": lambda: at(u, fixed, v), "z": lambda: at(u, v, fixed)}[axis]()
+
+    return volumes.select("image_id", F.lit(wide).alias("columns"), F.transform(F.sequence(F.lit(0), F.lit(wide * high - 1)), value).alias("data"))
+
+
+def write_slices(volumes: DataFrame, folder: str, size, axis: str, index: int, form: str = "pgm") -> None:
+    """A file for each volume with its slice: .pgm, windowed to the slice's own range, or .raw for floats."""
+
+    def save(rows) -> None:
+        for r in rows:
+            v = np.asarray(r.data, dtype=np.float64).reshape(-1, r.columns)
+            content = encode_pgm(v, v.min(), v.max()) if form == "pgm" else v.astype("<f4").tobytes()
+            _save(folder, f"{r.image_id}_{axis}{index}.{form}", content)
+
+    slices_of(volumes, size, axis, index).foreachPartition(save)
