@@ -168,7 +168,8 @@ def relax_step(moving: np.ndarray, fixed: np.ndarray, vs: np.ndarray, eps: np.nd
 
     v <- (1 - 2 eps) v + (2 eps / sigma^2) K(|D phi| (J0 - JT) grad J0). Where eps
     is NaN, it is set for all times from the largest step, so that no voxel moves
-    by more than max_pert, and kept.
+    by more than max_pert, and kept; a later step that would move one by more is
+    shortened, for all times alike.
     """
     x, deformed = _x(moving), [moving]
     h = np.repeat(x, len(moving), 0)
@@ -186,7 +187,7 @@ def relax_step(moving: np.ndarray, fixed: np.ndarray, vs: np.ndarray, eps: np.nd
     top = np.max([_most(steps[:, t]) for t in range(p.time_steps)], 0)
     own = np.where(top > 0, p.max_pert * p.sigma**2 / (2 * np.where(top > 0, top, 1)), p.step) if p.adaptive else np.full(len(vs), p.step)
     eps = np.where(np.isnan(eps), np.minimum(own, 0.5), eps)
-    e = _each(eps)[:, None]
+    e = _each(np.minimum(eps, own) if p.adaptive else eps)[:, None]
     return (1 - 2 * e) * vs + (2 * e / p.sigma**2) * steps, eps, energy, target, det
 
 
