@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import re
 import tempfile
@@ -165,22 +164,24 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 @contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Jobs started inside send ARROW_BYTES at once to Python, which bounds the memory of tasks on long texts."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(ARROW_BYTES))
+def frugal(spark: SparkSession) -> Iterator[None]:
+    """Jobs started inside send ARROW_BYTES at once to Python, and give their shuffle files up when they end."""
+    wanted = {"spark.sql.execution.arrow.maxBytesPerBatch": str(ARROW_BYTES), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back, so that later reads don't repeat its lineage."""
+    """Write a table to the shared folder and read it back, so that later reads don't repeat its lineage, and nothing of it is left but the table."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    with small_batches(spark):
+    with frugal(spark):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
@@ -196,12 +197,6 @@ def drop(*tables: DataFrame | None) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that are no longer in use, as it does at any collection of the driver's garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def without_ids(df: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of df whose doc_id isn't in ids (distinct, cheap to count); a null doc_id stays."""
     return df.join(by_size(ids), "doc_id", "left_anti")

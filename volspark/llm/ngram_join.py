@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from volspark.llm.common import by_size, byte_texts, cut, drop, ngram_hashes, release, slices, word_hashes
+from volspark.llm.common import by_size, byte_texts, cut, drop, ngram_hashes, slices, word_hashes
 from volspark.llm.components import components
 
 WORDS = 5
@@ -420,9 +420,7 @@ class _Join:
         return rows.join(several, "g", "left_semi")
 
     def run(self) -> DataFrame:
-        spark = self.docs.sparkSession
         groups = self.groups()
-        release(spark)
         labelled, links, tried = None, None, None
         for few in (*STARS, None):
             mixed = cut(self._mixed(groups, labelled))
@@ -434,7 +432,6 @@ class _Join:
                 links = new if links is None else links.unionByName(new)
                 last, labelled = labelled, self.labels(links)
                 drop(last)
-            release(spark)
         drop(groups)
         own = self.classes.select("key", "node", "doc_id", "rows")
         own = own.join(labelled, "node", "left") if labelled is not None else own.withColumn("label", F.lit(None).cast("long"))
