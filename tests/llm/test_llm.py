@@ -7,6 +7,7 @@ import random
 import re
 
 import duckdb
+import numpy as np
 import pytest
 
 from volspark.llm import chat, exact_dedup, fingerprint, language, mixing, ngram_join, packing, quality, registry, substring_dedup, toxicity
@@ -236,6 +237,20 @@ def test_bin_completion_backtracks_over_many_pieces():
     assert sum(n for _, n in plan) == 480
 
 
+def test_packing_meets_the_bound_on_a_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = packing.pack_documents(docs, **registry.tokenizer()).toPandas()
+    counts = got["length"].value_counts().to_dict()
+    assert got.sequence_id.nunique() == packing.waste_bound(counts, packing.CAPACITY) and got.groupby("sequence_id")["length"].sum().max() <= packing.CAPACITY
+
+
+def test_documents_are_encoded_alike(spark):
+    paths = registry.tokenizer()
+    both = packing.encoder(*paths.values()), packing.encoder(paths["json_path"], None, None)
+    for (text,) in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect():
+        assert both[0](text or "") == both[1](text or "")
+
+
 def test_special_strings_are_encoded_alike():
     paths = registry.tokenizer()
     both = packing.encoder(*paths.values()), packing.encoder(paths["json_path"], None, None)
@@ -333,6 +348,36 @@ def test_quality_held_out_accuracy(labelled):
     assert (got.predicted == got.quality).mean() > 0.95
 
 
+def test_quality_equations_by_brute_force(spark):
+    """The ridge weights from the summed equations, and that neither the order nor the files of the rows matter."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["good", "words", "here", "!!!", "x|y"][: 3 + 2 * (i % 2)]) for _ in range(rng.randrange(5, 60)))) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    frame_of = lambda r, n: spark.createDataFrame(r, "doc_id long, text string").repartition(n)
+    stats = {i: quality.statistics(t.encode()) for i, t in rows}
+    models = []
+    for r, n in ((rows, 2), (rows[::-1], 7)):
+        frame = frame_of(r, n).mapInArrow(quality._statistics, "doc_id long, x array<double>")
+        models.append(quality.fit(frame, labels, "quality"))
+    h = {r["doc_id"]: r["h"] for r in spark.range(400).selectExpr("id AS doc_id", "pmod(xxhash64(id), 1 << 20) AS h").collect()}
+    seen = [i for i in range(400) if h[i] % quality.CALIBRATE]
+    z, y = models[0].features(np.array([stats[i] for i in seen])), np.array([i % 2 for i in seen])
+    want = np.linalg.solve(z.T @ z + quality.RIDGE * len(seen) * np.eye(z.shape[1]), z.T @ y)
+    for m in models:
+        assert np.allclose(z @ m.weights, z @ want, atol=1e-6)
+    assert np.allclose(models[0].steps[1], models[1].steps[1])
+
+
+def test_isotonic_by_brute_force():
+    rng = np.random.default_rng(9)
+    x, y, w = rng.permutation(40).astype(float), rng.random(40), rng.integers(1, 5, 40).astype(float)
+    at, fit = quality.isotonic(x, y, w)
+    o = np.argsort(x)
+    mean = lambda a, b: (y[o][a:b] * w[o][a:b]).sum() / w[o][a:b].sum()
+    want = [max(min(mean(a, b) for b in range(k + 1, 41)) for a in range(k + 1)) for k in range(40)]
+    assert np.allclose(np.interp(np.sort(x), at, fit), want)
+
+
 def test_quality_statistics_cover_all_words():
     at = lambda text: dict(zip(quality.NAMES, quality.statistics(text.encode()), strict=True))
     for n in (500, 5000):

@@ -14,7 +14,8 @@ driver sees at most FAN counts at a time.
 Defined cases: null text has size 0; null source is a source of its own, the
 last one; documents of size 0 are never taken; an empty table, or one without
 words, gives targets and taken words of 0. Rows that repeat a doc_id are
-queued one by one, in an order that doesn't matter for the totals.
+queued one by one, in an order that doesn't matter for the totals; columns other
+than doc_id, text and source are not read, and a text may be of any length.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ then finds its place by its rank among the pieces of its length.
 
 Defined cases: null text counts as empty and gives one piece of the end token;
 empty tables give no rows; rows that repeat a doc_id (null too) are packed one
-by one. Ranks among equal lengths follow a hash of (doc_id, piece, ids).
+by one; columns other than doc_id and text are not read, and a very long text is
+cut into pieces. Ranks among equal lengths follow a hash of (doc_id, piece, ids).
 """
 
 from __future__ import annotations

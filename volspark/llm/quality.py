@@ -13,7 +13,9 @@ learned from; the driver sees the matrix and the bins only.
 Defined cases: null text counts as empty and is scored like any text; without
 labels to learn from every score is 0.5, with labels of one value it is that
 value; several labels of a doc_id count as their mean, null labels as none; a
-null doc_id has no label and isn't held out; an empty table gives no rows.
+null doc_id has no label and isn't held out; an empty table gives no rows; of
+rows that repeat a doc_id, those with the smallest statistics are learned from,
+and all are scored; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations

@@ -10,12 +10,16 @@ with a feature of the lexicon is a labelled token; all tokens of other documents
 clean. The field has two states, a weight for each feature of the lexicon, a
 bias and transitions, fitted by Adam to the regularised log-likelihood of
 segments of tokens. Forward and backward messages give each token's marginal.
-A document's score is the probability that at least one token is toxic, with
-the marginals taken as independent; spans are runs of tokens over 1/2.
+A document's score is the probability that at least one of its tokens with a
+feature is toxic, with their marginals taken as independent; tokens without one
+have the same small marginal in every document and take no part in the score,
+so that it doesn't grow with the length. Spans are runs of tokens over 1/2.
 
 Tokens without a feature all have the same emission, so messages cross such a
-run by a power of the transfer matrix; the marginals are those of the full
-chain, and whole texts cost little more than cutting them into words.
+run by a power of the transfer matrix. Powers are kept up to 256, where they no
+longer change for transitions that are not nearly deterministic; up to there the
+marginals are those of the full chain, and whole texts cost little more than
+cutting them into words.
 
 Bounds: at most TRAIN_ROWS labelled documents, chosen by a hash of doc_id, are
 counted; the lexicon has LEXICON features at most; SEGMENTS segments at most
@@ -26,7 +30,9 @@ SEGMENTS, and the rest is a sample of all segments.
 
 Defined cases: null and empty texts have score 0 and no span; without labels of
 both values every score is 0; several labels of a doc_id count as toxic if one
-is; a null doc_id has no label and isn't held out; an empty table gives no rows.
+is; a null doc_id has no label and isn't held out; an empty table gives no rows;
+a very long text gives its share of segments and is scored as a whole; columns
+other than doc_id and text are not read.
 """
 
 from __future__ import annotations
