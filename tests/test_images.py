@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from volspark import cli
 from volspark.config import AtlasParams, GreedyParams, LDMMParams, Level
 from volspark.operators import fields, interp, kernels, preprocess, registration, shapes, spectral, surface
 from volspark.sources import catalogue, volume_files
@@ -174,3 +175,34 @@ def test_geometry(spark):
     checks = [shapes.dot(a, b), shapes.dot(a, n), shapes.dot(a, a), shapes.dot(b, b), n[2], shapes.midpoint(v(0, 0, 0), v(2, 4, 6))[1], shapes.on_plane(v(0, 0, -1), v(0, 0, 2), v(0, 0, 0), v(0, 0, 1))[0]]
     assert np.allclose(spark.range(1).select(*checks).first(), [0, 0, 1, 1, 1, 2, 0.5])
     assert spark.range(1).select(shapes.on_plane(v(0, 0, -1), v(1, 0, 0), v(0, 0, 0), v(0, 0, 1))[0]).first()[0] is None
+
+
+def test_commands(spark, tmp_path, capsys):
+    v = [ball(c, 3.0, 8) for c in (3.0, 3.5, 4.0)]
+    volume_files.write_volumes(images(spark, *v), str(tmp_path / "in"), (8, 8, 8), (1, 1, 2))
+    out = lambda name: {r["path"].rsplit("/", 1)[1]: r for r in volume_files.read_volumes(spark, str(tmp_path / name)).collect()}
+
+    def run(command, name, *more):
+        cli.main([command, str(tmp_path / "in"), str(tmp_path / name), *more], spark)
+        return out(name)
+
+    cli.main(["info", str(tmp_path / "in")], spark)
+    assert "2.mha" in capsys.readouterr().out
+    assert np.allclose(run("average", "average")["0.mha"]["data"], np.mean(v, 0).ravel(), atol=1e-6)
+    assert np.allclose(run("threshold", "high", "--level", "0.5")["1.mha"]["data"], (v[1].ravel() > 0.5))
+    assert np.allclose(run("roi", "box", "--start", "1", "2", "3", "--extent", "4", "3", "2")["0.mha"]["data"], v[0][3:5, 2:5, 1:5].ravel(), atol=1e-6)
+    half = run("downsample", "half")["0.mha"]
+    assert half["size"] == [4, 4, 4] and half["spacing"] == [2.0, 2.0, 4.0] and np.allclose(half["data"], v[0][::2, ::2, ::2].ravel(), atol=1e-6)
+    assert run("isotropic", "iso")["0.mha"]["size"] == [8, 8, 15]
+    assert len(run("prepare", "ready", "--taper", "2")) == 3
+    moved = run("warp", "warped", "--iterations", "10", "--levels", "2:5,1")["2.mha"]["data"]
+    assert np.abs(np.array(moved) - v[0].ravel()).sum() < np.abs(v[2] - v[0]).sum()
+    run("atlas", "atlas", "--iterations", "2", "--method", "relaxation")
+    assert set(out("atlas/mean")) == {"0.mha"} and len(out("atlas/deformed")) == 3
+    volume_files.write_fields(field_rows(spark, np.full((3, 8, 8, 8), 0.25)), str(tmp_path / "u"), (8, 8, 8))
+    cli.main(["field", str(tmp_path / "u"), str(tmp_path / "inverse"), "invert"], spark)
+    (row,) = volume_files.read_fields(spark, str(tmp_path / "inverse")).collect()
+    assert np.allclose(as_field(row, (8, 8, 8)), kernels.identity((8, 8, 8)) - 0.25)
+    volume_files.write_volumes(images(spark, np.zeros(8)), str(tmp_path / "in/odd"), (2, 2, 2))
+    with pytest.raises(ValueError, match="not congruent"):
+        run("average", "again")

@@ -25,8 +25,19 @@ def unknown(files: DataFrame, digests: DataFrame) -> DataFrame:
 
 
 def dictionary(rows: DataFrame, standard: Column, order: Sequence[Column]) -> DataFrame:
-    """Standard entries with their place in the order."""
-    return rows.filter(standard).withColumn("place", F.row_number().over(W.orderBy(*order)))
+    """Standard entries with their place in the order.
+
+    Entries are dealt by ranges of the order; each range numbers its own, from
+    the number of entries in the ranges before, a table of one row a range.
+    """
+    from volspark.plans.state import cut
+
+    dealt = cut(rows.filter(standard).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    ranges = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = ranges.select("_part", before.alias("_before"))
+    own = F.row_number().over(W.partitionBy("_part").orderBy(*order))
+    return dealt.join(F.broadcast(starts), "_part").withColumn("place", F.col("_before") + own).drop("_part", "_before")
 
 
 def assign_uids(rows: DataFrame, root: str, group: str, order: str) -> DataFrame:

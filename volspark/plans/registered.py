@@ -762,11 +762,10 @@ _OCT = "fc AS (SELECT unnest(range(8)) AS k), rd AS (SELECT n_nationkey AS surfa
 @query("surface_id:i volume:d area:d", with_ctes("", _OCT) + " SELECT surface_id, 4.0 / 3 * r ** 3 AS volume, 4 * sqrt(3.0) * r ** 2 AS area FROM rd")
 def surface_volume(spark, d):
     points, facets = surface.sphere()
-    v, f = surface.mesh_tables(spark, 0, points, facets)
     radii = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("surface_id"), (1.0 + F.col("n_nationkey")).alias("r"))
-    v = v.drop("surface_id").join(F.broadcast(radii)).select("surface_id", "vid", *[(F.col(a) * F.col("r")).alias(a) for a in AXES])
-    f = f.drop("surface_id").join(F.broadcast(radii.select("surface_id")))
-    return surface.volume_and_centroid(surface.corners(f, v))
+    each = lambda rows: F.posexplode(F.array(*[F.array(*map(F.lit, r)) for r in rows]))
+    v = radii.select("surface_id", "r", each(points).alias("vid", "p")).select("surface_id", "vid", *[(F.col("p")[i] * F.col("r")).alias(a) for i, a in enumerate(AXES)])
+    return surface.volume_and_centroid(surface.corners(radii.select("surface_id", each(facets).alias("fid", "vids")), v))
 
 
 _PTS = "SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS x, p_retailprice / 100 AS y, CAST(p_partkey % 17 AS DOUBLE) AS z FROM part"
