@@ -59,6 +59,27 @@ def with_places(fields: DataFrame, size: Size, sign: float = 1.0, spacing: Seque
     return fields.select("*", *[F.transform(c, place(at, s)).alias(p) for p, c, at, s in zip(PLACE, components, index, spacing, strict=True)])
 
 
+def of_affine(rows: DataFrame, size: Size, matrix: Sequence[float], shift: Sequence[float], inverse: bool = False) -> DataFrame:
+    """Adds hx, hy, hz, the places of an affine map (or of its inverse), to rows of images."""
+    from volspark.operators.pointwise import inverse_affine
+
+    m, t = inverse_affine(matrix, shift) if inverse else (matrix, shift)
+    sx, sy, sz = size
+    every = F.sequence(F.lit(0), F.lit(sx * sy * sz - 1))
+
+    def place(k: int) -> Callable[[Column], Column]:
+        return lambda i: (i % sx) * float(m[3 * k]) + F.floor(i / sx) % sy * float(m[3 * k + 1]) + F.floor(i / (sx * sy)) * float(m[3 * k + 2]) + float(t[k])
+
+    return rows.select("*", *[F.transform(every, place(k)).alias(h) for k, h in enumerate(H)])
+
+
+def dots(a: DataFrame, b: DataFrame, components: Sequence[str] = U) -> DataFrame:
+    """(image_id, dot): the sum of the products of the vectors of two fields with the same image_id."""
+    other = b.select("image_id", *[F.col(c).alias(f"_{c}") for c in components])
+    parts = [F.aggregate(F.zip_with(c, f"_{c}", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) for c in components]
+    return a.join(other, "image_id").select("image_id", (parts[0] + parts[1] + parts[2]).alias("dot"))
+
+
 def compose(fields: DataFrame, size: Size, f: Sequence[str] = H, g: Sequence[str] = G, strategy: str = "id") -> DataFrame:
     """(image_id, hx, hy, hz): f(g(x)) of two fields of places in one row."""
     return kernels.map_images(fields, lambda s: named(kernels.sample(stack(s, f, size), stack(s, g, size), strategy)), list(dict.fromkeys([*f, *g])), H)

@@ -21,6 +21,7 @@ from volspark.operators.interp import PLACE
 from volspark.plans import inputs as src
 from volspark.plans.inputs import FLAT, SIZE, table, with_ctes
 from volspark.sources import catalogue
+from volspark.streaming import running_mean
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -577,6 +578,23 @@ def _shrunk(spark, d) -> DataFrame:
     return src.dense_fields(spark, d).withColumns({c: F.transform(c, lambda u: u * 0.3) for c in U})
 
 
+_BACK = pointwise.inverse_affine(MATRIX, SHIFT)
+_BACK_SQL = ", ".join(f"{_BACK[0][3 * i]!r}::DOUBLE * x + {_BACK[0][3 * i + 1]!r}::DOUBLE * y + {_BACK[0][3 * i + 2]!r}::DOUBLE * z + {_BACK[1][i]!r}::DOUBLE AS g{a}" for i, a in enumerate("xyz"))
+
+
+@query(VOXEL + " hx:d hy:d hz:d gx:d gy:d gz:d", with_ctes("vox") + " SELECT image_id, x, y, z, " + _AF.replace(" AS p", " AS h") + f", {_BACK_SQL} FROM vox")
+def field_of_affine(spark, d):
+    rows = src.volumes(spark, d).select("image_id")
+    back = fields.of_affine(rows, SIZE, MATRIX, SHIFT, inverse=True).withColumnsRenamed(dict(zip(H, fields.G, strict=True)))
+    return unpacked(fields.of_affine(back, SIZE, MATRIX, SHIFT), SIZE, [*H, *fields.G])
+
+
+@query("image_id:i dot:d", with_ctes("fld") + " SELECT a.image_id, sum(a.ux * b.ux + a.uy * b.uy + a.uz * b.uz) AS dot FROM fld a JOIN fld b ON b.image_id = a.image_id + 1 AND (a.x, a.y, a.z) = (b.x, b.y, b.z) GROUP BY a.image_id")
+def field_dot(spark, d):
+    u = src.dense_fields(spark, d)
+    return fields.dots(u, u.withColumn("image_id", F.col("image_id") - 1))
+
+
 _FGATHER = ", ".join(f"sum(w * coalesce(f.u{a}, 0)) AS u{a}" for a in "xyz")
 _FC = f"pl AS ({_PH}), cr AS (SELECT image_id, x, y, z, px, py, pz, CAST(floor(px) AS BIGINT) + dx AS cx, CAST(floor(py) AS BIGINT) + dy AS cy, CAST(floor(pz) AS BIGINT) + dz AS cz, {_W} AS w FROM pl, corner)"
 
@@ -816,6 +834,11 @@ def bin_slices(spark, d):
     return metadata.bin_slices(table(spark, d, "events"), F.col("user_id") % 20, "value", 25.0, "event_id")
 
 
+@query("start:i event_type:s n:i mean_v:d", "SELECT CAST(floor(epoch(ts) / 600) AS BIGINT) * 600 AS start, event_type, count(*) AS n, avg(value) AS mean_v FROM events GROUP BY 1, 2")
+def slice_windows(spark, d):
+    return running_mean.windowed_stats(table(spark, d, "events")).withColumn("start", F.unix_timestamp("start"))
+
+
 @query("digest:s first_id:i copies:i", "SELECT md5(text) AS digest, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY 1")
 def catalog_dedup(spark, d):
     return metadata.first_seen(table(spark, d, "documents"), F.md5(F.encode("text", "UTF-8")), "doc_id")
