@@ -221,7 +221,7 @@ class Field:
                 col += [t] * len(fs)
                 feat += fs
         row, col, feat = (np.array(x, dtype=np.int64) for x in (row, col, feat))
-        n_w = len(self.weights)
+        n_w, place = len(self.weights), row * width + col
         theta = np.zeros(n_w + 1 + 4)
         theta[n_w] = -2.0
         seen = np.zeros_like(theta)
@@ -231,11 +231,10 @@ class Field:
         np.add.at(seen, n_w + 1 + (2 * states[:, :-1] + states[:, 1:])[both], 1.0)
         m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
         for step in range(1, STEPS + 1):
-            e = np.full((s, width), theta[n_w])
-            np.add.at(e, (row, col), theta[feat])
+            e = theta[n_w] + np.bincount(place, theta[feat], s * width).reshape(s, width)
             p, pairs = chain_marginals(e, theta[n_w + 1 :].reshape(2, 2), mask)
             expected = np.zeros_like(theta)
-            np.add.at(expected, feat, p[row, col])
+            expected[:n_w] = np.bincount(feat, p.ravel()[place], n_w)
             expected[n_w] = p[mask].sum()
             expected[n_w + 1 :] = pairs.ravel()
             gradient = (seen - expected) / s - PENALTY * theta
@@ -245,27 +244,30 @@ class Field:
 
 
 def chain_marginals(e: np.ndarray, transitions: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """State-1 marginals of each token of padded chains, and the expected number of each transition."""
-    s, width = e.shape
-    m = np.exp(transitions)
-    emit = np.stack([np.ones_like(e), np.exp(np.minimum(e, 50))], axis=2)
-    forward, backward = np.zeros((width, s, 2)), np.ones((width, s, 2))
-    for t in range(width):
-        x = emit[:, 0] if t == 0 else (forward[t - 1] @ m) * emit[:, t]
-        x = x if t == 0 else np.where(mask[:, t, None], x, forward[t - 1])
-        forward[t] = x / x.sum(1, keepdims=True)
+    """State-1 marginals of each token of padded chains, and the expected number of each transition.
+
+    Messages are held as the share of state 1 in the place of both states, one row a token.
+    """
+    (a, b), (c, d) = np.exp(transitions)
+    odds, inside = np.ascontiguousarray(np.exp(np.minimum(e, 50)).T), mask.T
+    width, s = odds.shape
+    forward, backward = np.zeros((width, s)), np.full((width, s), 0.5)
+    forward[0] = odds[0] / (1 + odds[0])
+    for t in range(1, width):
+        f = forward[t - 1]
+        x, y = a + f * (c - a), (b + f * (d - b)) * odds[t]
+        forward[t] = np.where(inside[t], y / (x + y), f)
     for t in range(width - 2, -1, -1):
-        x = (backward[t + 1] * emit[:, t + 1]) @ m.T
-        x = np.where(mask[:, t + 1, None], x, 1.0)
-        backward[t] = x / x.sum(1, keepdims=True)
+        v = backward[t + 1]
+        u, v = 1 - v, v * odds[t + 1]
+        x, y = a * u + b * v, c * u + d * v
+        backward[t] = np.where(inside[t + 1], y / (x + y), 0.5)
     both = forward * backward
-    p = (both[:, :, 1] / both.sum(2)).T
-    pairs = np.zeros((2, 2))
-    for t in range(width - 1):
-        x = forward[t][:, :, None] * m * (emit[:, t + 1] * backward[t + 1])[:, None, :]
-        x = x / x.sum((1, 2), keepdims=True)
-        pairs += x[mask[:, t + 1]].sum(0)
-    return p, pairs
+    p = (both / (both + (1 - forward) * (1 - backward))).T
+    f, v = forward[:-1], backward[1:]
+    u, v = 1 - v, v * odds[1:]
+    x = np.stack([(1 - f) * a * u, (1 - f) * b * v, f * c * u, f * d * v])
+    return p, (x / x.sum(0))[:, inside[1:]].sum(1).reshape(2, 2)
 
 
 _SEGMENT = pa.schema([("doc_id", pa.int64()), ("segment", pa.int64()), ("features", pa.list_(pa.list_(pa.int64()))), ("states", pa.list_(pa.int64()))])
