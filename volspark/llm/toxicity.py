@@ -210,7 +210,11 @@ class Field:
 
     def fit(self, segments: list[tuple[list[list[int]], list[int]]]) -> None:
         """Maximise the log-likelihood of segments, each with the features of its tokens and their states."""
-        s, width = len(segments), WIDTH
+        # Segments that are alike, as all without features of one length are, are taken once, with their number.
+        alike = Counter((tuple(map(tuple, fs)), tuple(y)) for fs, y in segments)
+        total, width = len(segments), WIDTH
+        segments, times = list(alike), np.array(list(alike.values()), dtype=np.float64)
+        s = len(segments)
         states, mask = np.zeros((s, width), np.int64), np.zeros((s, width), bool)
         row, col, feat = [], [], []
         for k, (token_features, y) in enumerate(segments):
@@ -225,26 +229,27 @@ class Field:
         theta = np.zeros(n_w + 1 + 4)
         theta[n_w] = -2.0
         seen = np.zeros_like(theta)
-        np.add.at(seen, feat, states[row, col].astype(float))
-        seen[n_w] = states[mask].sum()
+        np.add.at(seen, feat, states[row, col] * times[row])
+        seen[n_w] = (states * mask * times[:, None]).sum()
         both = mask[:, 1:]
-        np.add.at(seen, n_w + 1 + (2 * states[:, :-1] + states[:, 1:])[both], 1.0)
+        np.add.at(seen, n_w + 1 + (2 * states[:, :-1] + states[:, 1:])[both], np.broadcast_to(times[:, None], both.shape)[both])
         m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
         for step in range(1, STEPS + 1):
             e = theta[n_w] + np.bincount(place, theta[feat], s * width).reshape(s, width)
-            p, pairs = chain_marginals(e, theta[n_w + 1 :].reshape(2, 2), mask)
+            p, pairs = chain_marginals(e, theta[n_w + 1 :].reshape(2, 2), mask, times)
+            p = p * times[:, None]
             expected = np.zeros_like(theta)
             expected[:n_w] = np.bincount(feat, p.ravel()[place], n_w)
             expected[n_w] = p[mask].sum()
             expected[n_w + 1 :] = pairs.ravel()
-            gradient = (seen - expected) / s - PENALTY * theta
+            gradient = (seen - expected) / total - PENALTY * theta
             m1, m2 = 0.9 * m1 + 0.1 * gradient, 0.999 * m2 + 0.001 * gradient**2
             theta += RATE * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
         self.weights, self.bias, self.transitions, self.ready = theta[:n_w], float(theta[n_w]), theta[n_w + 1 :].reshape(2, 2), True
 
 
-def chain_marginals(e: np.ndarray, transitions: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """State-1 marginals of each token of padded chains, and the expected number of each transition.
+def chain_marginals(e: np.ndarray, transitions: np.ndarray, mask: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """State-1 marginals of each token of padded chains, and the expected number of each transition, chains counted ``times``.
 
     Messages are held as the share of state 1 in the place of both states, one row a token.
     """
@@ -267,7 +272,7 @@ def chain_marginals(e: np.ndarray, transitions: np.ndarray, mask: np.ndarray) ->
     f, v = forward[:-1], backward[1:]
     u, v = 1 - v, v * odds[1:]
     x = np.stack([(1 - f) * a * u, (1 - f) * b * v, f * c * u, f * d * v])
-    return p, (x / x.sum(0))[:, inside[1:]].sum(1).reshape(2, 2)
+    return p, (x / x.sum(0) * (1.0 if times is None else times))[:, inside[1:]].sum(1).reshape(2, 2)
 
 
 _SEGMENT = pa.schema([("doc_id", pa.int64()), ("segment", pa.int64()), ("features", pa.list_(pa.list_(pa.int64()))), ("states", pa.list_(pa.int64()))])
