@@ -53,3 +53,9 @@ def closest_weights(dist: DataFrame, keep: Column, keys: Sequence[str] = ()) ->
     over = W.partitionBy(*keys)
     rows = dist.withColumn("r", F.row_number().over(over.orderBy("dist", "image_id"))).withColumn("n", F.count("*").over(over))
     return rows.withColumn("w", F.when(F.col("r") <= keep, 1.0 / keep).otherwise(0.0)).select(*keys, "image_id", "w")
+
+
+def in_order(images: DataFrame, data: str = "data") -> DataFrame:
+    """(image_id, ordered, first_fault): whether the values of each image ascend, and the place of the first that doesn't, or -1."""
+    fault = F.transform(F.sequence(F.lit(1), F.greatest(F.size(data) - 1, F.lit(1))), lambda i: F.when(F.get(data, i) < F.get(data, i - 1), i))
+    return images.select("image_id", F.array_min(fault).alias("first_fault")).select("image_id", F.col("first_fault").isNull().alias("ordered"), F.coalesce("first_fault", F.lit(-1)).alias("first_fault"))

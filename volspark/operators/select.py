@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -23,13 +24,21 @@ def extract(rows: DataFrame, start: Sequence[int], size: Sequence[int]) -> DataF
     return rows.filter(in_box(start, size)).withColumns({a: F.col(a) - s for a, s in zip(AXES, start, strict=True)})
 
 
+def world_box(start: Sequence[float], end: Sequence[float], origin: Sequence[float], spacing: Sequence[float], size: Size) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """First index and size of the box of voxels between two world places, both included, as far as it is in the grid."""
+    low = [max(0, math.ceil((s - o) / d - 1e-9)) for s, o, d in zip(start, origin, spacing, strict=True)]
+    high = [min(n - 1, math.floor((e - o) / d + 1e-9)) for e, o, d, n in zip(end, origin, spacing, size, strict=True)]
+    return tuple(low), tuple(max(0, h - lo + 1) for lo, h in zip(low, high, strict=True))
+
+
 def fill_box(rows: DataFrame, start: Sequence[int], size: Sequence[int], value: float) -> DataFrame:
     return rows.withColumn("v", F.when(in_box(start, size), float(value)).otherwise(F.col("v")))
 
 
-def copy_box(source: DataFrame, target: DataFrame, start: Sequence[int], size: Sequence[int], to: Sequence[int]) -> DataFrame:
-    """target with the box of source at ``to``."""
-    moved = source.filter(in_box(start, size)).select("image_id", *[(F.col(a) - s + t).alias(a) for a, s, t in zip(AXES, start, to, strict=True)], F.col("v").alias("new"))
+def copy_box(source: DataFrame, target: DataFrame, start: Sequence[int], size: Sequence[int], to: Sequence[int], kind: str = "same") -> DataFrame:
+    """target with the box of source at ``to``; kind is same, cast (towards 0) or round (half away from 0)."""
+    value = {"same": F.col("v"), "cast": F.col("v").cast("long").cast("double"), "round": F.round("v")}[kind]
+    moved = source.filter(in_box(start, size)).select("image_id", *[(F.col(a) - s + t).alias(a) for a, s, t in zip(AXES, start, to, strict=True)], value.alias("new"))
     return target.join(moved, ["image_id", *AXES], "left").withColumn("v", F.coalesce("new", "v")).drop("new")
 
 

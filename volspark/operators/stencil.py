@@ -43,6 +43,15 @@ def laplacian(rows: DataFrame, size: Size, value: str = "v") -> DataFrame:
     return rows.withColumn("lap", F.when(interior(size), total - 6 * F.col(value)).otherwise(0.0))
 
 
+def field_laplacian(rows: DataFrame, size: Size, components: Sequence[str]) -> DataFrame:
+    """The Laplacian of each component, as l + its name."""
+    out = {}
+    for c in components:
+        total = sum((F.lag(c).over(line(a)) + F.lead(c).over(line(a)) for a in AXES), F.lit(0.0))
+        out[f"l{c}"] = F.when(interior(size), total - 6 * F.col(c)).otherwise(0.0)
+    return rows.select("*", *[v.alias(k) for k, v in out.items()])
+
+
 def _each_axis(rows: DataFrame, step) -> DataFrame:
     for a in AXES:
         rows = rows.withColumn("v", step(a))
@@ -107,9 +116,9 @@ def hessian(rows: DataFrame, size: Size, value: str = "v") -> DataFrame:
     return first.select("*", *out)
 
 
-def prefix_scan(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str = "v") -> DataFrame:
-    """Inclusive and exclusive running sum, running minimum and maximum."""
-    over = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+def prefix_scan(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str = "v", backward: bool = False) -> DataFrame:
+    """Inclusive and exclusive running sum, running minimum and maximum, from the first or from the last."""
+    over = W.partitionBy(*keys).orderBy(*[F.desc(o) if backward else F.asc(o) for o in order]).rowsBetween(W.unboundedPreceding, W.currentRow)
     total = F.sum(value).over(over)
     return rows.select("*", total.alias("scan_sum"), (total - F.col(value)).alias("scan_before"), F.min(value).over(over).alias("scan_min"), F.max(value).over(over).alias("scan_max"))
 

@@ -175,6 +175,18 @@ def roi_copy(spark, d):
     return select.copy_box(v.withColumn("image_id", F.col("image_id") - 1), v, (0, 0, 0), (2, 2, 2), (2, 1, 0))
 
 
+@query(VOXEL + " v:d", with_ctes("vox") + " SELECT t.image_id, t.x, t.y, t.z, coalesce(s.v, 10 * t.v) AS v FROM vox t LEFT JOIN (SELECT image_id, x + 1 AS x, y, z + 1 AS z, round(10 * v) AS v FROM vox WHERE x < 3 AND z < 3) s ON s.image_id = t.image_id AND (s.x, s.y, s.z) = (t.x, t.y, t.z)")
+def roi_copy_round(spark, d):
+    v = src.vox(spark, d).withColumn("v", 10 * F.col("v"))
+    return select.copy_box(v, v, (0, 0, 0), (3, 4, 3), (1, 0, 1), "round")
+
+
+@query(VOXEL + " v:d", with_ctes("vox") + " SELECT image_id, x - 1 AS x, y, z - 2 AS z, v FROM vox WHERE x >= 1 AND y <= 2 AND z BETWEEN 2 AND 3")
+def roi_world(spark, d):
+    start, size = select.world_box((11.5, 0.0, -4.0), (99.0, 5.0, 10.0), (10.0, 1.0, -7.0), (2.0, 2.0, 2.0), SIZE)
+    return select.extract(src.vox(spark, d), start, size)
+
+
 @query(VOXEL + " v:d", with_ctes("vox") + " SELECT a.image_id, a.x, a.y, a.z, CASE WHEN b.v BETWEEN 0 AND 0.1 THEN b.v ELSE a.v END AS v FROM vox a JOIN vox b ON b.image_id = a.image_id + 1 AND (a.x, a.y, a.z) = (b.x, b.y, b.z)")
 def mask_select(spark, d):
     a = src.volumes(spark, d)
@@ -390,6 +402,26 @@ def prefix_scan(spark, d):
     return stencil.prefix_scan(src.vox(spark, d, dealt=True), ["image_id"], ["z", "y", "x"])
 
 
+@query(VOXEL + " scan_sum:d scan_min:d", with_ctes("vox") + " SELECT image_id, x, y, z, sum(v) OVER o AS scan_sum, min(v) OVER o AS scan_min FROM vox WINDOW o AS (PARTITION BY image_id ORDER BY z DESC, y DESC, x DESC ROWS UNBOUNDED PRECEDING)")
+def suffix_scan(spark, d):
+    return stencil.prefix_scan(src.vox(spark, d, dealt=True), ["image_id"], ["z", "y", "x"], backward=True)
+
+
+@query("image_id:i ordered:b first_fault:i", with_ctes("vox", "o AS (SELECT image_id, x + 4 * y + 16 * z AS i, v - lag(v) OVER (PARTITION BY image_id ORDER BY x + 4 * y + 16 * z) AS d FROM vox)") + " SELECT image_id, min(i) FILTER (d < 0) IS NULL AS ordered, coalesce(min(i) FILTER (d < 0), -1) AS first_fault FROM o GROUP BY image_id UNION ALL SELECT DISTINCT -1 - image_id, true, -1 FROM vox")
+def order_check(spark, d):
+    v = src.volumes(spark, d)
+    ascending = v.select((-1 - F.col("image_id")).alias("image_id"), F.array_sort("data").alias("data"))
+    return order.in_order(v.select("image_id", "data").unionByName(ascending))
+
+
+_LAP = ", ".join("CASE WHEN x IN (1, 2) AND y IN (1, 2) AND z IN (1, 2) THEN " + _SIX.replace("(v)", f"(u{c})") + f" - 6 * u{c} ELSE 0 END AS lu{c}" for c in "xyz")
+
+
+@query(VOXEL + " lux:d luy:d luz:d", with_ctes("fld") + f" SELECT image_id, x, y, z, {_LAP} FROM fld")
+def field_laplacian(spark, d):
+    return stencil.field_laplacian(src.fields(spark, d, dealt=True), SIZE, U)
+
+
 @query(VOXEL + " seg:i seg_sum:d seg_count:i", with_ctes("vox", f"s AS (SELECT *, sum(CASE WHEN v > 0.1 THEN 1 ELSE 0 END) {_SCAN} AS seg FROM vox)") + " SELECT image_id, x, y, z, seg, sum(v) OVER (PARTITION BY image_id, seg ORDER BY z, y, x ROWS UNBOUNDED PRECEDING) AS seg_sum, count(*) OVER (PARTITION BY image_id, seg) AS seg_count FROM s")
 def segmented_scan(spark, d):
     return stencil.segmented_scan(src.vox(spark, d, dealt=True), ["image_id"], ["z", "y", "x"], F.col("v") > 0.1)
