@@ -36,10 +36,10 @@ from volspark.llm.common import bucket_bits, cut, prefix_sums, slices
 
 CAPACITY = 2048
 END_ID = 0
-#: Fillings that are looked at for each bin.
-FILLINGS = 4000
+#: Fillings that are looked at for each bin, and for each bin of the search.
+FILLINGS, SEARCHED = 4000, 400
 #: Bins that backtracking may complete in all.
-NODES = 3000
+NODES = 300
 
 _encoders: dict = {}
 
@@ -167,7 +167,7 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES)
     """Fillings and how often each is used, so that every piece is placed once.
 
     Optimal if it meets the waste bound or if backtracking ends within ``nodes``
-    and FILLINGS; otherwise the best of the solutions seen, with a warning that
+    and SEARCHED; otherwise the best of the solutions seen, with a warning that
     names its bins and the bound.
     """
     counts = Counter({int(s): int(c) for s, c in counts.items() if c > 0})
@@ -183,7 +183,7 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES)
 
 
 def _completions(counts: Counter, room: int, waste: int) -> tuple[list[tuple[int, ...]], bool]:
-    """Maximal fillings of the room with at most that waste, least waste first, without those that swapping in one larger piece dominates; False if FILLINGS cut the list."""
+    """Maximal fillings of the room with at most that waste, least waste first, without those that swapping in one larger piece dominates; False if SEARCHED cut the list."""
     sizes = sorted((s for s, c in counts.items() if c > 0 and s <= room), reverse=True)
     negative = [-s for s in sizes]
     rest = [0]
@@ -205,7 +205,7 @@ def _completions(counts: Counter, room: int, waste: int) -> tuple[list[tuple[int
     found: list[tuple[int, tuple[int, ...]]] = []
     stack: list[tuple[int, int, tuple[int, ...]]] = [(0, room, ())]
     looked = 0
-    while stack and looked < FILLINGS:
+    while stack and looked < SEARCHED:
         at, left, taken = stack.pop()
         looked += 1
         k = max(at, bisect_left(negative, -left))
