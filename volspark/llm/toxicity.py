@@ -68,6 +68,8 @@ BEGINNINGS = (4, 5, 6, 7)
 REPEATS = 3
 #: Marks a feature of the lexicon that holds only where it is repeated.
 REPEATED = b"*"
+#: Bytes of a word that are looked up first; no feature but a shorter word has fewer.
+START = 4
 STEPS, RATE, PENALTY = 200, 0.1, 1e-3
 THRESHOLD = 0.7
 
@@ -111,6 +113,8 @@ class Field:
 
     def __init__(self, lexicon: list[bytes]) -> None:
         self.index = {f: i for i, f in enumerate(lexicon)}
+        # First bytes of the words that can have a feature: those of the feature's letters, which begin the word.
+        self.starts = {f.removeprefix(REPEATED)[1:][:START] for f in lexicon}
         self.weights = np.zeros(len(lexicon))
         self.bias = 0.0
         self.transitions = np.zeros((2, 2))
@@ -138,7 +142,8 @@ class Field:
 
     def found(self, words: list[bytes]) -> list[tuple[int, list[int]]]:
         """(token, features) of the tokens of a document that have a feature of the lexicon."""
-        some = [(t, always, repeated) for t, (always, repeated) in enumerate(map(self._lookup, words)) if always or repeated]
+        starts = self.starts
+        some = [(t, *self._lookup(w)) for t, w in enumerate(words) if w[:START] in starts]
         times = Counter(i for _, _, repeated in some for i in repeated)
         held = [(t, always + [i for i in repeated if times[i] >= REPEATS]) for t, always, repeated in some]
         return [(t, fs) for t, fs in held if fs]
