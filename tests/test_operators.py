@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from volspark.config import GreedyParams, LDMMParams
-from volspark.operators import fields, interp, kernels, pca, preprocess, registration, spectral, surface
+from volspark.operators import fields, kernels, pca, registration, spectral, surface
 from volspark.operators.grid import AXES
 from volspark.sources import text_files, volume_files
 from volspark.streaming.running_mean import running_mean

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from volspark.operators.grid import unpacked, voxels
 
 SIZE = (4, 4, 4)
-FLAT = (32, 32, 1)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

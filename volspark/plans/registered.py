@@ -19,7 +19,7 @@ from volspark.operators.fields import H, U
 from volspark.operators.grid import AXES, dense, unpacked, voxels
 from volspark.operators.interp import PLACE
 from volspark.plans import inputs as src
-from volspark.plans.inputs import FLAT, SIZE, table, with_ctes
+from volspark.plans.inputs import SIZE, table, with_ctes
 from volspark.sources import catalogue
 from volspark.streaming import running_mean
 
