@@ -240,3 +240,24 @@ def prefix_sums(rows: DataFrame, keys: list[str], bucket: str, value: str, name:
 def bucket_bits(n: int, rows: int = 2000) -> int:
     """Bits of a hash so that n rows fall into buckets of about ``rows`` rows."""
     return max(0, int(np.ceil(np.log2(max(1, n / rows)))))
+
+
+def ranged(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """The rows dealt by range of ``order``, with ``part``, the number of the range; written out.
+
+    Rows that are equal in order may fall into several ranges, so no range grows with them.
+    """
+    tagged = rows.withColumn("_row", F.monotonically_increasing_id())
+    return cut(tagged.repartitionByRange(*order, F.col("_row").asc()).withColumn("part", F.spark_partition_id()).drop("_row"))
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """The rows numbered from 1 in order, each number within its range and the sizes of the ranges before it."""
+    from pyspark.sql import Window as W
+
+    dealt = ranged(rows, order)
+    # One row a range, so the window without keys holds as many rows as the shuffle has partitions.
+    before = F.coalesce(F.sum("_n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = dealt.groupBy("part").agg(F.count("*").alias("_n")).select("part", before.alias("_before"))
+    place = F.row_number().over(W.partitionBy("part").orderBy(*order))
+    return dealt.withColumn("_place", place).join(F.broadcast(offsets), "part").withColumn(name, F.col("_before") + F.col("_place")).drop("part", "_place", "_before")
