@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from volspark.llm import chat, exact_dedup, fingerprint, language, mixing, ngram_join, packing, prefix_trie, quality, substring_dedup, toxicity
+from volspark.llm import chat, exact_dedup, fingerprint, importance, language, mixing, ngram_join, packing, pieces, prefix_trie, quality, substring_dedup, toxicity
 from volspark.llm.common import documents
 
 
@@ -66,9 +66,20 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as public
+
+    model = pieces.read_model(public.path("piece_bpe_32k.model"))
+    return pieces.encode(documents(spark, sf_dir), model, ("n_tokens", "ids_sha256", "spans_sha256", "decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_toxicity, op4_exact_dedup, op5_substring_dedup, op6_ngram_jaccard, op7_fingerprints, op8_best_fit_packing, op9_mixing, op10_chat_format, op11_prefix_trie)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_toxicity, op4_exact_dedup, op5_substring_dedup, op6_ngram_jaccard, op7_fingerprints, op8_best_fit_packing, op9_mixing, op10_chat_format, op11_prefix_trie, op12_importance_resampling, op13_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.ORACLE, "op5_substring_dedup": substring_dedup.ORACLE, "op6_ngram_jaccard": ngram_join.ORACLE, "op9_mixing": mixing.ORACLE, "op10_chat_format": chat.ORACLE, "op11_prefix_trie": prefix_trie.ORACLE}
+    return {"op4_exact_dedup": exact_dedup.ORACLE, "op5_substring_dedup": substring_dedup.ORACLE, "op6_ngram_jaccard": ngram_join.ORACLE, "op9_mixing": mixing.ORACLE, "op10_chat_format": chat.ORACLE, "op11_prefix_trie": prefix_trie.ORACLE, "op12_importance_resampling": importance.ORACLE}
