@@ -140,8 +140,12 @@ def test_ngram_join_of_edited_copies(spark, seed):
 
 
 def units(text):
-    width = 8 if len(text) <= 128 else 64 if len(text) <= 1024 else 256
-    return set(re.findall(r"[^\n]{1,%d}" % width, text))
+    """Parts of a text, each with the number of its repeat."""
+    seen, out = {}, set()
+    for x in re.findall(fingerprint.PART, text):
+        out.add((x, seen.setdefault(x, 0)))
+        seen[x] += 1
+    return out
 
 
 def test_fingerprints(spark, awkward):
@@ -175,6 +179,25 @@ def test_fingerprints_recover_digests(spark, monkeypatch, share):
     assert sorted(want, key=str) == sorted([(r["doc_id"], r["n_chars"], sorted(r["only_here"]), sorted(r["only_next"])) for r in got], key=str)
 
 
+def test_likeness_does_not_depend_on_length_classes(spark):
+    """Versions whose lengths lie around 128 and 1,024 characters, with one character put in front, and with repeated lines."""
+    rng = random.Random(8)
+    rows = []
+    for size in (126, 128, 130, 1020, 1023, 1024, 1030, 1184, 5000):
+        text = " ".join("".join(rng.choice("abcdefhilmnorstu") for _ in range(rng.randrange(2, 9))) for _ in range(size))[:size]
+        rows += [(4 * len(rows) + k, t, "s") for k, t in enumerate((text, "x" + text, text[:-1] + "yy", "end"))]
+    rows.append((1000, "again and again\n" * 300 + "the end of it", "s"))
+    got = {r["doc_id"]: r for r in fingerprint.fingerprints(frame(spark, rows)).collect()}
+    for i, t, _ in rows:
+        if len(t) >= 400:
+            assert got[i]["near_edited"] >= 0.4
+    for i, t, _ in rows[::4]:
+        if len(t) >= 1000:
+            assert got[i]["near_next"] > 0.6 and got[i + 1]["near_next"] > 0.6
+        elif i < 1000:
+            assert got[i]["near_next"] > 0.2
+
+
 def test_fingerprint_of_one_document(spark):
     (r,) = fingerprint.fingerprints(frame(spark, [(5, "abcdefgh", "s")])).collect()
     assert r["near_next"] == 1.0 and r["edited_sha256"] == hashlib.sha256(b"abcdefab").hexdigest()

@@ -1,8 +1,10 @@
 """Fingerprints of documents as invertible Bloom lookup sketches, in DataFrame functions only.
 
-A text is cut at line feeds into paragraphs, longer paragraphs into parts, and
-each is hashed; the sketch of a text adds the set of these digests up in cells
-(count, xor of digests, xor of checks), three cells a digest. The sketches of
+A text is cut at line feeds into paragraphs, longer paragraphs into parts that
+end where certain characters stand, so the cuts move with the text, by one rule
+for all lengths. Each part is hashed, its repeats with their number, to 32 bits;
+the sketch of a text adds the set of these digests up in cells (count, xor of
+digests, xor of checks), three cells a digest. The sketches of
 two versions are subtracted cell by cell, which leaves the digests that only
 one version has, and peeling takes them out: a cell that holds one digest
 alone, as its check tells, gives it away, and it is then taken from its other
@@ -22,6 +24,8 @@ digests as its paragraphs and parts.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,25 +34,51 @@ from volspark.llm.common import cut, drop
 
 #: Cells of each of the three tables of a fingerprint.
 BASE_CELLS = 4
-#: Cells of each table of the first larger sketch, for each digest of the two versions together.
-SHARE = 1.2
-#: Passes over the three tables before peeling counts as stuck.
-PASSES = 2
+#: Cells of each table of the first larger sketch, for each digest of the two versions together; empty cells are no rows.
+SHARE = 4.0
+#: Steps of peeling, one table each, before it counts as stuck.
+STEPS = 4
 #: Columns that tell a version apart: whether doc_id is null (those come last), doc_id and a hash of the text.
 KEY = ("none", "id", "h")
 
 
+#: Characters that may end a part, about one in ten of a text in any of these scripts.
+ENDS = "dhlrDHLRáäçéñöÁÄÇÉÑÖ,;0-1а-вд-жА-ВД-Ж一-勿最-櫿가-꿿ァ-ソぁ-そ"
+#: Characters of a part at least (but at the end of a paragraph) and at most.
+SHORTEST, LONGEST = 24, 96
+PART = rf"[^\n]{{{SHORTEST - 1},{LONGEST - 1}}}?[{ENDS}]|[^\n]{{1,{LONGEST}}}"
+
+
+def _short(h: Column) -> Column:
+    """The upper half of a hash."""
+    return F.shiftright(h, 32).cast("int")
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _numbered(s: Column) -> Column:
+    """Sorted hashes with the repeats of each replaced by hashes of it and their number."""
+
+    def runs(heads: Column) -> Column:
+        repeat = lambda h: lambda j: F.when(j == 0, F.get(s, h)).otherwise(_short(F.xxhash64(F.get(s, h), j)))
+        return F.flatten(F.transform(heads, lambda h, r: F.transform(F.sequence(F.lit(0), F.coalesce(F.get(heads, r + 1), F.size(s)) - h - 1), repeat(h))))
+
+    heads = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    return F.array_distinct(_let(heads, runs))
+
+
 def digests(text: Column) -> Column:
-    """Distinct hashes of the paragraphs, array<long>; shorter texts are cut into shorter parts."""
-    n = F.char_length(text)
-    cut_at = lambda width: F.regexp_extract_all(text, F.lit(r"([^\n]{1,%d})" % width))
-    parts = F.when(n <= 128, cut_at(8)).when(n <= 1024, cut_at(64)).otherwise(cut_at(256))
-    return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
+    """Distinct hashes of the parts of a text, array<int>; a part that occurs m times gives m."""
+    parts = F.transform(F.regexp_extract_all(text, F.lit(PART), F.lit(0)), lambda p: _short(F.xxhash64(p)))
+    return _let(parts, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), h).otherwise(_let(F.sort_array(h), _numbered)))
 
 
 def _place(k: Column, table: int, cells: Column, level: int) -> Column:
     """The digest's cell in one of the three tables."""
-    return (F.pmod(F.xxhash64(k, F.lit(3 * level + table)), cells) + cells * table).cast("int")
+    return (F.pmod(F.xxhash64(k.cast("long"), F.lit(3 * level + table)), cells) + cells * table).cast("int")
 
 
 def _check(k: Column) -> Column:
@@ -57,7 +87,7 @@ def _check(k: Column) -> Column:
 
 def _entries(keys: Column, of: int, sign: int, cells: Column, level: int) -> Column:
     """(of, cell, c, k) for each digest and each of its cells, and an entry of cell -1, so that no sketch is without rows."""
-    one = lambda k: F.array(*[F.struct(F.lit(of).alias("of"), _place(k, j, cells, level).alias("cell"), F.lit(sign).alias("c"), k.alias("k")) for j in range(3)])
+    one = lambda k: F.array(*[F.struct(F.lit(of).alias("of"), _place(k, j, cells, level).alias("cell"), F.lit(sign).alias("c"), k.cast("long").alias("k")) for j in range(3)])
     start = F.array(F.struct(F.lit(of).alias("of"), F.lit(-1).alias("cell"), F.lit(0).alias("c"), F.lit(0).cast("long").alias("k")))
     return F.concat(F.flatten(F.transform(keys, one)), start)
 
@@ -87,7 +117,7 @@ def _peel(cells: DataFrame, level: int) -> DataFrame:
     """
     m, k, c = F.col("m"), F.col("k"), F.col("c")
     zero = F.lit(0).cast("long")
-    for step in range(3 * PASSES):
+    for step in range(STEPS):
         j = step % 3
         pure = (F.col("cell") >= m * j) & (F.col("cell") < m * (j + 1)) & (F.abs(c) == 1) & (F.col("x") == _check(k))
         part = lambda cell, t, c, k, x: F.struct(cell.alias("cell"), t.alias("t"), c.alias("c"), k.alias("k"), x.alias("x"))
@@ -209,7 +239,7 @@ class _Fingerprints:
 def fingerprints(docs: DataFrame, keep_digests: bool = False) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for each row of docs.
 
-    With ``keep_digests``, also the recovered digests, array<long>: those that only
+    With ``keep_digests``, also the recovered digests of 32 bits, array<long>: those that only
     the text or only the edited text has, and only the text or only the next one.
     """
     return _Fingerprints(docs).run(keep_digests)
