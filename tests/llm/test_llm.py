@@ -142,7 +142,8 @@ def test_ngram_join_of_edited_copies(spark, seed):
 def units(text):
     """Parts of a text, each with the number of its repeat."""
     seen, out = {}, set()
-    for x in re.findall(fingerprint.PART, text):
+    zones = text[: fingerprint.HEAD], text[fingerprint.HEAD :]
+    for x in [x for z, p in zip(zones, fingerprint.PARTS, strict=True) for x in re.findall(p, z)]:
         out.add((x, seen.setdefault(x, 0)))
         seen[x] += 1
     return out
@@ -191,10 +192,10 @@ def test_likeness_does_not_depend_on_length_classes(spark):
     for i, t, _ in rows:
         if len(t) >= 400:
             assert got[i]["near_edited"] >= 0.4
-    for i, t, _ in rows[::4]:
+    for i, t, _ in rows[:-1:4]:
         if len(t) >= 1000:
-            assert got[i]["near_next"] > 0.6 and got[i + 1]["near_next"] > 0.6
-        elif i < 1000:
+            assert got[i]["near_next"] > 0.4 and got[i + 1]["near_next"] > 0.4
+        else:
             assert got[i]["near_next"] > 0.2
 
 
@@ -473,3 +474,51 @@ def test_same_rows_as_sql(spark, name):
     columns = sorted(b.columns)
     rows = [sorted(map(tuple, x[columns].astype(str).to_numpy().tolist())) for x in (a, b)]
     assert sorted(a.columns) == columns and rows[0] == rows[1]
+
+
+def test_language_learns_rows_without_ids_once(spark):
+    """Thousands of copies without a doc_id don't take a dictionary over."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(["the", "cat", "sat", "mat", "dog", "ran"]) for _ in range(40)), "en") for i in range(400)] + [(None, "zzzz qqqq " * 20, "en")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    content = language.learn(docs).contents["en"]
+    assert content.count(b"zzzz") < 0.1 * content.count(b"the")
+
+
+def test_plain_segments_of_long_toxic_texts():
+    """Segments of a text of a million words, most of them with a feature, take linear time."""
+    import time
+
+    import pyarrow as pa
+
+    field = toxicity.Field([b"=bad"])
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["bad word " * 500_000 + "clean " * 100]), pa.array([1])], names=["doc_id", "text", "y"])
+    began = time.process_time()
+    (out,) = toxicity._segments(iter([batch]), field)
+    assert time.process_time() - began < 30 and [] in out.column(2)[-1].as_py()
+
+
+def test_statistics_of_long_texts():
+    """Statistics hold for words, not for copies of them: a text of a million words."""
+    x = dict(zip(quality.NAMES, quality.statistics(b"one two three four " * 250_000), strict=True))
+    assert x["word_repeats"] == pytest.approx(1 - 4 / 1e6) and x["block_repeats"] == pytest.approx(1 - 4 / (1e6 - 3)) and x["word_runs"] == 0 and x["word_ends"] == 0
+
+
+def test_hot_rows_without_ids(spark):
+    """A third of all rows are one text without an id; every row keeps its own result."""
+    rows = [(i, f"text number {i} with words {i % 7}", "s") for i in range(200)] + [(None, "the same text", None)] * 100
+    docs = frame(spark, rows)
+    exact = exact_dedup.exact_dedup(docs).filter("doc_id IS NULL").collect()
+    assert len(exact) == 100 and {(r.keep_id, r.group_size, r.kept) for r in exact} == {(None, 100, True)}
+    joined = ngram_join.ngram_join(docs).filter("doc_id IS NULL").collect()
+    assert len(joined) == 100 and {r.component_id for r in joined} == {None}
+    packed = packing.pack_documents(docs, **registry.tokenizer())
+    assert packed.filter("doc_id IS NULL").count() == 100 and packed.select("sequence_id", "offset").distinct().count() == 300
+
+
+def test_mix_is_sorted_by_finish(spark):
+    rows = [(i, "word " * (1 + i % 9), f"s{i % 2}") for i in range(300)]
+    found = mixing.mix(frame(spark, rows)).collect()
+    times = [r.mix_finish for r in found]
+    taken = [t for t in times if t is not None]
+    assert taken == sorted(taken) and times[: len(taken)] == taken and all((r.taken > 0) == (r.mix_finish is not None) for r in found)

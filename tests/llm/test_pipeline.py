@@ -55,3 +55,43 @@ def test_toxic_rows_go_by_row(spark, tmp_path):
     spark.createDataFrame([(i, i % 2) for i in range(1, 120)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     kept = {(r.doc_id, r.text) for r in pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()}
     assert kept == {(i, t) for i, t, *_ in rows if "rudeword" not in t}
+
+
+def test_columns_with_names_that_stages_use(spark, tmp_path):
+    """Clashing columns pass through every stage, and empty tables give no rows."""
+    names = ["_key", "_own", "_doc_id", "_again", "_alone", "_times", "_count", "_first", "_lap", "_finish", "mix_finish", "part", "h"]
+    rows = [(i if i % 5 else None, " ".join(f"w{i}x{k}" for k in range(30)), "en", f"s{i % 2}", 100, *[str(i)] * len(names)) for i in range(20)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    spark.createDataFrame([(1, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, empty = spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)
+    for k, (_, stage) in enumerate(pipeline.STAGES[:-1]):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        assert docs.columns == empty.columns and {(r.text, r._key) for r in docs.collect()} <= {(r[1], r[5]) for r in rows}
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+    assert pipeline.pack_sequences(spark, docs, "").count() == docs.count() > 0
+    assert pipeline.pack_sequences(spark, empty, "").count() == 0
+
+
+def test_stages_meet_their_targets(spark):
+    """Toxic recall, words by source, and the number and size of sequences, each on its own input."""
+    # The smallest tables have too few labels to learn from.
+    large = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{large}/labels.parquet").collect()}
+    kept = {r.doc_id for r in pipeline.drop_toxic(spark, spark.read.parquet(f"{large}/documents.parquet"), large).select("doc_id").collect()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    toxic = [i for i, y in labels.items() if y == 1]
+    assert sum(i not in kept for i in toxic) >= 0.8 * len(toxic)
+    from volspark.llm import mixing
+
+    want = {r.doc_id: (r.size, r.target) for r in mixing.mix(docs).collect()}
+    source = {r.doc_id: r.source for r in docs.collect()}
+    sent: dict = {}
+    for r in pipeline.mix_sources(spark, docs, SF).select("doc_id").collect():
+        sent[source[r.doc_id]] = sent.get(source[r.doc_id], 0) + want[r.doc_id][0]
+    targets = {source[i]: t for i, (_, t) in want.items()}
+    longest = max(s for s, _ in want.values())
+    assert all(abs(sent.get(s, 0) - t) <= 2 * longest for s, t in targets.items())
+    pieces = pipeline.pack_sequences(spark, docs, SF).toPandas()
+    filled = pieces.groupby("sequence_id").length.sum()
+    assert filled.max() <= 2048 and len(filled) == -(-pieces.length.sum() // 2048)

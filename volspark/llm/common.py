@@ -261,3 +261,10 @@ def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     offsets = dealt.groupBy("part").agg(F.count("*").alias("_n")).select("part", before.alias("_before"))
     place = F.row_number().over(W.partitionBy("part").orderBy(*order))
     return dealt.withColumn("_place", place).join(F.broadcast(offsets), "part").withColumn(name, F.col("_before") + F.col("_place")).drop("part", "_place", "_before")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A name like this one that no column of the table has."""
+    while name.lower() in map(str.lower, df.columns):
+        name += "_"
+    return name

@@ -127,7 +127,8 @@ def _signed(x: int) -> int:
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One record for each distinct content of a batch."""
+    """One record for each distinct content of a batch; rows without an id are dealt over all salts."""
+    every = (1 << SALTS) - 1
     for batch in slices(batches, "text"):
         table = OpenTable()
         digests: list[bytes] = []
@@ -138,9 +139,9 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h = int.from_bytes(digest, "big") & 0x7FFFFFFFFFFFFFFF
             k, slot = table.find(h, content)
             if k >= 0:
-                merge(table, k, len(text or ""), doc_id, 1, 1 << salt)
+                merge(table, k, len(text or ""), doc_id, 1, every if doc_id is None else 1 << salt)
             else:
-                table.add(h, content, [len(text or ""), doc_id, 1, 1 << salt], slot)
+                table.add(h, content, [len(text or ""), doc_id, 1, every if doc_id is None else 1 << salt], slot)
                 digests.append(digest)
         rows = [(int.from_bytes(d[:8], "big", signed=True), d, c, v[0], v[1], v[2], _signed(v[3])) for d, c, v in zip(digests, table.contents, table.values, strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _RECORD.types, strict=True)], schema=_RECORD) if rows else pa.RecordBatch.from_pylist([], schema=_RECORD)
@@ -171,11 +172,12 @@ def _groups(batches: Iterator[pa.RecordBatch], table_bytes: int) -> Iterator[pa.
 def exact_dedup(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), one row for each row of docs."""
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
+    any_salt = F.when(F.col("doc_id").isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(salt)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     records = rows.withColumn("salt", salt).mapInArrow(_records, "part long, h binary, content binary, n long, best_id long, rows long, salts long")
     groups = records.repartition("part").mapInArrow(lambda it: _groups(it, table_bytes), "text_sha256 string, salt long, keep_id long, group_size long")
     bare = F.translate(F.coalesce("text", F.lit("")), WHITE.decode(), "")
-    members = rows.select("doc_id", F.sha2(bare, 256).alias("text_sha256"), salt.alias("salt"))
+    members = rows.select("doc_id", F.sha2(bare, 256).alias("text_sha256"), any_salt.alias("salt"))
     return members.join(groups, ["text_sha256", "salt"], "left").select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),

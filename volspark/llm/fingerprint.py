@@ -2,7 +2,9 @@
 
 A text is cut at line feeds into paragraphs, longer paragraphs into parts that
 end where certain characters stand, so the cuts move with the text, by one rule
-for all lengths. Each part is hashed, its repeats with their number, to 32 bits;
+for all lengths: parts are short in the first HEAD characters and longer after
+them, so beginnings weigh more in long texts, and a text of one paragraph has
+several digests. Each part is hashed, its repeats with their number, to 32 bits;
 the sketch of a text adds the set of these digests up in cells (count, xor of
 digests, xor of checks), three cells a digest. The sketches of
 two versions are subtracted cell by cell, which leaves the digests that only
@@ -44,9 +46,17 @@ KEY = ("none", "id", "h")
 
 #: Characters that may end a part, about one in ten of a text in any of these scripts.
 ENDS = "dhlrDHLRáäçéñöÁÄÇÉÑÖ,;0-1а-вд-жА-ВД-Ж一-勿最-櫿가-꿿ァ-ソぁ-そ"
-#: Characters of a part at least (but at the end of a paragraph) and at most.
-SHORTEST, LONGEST = 24, 96
-PART = rf"[^\n]{{{SHORTEST - 1},{LONGEST - 1}}}?[{ENDS}]|[^\n]{{1,{LONGEST}}}"
+#: Characters at the beginning of a text with short parts, so that short texts have many, too.
+HEAD = 640
+
+
+def part_pattern(least: int) -> str:
+    """Parts of ``least`` characters, but at the end of a paragraph, up to the next that may end one, of four times as many at most."""
+    return rf"[^\n]{{{least - 1},{4 * least - 1}}}?[{ENDS}]|[^\n]{{1,{4 * least}}}"
+
+
+#: Patterns of parts in the beginning, and after it.
+PARTS = (part_pattern(24), part_pattern(128))
 
 
 def _short(h: Column) -> Column:
@@ -72,8 +82,9 @@ def _numbered(s: Column) -> Column:
 
 def digests(text: Column) -> Column:
     """Distinct hashes of the parts of a text, array<int>; a part that occurs m times gives m."""
-    parts = F.transform(F.regexp_extract_all(text, F.lit(PART), F.lit(0)), lambda p: _short(F.xxhash64(p)))
-    return _let(parts, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), h).otherwise(_let(F.sort_array(h), _numbered)))
+    zones = (F.left(text, F.lit(HEAD)), F.substr(text, F.lit(HEAD + 1)))
+    parts = F.concat(*[F.regexp_extract_all(z, F.lit(p), F.lit(0)) for z, p in zip(zones, PARTS, strict=True)])
+    return _let(F.transform(parts, lambda p: _short(F.xxhash64(p))), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), h).otherwise(_let(F.sort_array(h), _numbered)))
 
 
 def _place(k: Column, table: int, cells: Column, level: int) -> Column:

@@ -6,7 +6,7 @@ each dictionary, and the language with the smallest total wins. Where the best
 and the second best differ by less than ``margin`` of the best, the result is
 marked as rejected.
 
-Bounds: at most SAMPLE_ROWS texts a language, chosen by a hash of doc_id, make
+Bounds: at most SAMPLE_ROWS texts a language, chosen by a hash of doc_id and text, make
 its dictionary of DICTIONARY_BYTES, each with an equal share from its middle;
 only these shares are collected. Predictions read whole texts.
 
@@ -14,7 +14,8 @@ Defined cases: null text, or one without a letter, is ``und`` with score 0;
 texts are compared in lower case without ASCII digits and punctuation; equal
 totals go to the language first in code point order; null languages are not
 learned; without a learned language every text is ``und``; an empty table gives
-no rows. Rows that repeat a doc_id, or have none, are predicted one by one;
+no rows. Rows that repeat a doc_id, or have none, are predicted one by one, and
+learned from like others, rows that repeat the text as well once;
 columns other than doc_id, text and lang are not read.
 """
 
@@ -86,12 +87,15 @@ class Languages:
 def learn(docs: DataFrame) -> Languages:
     """Dictionaries from (doc_id, text, lang), for each language that isn't null."""
     length = F.char_length("text")
-    rows = docs.filter(F.col("lang").isNotNull() & (length > 0)).select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("h"))
-    counts = cut(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    # The text is hashed as well, so rows without an id, or that share one, are as likely to be chosen as others.
+    rows = docs.filter(F.col("lang").isNotNull() & (length > 0)).select("lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("h"))
+    counts = cut(rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")))
     share = F.ceil(F.lit(DICTIONARY_BYTES) / F.least("n", F.lit(SAMPLE_ROWS))).cast("int")
     chosen = rows.join(by_size(counts, 64), "lang").filter(F.col("h") < 2.0 * SAMPLE_ROWS * (1 << 30) / F.col("n"))
     middle = F.substr("text", F.greatest(F.lit(1), ((length - share) / 2).cast("int") + 1), share)
-    picked = chosen.select("lang", "h", middle.alias("part")).groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "part"))), 1, SAMPLE_ROWS)["part"].alias("parts"))
+    # Repeated rows count once, so a language has about twice SAMPLE_ROWS rows here, whatever the table holds.
+    once = chosen.select("lang", "h", middle.alias("part")).groupBy("lang", "h").agg(F.min("part").alias("part"))
+    picked = once.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "part"))), 1, SAMPLE_ROWS)["part"].alias("parts"))
     found = {r["lang"]: b" ".join(normal(x) for x in r["parts"])[:DICTIONARY_BYTES] for r in picked.collect()}
     return Languages({k: v for k, v in found.items() if len(v) >= 8})
 

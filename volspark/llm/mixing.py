@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from volspark.llm.common import bucket_bits, cut, prefix_sums
+from volspark.llm.common import bucket_bits, cut, prefix_sums, unused
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -121,19 +121,26 @@ def last_taken(queued: DataFrame, budget: float) -> tuple | None:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, source_size, target, taken): what the mix takes of each document, repeats counted."""
+    """(doc_id, size, source_size, target, taken, mix_finish), sorted by range in the order of the mix.
+
+    ``taken`` is what the mix takes of each document, repeats counted, ``mix_finish`` the
+    virtual finish time of the first; documents that aren't taken come last.
+    """
     queued = cut(queue(docs))
     budget = queued.select("skey", "target").distinct().agg(F.sum("target").alias("t")).first()["t"] or 0.0
     end = last_taken(queued, round(budget, 6))
     inside = _inside(end)
-    words = F.sum(F.when(inside & (F.col("size") > 0) & F.col("finish").isNotNull(), F.col("size")).otherwise(0))
-    found = queued.groupBy("doc_id", "skey", "size", "source_size", "target").agg(words.alias("taken"), (F.count("*") / MOST_TIMES).cast("long").alias("copies"))
+    sent = inside & (F.col("size") > 0) & F.col("finish").isNotNull()
+    words, first = F.sum(F.when(sent, F.col("size")).otherwise(0)), F.min(F.when(sent, F.col("finish")))
+    found = queued.groupBy("doc_id", "skey", "size", "source_size", "target").agg(words.alias("taken"), first.alias("mix_finish"), (F.count("*") / MOST_TIMES).cast("long").alias("copies"))
     # Rows that repeat doc_id, source and size share what they have sent evenly, the first ones the rest in whole documents.
     k = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))
     times = F.when(F.col("size") > 0, F.col("taken") / F.greatest("size", F.lit(1))).otherwise(0).cast("long")
     found = found.withColumn("times", times).withColumn("k", k)
     own = F.floor(F.col("times") / F.col("copies")) + F.when(F.col("k") < F.col("times") % F.col("copies"), 1).otherwise(0)
-    return found.select("doc_id", "size", "source_size", "target", (own * F.col("size")).cast("long").alias("taken"))
+    taken = (own * F.col("size")).cast("long")
+    found = found.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.when(taken > 0, F.col("mix_finish")).alias("mix_finish"))
+    return found.orderBy(F.col("mix_finish").asc_nulls_last(), F.col("doc_id").asc_nulls_last())
 
 
 def _inside(end: tuple | None):
@@ -150,8 +157,11 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
     queued = cut(queue(docs))
     budget = queued.select("skey", "target").distinct().agg(F.sum("target").alias("t")).first()["t"] or 0.0
     taken = queued.filter(_inside(last_taken(queued, round(budget, 6))) & (F.col("size") > 0) & F.col("finish").isNotNull())
-    rows = taken.groupBy("h").agg(F.array_sort(F.array_distinct(F.collect_list("finish"))).alias("_finish"))
-    out = docs.withColumn("_h", place()).join(rows.withColumnRenamed("h", "_h"), "_h").withColumn("mix_finish", F.explode("_finish")).drop("_finish", "_h")
+    h, finish = unused(docs, "_h"), unused(docs, "_finish")
+    if "mix_finish" in map(str.lower, docs.columns):
+        raise ValueError("documents have a column mix_finish already")
+    rows = taken.groupBy("h").agg(F.array_sort(F.array_distinct(F.collect_list("finish"))).alias(finish)).withColumnRenamed("h", h)
+    out = docs.withColumn(h, place()).join(rows, h).withColumn("mix_finish", F.explode(finish)).drop(finish, h)
     return out.repartitionByRange("mix_finish").sortWithinPartitions("mix_finish", "doc_id")
 
 
@@ -177,7 +187,7 @@ q AS (
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 e AS (SELECT q.*, epoch, CAST(epoch * source_size + sent AS DOUBLE) / target AS finish FROM q, (SELECT unnest([0, 1]) AS epoch) WHERE target > 0 AND size > 0),
 c AS (SELECT *, sum(size) OVER (ORDER BY finish, skey, epoch, h, doc_id ROWS UNBOUNDED PRECEDING) AS total FROM e),
-k AS (SELECT doc_id, sum(size) AS taken FROM c WHERE total <= (SELECT round(sum(target), 6) FROM t) GROUP BY doc_id)
-SELECT q.doc_id, q.size, q.source_size, q.target, CAST(coalesce(k.taken, 0) AS BIGINT) AS taken
+k AS (SELECT doc_id, sum(size) AS taken, min(finish) AS mix_finish FROM c WHERE total <= (SELECT round(sum(target), 6) FROM t) GROUP BY doc_id)
+SELECT q.doc_id, q.size, q.source_size, q.target, CAST(coalesce(k.taken, 0) AS BIGINT) AS taken, k.mix_finish
 FROM q LEFT JOIN k USING (doc_id)
 """

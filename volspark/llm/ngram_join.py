@@ -295,8 +295,9 @@ class _Join:
         self.docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
         self.words, self.percent, self.fragments = words, percent, fragments
         found = self.docs.mapInArrow(partial(_digests, words=words), "doc_id long, n long, key binary, parity array<long>, wide binary, seen binary, times binary")
-        self.digests = cut(found)
-        self.members = self.digests.filter("key IS NOT NULL").select("doc_id", "n", "key", "parity", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
+        # The salt is kept with the table, as rows without an id, or that share one, are dealt by their number.
+        self.digests = cut(found.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(SALTS))))
+        self.members = self.digests.filter("key IS NOT NULL").select("doc_id", "n", "key", "parity", "salt")
         self.salted = self.members.filter("n > 0").groupBy("key", "salt").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.count("*").alias("rows"))
         classes = self.salted.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.sum("rows").alias("rows"))
         # The number of a class is kept with the written table.

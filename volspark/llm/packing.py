@@ -301,12 +301,13 @@ def places(plan: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int,
 def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, length, ...)."""
     spark: SparkSession = parts.sparkSession
-    parts = cut(parts)
+    # A number for each row, so that equal rows are dealt over buckets as well.
+    parts = cut(parts.withColumn("_row", F.monotonically_increasing_id()))
     histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
     rows = places(solve(histogram, capacity))
     plan = spark.createDataFrame(rows or [(0, 0, 0, 0, 1, 0)], "length long, first long, ranks long, sequence long, each long, base long")
     bits = bucket_bits(sum(histogram.values()))
-    h = F.xxhash64("doc_id", "piece", "start", "ids_crc32")
+    h = F.xxhash64("doc_id", "piece", "start", "ids_crc32", "_row")
     keyed = parts.withColumn("_h", h).withColumn("_bucket", F.shiftrightunsigned("_h", 64 - bits) if bits else F.lit(0).cast("long"))
     sums = prefix_sums(keyed.groupBy("length", "_bucket").agg(F.count("*").alias("_n")), ["length"], "_bucket", "_n", "_before")
     rank = F.row_number().over(W.partitionBy("length", "_bucket").orderBy("_h", "doc_id", "piece")) - 1 + F.col("_before")
@@ -319,7 +320,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         ranked.join(F.broadcast(steps), "length")
         .withColumn("_s", step)
         .select(
-            *[c for c in parts.columns],
+            *[c for c in parts.columns if c != "_row"],
             (F.col("_s.sequence") + F.floor(slot / F.col("_s.each"))).cast("long").alias("sequence_id"),
             (F.col("_s.base") + slot % F.col("_s.each") * F.col("length")).cast("long").alias("offset"),
         )

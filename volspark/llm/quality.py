@@ -23,14 +23,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from volspark.llm.common import byte_texts, cut, fold, slices
+from volspark.llm.common import byte_texts, cut, fold, ngram_hashes, slices, word_hashes
 
 FEATURES = 256
 GAMMA = 0.05
@@ -47,6 +46,7 @@ _DIGIT = bytes(range(48, 58))
 _SPACE = b" \t\n\x0b\x0c\r"
 _STOP = b".,;:?'\"-"
 _ODD = bytes(c for c in range(33, 127) if c not in _LETTER + _DIGIT + _STOP)
+_WHITE, _ODD_CODES = np.isin(np.arange(256), list(_SPACE)), np.isin(np.arange(256), list(_ODD))
 #: Names of the statistics, in order.
 NAMES = ("log_bytes", "log_words", "word_length", "upper", "digits", "odd", "stops", "lines", "line_repeats", "word_repeats", "long_words", "short_words", "bangs", "bars", "spaces", "high", "word_ends", "block_repeats", "word_runs")
 
@@ -57,18 +57,21 @@ def statistics(text: bytes) -> list[float]:
     if not n:
         return [0.0] * len(NAMES)
     share = lambda chars: (n - len(text.translate(None, chars))) / n
-    words, lines = text.split(), [x for x in text.split(b"\n") if x]
+    lines = [x for x in text.split(b"\n") if x]
+    # Words are known by their hashes, so a very long text costs a few numbers a word.
+    words, _ = word_hashes([text])
+    codes = np.frombuffer(text, dtype=np.uint8)
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], _WHITE[codes], [True]))))
+    lengths = edge[1::2] - edge[::2]
     w, k = max(1, len(words)), max(1, len(lines))
-    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    ended = sum(x[-1] in _ODD for x in words) / w
-    # A tuple for each start holds references to the words only.
-    blocks = max(0, len(words) - 3)
+    ended = float(_ODD_CODES[codes[edge[1::2] - 1]].sum() / w)
+    blocks = ngram_hashes(words, 4)
     return [
         float(np.log1p(n)), float(np.log1p(len(words))), float(np.log1p(lengths.mean() if len(words) else 0)),
         share(_UPPER), share(_DIGIT), share(_ODD), share(_STOP), float(np.log1p(1000 * k / n)), 1 - len(set(lines)) / k,
-        1 - len(set(words)) / w, float((lengths > 15).sum() / w), float((lengths < 3).sum() / w), text.count(b"!") / n, text.count(b"|") / n,
-        share(_SPACE), share(bytes(range(128, 256))), ended, (blocks - len(set(zip(words, words[1:], words[2:], words[3:], strict=False)))) / max(1, blocks),
-        sum(map(eq, words, words[1:])) / w,
+        1 - len(np.unique(words)) / w, float((lengths > 15).sum() / w), float((lengths < 3).sum() / w), text.count(b"!") / n, text.count(b"|") / n,
+        share(_SPACE), share(bytes(range(128, 256))), ended, (len(blocks) - len(np.unique(blocks))) / max(1, len(blocks)),
+        float((words[1:] == words[:-1]).sum() / w),
     ]
 
 

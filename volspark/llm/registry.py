@@ -30,7 +30,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxicity(documents(spark, sf_dir), _labels(spark, sf_dir)).drop("spans")
+    return toxicity.toxicity(documents(spark, sf_dir), _labels(spark, sf_dir))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

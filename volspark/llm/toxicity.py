@@ -283,6 +283,14 @@ def chain_marginals(e: np.ndarray, transitions: np.ndarray, mask: np.ndarray, ti
 _SEGMENT = pa.schema([("doc_id", pa.int64()), ("segment", pa.int64()), ("features", pa.list_(pa.list_(pa.int64()))), ("states", pa.list_(pa.int64()))])
 
 
+def _plain(doc_id: int, featured: set[int], n: int) -> int | None:
+    """One of the n segments that is not featured, by hash; None if there is none."""
+    if len(featured) >= n:
+        return None
+    at = zlib.crc32(b"%d plain" % doc_id) % n
+    return next(k % n for k in range(at, at + n) if k % n not in featured)
+
+
 def _segments(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.RecordBatch]:
     """Segments with a known feature, within the document's share, and one other segment of each document."""
     for batch in slices(batches, "text"):
@@ -290,8 +298,9 @@ def _segments(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.Re
         for doc_id, text, y in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
             words = tokens(text)
             known = dict(field.found(words))
-            some = sorted({t // WIDTH for t in known}, key=lambda k: zlib.crc32(b"%d %d" % (doc_id, k)))
-            plain = next((k for k in range(-(-len(words) // WIDTH)) if k not in set(some)), None) if len(some) * WIDTH < len(words) else None
+            featured = {t // WIDTH for t in known}
+            some = sorted(featured, key=lambda k: zlib.crc32(b"%d %d" % (doc_id, k)))
+            plain = _plain(doc_id, featured, -(-len(words) // WIDTH))
             seen: set[int] = set()
             for n, k in enumerate([*some, *([] if plain is None else [plain])]):
                 found = [known.get(t, []) for t in range(k * WIDTH, min((k + 1) * WIDTH, len(words)))]
@@ -304,7 +313,7 @@ def _segments(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.Re
 
 def _chosen(segments: DataFrame, features: int) -> DataFrame:
     """SEGMENTS at most: first each feature's share by hash, then others by hash."""
-    segments = cut(segments.withColumn("h", F.xxhash64("doc_id", "segment", "features")))
+    segments = cut(segments.withColumn("h", F.xxhash64("doc_id", "segment", "features")).dropDuplicates(["h"]))
     if segments.count() <= SEGMENTS:
         return segments
     share = max(1, SEGMENTS // 2 // features)
@@ -313,7 +322,7 @@ def _chosen(segments: DataFrame, features: int) -> DataFrame:
     # At most SEGMENTS / 2 hashes, or one for each feature of the lexicon.
     first = first.select("h").distinct().withColumn("first", F.lit(True))
     chosen = segments.select("h").distinct().join(F.broadcast(first), "h", "left").orderBy(F.col("first").isNull(), "h").limit(SEGMENTS)
-    return segments.join(F.broadcast(chosen.select("h")), "h", "left_semi").dropDuplicates(["h"])
+    return segments.join(F.broadcast(chosen.select("h")), "h", "left_semi")
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str) -> Field:
@@ -326,7 +335,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str) -> Field:
     space = 1 << 30
     share = F.when(F.col("y") == 1, min(1.0, TRAIN_ROWS / 2 / counts[1])).otherwise(min(1.0, TRAIN_ROWS / 2 / counts[0]))
     chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(space)) < share * space)
-    # Its size is bounded by TRAIN_ROWS.
+    # About TRAIN_ROWS ids, each once; rows that repeat one stay where they are.
     rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
     size = dict(rows.groupBy("y").count().collect())
     if not size.get(0) or not size.get(1):
