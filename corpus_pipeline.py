@@ -1,9 +1,13 @@
 """A corpus pipeline of five stages over ``documents``.
 
 Toxic documents go, of exact copies and of groups of near copies one document
-stays, the sources are mixed to their target weights, and the mix is packed
-into sequences. Every stage takes (spark, docs, sf_dir) and returns a
-DataFrame; all but the last return the columns of documents.
+stays, the sources are mixed to their target weights, and the mix, sorted
+by range in its order, is packed into sequences. Every stage takes (spark, docs,
+sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+
+Defined cases: null texts count as empty; rows with a null or repeated doc_id are
+decided by row; documents may have more columns, of any name; without documents
+every stage returns no rows.
 """
 
 from __future__ import annotations
@@ -14,35 +18,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from volspark.llm import exact_dedup, mixing, ngram_join, packing, toxicity
-from volspark.llm.common import by_size, cut, documents, shared_folder, without_ids
+from volspark.llm.common import by_size, cut, documents, shared_folder, unused, without_ids
 from volspark.llm.registry import tokenizer
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """Documents with the key of the row as doc_id, and their own id as _doc_id.
+    """Documents with the key of the row as doc_id, and their own id in the column that own_id() names.
 
     The key is the doc_id where only one row has it. Rows with a null or repeated
     doc_id get a hash of all columns above 2 ** 62, so they come after the others
     and only rows that are the same in all columns share a key.
     """
-    own = F.xxhash64(*docs.columns).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    own = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
     repeated = cut(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
-    docs = docs.withColumn("_own", F.col("doc_id").isNull())
+    key, alone, again = (unused(docs, n) for n in ("_key", "_alone", "_again"))
+    rows = docs.withColumn(key, own).withColumn(alone, F.col("doc_id").isNotNull())
     if not repeated.isEmpty():
-        again = by_size(repeated.withColumn("_again", F.lit(True)))
-        docs = docs.join(again, "doc_id", "left").withColumn("_own", F.col("_own") | F.col("_again").isNotNull()).drop("_again")
-    return docs.withColumn("_key", F.when(F.col("_own"), own).otherwise(F.col("doc_id"))).withColumnRenamed("doc_id", "_doc_id").withColumnRenamed("_key", "doc_id").drop("_own")
+        rows = rows.join(by_size(repeated.withColumn(again, F.lit(True))), "doc_id", "left").withColumn(alone, F.col(alone) & F.col(again).isNull()).drop(again)
+    rows = rows.withColumn(key, F.when(F.col(alone), F.col("doc_id")).otherwise(F.col(key))).drop(alone)
+    return rows.withColumnRenamed("doc_id", own_id(docs)).withColumnRenamed(key, "doc_id")
+
+
+def own_id(docs: DataFrame) -> str:
+    """The name under which keyed() keeps the documents' own ids."""
+    return unused(docs, "_doc_id")
 
 
 def unkeyed(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """The columns of docs, with their own ids."""
-    return rows.select(*[F.col("_doc_id").alias("doc_id") if c == "doc_id" else F.col(c) for c in docs.columns])
+    return rows.select(*[F.col(own_id(docs)).alias("doc_id") if c == "doc_id" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator doesn't predict to be toxic."""
     rows = keyed(docs)
-    scored = toxicity.toxicity(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), label_id="_doc_id")
+    scored = toxicity.toxicity(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), label_id=own_id(docs))
     return unkeyed(without_ids(rows, cut(scored.filter("predicted = 1").select("doc_id").distinct())), docs)
 
 
@@ -63,14 +73,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row as often as the mix takes it; rows that are the same in all columns share what it takes."""
+    """Every row as often as the mix takes it, sorted by range of finish time; rows that are the same in all columns share what it takes."""
     rows = keyed(docs)
-    times = mixing.mix(rows).groupBy("doc_id").agg(F.sum(F.when(F.col("taken") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0)).alias("_mix_times"), F.count("*").alias("_rows"))
-    times = cut(times.filter("_mix_times > 0"))
-    if not times.filter("_rows > 1").isEmpty():
+    times, count, first, lap, finish = (unused(rows, n) for n in ("_times", "_count", "_first", "_lap", "_finish"))
+    taken = F.sum(F.when(F.col("taken") > 0, (F.col("taken") / F.col("size")).cast("long")).otherwise(0))
+    sent = mixing.mix(rows).groupBy("doc_id").agg(taken.alias(times), F.count("*").alias(count), F.min("mix_finish").alias(first), F.max(F.col("source_size") / F.col("target")).alias(lap))
+    sent = cut(sent.filter(F.col(times) > 0))
+    if not sent.filter(F.col(count) > 1).isEmpty():
         rows = rows.dropDuplicates(["doc_id"])
-    taken = rows.join(by_size(times), "doc_id").withColumn("_mix_time", F.explode(F.sequence(F.lit(1).cast("long"), "_mix_times")))
-    return unkeyed(taken, docs)
+    # A document that is taken again comes a round of its source later.
+    each = F.transform(F.sequence(F.lit(0).cast("long"), F.col(times) - 1), lambda k: F.col(first) + k * F.col(lap))
+    mixed = rows.join(by_size(sent), "doc_id").withColumn(finish, F.explode(each))
+    return unkeyed(mixed.repartitionByRange(finish, "doc_id").sortWithinPartitions(finish, "doc_id"), docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
