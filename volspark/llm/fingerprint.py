@@ -56,7 +56,7 @@ def part_pattern(least: int) -> str:
 
 
 #: Patterns of parts in the beginning, and after it.
-PARTS = (part_pattern(24), part_pattern(128))
+PARTS = (part_pattern(24), part_pattern(256))
 
 
 def _short(h: Column) -> Column:
