@@ -66,8 +66,31 @@ def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.groupBy(*keys).agg(F.sum("l_quantity").alias("v"))
 
 
+#: Images of 32x32x32 voxels, and the side of their tiles.
+LARGE, LARGE_SIDE = (32, 32, 32), 8
+
+
+def large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_id, x, y, z, v, px, py, pz): quantities by order, part and supplier, one image a line number, 0 where there is none, and places up to 3.5 voxels away.
+
+    Partial sums in each task; a voxel without a line item comes from the number of the voxel alone.
+    """
+    li = table(spark, sf_dir, "lineitem")
+    at = [(F.col(c) % 32).cast("int").alias(a) for c, a in (("l_orderkey", "x"), ("l_partkey", "y"), ("l_suppkey", "z"))]
+    sums = li.groupBy(F.col("l_linenumber").cast("long").alias("image_id"), *at).agg(F.sum("l_quantity").cast("double").alias("v"))
+    i = F.col("i")
+    every = sums.select("image_id").distinct().select("image_id", F.explode(F.sequence(F.lit(0), F.lit(32**3 - 1))).alias("i"))
+    every = every.select("image_id", (i % 32).alias("x"), (F.floor(i / 32) % 32).cast("int").alias("y"), F.floor(i / 1024).cast("int").alias("z"))
+    rows = every.join(sums, ["image_id", "x", "y", "z"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
+    shift = lambda a, b, c: ((F.col("x") * a + F.col("y") * b + F.col("z") * c + F.col("image_id")) % 15 - 7) / 2.0
+    return rows.withColumns({"px": F.col("x") + shift(7, 3, 5), "py": F.col("y") + shift(2, 11, 3), "pz": F.col("z") + shift(5, 4, 13)})
+
+
 #: Common table expressions of the same relations.
 CTES = {
+    "big": """big AS MATERIALIZED (SELECT image_id, x, y, z, coalesce(v, 0) AS v, x + ((x * 7 + y * 3 + z * 5 + image_id) % 15 - 7) / 2.0::DOUBLE AS px, y + ((x * 2 + y * 11 + z * 3 + image_id) % 15 - 7) / 2.0::DOUBLE AS py, z + ((x * 5 + y * 4 + z * 13 + image_id) % 15 - 7) / 2.0::DOUBLE AS pz
+      FROM (SELECT image_id, i % 32 AS x, (i // 32) % 32 AS y, i // 1024 AS z FROM (SELECT DISTINCT l_linenumber AS image_id FROM lineitem), (SELECT unnest(range(32768)) AS i))
+      LEFT JOIN (SELECT l_linenumber AS image_id, l_orderkey % 32 AS x, l_partkey % 32 AS y, l_suppkey % 32 AS z, CAST(sum(l_quantity) AS DOUBLE) AS v FROM lineitem GROUP BY ALL) USING (image_id, x, y, z))""",
     "vox": """vox AS (SELECT vec_id AS image_id, label AS cohort, i % 4 AS x, (i // 4) % 4 AS y, i // 16 AS z, CAST(embedding[i + 1] AS DOUBLE) AS v
       FROM embeddings, (SELECT unnest(range(64)) AS i))""",
     "wvox": "wvox AS (SELECT v.*, (1 + image_id % 5) / CAST(t.total AS DOUBLE) AS w FROM vox v JOIN (SELECT label AS cohort, sum(1 + vec_id % 5) AS total FROM embeddings GROUP BY label) t USING (cohort))",
