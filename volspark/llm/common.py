@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -144,6 +145,14 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 8 << 20,
         step = min(rows, n if size <= most else max(1, n * most // size))
         for at in range(0, n, max(1, step)):
             yield batch.slice(at, step)
+    give_back()
+
+
+def give_back() -> None:
+    """Return the memory that a task has freed to the machine, as Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def fold(doc_id: Column, k: int) -> Column:
