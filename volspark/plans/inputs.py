@@ -91,13 +91,13 @@ CTES = {
     "big": """big AS MATERIALIZED (SELECT image_id, x, y, z, coalesce(v, 0) AS v, x + ((x * 7 + y * 3 + z * 5 + image_id) % 15 - 7) / 2.0::DOUBLE AS px, y + ((x * 2 + y * 11 + z * 3 + image_id) % 15 - 7) / 2.0::DOUBLE AS py, z + ((x * 5 + y * 4 + z * 13 + image_id) % 15 - 7) / 2.0::DOUBLE AS pz
       FROM (SELECT image_id, i % 32 AS x, (i // 32) % 32 AS y, i // 1024 AS z FROM (SELECT DISTINCT l_linenumber AS image_id FROM lineitem), (SELECT unnest(range(32768)) AS i))
       LEFT JOIN (SELECT l_linenumber AS image_id, l_orderkey % 32 AS x, l_partkey % 32 AS y, l_suppkey % 32 AS z, CAST(sum(l_quantity) AS DOUBLE) AS v FROM lineitem GROUP BY ALL) USING (image_id, x, y, z))""",
-    "vox": """vox AS (SELECT vec_id AS image_id, label AS cohort, i % 4 AS x, (i // 4) % 4 AS y, i // 16 AS z, CAST(embedding[i + 1] AS DOUBLE) AS v
+    "vox": """vox AS MATERIALIZED (SELECT vec_id AS image_id, label AS cohort, i % 4 AS x, (i // 4) % 4 AS y, i // 16 AS z, CAST(embedding[i + 1] AS DOUBLE) AS v
       FROM embeddings, (SELECT unnest(range(64)) AS i))""",
     "wvox": "wvox AS (SELECT v.*, (1 + image_id % 5) / CAST(t.total AS DOUBLE) AS w FROM vox v JOIN (SELECT label AS cohort, sum(1 + vec_id % 5) AS total FROM embeddings GROUP BY label) t USING (cohort))",
-    "fld": """cl AS (SELECT image_id, x, y, z, least(greatest(2 * v, -0.9::DOUBLE), 0.9::DOUBLE) AS u FROM vox),
-    fld AS (SELECT a.image_id, a.x, a.y, a.z, a.u AS ux, b.u AS uy, c.u AS uz FROM cl a
-      JOIN cl b ON b.image_id = a.image_id + 1 AND (a.x, a.y, a.z) = (b.x, b.y, b.z)
-      JOIN cl c ON c.image_id = a.image_id + 2 AND (a.x, a.y, a.z) = (c.x, c.y, c.z))""",
+    "fld": """cl AS MATERIALIZED (SELECT image_id, x, y, z, least(greatest(2 * v, -0.9::DOUBLE), 0.9::DOUBLE) AS u FROM vox),
+    fld AS MATERIALIZED (SELECT a.image_id, a.x, a.y, a.z, a.u AS ux, b.u AS uy, c.u AS uz FROM cl a
+      JOIN cl b ON b.image_id = a.image_id + 1 AND a.x = b.x AND a.y = b.y AND a.z = b.z
+      JOIN cl c ON c.image_id = a.image_id + 2 AND a.x = c.x AND a.y = c.y AND a.z = c.z)""",
     "flat": "flat AS (SELECT 0 AS image_id, l_partkey % 32 AS x, l_suppkey % 32 AS y, 0 AS z, sum(l_quantity) AS v FROM lineitem GROUP BY ALL)",
     "corner": "corner AS (SELECT dx, dy, dz FROM (SELECT unnest([0, 1]) AS dx), (SELECT unnest([0, 1]) AS dy), (SELECT unnest([0, 1]) AS dz))",
 }

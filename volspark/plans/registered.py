@@ -146,7 +146,7 @@ def _binary(name: str, symbol: str, op) -> None:
         return voxels(pointwise.combine(a, b, op), SIZE)
 
     plan.__name__ = name
-    query(VOXEL + " v:d", with_ctes("vox") + f" SELECT a.image_id, a.x, a.y, a.z, {symbol} AS v FROM vox a JOIN vox b ON b.image_id = a.image_id + 1 AND (a.x, a.y, a.z) = (b.x, b.y, b.z)")(plan)
+    query(VOXEL + " v:d", with_ctes("vox") + f" SELECT a.image_id, a.x, a.y, a.z, {symbol} AS v FROM vox a JOIN vox b ON b.image_id = a.image_id + 1 AND a.x = b.x AND a.y = b.y AND a.z = b.z")(plan)
 
 
 _binary("pointwise_add", "a.v + b.v", lambda a, b: a + b)
@@ -169,13 +169,13 @@ def roi_fill(spark, d):
     return select.fill_box(src.vox(spark, d), (1, 1, 0), (2, 2, 2), 9.0)
 
 
-@query(VOXEL + " v:d", with_ctes("vox") + " SELECT t.image_id, t.x, t.y, t.z, coalesce(s.v, t.v) AS v FROM vox t LEFT JOIN (SELECT image_id - 1 AS image_id, x + 2 AS x, y + 1 AS y, z, v FROM vox WHERE x < 2 AND y < 2 AND z < 2) s ON s.image_id = t.image_id AND (s.x, s.y, s.z) = (t.x, t.y, t.z)")
+@query(VOXEL + " v:d", with_ctes("vox") + " SELECT t.image_id, t.x, t.y, t.z, coalesce(s.v, t.v) AS v FROM vox t LEFT JOIN (SELECT image_id - 1 AS image_id, x + 2 AS x, y + 1 AS y, z, v FROM vox WHERE x < 2 AND y < 2 AND z < 2) s ON s.image_id = t.image_id AND s.x = t.x AND s.y = t.y AND s.z = t.z")
 def roi_copy(spark, d):
     v = src.vox(spark, d)
     return select.copy_box(v.withColumn("image_id", F.col("image_id") - 1), v, (0, 0, 0), (2, 2, 2), (2, 1, 0))
 
 
-@query(VOXEL + " v:d", with_ctes("vox") + " SELECT t.image_id, t.x, t.y, t.z, coalesce(s.v, 10 * t.v) AS v FROM vox t LEFT JOIN (SELECT image_id, x + 1 AS x, y, z + 1 AS z, round(10 * v) AS v FROM vox WHERE x < 3 AND z < 3) s ON s.image_id = t.image_id AND (s.x, s.y, s.z) = (t.x, t.y, t.z)")
+@query(VOXEL + " v:d", with_ctes("vox") + " SELECT t.image_id, t.x, t.y, t.z, coalesce(s.v, 10 * t.v) AS v FROM vox t LEFT JOIN (SELECT image_id, x + 1 AS x, y, z + 1 AS z, round(10 * v) AS v FROM vox WHERE x < 3 AND z < 3) s ON s.image_id = t.image_id AND s.x = t.x AND s.y = t.y AND s.z = t.z")
 def roi_copy_round(spark, d):
     v = src.vox(spark, d).withColumn("v", 10 * F.col("v"))
     return select.copy_box(v, v, (0, 0, 0), (3, 4, 3), (1, 0, 1), "round")
@@ -187,7 +187,7 @@ def roi_world(spark, d):
     return select.extract(src.vox(spark, d), start, size)
 
 
-@query(VOXEL + " v:d", with_ctes("vox") + " SELECT a.image_id, a.x, a.y, a.z, CASE WHEN b.v BETWEEN 0 AND 0.1 THEN b.v ELSE a.v END AS v FROM vox a JOIN vox b ON b.image_id = a.image_id + 1 AND (a.x, a.y, a.z) = (b.x, b.y, b.z)")
+@query(VOXEL + " v:d", with_ctes("vox") + " SELECT a.image_id, a.x, a.y, a.z, CASE WHEN b.v BETWEEN 0 AND 0.1 THEN b.v ELSE a.v END AS v FROM vox a JOIN vox b ON b.image_id = a.image_id + 1 AND a.x = b.x AND a.y = b.y AND a.z = b.z")
 def mask_select(spark, d):
     a = src.volumes(spark, d)
     return voxels(pointwise.combine(a, a.select((F.col("image_id") - 1).alias("image_id"), "data"), lambda p, q: select.masked(q, p, q, 0.0, 0.1)), SIZE)
@@ -229,7 +229,7 @@ def l2_norm(spark, d):
     return src.vox(spark, d, dealt=True).groupBy("image_id").agg(aggregate.l2_norm_sq(1.5, F.col("v")).alias("norm_sq"))
 
 
-@query("image_id:i dot:d ssd:d mse:d", with_ctes("vox") + " SELECT a.image_id, sum(a.v * b.v) AS dot, sum((a.v - b.v) ** 2) AS ssd, avg((a.v - b.v) ** 2) AS mse FROM vox a JOIN vox b ON b.image_id = a.image_id + 1 AND (a.x, a.y, a.z) = (b.x, b.y, b.z) GROUP BY a.image_id")
+@query("image_id:i dot:d ssd:d mse:d", with_ctes("vox") + " SELECT a.image_id, sum(a.v * b.v) AS dot, sum((a.v - b.v) ** 2) AS ssd, avg((a.v - b.v) ** 2) AS mse FROM vox a JOIN vox b ON b.image_id = a.image_id + 1 AND a.x = b.x AND a.y = b.y AND a.z = b.z GROUP BY a.image_id")
 def l2_dot_ssd(spark, d):
     a = src.volumes(spark, d)
     b = a.select((F.col("image_id") - 1).alias("image_id"), F.col("data").alias("other"))
@@ -263,7 +263,7 @@ def jacobian_scaled_mean(spark, d):
     return aggregate.jacobian_mean(src.weighted(spark, d).withColumn("j", 1 + F.abs("v")), ["cohort"])
 
 
-@query("x:i y:i z:i mean_v:d", with_ctes("vox", "m AS (SELECT x, y, z, avg(v) AS a, count(*) AS n FROM vox GROUP BY ALL)") + " SELECT m.x, m.y, m.z, (n * a - o.v + w.v) / n AS mean_v FROM m JOIN vox o ON o.image_id = 0 AND (o.x, o.y, o.z) = (m.x, m.y, m.z) JOIN vox w ON w.image_id = 1 AND (w.x, w.y, w.z) = (m.x, m.y, m.z)")
+@query("x:i y:i z:i mean_v:d", with_ctes("vox", "m AS (SELECT x, y, z, avg(v) AS a, count(*) AS n FROM vox GROUP BY ALL)") + " SELECT m.x, m.y, m.z, (n * a - o.v + w.v) / n AS mean_v FROM m JOIN vox o ON o.image_id = 0 AND o.x = m.x AND o.y = m.y AND o.z = m.z JOIN vox w ON w.image_id = 1 AND w.x = m.x AND w.y = m.y AND w.z = m.z")
 def incremental_mean(spark, d):
     rows = src.vox(spark, d)
     mean = aggregate.voxel_mean(rows)
@@ -621,7 +621,7 @@ def field_of_affine(spark, d):
     return unpacked(fields.of_affine(back, SIZE, MATRIX, SHIFT), SIZE, [*H, *fields.G])
 
 
-@query("image_id:i dot:d", with_ctes("fld") + " SELECT a.image_id, sum(a.ux * b.ux + a.uy * b.uy + a.uz * b.uz) AS dot FROM fld a JOIN fld b ON b.image_id = a.image_id + 1 AND (a.x, a.y, a.z) = (b.x, b.y, b.z) GROUP BY a.image_id")
+@query("image_id:i dot:d", with_ctes("fld") + " SELECT a.image_id, sum(a.ux * b.ux + a.uy * b.uy + a.uz * b.uz) AS dot FROM fld a JOIN fld b ON b.image_id = a.image_id + 1 AND a.x = b.x AND a.y = b.y AND a.z = b.z GROUP BY a.image_id")
 def field_dot(spark, d):
     u = src.dense_fields(spark, d)
     return fields.dots(u, u.withColumn("image_id", F.col("image_id") - 1))
@@ -715,7 +715,7 @@ def diffoper_k(spark, d):
     return out.select("image_id", F.aggregate("ux", F.lit(0.0), lambda s, v: s + F.abs(v)).alias("ux"))
 
 
-@query("cohort:i a:i b:i dot:d", with_ctes("vox") + " SELECT a.cohort, a.image_id AS a, b.image_id AS b, sum(a.v * b.v) AS dot FROM vox a JOIN vox b ON a.cohort = b.cohort AND a.image_id <= b.image_id AND (a.x, a.y, a.z) = (b.x, b.y, b.z) GROUP BY ALL")
+@query("cohort:i a:i b:i dot:d", with_ctes("vox") + " SELECT a.cohort, a.image_id AS a, b.image_id AS b, sum(a.v * b.v) AS dot FROM vox a JOIN vox b ON a.cohort = b.cohort AND a.image_id <= b.image_id AND a.x = b.x AND a.y = b.y AND a.z = b.z GROUP BY ALL")
 def gram_matrix(spark, d):
     return pca.gram_matrix(src.volumes(spark, d), ["cohort"])
 
