@@ -1,10 +1,10 @@
-"""Registered queries of tiled volumes, solvers, scans over whole tables and random columns, with their SQL."""
+"""Registered queries of tiled volumes, solvers, scans over whole tables, random columns and anonymisation, with their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from volspark.operators import draws, fields, pencils, scans, solvers, tiles
+from volspark.operators import anonymize, draws, fields, pencils, scans, solvers, tiles
 from volspark.operators.fields import U
 from volspark.operators.grid import AXES, unpacked
 from volspark.operators.interp import PLACE
@@ -175,3 +175,21 @@ def velocity_at_times(spark, d):
     steps = v.filter("image_id % 3 <> 1").select("path_id", F.col("image_id").cast("double").alias("t"), F.col("data").alias("v"))
     samples = v.select("path_id", F.col("image_id").alias("sample"), (F.col("image_id") + F.col("image_id") % 7 * 2.5 - 4).alias("t"))
     return draws.between_steps(steps, samples, ["v"]).select("path_id", "sample", F.aggregate("v", F.lit(0.0), lambda s, x: s + x).alias("total"))
+
+
+_KINDS = {"customer": {"c_custkey": "party", "c_name": "name"}, "orders": {"o_custkey": "party", "o_orderkey": "study"}}
+_MAP = """ids AS (SELECT 'party' AS kind, CAST(c_custkey AS VARCHAR) AS original FROM customer UNION SELECT 'party', CAST(o_custkey AS VARCHAR) FROM orders
+      UNION SELECT 'name', c_name FROM customer UNION SELECT 'study', CAST(o_orderkey AS VARCHAR) FROM orders),
+    mp AS MATERIALIZED (SELECT kind, original, '1.2.9.' || kind || '.' || row_number() OVER (PARTITION BY kind ORDER BY original) AS replacement FROM ids WHERE original IS NOT NULL)"""
+
+
+@query(
+    "c_custkey:s c_name:s c_acctbal:d o_orderkey:s o_totalprice:d anonymized:s",
+    f"WITH {_MAP} SELECT p.replacement AS c_custkey, n.replacement AS c_name, c_acctbal, s.replacement AS o_orderkey, o_totalprice, 'YES' AS anonymized FROM customer c JOIN orders o ON o.o_custkey = c.c_custkey JOIN mp p ON p.kind = 'party' AND p.original = CAST(c_custkey AS VARCHAR) JOIN mp n ON n.kind = 'name' AND n.original = c_name JOIN mp s ON s.kind = 'study' AND s.original = CAST(o_orderkey AS VARCHAR)",
+)
+def anonymized_orders(spark, d):
+    """Two tables rewritten by one mapping and joined by the replaced keys."""
+    tables = {n: src.table(spark, d, n) for n in _KINDS}
+    mapping = anonymize.pass_one([(tables[n], k) for n, k in _KINDS.items()], "1.2.9")
+    customer, orders = (anonymize.pass_two(tables[n], k, mapping, marked="anonymized") for n, k in _KINDS.items())
+    return customer.join(orders.drop("anonymized"), customer.c_custkey == orders.o_custkey)
