@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from volspark.operators import anonymize, draws, scans
+from volspark.operators import anonymize, contours, draws, scans, surface
 
 
 @pytest.fixture
@@ -69,3 +69,19 @@ def test_anonymisation_keeps_joins_and_no_original(spark, tmp_path):
     arrive(visits.unionByName(spark.createDataFrame([("1", 5)], visits.schema)), 1)
     assert {r.original: r.number for r in arrive.mapping(spark).collect()} == {"8": 1, "9": 2, "1": 3}
     assert spark.read.parquet(f"{tmp_path}/out").filter("batch = 1 AND who = '1.5.p.3'").count() == 1
+
+
+def test_contours_of_two_spheres_and_an_open_one(spark):
+    """Loops of separate parts of one surface stay apart; a mesh with a hole on the plane has no closed loop."""
+    points, facets = surface.sphere(level=2)
+    two = [*points, *[(x + 5, y, z) for x, y, z in points]], [*facets, *[tuple(i + len(points) for i in f) for f in facets]]
+    v, f = surface.mesh_tables(spark, 1, *two)
+    open_v, open_f = surface.mesh_tables(spark, 2, points, [t for t in facets if not all(points[i][0] > 0 for i in t) or any(points[i][1] < 0 for i in t)])
+    got = contours.contours(surface.corners(f.unionByName(open_f), v.unionByName(open_v)), (0, 0, 0.13), (0.05, 0.02, 1)).toPandas()
+    assert set(got.surface_id) == {1} and got.groupby("loop").ngroups == 2
+    for _, part in got.sort_values("place").groupby("loop"):
+        assert part.place.tolist() == list(range(len(part)))
+        p = part[["x", "y", "z"]].to_numpy()
+        steps = np.linalg.norm(p - np.roll(p, -1, 0), axis=1)
+        assert len(p) > 8 and steps.max() < 0.5 and np.allclose((p - (0, 0, 0.13)) @ (0.05, 0.02, 1), 0)
+    assert contours.contours(surface.corners(f, v), (0, 0, 99), (0, 0, 1)).count() == 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from volspark.operators import anonymize, draws, fields, pencils, scans, solvers, tiles
+from volspark.operators import anonymize, contours, draws, fields, pencils, scans, solvers, surface, tiles
 from volspark.operators.fields import U
 from volspark.operators.grid import AXES, unpacked
 from volspark.operators.interp import PLACE
@@ -193,3 +193,34 @@ def anonymized_orders(spark, d):
     mapping = anonymize.pass_one([(tables[n], k) for n, k in _KINDS.items()], "1.2.9")
     customer, orders = (anonymize.pass_two(tables[n], k, mapping, marked="anonymized") for n, k in _KINDS.items())
     return customer.join(orders.drop("anonymized"), customer.c_custkey == orders.o_custkey)
+
+
+_POINTS, _FACETS = surface.sphere(level=1)
+_PLANE, _NORMAL = (0.1, 0.0, 0.3), (0.3, -0.2, 1.0)
+_SIDE = " + ".join(f"({a} - {p!r}) * {n!r}" for a, p, n in zip(AXES, _PLANE, _NORMAL, strict=True))
+
+
+def _contour_sql() -> str:
+    points = ", ".join(f"({i}, {p[0]!r}::DOUBLE, {p[1]!r}::DOUBLE, {p[2]!r}::DOUBLE)" for i, p in enumerate(_POINTS))
+    facets = ", ".join(f"({i}, {a}, {b}, {c})" for i, (a, b, c) in enumerate(_FACETS))
+    at = ", ".join(f"u.{a} + u.s / (u.s - w.s) * (w.{a} - u.{a}) AS {a}" for a in AXES)
+    return f"""WITH RECURSIVE rd AS (SELECT c_custkey AS surface_id, 0.5::DOUBLE + c_custkey % 7 AS r FROM customer WHERE c_custkey % 5 = 0),
+    v AS MATERIALIZED (SELECT *, {_SIDE} AS s FROM (SELECT surface_id, vid, r * px AS x, r * py AS y, r * pz AS z FROM rd, (VALUES {points}) t(vid, px, py, pz))),
+    f AS (SELECT fid, unnest([a, b, c]) AS p, unnest([b, c, a]) AS q FROM (VALUES {facets}) t(fid, a, b, c)),
+    e AS (SELECT v.surface_id, fid, p, q, v.s AS sp, k.s AS sq FROM f JOIN v ON v.vid = p JOIN v k ON k.vid = q AND k.surface_id = v.surface_id),
+    seg AS MATERIALIZED (SELECT a.surface_id, least(a.p, a.q) AS lo, greatest(a.p, a.q) AS hi, least(a.p, a.q) * {contours.VERTICES}::BIGINT + greatest(a.p, a.q) AS node, least(b.p, b.q) * {contours.VERTICES}::BIGINT + greatest(b.p, b.q) AS next
+      FROM e a JOIN e b USING (surface_id, fid) WHERE a.sp >= 0 AND a.sq < 0 AND b.sp < 0 AND b.sq >= 0),
+    walk AS (SELECT surface_id, node AS origin, node AS cur, 0 AS place FROM seg
+      UNION ALL SELECT w.surface_id, origin, s.next, place + 1 FROM walk w JOIN seg s ON s.surface_id = w.surface_id AND s.node = w.cur WHERE s.next <> origin),
+    lead AS (SELECT surface_id, origin FROM walk GROUP BY ALL HAVING min(cur) = origin)
+    SELECT walk.surface_id, walk.origin AS loop, place, {at} FROM walk JOIN lead USING (surface_id, origin) JOIN seg ON seg.surface_id = walk.surface_id AND seg.node = walk.cur
+      JOIN v u ON u.surface_id = walk.surface_id AND u.vid = lo JOIN v w ON w.surface_id = walk.surface_id AND w.vid = hi"""
+
+
+@query("surface_id:i loop:i place:i x:d y:d z:d", _contour_sql())
+def contour_loops(spark, d):
+    """Spheres, one for every fifth customer, cut by one plane."""
+    radii = src.table(spark, d, "customer").filter("c_custkey % 5 = 0").select(F.col("c_custkey").cast("long").alias("surface_id"), (0.5 + F.col("c_custkey") % 7).alias("r"))
+    each = lambda rows: F.posexplode(F.array(*[F.array(*map(F.lit, r)) for r in rows]))
+    v = radii.select("surface_id", "r", each(_POINTS).alias("vid", "p")).select("surface_id", "vid", *[(F.col("p")[i] * F.col("r")).alias(a) for i, a in enumerate(AXES)])
+    return contours.contours(surface.corners(radii.select("surface_id", each(_FACETS).alias("fid", "vids")), v), _PLANE, _NORMAL)
