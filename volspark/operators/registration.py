@@ -11,11 +11,13 @@ Velocities are in voxels a time step: each of the T steps of a path moves by v_t
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from volspark.config import FULL, AtlasParams, GreedyParams, LDMMParams, Level, OperatorParams
 from volspark.operators import kernels
@@ -320,12 +322,65 @@ def _mean(state: DataFrame, atlas: AtlasParams, first: bool) -> DataFrame:
     else:
         if not first and (atlas.median or atlas.trimmed_size):
             state = _reweighted(state, atlas)
-        voxels = state.select("cohort", "w", F.posexplode(F.arrays_zip("deformed", "jac")).alias("i", "p"))
-        w = F.col("w") * F.col("p.jac")
-        sums = voxels.groupBy("cohort", "i").agg((F.sum(w * F.col("p.deformed")) / F.sum(w)).alias("m"))
+        return _weighted_mean(state)
     return sums.groupBy("cohort").agg(F.array_sort(F.collect_list(F.struct("i", "m")))["m"].alias("mean"))
 
 
+#: Bytes of partial sums that a task holds before it sends them on.
+HELD_BYTES = 256 << 20
+
+
+def _weighted_mean(state: DataFrame) -> DataFrame:
+    """(cohort, mean): a task adds up its images, and sends two images a cohort; those are added up one after the other."""
+    kind = pa.schema([pa.field("cohort", to_arrow_type(state.schema["cohort"].dataType)), ("num", pa.list_(pa.float64())), ("den", pa.list_(pa.float64()))])
+
+    def rows(batch: pa.RecordBatch, *columns: int) -> list[np.ndarray]:
+        return [batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for c in columns]
+
+    def out(sums: dict) -> Iterator[pa.RecordBatch]:
+        for cohort, (num, den) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([cohort], kind.types[0]), pa.array([num], kind.types[1]), pa.array([den], kind.types[2])], schema=kind)
+
+    def partial_sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, held = {}, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            deformed, jac = rows(batch, 2, 3)
+            weights = batch.column(1).to_numpy(zero_copy_only=False)[:, None] * jac
+            for i, cohort in enumerate(batch.column(0).to_pylist()):
+                if cohort not in sums:
+                    sums[cohort] = np.zeros((2, deformed.shape[1]))
+                    held += sums[cohort].nbytes
+                sums[cohort] += np.stack([weights[i] * deformed[i], weights[i]])
+            if held > HELD_BYTES:
+                yield from out(sums)
+                sums, held = {}, 0
+        yield from out(sums)
+
+    def totals(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total = None, None
+
+        def mean() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([key], kind.types[0]), pa.array([total[0] / total[1]], pa.list_(pa.float64()))], names=["cohort", "mean"])
+
+        for batch in batches:
+            num, den = rows(batch, 1, 2)
+            for i, cohort in enumerate(batch.column(0).to_pylist()):
+                if total is not None and cohort == key:
+                    total += np.stack([num[i], den[i]])
+                    continue
+                if total is not None:
+                    yield mean()
+                key, total = cohort, np.stack([num[i], den[i]])
+        if total is not None:
+            yield mean()
+
+    of = f"cohort {state.schema['cohort'].dataType.simpleString()}"
+    parts = state.select("cohort", F.col("w").cast("double"), "deformed", "jac").mapInArrow(partial_sums, f"{of}, num array<double>, den array<double>")
+    return parts.repartition("cohort").sortWithinPartitions("cohort").mapInArrow(totals, f"{of}, mean array<double>")
+
+
 def _reweighted(state: DataFrame, atlas: AtlasParams) -> DataFrame:
     """Weights by the distance to the last mean: its inverse, or equal ones for the closest images."""
     if atlas.trimmed_size:
