@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from volspark.operators import anonymize, contours, draws, scans, surface
+from volspark.operators import anonymize, contours, draws, orientation, scans, surface
 
 
 @pytest.fixture
@@ -85,3 +85,25 @@ def test_contours_of_two_spheres_and_an_open_one(spark):
         steps = np.linalg.norm(p - np.roll(p, -1, 0), axis=1)
         assert len(p) > 8 and steps.max() < 0.5 and np.allclose((p - (0, 0, 0.13)) @ (0.05, 0.02, 1), 0)
     assert contours.contours(surface.corners(f, v), (0, 0, 99), (0, 0, 1)).count() == 0
+
+
+def test_orientation_of_shuffled_meshes(spark):
+    """A long strip and two spheres with turned facets agree again; a strip with a twist isn't orientable."""
+    rng = np.random.default_rng(4)
+    _, facets = surface.sphere(level=2)
+    two = [*facets, *[tuple(i + 1000 for i in f) for f in facets]]
+    strip = [(2 * i, 2 * i + 1, 2 * i + 3, 2 * i + 2) for i in range(60)]
+    ring = [(2 * i, 2 * i + 1, 2 * i + 3, 2 * i + 2) for i in range(7)] + [(14, 15, 0, 1)]
+    rows = []
+    for k, mesh in enumerate((two, strip, ring)):
+        order = rng.permutation(len(mesh))
+        turn = rng.random(len(mesh)) < 0.4
+        rows += [(k, int(order[i]), list(map(int, f[::-1] if turn[i] else f))) for i, f in enumerate(mesh)]
+    df = spark.createDataFrame(rows, "surface_id long, fid int, vids array<int>")
+    got = orientation.orient(df).toPandas()
+    assert len(got) == len(rows) and got.groupby("surface_id").component.nunique().tolist() == [2, 1, 1]
+    assert got.groupby("surface_id").orientable.min().tolist() == [True, True, False]
+    assert not got[got.fid == got.component].flip.any()
+    mended = orientation.adjacency(orientation.oriented(df.filter("surface_id < 2")))
+    assert mended.filter("s = 1").count() == 0 < orientation.adjacency(df).filter("s = 1").count()
+    assert orientation.orient(df.limit(0)).count() == 0

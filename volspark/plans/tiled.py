@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from volspark.operators import anonymize, contours, draws, fields, pencils, scans, solvers, surface, tiles
+from volspark.operators import anonymize, contours, draws, fields, orientation, pencils, scans, solvers, surface, tiles
 from volspark.operators.fields import U
 from volspark.operators.grid import AXES, unpacked
 from volspark.operators.interp import PLACE
@@ -224,3 +224,23 @@ def contour_loops(spark, d):
     each = lambda rows: F.posexplode(F.array(*[F.array(*map(F.lit, r)) for r in rows]))
     v = radii.select("surface_id", "r", each(_POINTS).alias("vid", "p")).select("surface_id", "vid", *[(F.col("p")[i] * F.col("r")).alias(a) for i, a in enumerate(AXES)])
     return contours.contours(surface.corners(radii.select("surface_id", each(_FACETS).alias("fid", "vids")), v), _PLANE, _NORMAL)
+
+
+def _orientation_sql() -> str:
+    facets = ", ".join(f"({i}, {a}, {b}, {c})" for i, (a, b, c) in enumerate(_FACETS))
+    return f"""WITH RECURSIVE f AS MATERIALIZED (SELECT c_custkey AS surface_id, fid, CASE WHEN (c_custkey * 31 + fid * 17) % 3 = 0 THEN [c, b, a] ELSE [a, b, c] END AS v
+      FROM customer, (VALUES {facets}) t(fid, a, b, c) WHERE c_custkey % 5 = 0),
+    e AS (SELECT surface_id, fid, unnest([v[1], v[2], v[3]]) AS p, unnest([v[2], v[3], v[1]]) AS q FROM f),
+    n AS MATERIALIZED (SELECT a.surface_id, a.fid AS u, b.fid AS v, a.p = b.p AS differ FROM e a JOIN e b ON a.surface_id = b.surface_id AND least(a.p, a.q) = least(b.p, b.q) AND greatest(a.p, a.q) = greatest(b.p, b.q) AND a.fid <> b.fid),
+    w AS (SELECT surface_id, min(fid) AS fid, false AS flip FROM f GROUP BY surface_id
+      UNION SELECT w.surface_id, n.v, w.flip <> n.differ FROM w JOIN n ON n.surface_id = w.surface_id AND n.u = w.fid)
+    SELECT surface_id, fid, 0 AS component, bool_or(flip) AS flip, count(*) = 1 AS orientable FROM w GROUP BY surface_id, fid"""
+
+
+@query("surface_id:i fid:i component:i flip:b orientable:b", _orientation_sql())
+def mesh_orientation(spark, d):
+    """Spheres, one for every fifth customer, with a third of their facets turned."""
+    ids = src.table(spark, d, "customer").filter("c_custkey % 5 = 0").select(F.col("c_custkey").cast("long").alias("surface_id"))
+    facets = ids.select("surface_id", F.posexplode(F.array(*[F.array(*map(F.lit, r)) for r in _FACETS])).alias("fid", "vids"))
+    turned = (F.col("surface_id") * 31 + F.col("fid") * 17) % 3 == 0
+    return orientation.orient(facets.withColumn("vids", F.when(turned, F.reverse("vids")).otherwise(F.col("vids"))))
