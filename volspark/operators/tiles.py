@@ -17,6 +17,7 @@ many tiles send to one is added up in parts first.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import partial
@@ -237,12 +238,12 @@ def map_tiles(tiles: DataFrame, f: Callable[[int, list[np.ndarray]], Sequence[np
 _ASK = pa.schema([("image_id", pa.int64()), ("tile", pa.int64()), ("to", pa.int64()), ("i", pa.binary()), ("p", pa.binary())])
 
 
-def _ask(batches: Iterable[pa.RecordBatch], grid: Tiling, strategy: str, roi: tuple[Size, Size] | None) -> Iterator[tuple]:
+def _ask(batches: Iterable[pa.RecordBatch], grid: Tiling, of: Tiling, strategy: str, roi: tuple[Size, Size] | None) -> Iterator[tuple]:
     """(image_id, tile that has the values, tile that wants them, its voxels, their places); also an empty one, so that no tile is lost."""
     side, n = grid.side, np.array(grid.size)
     for image, tile, p in _arrays(batches, 2):
-        at = grid.coordinates(tile).reshape(3, -1)
-        wanted = grid.within(at)
+        at = of.coordinates(tile).reshape(3, -1)
+        wanted = of.within(at)
         if roi is not None:
             low, high = (np.array(x)[:, None] for x in roi)
             wanted &= ((at >= low) & (at < high)).all(0)
@@ -257,7 +258,7 @@ def _ask(batches: Iterable[pa.RecordBatch], grid: Tiling, strategy: str, roi: tu
         near = ((low >= -1) & (low < n[:, None])).all(0)
         source = grid.number(np.clip(low, 0, (n - 1)[:, None]) // side)
         index = np.flatnonzero(wanted & near)
-        yield image, tile, tile, b"", b""
+        yield image, tile % math.prod(grid.counts), tile, b"", b""
         order = index[np.argsort(source[index], kind="stable")]
         for part in np.split(order, np.flatnonzero(np.diff(source[order])) + 1):
             if len(part):
@@ -292,20 +293,21 @@ def _gathered(batches: Iterable[pa.RecordBatch], grid: Tiling, n: int, backgroun
         yield image, tile, out
 
 
-def gather(tiles: DataFrame, places: DataFrame, grid: Tiling, names: Sequence[str] = ("v",), components: Sequence[str] = PLACE, strategy: str = "value", background: float = 0.0, roi: tuple[Size, Size] | None = None) -> DataFrame:
+def gather(tiles: DataFrame, places: DataFrame, grid: Tiling, names: Sequence[str] = ("v",), components: Sequence[str] = PLACE, strategy: str = "value", background: float = 0.0, roi: tuple[Size, Size] | None = None, of: Tiling | None = None) -> DataFrame:
     """(image_id, tile, *names): trilinear values of the tiles at the places (image_id, tile, *components), which may lie anywhere.
 
     Corners outside of the grid count as the background, or the nearest voxel
     ("clamp"), or the periodic one ("wrap"). ``roi`` (first voxel, one past the
     last) leaves out the other voxels, which are the background, and tiles without
-    one of its voxels. A missing tile counts as the background.
+    one of its voxels. A missing tile counts as the background. ``of`` is the tiling
+    of the places, if they are on another grid.
     """
     if strategy == "wrap":
         grid.wrapped()
     n = len(names)
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _bytes(_ask(batches, grid, strategy, roi), _ASK)
+        return _bytes(_ask(batches, grid, of or grid, strategy, roi), _ASK)
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _bytes(((i, t, 13, np.stack(v).astype("<f8").tobytes()) for i, t, v in _arrays(batches, 2)), _PART)
@@ -321,7 +323,7 @@ def gather(tiles: DataFrame, places: DataFrame, grid: Tiling, names: Sequence[st
     blocks = blocks.join(hot, list(KEY), "left").select(*KEY, copies, none.cast("long").alias("to"), none.cast("binary").alias("i"), none.cast("binary").alias("p"), "data")
     rows = requests.unionByName(blocks).repartition(*KEY, "salt").sortWithinPartitions(*KEY, "salt", F.col("data").isNull())
     replies = rows.mapInArrow(lambda b: _bytes(_answers(b, grid, n, background), _REPLY), "image_id long, tile long, i binary, v binary")
-    return replies.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(lambda b: _lists(_gathered(b, grid, n, background), names), _kind(names))
+    return replies.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(lambda b: _lists(_gathered(b, of or grid, n, background), names), _kind(names))
 
 
 # Scattering.
@@ -404,3 +406,42 @@ def at_positions(values: DataFrame, positions: DataFrame) -> DataFrame:
 def to_positions(values: DataFrame) -> DataFrame:
     """(image_id, i, v): the sum of v for each target p of (image_id, p, v), partial sums first; a permutation moves each value once."""
     return values.groupBy("image_id", F.col("p").alias("i")).agg(F.sum("v").alias("v"))
+
+
+@dataclass(frozen=True)
+class Geometry:
+    """A tiled grid in the world: the place of a voxel is its index times the spacing, plus the origin."""
+
+    grid: Tiling
+    spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)
+    origin: tuple[float, float, float] = (0.0, 0.0, 0.0)
+
+    def to(self, other: Geometry) -> tuple[np.ndarray, np.ndarray]:
+        """Scale and offset of indices here to indices there."""
+        s, t = np.array(self.spacing), np.array(other.spacing)
+        return s / t, (np.array(self.origin) - np.array(other.origin)) / t
+
+
+def regular(images: DataFrame, of: Geometry, to: Geometry, components: Sequence[str] = PLACE) -> DataFrame:
+    """Tiles of the places that the voxels of one grid have on another, for each image_id."""
+    scale, offset = (x[:, None] for x in of.to(to))
+    every = images.select(F.col("image_id").cast("long").alias("image_id")).distinct()
+    every = every.select("image_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(math.prod(of.grid.counts) - 1).cast("long"))).alias("tile"), F.array(F.lit(0.0)).alias("none"))
+    return map_tiles(every, lambda tile, _: of.grid.coordinates(tile).reshape(3, -1) * scale + offset, ["none"], components)
+
+
+def apply_at_resolution(tiles: DataFrame, fields: DataFrame, image: Geometry, field: Geometry, out: Geometry | None = None, names: Sequence[str] = ("v",), components: Sequence[str] = PLACE, background: float = 0.0) -> DataFrame:
+    """Tiles of ``out`` (the image's own grid, if not given) with values of the image at the places that a field of another grid says.
+
+    A field holds places in its own index coordinates; between its voxels they are
+    trilinear, and beyond it those of its nearest voxel. Both look-ups are gathers.
+    """
+    out = out or image
+    at = gather(fields, regular(tiles, out, field), field.grid, components, PLACE, "clamp", of=out.grid)
+    scale, offset = field.to(image)
+
+    def there(k: int) -> Callable:
+        return lambda v: v * float(scale[k]) + float(offset[k])
+
+    moved = at.select(*KEY, *[F.transform(c, there(k)).alias(p) for k, (c, p) in enumerate(zip(components, PLACE, strict=True))])
+    return gather(tiles, moved, image.grid, names, PLACE, background=background, of=out.grid)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from volspark.functions import complexes
 from volspark.operators import anonymize, contours, draws, fields, orientation, pencils, scans, solvers, surface, tiles
 from volspark.operators.fields import U
 from volspark.operators.grid import AXES, unpacked
 from volspark.operators.interp import PLACE
-from volspark.operators.tiles import Tiling
+from volspark.operators.tiles import Geometry, Tiling
 from volspark.plans import inputs as src
 from volspark.plans.inputs import LARGE, LARGE_SIDE, SIZE, with_ctes
 from volspark.plans.registered import _FQ, _KF, _PH, _SPLAT, _W, COHORT, REGISTERED, VOXEL, _gathered, query
@@ -244,3 +245,41 @@ def mesh_orientation(spark, d):
     facets = ids.select("surface_id", F.posexplode(F.array(*[F.array(*map(F.lit, r)) for r in _FACETS])).alias("fid", "vids"))
     turned = (F.col("surface_id") * 31 + F.col("fid") * 17) % 3 == 0
     return orientation.orient(facets.withColumn("vids", F.when(turned, F.reverse("vids")).otherwise(F.col("vids"))))
+
+
+@query(VOXEL + " re:d im:d conj_re:d size:d", with_ctes("fld") + " SELECT image_id, x, y, z, (ux * uz - uy * ux) * 0.5 AS re, (ux * ux + uy * uz) * 0.5 AS im, ux * uz + uy * ux AS conj_re, sqrt(ux * ux + uy * uy) AS size FROM fld")
+def complex_products(spark, d):
+    a, b = complexes.complex_of(F.col("ux"), F.col("uy")), complexes.complex_of(F.col("uz"), F.col("ux"))
+    p, c = complexes.times(a, b, 0.5), complexes.times(a, complexes.conjugate(b))
+    return src.fields(spark, d).select("image_id", *AXES, p["re"].alias("re"), p["im"].alias("im"), c["re"].alias("conj_re"), complexes.magnitude(a).alias("size"))
+
+
+@query("x:i y:i v:d", with_ctes("flat", """pl AS (SELECT i % 16 AS x, i // 16 AS y, (i % 16) * 2.25 - 1.5 AS px, (i // 16) * 2.25 - 1.5 AS py FROM (SELECT unnest(range(256)) AS i)),
+    cr AS (SELECT x, y, CAST(floor(px) AS BIGINT) + dx AS cx, CAST(floor(py) AS BIGINT) + dy AS cy, (CASE dx WHEN 1 THEN px - floor(px) ELSE 1 - (px - floor(px)) END) * (CASE dy WHEN 1 THEN py - floor(py) ELSE 1 - (py - floor(py)) END) AS w FROM pl, (SELECT unnest([0, 1]) AS dx), (SELECT unnest([0, 1]) AS dy))""") + " SELECT cr.x, cr.y, sum(w * coalesce(s.v, 0)) AS v FROM cr LEFT JOIN flat s ON s.x = cx AND s.y = cy GROUP BY ALL")
+def bilinear_flat(spark, d):
+    """A 32x32 image on a coarser grid; outside counts as 0."""
+    image, out = Geometry(Tiling((32, 32, 1), 8)), Geometry(Tiling((16, 16, 1), 8), (2.25, 2.25, 1.0), (-1.5, -1.5, 0.0))
+    t = tiles.tiled(src.flat(spark, d), image.grid)
+    return tiles.untiled(tiles.gather(t, tiles.regular(t, out, image), image.grid, of=out.grid), out.grid)
+
+
+def _corners(name: str, places: str, at: str = "{0}") -> str:
+    c = {a: at.format(f"(CAST(floor(p{a}) AS BIGINT) + d{a})") for a in "xyz"}
+    return f"{name} AS (SELECT image_id, x, y, z, {c['x']} AS cx, {c['y']} AS cy, {c['z']} AS cz, {_W} AS w FROM {places}, corner)"
+
+
+_AT_NEW = ", ".join([
+    "g AS (SELECT image_id, i % 5 AS x, (i // 5) % 5 AS y, i // 25 AS z FROM (SELECT DISTINCT image_id FROM fld), (SELECT unnest(range(125)) AS i))",
+    "hp AS (SELECT image_id, x, y, z, " + ", ".join(f"({a} * 0.75 + 0.25) / 1.25::DOUBLE AS p{a}" for a in "xyz") + " FROM g)",
+    _corners("hc", "hp", "least(greatest({0}, 0), 3)"),
+    "im AS (SELECT hc.image_id, hc.x, hc.y, hc.z, " + ", ".join(f"sum(w * (f.{a} + f.u{a})) * 1.25 AS p{a}" for a in "xyz") + " FROM hc JOIN fld f ON f.image_id = hc.image_id AND f.x = cx AND f.y = cy AND f.z = cz GROUP BY ALL)",
+    _corners("ic", "im"),
+])
+
+
+@query(VOXEL + " v:d", with_ctes("fld corner", _AT_NEW) + " SELECT ic.image_id, ic.x, ic.y, ic.z, sum(w * coalesce(s.v, 0)) AS v FROM ic LEFT JOIN vox s ON s.image_id = ic.image_id AND s.x = cx AND s.y = cy AND s.z = cz GROUP BY ALL")
+def apply_at_new_resolution(spark, d):
+    """Images at the places of a field with another spacing, on a third grid."""
+    image, field, out = Geometry(SMALL), Geometry(SMALL, (1.25, 1.25, 1.25)), Geometry(Tiling((5, 5, 5), 3), (0.75, 0.75, 0.75), (0.25, 0.25, 0.25))
+    t = _placed(spark, d)
+    return tiles.untiled(tiles.apply_at_resolution(t, t, image, field, out), out.grid)
