@@ -38,6 +38,8 @@ from volspark.llm.common import cut, drop
 BASE_CELLS = 4
 #: Cells of each table of the first larger sketch, for each digest of the two versions together; empty cells are no rows.
 SHARE = 4.0
+#: Characters of the texts whose cells a task adds up in memory; a task with more would spill, as those of more than MOST_TASKS tasks do.
+TASK_CHARS, MOST_TASKS = 4 << 20, 100_000
 #: Steps of peeling, one table each, before it counts as stuck.
 STEPS = 4
 #: Columns that tell a version apart: whether doc_id is null (those come last), doc_id and a hash of the text.
@@ -172,7 +174,9 @@ class _Fingerprints:
         keys = rows.groupBy(*KEY).agg(F.count("*").alias("copies"), F.first(F.char_length("text")).alias("n"))
         self.rows = rows
         self.next = cut(following(keys))
-        self.single = (self.next.agg(F.max("copies")).first()[0] or 1) == 1
+        most, chars = self.next.agg(F.max("copies"), F.sum("n")).first()
+        self.single = (most or 1) == 1
+        self.tasks = min(MOST_TASKS, (chars or 0) // TASK_CHARS + 1)
 
     def _once(self, df: DataFrame) -> DataFrame:
         return df if self.single else df.dropDuplicates(list(KEY))
@@ -222,7 +226,7 @@ class _Fingerprints:
 
     def run(self, keep_digests: bool) -> DataFrame:
         written = cut(self.versions())
-        versions = written.repartition(*KEY)
+        versions = written.repartition(self.tasks, *KEY)
         base = cut(self.base(versions))
         both = F.explode(F.array(*[F.struct(F.lit(i).alias("of"), F.col(f"here{i}").alias("here")) for i in (1, 2)])).alias("v")
         done, failed, level = None, base.select(*KEY, both).select(*KEY, "v.*").filter("here IS NULL"), 1
