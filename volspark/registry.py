@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from volspark.plans import tiled  # noqa: F401  registers its queries
+from volspark.plans import composed, tiled  # noqa: F401  register their queries
 from volspark.plans.registered import REGISTERED, finished, finished_sql
 
 
