@@ -107,3 +107,16 @@ def test_orientation_of_shuffled_meshes(spark):
     mended = orientation.adjacency(orientation.oriented(df.filter("surface_id < 2")))
     assert mended.filter("s = 1").count() == 0 < orientation.adjacency(df).filter("s = 1").count()
     assert orientation.orient(df.limit(0)).count() == 0
+
+
+def test_exploded_meshes_are_not_sent_to_all_tasks(spark):
+    """Spark's size of exploded rows is too small, so its joins would collect whole meshes in the driver."""
+    ids = spark.range(3).select(F.col("id").alias("surface_id"))
+    points, facets = surface.sphere(level=1)
+    each = lambda rows: F.posexplode(F.array(*[F.array(*map(F.lit, r)) for r in rows]))
+    f = ids.select("surface_id", each(facets).alias("fid", "vids"))
+    v = ids.select("surface_id", each(points).alias("vid", "p")).select("surface_id", "vid", *[F.col("p")[i].alias(a) for i, a in enumerate("xyz")])
+    oriented, loops = orientation.orient(f), contours.contours(surface.corners(f, v), (0.1, 0.0, 0.3), (0.3, -0.2, 1.0))
+    assert oriented.count() == 3 * len(facets)
+    for df in (orientation.adjacency(f), oriented, surface.corners(f, v), loops):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()

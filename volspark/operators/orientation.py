@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from volspark.plans.state import cut
+from volspark.plans.state import cut, joined
 
 FACET = ["surface_id", "fid"]
 
@@ -28,7 +28,7 @@ def adjacency(facets: DataFrame) -> DataFrame:
     edges = facets.filter(n >= 3).select(*FACET, F.explode(along).alias("e")).filter("e.p <> e.q")
     edges = edges.select(*FACET, F.least("e.p", "e.q").alias("lo"), F.greatest("e.p", "e.q").alias("hi"), (F.col("e.p") < F.col("e.q")).alias("d"))
     first = edges.groupBy("surface_id", "lo", "hi").agg(F.min(F.struct("fid", "d")).alias("f"))
-    both = edges.join(first, ["surface_id", "lo", "hi"]).filter(F.col("fid") > F.col("f.fid"))
+    both = joined(edges, first, ["surface_id", "lo", "hi"]).filter(F.col("fid") > F.col("f.fid"))
     return both.select("surface_id", F.col("f.fid").alias("u"), F.col("fid").alias("v"), (F.col("d") == F.col("f.d")).cast("int").alias("s")).distinct()
 
 
@@ -36,7 +36,7 @@ def _jumped(parent: DataFrame) -> DataFrame:
     """Pointers (surface_id, u, p, a) doubled until they all end at roots."""
     while True:
         up = parent.select("surface_id", F.col("u").alias("p"), F.col("p").alias("_p"), F.col("a").alias("_a"))
-        after = cut(parent.join(up, ["surface_id", "p"], "left").select("surface_id", "u", F.coalesce("_p", "p").alias("p"), F.col("a").bitwiseXOR(F.coalesce("_a", F.lit(0))).alias("a"), (F.col("_p").isNotNull() & (F.col("_p") != F.col("p"))).alias("moved")))
+        after = cut(joined(parent, up, ["surface_id", "p"], "left").select("surface_id", "u", F.coalesce("_p", "p").alias("p"), F.col("a").bitwiseXOR(F.coalesce("_a", F.lit(0))).alias("a"), (F.col("_p").isNotNull() & (F.col("_p") != F.col("p"))).alias("moved")))
         parent = after.drop("moved")
         if after.filter("moved").isEmpty():
             return parent
@@ -58,22 +58,22 @@ def orient(facets: DataFrame) -> DataFrame:
         hooks = roots.groupBy("surface_id", F.col("v").alias("u")).agg(F.min(F.struct(F.col("u").alias("p"), "s")).alias("h")).select("surface_id", "u", "h.p", F.col("h.s").alias("a"))
         flat = _jumped(cut(hooks))
         to = flat.select("surface_id", F.col("u").alias("p"), F.col("p").alias("_p"), F.col("a").alias("_a"))
-        parent = cut(parent.join(to, ["surface_id", "p"], "left").select("surface_id", "u", F.coalesce("_p", "p").alias("p"), F.col("a").bitwiseXOR(F.coalesce("_a", F.lit(0))).alias("a")))
+        parent = cut(joined(parent, to, ["surface_id", "p"], "left").select("surface_id", "u", F.coalesce("_p", "p").alias("p"), F.col("a").bitwiseXOR(F.coalesce("_a", F.lit(0))).alias("a")))
         ends = roots
         for end in ("u", "v"):
             moved = flat.select("surface_id", F.col("u").alias(end), F.col("p").alias(f"_{end}"), F.col("a").alias("_a"))
-            ends = ends.join(moved, ["surface_id", end], "left").withColumn("s", F.col("s").bitwiseXOR(F.coalesce("_a", F.lit(0)))).withColumn(end, F.coalesce(f"_{end}", end)).drop(f"_{end}", "_a")
+            ends = joined(ends, moved, ["surface_id", end], "left").withColumn("s", F.col("s").bitwiseXOR(F.coalesce("_a", F.lit(0)))).withColumn(end, F.coalesce(f"_{end}", end)).drop(f"_{end}", "_a")
         ends = ends.filter("u <> v").select("surface_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "s")
         roots = cut(ends.distinct())
     sides = edges
     for end in ("u", "v"):
-        sides = sides.join(parent.select("surface_id", F.col("u").alias(end), F.col("p").alias("component"), F.col("a").alias(f"_{end}")).drop(*(["component"] if end == "v" else [])), ["surface_id", end])
+        sides = joined(sides, parent.select("surface_id", F.col("u").alias(end), F.col("p").alias("component"), F.col("a").alias(f"_{end}")).drop(*(["component"] if end == "v" else [])), ["surface_id", end])
     wrong = sides.filter(F.col("_u").bitwiseXOR(F.col("_v")) != F.col("s")).select("surface_id", "component").distinct().withColumn("wrong", F.lit(True))
     out = parent.select("surface_id", F.col("u").alias("fid"), F.col("p").alias("component"), (F.col("a") == 1).alias("flip"))
-    return out.join(wrong, ["surface_id", "component"], "left").select(*FACET, "component", "flip", F.col("wrong").isNull().alias("orientable"))
+    return joined(out, wrong, ["surface_id", "component"], "left").select(*FACET, "component", "flip", F.col("wrong").isNull().alias("orientable"))
 
 
 def oriented(facets: DataFrame) -> DataFrame:
     """The facets with those turned that ``orient`` says to flip."""
-    turned = facets.join(orient(facets).select(*FACET, "flip"), FACET)
+    turned = joined(facets, orient(facets).select(*FACET, "flip"), FACET)
     return turned.withColumn("vids", F.when(F.col("flip"), F.reverse("vids")).otherwise(F.col("vids"))).select(*facets.columns)
