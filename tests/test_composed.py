@@ -80,3 +80,23 @@ def test_chain_of_tiles_and_points(spark):
     with pytest.raises(ValueError):
         chains.points_through(p, None, STEPS, SIZE)
     assert chains.points_through(p.filter(F.lit(False)), rows, STEPS, SIZE).count() == 0
+
+
+@pytest.mark.parametrize("limit", [chains.BROADCAST, 0])
+def test_points_stay_one_row_each(spark, monkeypatch, limit):
+    """Cubes smaller than the grid, sent to all tasks or joined by parts; a voxel that isn't there counts as 0."""
+    monkeypatch.setattr(chains, "BROADCAST", limit)
+    monkeypatch.setattr(chains, "SIDE", 2)
+    monkeypatch.setattr(chains, "PART", 10)
+    rng = np.random.default_rng(8)
+    u = rng.uniform(-0.3, 0.3, size=(3, *SIZE[::-1]))
+    u[:, 1, 2, 3] = 0
+    fields = spark.createDataFrame([(7, i, j, k, *map(float, u[:, k, j, i])) for k in range(3) for j in range(4) for i in range(5) if (k, j, i) != (1, 2, 3)], "image_id long, x int, y int, z int, ux double, uy double, uz double")
+    start = rng.uniform(-0.5, 4.5, size=(3, 50))
+    steps = [*STEPS, Field(inverse=True, iterations=3)]
+    p = spark.createDataFrame([(7, n, *map(float, c)) for n, c in enumerate(start.T)], "image_id long, point_id long, px double, py double, pz double")
+    out = chains.points_through(p, fields, steps, SIZE)
+    found = {r.point_id: [r[c] for c in PLACE] for r in out.collect()}
+    assert np.allclose([found[n] for n in range(50)], _walk(start, u, steps).T)
+    # No row a corner: nothing is exploded or summed by point on the way.
+    assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
