@@ -145,3 +145,18 @@ def test_entry_runs(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_gram_blocks_do_not_grow_in_number(spark, monkeypatch):
+    """An image goes to a bounded number of cells, however many images a cohort has."""
+    from volspark.operators import pca
+
+    for name, value in (("BLOCK", 4), ("BLOCKS", 3), ("PRODUCTS", 50)):
+        monkeypatch.setattr(pca, name, value)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(90, 5))
+    rows = spark.createDataFrame([(i % 2, i, v.tolist()) for i, v in enumerate(x)], "cohort int, image_id long, data array<double>")
+    out = pca.gram_matrix(rows, ["cohort"])
+    got = {(r.a, r.b): (r.cohort, r.dot) for r in out.collect()}
+    assert len(got) == 2 * 45 * 46 // 2 == out.count()
+    assert all(a <= b and a % 2 == b % 2 == c and np.isclose(d, x[a] @ x[b]) for (a, b), (c, d) in got.items())

@@ -2,57 +2,81 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from volspark.operators.grid import AXES, Size
 from volspark.plans.state import cut
 
-#: Images of a block of a Gram matrix.
-BLOCK = 32
+#: Of a Gram matrix: least images and most bytes of a block, blocks of a cohort, products of a batch, and cohorts whose numbers of blocks are sent to all tasks.
+BLOCK, BLOCK_BYTES, BLOCKS, PRODUCTS, FEW = 32, 64 << 20, 24, 1 << 17, 10_000
 
 
 def _arrays(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-_GRAM = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("dot", pa.float64())])
+def _products(batches: Iterable[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Products of the images of two blocks, a <= b, of rows (lo, hi, right, image_id, data, keys) sorted by cell, the left block first; the left block of one cell is held."""
+    cell, held = None, []
 
+    def out(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ids, data = part.column(3).to_numpy(zero_copy_only=False), _arrays(part.column(4))
+        for left, rows in held:
+            step = max(1, PRODUCTS // max(1, len(left)))
+            for at in range(0, len(ids), step):
+                right = ids[at : at + step]
+                dots = (rows @ data[at : at + step].T).ravel()
+                i, j = np.repeat(left, len(right)), np.tile(right, len(left))
+                # A block meets itself once, and both orders of a pair are in it.
+                keep = np.flatnonzero(i <= j) if cell[0] == cell[1] else slice(None)
+                columns = [pa.array(np.minimum(i, j)[keep]), pa.array(np.maximum(i, j)[keep]), pa.array(dots[keep])]
+                yield pa.RecordBatch.from_arrays([*[pa.repeat(part.column(c)[0], len(columns[0])) for c in range(5, part.num_columns)], *columns], schema=schema)
 
-def _block_products(table: pa.Table) -> pa.Table:
-    """Products of the images of two blocks, a <= b; the blocks may be the same one."""
-    ids = table.column("image_id").to_numpy()
-    data = _arrays(table.column("data").combine_chunks())
-    left, right = np.flatnonzero(table.column("own").to_numpy() == table.column("lo").to_numpy()), np.flatnonzero(table.column("own").to_numpy() == table.column("hi").to_numpy())
-    dots = data[left] @ data[right].T
-    i, j = (x.ravel() for x in np.meshgrid(left, right, indexing="ij"))
-    same = table.column("lo")[0].as_py() == table.column("hi")[0].as_py()
-    keep = (ids[i] <= ids[j]) if same else np.ones(len(i), bool)
-    a, b = np.minimum(ids[i], ids[j])[keep], np.maximum(ids[i], ids[j])[keep]
-    return pa.Table.from_arrays([pa.array(a), pa.array(b), pa.array(dots.ravel()[keep])], schema=_GRAM)
+    for batch in batches:
+        lo, hi, right = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+        turns = [lo, hi, right, *[np.array(batch.column(c).dictionary_encode().indices.fill_null(-1)) for c in range(5, batch.num_columns)]]
+        ends = np.flatnonzero(np.any([t[1:] != t[:-1] for t in turns], 0)) + 1
+        for at, end in zip([0, *ends], [*ends, batch.num_rows], strict=True):
+            if at == end:
+                continue
+            part = batch.slice(at, end - at)
+            here = (lo[at], hi[at], *[part.column(c)[0].as_py() for c in range(5, batch.num_columns)])
+            if here != cell:
+                cell, held = here, []
+            if right[at]:
+                yield from out(part)
+            else:
+                held.append((part.column(3).to_numpy(zero_copy_only=False).copy(), _arrays(part.column(4)).copy()))
 
 
 def gram_matrix(dense: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, a, b, dot) of the images of a cohort, a <= b.
 
-    Images are dealt over blocks of about BLOCK; a pair of blocks is one matrix
-    product in one task, so a large cohort is spread over many tasks.
+    Images are dealt over blocks, BLOCKS a cohort, or fewer of at least BLOCK images,
+    or more of at most BLOCK_BYTES, and a pair of blocks is a matrix product in one
+    task. An image goes to as many cells as there are blocks, so that what is
+    shuffled grows with the images, and only the products with their pairs.
     """
-    sizes = dense.groupBy(*keys).agg((F.floor(F.count("*") / BLOCK) + 1).cast("int").alias("_blocks"))
-    dealt = dense.select(*keys, "image_id", F.col("data").cast("array<double>").alias("data")).join(sizes, list(keys)).withColumn("own", F.pmod(F.xxhash64("image_id"), "_blocks").cast("int"))
-    each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    cells = each.select(F.struct(*keys).alias("k"), F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "image_id", "data")
-
-    def products(key: tuple, table: pa.Table) -> pa.Table:
-        found = _block_products(table)
-        return found.append_column("k", pa.array([key[0].as_py()] * found.num_rows, key[0].type))
-
-    schema = f"a long, b long, dot double, k {cells.schema['k'].dataType.simpleString()}"
-    return cells.groupBy("k", "lo", "hi").applyInArrow(products, schema).select("k.*", "a", "b", "dot")
+    data = dense.select(*keys, "image_id", F.col("data").cast("array<double>").alias("data"))
+    count = F.floor(F.count("*") / BLOCK) + 1
+    sizes = data.groupBy(*keys).agg(F.greatest(F.least(count, F.lit(BLOCKS)), F.ceil(F.sum(F.size("data").cast("long") * 8) / BLOCK_BYTES)).cast("int").alias("_blocks"))
+    dealt = data.join(F.broadcast(sizes) if sizes.limit(FEW + 1).count() <= FEW else sizes, list(keys)).withColumn("own", F.pmod(F.xxhash64("image_id"), "_blocks").cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda o: F.struct(F.least("own", o).alias("lo"), F.greatest("own", o).alias("hi"), (F.col("own") > o).cast("int").alias("right")))
+    # In the cell of a block with itself its images are on both sides.
+    cells = dealt.withColumn("c", F.explode(F.concat(others, F.array(F.struct(F.col("own").alias("lo"), F.col("own").alias("hi"), F.lit(1).alias("right"))))))
+    rows = cells.select("c.lo", "c.hi", "c.right", F.col("image_id").cast("long").alias("image_id"), "data", *keys)
+    kind = StructType([*[rows.schema[k] for k in keys], *[StructField(n, LongType()) for n in "ab"], StructField("dot", DoubleType())])
+    schema = to_arrow_schema(kind)
+    schema = pa.schema([pa.field(f.name, f.type) for f in schema])
+    dealt = rows.repartition(*keys, "lo", "hi").sortWithinPartitions(*keys, "lo", "hi", "right")
+    return dealt.mapInArrow(lambda batches: _products(batches, schema), kind)
 
 
 _PART = pa.schema([("part", pa.list_(pa.float64()))])
