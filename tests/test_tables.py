@@ -120,3 +120,12 @@ def test_exploded_meshes_are_not_sent_to_all_tasks(spark):
     assert oriented.count() == 3 * len(facets)
     for df in (orientation.adjacency(f), oriented, surface.corners(f, v), loops):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_steps_after_a_time_need_no_frame_to_the_end(spark):
+    """A frame that ends with the last row is read anew for each row, so a long path took the square of its length."""
+    steps = spark.createDataFrame([(1, 0.0, [1.0]), (1, 2.0, [3.0])], "path_id long, t double, v array<double>")
+    samples = spark.createDataFrame([(1, 0.5), (1, 2.0), (1, 3.0)], "path_id long, t double")
+    out = draws.between_steps(steps, samples, ["v"])
+    assert sorted((r.t, r.v[0]) for r in out.collect()) == [(0.5, 1.5), (2.0, 3.0), (3.0, 3.0)]
+    assert "unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString().lower()

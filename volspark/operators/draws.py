@@ -57,7 +57,9 @@ def between_steps(steps: DataFrame, samples: DataFrame, values: Sequence[str], k
     both = marks.unionByName(asked)
     over = W.partitionBy(*keys).orderBy(time, F.col("_t").isNull())
     before = F.last("_t", True).over(over.rowsBetween(W.unboundedPreceding, W.currentRow))
-    after = F.first("_t", True).over(over.rowsBetween(W.currentRow, W.unboundedFollowing))
+    # From the other end, as a frame that ends with the last row is read anew for each row.
+    back = W.partitionBy(*keys).orderBy(F.col(time).desc(), F.col("_t").isNull().desc())
+    after = F.last("_t", True).over(back.rowsBetween(W.unboundedPreceding, W.currentRow))
     near = both.withColumns({"_a": before, "_b": after}).filter("_row IS NOT NULL").select("_row", *keys, F.coalesce("_a", "_b").alias("_a"), F.coalesce("_b", "_a").alias("_b"))
     for side in ("a", "b"):
         arrays = steps.select(*keys, F.col(time).alias(f"_{side}"), *[F.col(v).alias(f"_{side}_{v}") for v in values])
