@@ -160,3 +160,10 @@ def test_gram_blocks_do_not_grow_in_number(spark, monkeypatch):
     got = {(r.a, r.b): (r.cohort, r.dot) for r in out.collect()}
     assert len(got) == 2 * 45 * 46 // 2 == out.count()
     assert all(a <= b and a % 2 == b % 2 == c and np.isclose(d, x[a] @ x[b]) for (a, b), (c, d) in got.items())
+
+
+def test_a_stack_counts_all_its_columns(spark):
+    """Wide columns beside a narrow first one count as well, so a call's memory is bounded."""
+    rows = spark.range(0, 600, 1, 1).select(F.col("id").alias("image_id"), F.array(F.lit(1.0)).alias("a"), F.array_repeat(F.lit(2.0), 4095).alias("b"))
+    calls = kernels.map_images(rows, lambda s: {"n": np.full((len(s["a"]), 1), float(s["a"].size + s["b"].size))}, ["a", "b"], ["n"]).collect()
+    assert len(calls) == 600 and max(r.n[0] for r in calls) <= kernels.STACK < 600 * 4096
