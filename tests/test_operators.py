@@ -54,6 +54,21 @@ def test_affine_finds_shift():
     assert np.allclose(registration.nearest_rotation(2 * np.eye(3)), np.eye(3))
 
 
+@pytest.mark.parametrize("mode", ["affine", "rigid", "translation"])
+def test_affine_of_a_stack_is_that_of_each_pair(spark, mode):
+    """All pairs of a call at once, each with its own number of iterations; constant images and equal pairs are no trouble to others."""
+    fixed = np.stack([ball(c, 3.0, 8) for c in (3.5, 3.0, 4.2)] + [np.ones((8, 8, 8)), ball(3.5, 2.0, 8)])
+    moving = np.stack([ball(4.0, 3.0, 8), fixed[1], ball(3.5, 2.5, 8), np.zeros((8, 8, 8)), np.full((8, 8, 8), np.nan)])
+    m, t, log, count = registration.affine_registers(moving, fixed, mode)
+    for i in range(4):
+        one = registration.affine_register(moving[i], fixed[i], mode)
+        assert np.allclose(m[i], one[0], atol=1e-5) and np.allclose(t[i], one[1], atol=1e-5) and np.allclose(log[i, : count[i]], one[2], atol=1e-6)
+    assert count[1] == count[4] == 1 < count[0]
+    pairs = spark.createDataFrame([(i, moving[i].ravel().tolist(), fixed[i].ravel().tolist()) for i in range(4)], "pair_id long, moving array<double>, fixed array<double>").coalesce(1)
+    found = registration.register(pairs, (8, 8, 8), mode, None).collect()
+    assert [len(r.energy) for r in sorted(found, key=lambda r: r.pair_id)] == count[:4].tolist() and all(set(r.scale) == {1} for r in found)
+
+
 def test_atlas_mean_sharpens(spark):
     rows = [(0, i, 1.0, ball(c, 3.0, 8).ravel().tolist()) for i, c in enumerate((3.0, 3.5, 4.0))]
     images = spark.createDataFrame(rows, "cohort int, image_id long, w double, data array<double>")
