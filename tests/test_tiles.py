@@ -1,6 +1,7 @@
 """Tiled volumes against the kernels of whole volumes."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +119,57 @@ def test_positions(spark):
     assert {r.i: r.v for r in tiles.at_positions(values, asked).collect()} == {0: 16.0, 1: 16.0, 2: None}
     moved = values.select("image_id", F.pmod(F.col("i") + 2, F.lit(5)).alias("p"), "v")
     assert {r.i: r.v for r in tiles.to_positions(moved).collect()} == {2: 0.0, 3: 1.0, 4: 4.0, 0: 9.0, 1: 16.0}
+
+
+@pytest.mark.parametrize("size", [1, tiles.PIECE])
+def test_stacks_go_on_over_pieces(monkeypatch, size):
+    """Blocks, answers and values of tiles whose rows come in several pieces, and of many tiles in one."""
+    monkeypatch.setattr(tiles, "PIECE", size)
+    v, p = images(7, n=3)
+    grid, side = Tiling(SIZE, 3), 3
+    keys, rows = [], []
+    for image in range(3):
+        for tile in range(8):
+            x, y, z = grid.corner(tile)
+            pad = lambda a: np.pad(a, [(0, 3), (0, 3), (0, 3)])[z : z + side, y : y + side, x : x + side].ravel()  # noqa: E731, B023
+            keys.append((image, tile))
+            rows.append([pad(a) for a in (v[image], *p[image])])
+    images_, tiles_ = np.array(keys).T
+    batch = tiles._out(images_, tiles_, [np.stack([r[k] for r in rows]) for k in range(4)], ["v", *PLACE])
+    by = lambda batches, *names: [pa.Table.from_batches(batches).sort_by([(n, "ascending") for n in names]).combine_chunks().to_batches()[0]]
+    parts = by(list(tiles._borders([batch.select([0, 1, 2])], grid, 1, 0, 1, False, False)), "image_id", "tile")
+    asked = list(tiles._ask([batch.select([0, 1, 3, 4, 5])], grid, grid, "value", None, 0))
+    found = list(tiles._blocks(parts, grid, 1, 0, 0, 1, 0.0, False, True))
+    assert sum(len(t) for _, t, _, _ in found) == 24 and (size == 1 or max(len(t) for _, t, _, _ in found) > 8)
+    schema = pa.schema([*[(n, pa.int64()) for n in ("image_id", "tile", "salt", "to")], *[(n, pa.binary()) for n in ("i", "p", "data")]])
+    held = [(int(i), int(t), 0, None, None, None, b.tobytes()) for image, tile, block, _ in found for i, t, b in zip(image, tile, block, strict=True)]
+    held += [(r["image_id"], r["tile"], 0, r["to"], r["i"], r["p"], None) for b in asked for r in b.to_pylist()]
+    held.sort(key=lambda r: (*r[:3], r[-1] is None))
+    mixed = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
+    replies = by(list(tiles._answers([mixed], grid, 1, 0.0)), "image_id", "tile")
+    want = kernels.sample(v[:, None], p)[:, 0]
+    for image, tile, values, _ in tiles._gathered(replies, grid, 1, 0.0, False):
+        for i, t, got in zip(image, tile, values[:, 0], strict=True):
+            x, y, z = grid.corner(t)
+            inside = want[i, z : z + side, y : y + side, x : x + side]
+            assert np.allclose(got.reshape(side, side, side)[: inside.shape[0], : inside.shape[1], : inside.shape[2]], inside)
+
+
+def test_tiles_of_whole_images(spark):
+    v, _ = images(8)
+    grid = Tiling(SIZE, 3)
+    rows = spark.createDataFrame([(i, [None, *map(float, x.ravel()[1:])]) for i, x in enumerate(v)] + [(9, None)], "image_id long, v array<double>")
+    v[:, 0, 0, 0] = 0
+    cut_up, by_voxel = (sorted(map(tuple, t.collect())) for t in (tiles.of_images(rows, grid), tiles.tiled(long(spark, v), grid)))
+    assert cut_up == by_voxel
+
+
+def test_stencil_of_many_tiles_a_call(spark):
+    """Carried arrays need no borders, and a call has more than one tile."""
+    v, p = images(9)
+    grid = Tiling(SIZE, 2)
+    rows = tiles.tiled(long(spark, v, p), grid, ("v", "px")).coalesce(1)
+    found = tiles.map_haloed(rows, grid, lambda t, block, rest: [block[:, 0, 1:-1, 1:-1, 2:], rest[:, 0], np.full(len(t), len(t))], ["v"], ["px"], ["v", "px", "n"])
+    assert max(r.n[0] for r in found.collect()) > 1
+    assert np.array_equal(whole(tiles.untiled(found, grid, ("v",)), v.shape)[..., :-1], v[..., 1:])
+    assert np.array_equal(whole(tiles.untiled(found, grid, ("px",)), v.shape, "px"), p[:, 0])
