@@ -100,3 +100,19 @@ def test_points_stay_one_row_each(spark, monkeypatch, limit):
     assert np.allclose([found[n] for n in range(50)], _walk(start, u, steps).T)
     # No row a corner: nothing is exploded or summed by point on the way.
     assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_borders_of_a_field_are_exchanged_once(spark, monkeypatch):
+    """Look-ups of one field share its blocks, and carry their base along instead of joining it."""
+    made, blocks = [], tiles.blocks
+    monkeypatch.setattr(tiles, "blocks", lambda *a, **k: made.append(a) or blocks(*a, **k))
+    rng = np.random.default_rng(9)
+    u = rng.uniform(-0.3, 0.3, size=(3, *SIZE[::-1]))
+    grid = Tiling(SIZE, 2)
+    images = spark.createDataFrame([(7, *[u[k].ravel().tolist() for k in range(3)])], "image_id long, ux array<double>, uy array<double>, uz array<double>")
+    t = tiles.of_images(images, grid, U)
+    steps = [Field(inverse=True, iterations=3), Affine(shift=(0.2, 0.0, 0.1)), Field()]
+    want, got = _walk(kernels.identity(SIZE), u, steps), np.full((3, *SIZE[::-1]), np.nan)
+    for r in tiles.untiled(chains.places(t, t, steps, grid), grid, PLACE).collect():
+        got[:, r.z, r.y, r.x] = [r[c] for c in PLACE]
+    assert np.allclose(got, want) and len(made) == 1
