@@ -103,3 +103,15 @@ def test_conjugate_gradients_equal_the_transform(spark):
     around = np.pad(x, [(0, 0), *[(1, 1)] * 3])
     lap = sum(np.roll(around, s, a) for a in (1, 2, 3) for s in (-1, 1))[:, 1:-1, 1:-1, 1:-1]
     assert np.allclose((0.5 + 0.3) * x - 0.05 * lap, v, atol=1e-3)
+
+
+def test_a_sweep_exchanges_borders_twice(spark, monkeypatch):
+    """The residual before a sweep comes from the borders of its first half."""
+    made, parts = [], tiles._parts
+    monkeypatch.setattr(tiles, "_parts", lambda *a, **k: made.append(a) or parts(*a, **k))
+    v, p = images(7, n=1)
+    grid = Tiling(SIZE, 3)
+    rows = tiles.tiled(long(spark, v, p), grid, ("v", "px")).withColumnsRenamed({"v": "u", "px": "f"})
+    _, history = solvers.over_relaxation(rows, grid, 1.0, 0.1, 3)
+    assert np.allclose([r.residual for r in history.orderBy("sweep").collect()], brute_sweeps(v[0], p[0, 0], 1.0, 0.1, solvers.relaxation(SIZE), 1, 3)[1])
+    assert len(made) == 7
