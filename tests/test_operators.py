@@ -177,6 +177,34 @@ def test_gram_blocks_do_not_grow_in_number(spark, monkeypatch):
     assert all(a <= b and a % 2 == b % 2 == c and np.isclose(d, x[a] @ x[b]) for (a, b), (c, d) in got.items())
 
 
+def test_gram_products_leave_as_lists(spark):
+    """A task hands a row an image and part of a block to Spark, not a row a pair."""
+    import pyarrow as pa
+
+    x = np.random.default_rng(4).normal(size=(6, 5))
+    ids = np.array([5, 3, 9, 1, 3, 7])
+    cell = lambda right: pa.RecordBatch.from_arrays([pa.array([0] * 6), pa.array([0] * 6), pa.array([right] * 6), pa.array(ids), pa.array(x.tolist()), pa.array([2] * 6)], names=["lo", "hi", "right", "image_id", "data", "cohort"])
+    schema = pa.schema([("cohort", pa.int64()), ("a", pa.int64()), ("b", pa.list_(pa.int64())), ("dot", pa.list_(pa.float64()))])
+    rows = [r for batch in pca._products([cell(0), cell(1)], schema) for r in batch.to_pylist()]
+    assert len(rows) == 6 and [r["a"] for r in rows] == ids.tolist()
+    for r, v in zip(rows, x, strict=True):
+        keep = ids >= r["a"]
+        assert r["b"] == ids[keep].tolist() and np.allclose(r["dot"], x[keep] @ v)
+
+
+def test_rounded_without_decimals(spark):
+    """The same doubles as F.round, also of ties, signs, large numbers, NaN and null; the plan rounds by decimals only beside that."""
+    from volspark.plans.registered import finished
+
+    odd = [None, 0.0, -0.0, -0.00001, 0.00005, -0.00005, 0.12345, 2.00005, 1.00015, 999999.99995, 1e6 + 0.00005, 1e15 + 0.3, 1e300, np.inf, -np.inf, np.nan]
+    values = [*[k / 20000 for k in range(-500, 500)], *(np.random.default_rng(6).normal(size=500) * 10.0 ** np.arange(-5, 5).repeat(50)).tolist(), *odd]
+    rows = finished(spark.createDataFrame([(v,) for v in values], "v double"), "v:d")
+    want = spark.createDataFrame([(v,) for v in values], "v double").select((F.round("v", 4) + F.lit(0.0)).alias("v"))
+    text = lambda df: [str(r.v) for r in df.select("v").collect()]
+    assert text(rows) == text(want)
+    assert "rint" in rows._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_a_stack_counts_all_its_columns(spark):
     """Wide columns beside a narrow first one count as well, so a call's memory is bounded."""
     rows = spark.range(0, 600, 1, 1).select(F.col("id").alias("image_id"), F.array(F.lit(1.0)).alias("a"), F.array_repeat(F.lit(2.0), 4095).alias("b"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from volspark.operators.grid import AXES, Size
 from volspark.plans.state import cut
@@ -23,7 +23,7 @@ def _arrays(column: pa.Array) -> np.ndarray:
 
 
 def _products(batches: Iterable[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Products of the images of two blocks, a <= b, of rows (lo, hi, right, image_id, data, keys) sorted by cell, the left block first; the left block of one cell is held."""
+    """A row (keys, a, b, dot) for each image a of a block and part of another, with the ids and products of that part, of rows (lo, hi, right, image_id, data, keys) sorted by cell, the left block first; the left block of one cell is held."""
     cell, held = None, []
 
     def out(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -32,12 +32,12 @@ def _products(batches: Iterable[pa.RecordBatch], schema: pa.Schema) -> Iterator[
             step = max(1, PRODUCTS // max(1, len(left)))
             for at in range(0, len(ids), step):
                 right = ids[at : at + step]
-                dots = (rows @ data[at : at + step].T).ravel()
-                i, j = np.repeat(left, len(right)), np.tile(right, len(left))
+                dots = rows @ data[at : at + step].T
                 # A block meets itself once, and both orders of a pair are in it.
-                keep = np.flatnonzero(i <= j) if cell[0] == cell[1] else slice(None)
-                columns = [pa.array(np.minimum(i, j)[keep]), pa.array(np.maximum(i, j)[keep]), pa.array(dots[keep])]
-                yield pa.RecordBatch.from_arrays([*[pa.repeat(part.column(c)[0], len(columns[0])) for c in range(5, part.num_columns)], *columns], schema=schema)
+                keep = left[:, None] <= right if cell[0] == cell[1] else np.ones(dots.shape, bool)
+                ends = pa.array(np.concatenate([[0], np.cumsum(keep.sum(1))]), pa.int32())
+                columns = [pa.ListArray.from_arrays(ends, pa.array(x[keep])) for x in (np.broadcast_to(right, keep.shape), dots)]
+                yield pa.RecordBatch.from_arrays([*[pa.repeat(part.column(c)[0], len(left)) for c in range(5, part.num_columns)], pa.array(left), *columns], schema=schema)
 
     for batch in batches:
         lo, hi, right = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
@@ -62,7 +62,8 @@ def gram_matrix(dense: DataFrame, keys: Sequence[str]) -> DataFrame:
     Images are dealt over blocks, BLOCKS a cohort, or fewer of at least BLOCK images,
     or more of at most BLOCK_BYTES, and a pair of blocks is a matrix product in one
     task. An image goes to as many cells as there are blocks, so that what is
-    shuffled grows with the images, and only the products with their pairs.
+    shuffled grows with the images, and only the products with their pairs. Products
+    leave a task as lists, which Spark explodes: a row of its own for each costs Python more than they do.
     """
     data = dense.select(*keys, "image_id", F.col("data").cast("array<double>").alias("data"))
     count = F.floor(F.count("*") / BLOCK) + 1
@@ -72,11 +73,13 @@ def gram_matrix(dense: DataFrame, keys: Sequence[str]) -> DataFrame:
     # In the cell of a block with itself its images are on both sides.
     cells = dealt.withColumn("c", F.explode(F.concat(others, F.array(F.struct(F.col("own").alias("lo"), F.col("own").alias("hi"), F.lit(1).alias("right"))))))
     rows = cells.select("c.lo", "c.hi", "c.right", F.col("image_id").cast("long").alias("image_id"), "data", *keys)
-    kind = StructType([*[rows.schema[k] for k in keys], *[StructField(n, LongType()) for n in "ab"], StructField("dot", DoubleType())])
+    kind = StructType([*[rows.schema[k] for k in keys], StructField("a", LongType()), StructField("b", ArrayType(LongType())), StructField("dot", ArrayType(DoubleType()))])
     schema = to_arrow_schema(kind)
     schema = pa.schema([pa.field(f.name, f.type) for f in schema])
     dealt = rows.repartition(*keys, "lo", "hi").sortWithinPartitions(*keys, "lo", "hi", "right")
-    return dealt.mapInArrow(lambda batches: _products(batches, schema), kind)
+    lists = dealt.mapInArrow(lambda batches: _products(batches, schema), kind).select(*keys, "a", "b", F.posexplode("dot").alias("_i", "dot"))
+    other = F.get("b", F.col("_i"))
+    return lists.select(*keys, F.least("a", other).alias("a"), F.greatest("a", other).alias("b"), "dot")
 
 
 _PART = pa.schema([("part", pa.list_(pa.float64()))])
