@@ -116,3 +116,36 @@ def test_borders_of_a_field_are_exchanged_once(spark, monkeypatch):
     for r in tiles.untiled(chains.places(t, t, steps, grid), grid, PLACE).collect():
         got[:, r.z, r.y, r.x] = [r[c] for c in PLACE]
     assert np.allclose(got, want) and len(made) == 1
+
+
+def test_inverse_takes_all_iterations():
+    """The way back of the query isn't cut short of what Field takes."""
+    from volspark.plans import composed
+
+    assert composed.INVERSE == chains.inverted(composed.CHAIN)
+    assert [s.iterations for s in composed.INVERSE if isinstance(s, Field)] == [Field().iterations] * 2 == [10, 10]
+
+
+@pytest.mark.parametrize("side", [2, 5])
+def test_iterations_stay_in_their_tile(spark, monkeypatch, side):
+    """Iterations don't exchange places that stay in their tile: one round where an image is one tile, else as many as places leave tiles."""
+    rounds, met = [], tiles._met
+    monkeypatch.setattr(tiles, "_met", lambda *a: rounds.append(a) or met(*a))
+    rng = np.random.default_rng(10)
+    u, v = rng.uniform(-0.9, 0.9, size=(2, 3, *SIZE[::-1]))
+    grid = Tiling(SIZE, side)
+    rows = [(i, *[w[k].ravel().tolist() for k in range(3)]) for i, w in ((7, u), (8, v))]
+    t = tiles.of_images(spark.createDataFrame(rows, "image_id long, ux array<double>, uy array<double>, uz array<double>"), grid, U)
+    # A tile without a row counts as a field of 0.
+    held = t.filter(~((F.col("image_id") == 8) & (F.col("tile") == 1)))
+    lost = tiles.untiled(held, grid, U).filter("image_id = 8").collect()
+    w = np.zeros_like(v)
+    for r in lost:
+        w[:, r.z, r.y, r.x] = [r[c] for c in U]
+    steps = [Affine(shift=(0.2, -1.3, 0.1)), Field(inverse=True)]
+    got = {i: np.full((3, *SIZE[::-1]), np.nan) for i in (7, 8)}
+    for r in tiles.untiled(chains.places(t, held, steps, grid), grid, PLACE).collect():
+        got[r.image_id][:, r.z, r.y, r.x] = [r[c] for c in PLACE]
+    for i, field in ((7, u), (8, w)):
+        assert np.allclose(got[i], _walk(kernels.identity(SIZE), field, steps), atol=1e-6)
+    assert len(rounds) == 1 if side == 5 else 1 < len(rounds) <= 10
